@@ -77,7 +77,7 @@ def test_small_chunks_give_the_same(spark, monkeypatch):
     import trackloom.llm.katz_lm as m
 
     real = m.chunk_table
-    monkeypatch.setattr(m, "chunk_table", lambda *a, **k: real(*a, **k, tokens=50))
+    monkeypatch.setattr(m, "chunk_table", lambda *a, **k: real(*a, **k | {"tokens": 50}))
     same(katz(documents(spark, rows())).scores.collect(), brute(rows()))
 
 

@@ -38,6 +38,8 @@ from .substring_dedup import mix
 K = 5
 #: Contexts with more than this share of the training tokens are spread over buckets.
 HOT_SHARE = 1 / 1024
+#: A chunk here holds its bigrams several times over in numpy arrays.
+CHUNK_TOKENS = 500_000
 HELD_OUT = 10
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -353,7 +355,7 @@ def katz(docs: DataFrame) -> Katz:
     """
     spark = docs.sparkSession
     space = Workspace(spark, "katz")
-    chunks = chunk_table(docs, space, lower=True, end=True, words=False)
+    chunks = chunk_table(docs, space, lower=True, end=True, words=False, tokens=CHUNK_TOKENS)
     buckets = n_buckets(chunks)
     words = space.save(per_bucket(per_chunk(chunks, [], _ask_words(buckets), QUESTION), _answer_words, ANSWER), "words")
     got = _add(words)
