@@ -116,6 +116,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     ).drop("copy")
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of an item."""
+    windows = item_windows(items, window)
+    found = hits(docs, windows).where(F.col("gram").isNotNull()).select("doc_id", "h").distinct().alias("f")
+    held = docs.alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(F.col("d.text")) == F.col("f.h"))
+    return held.join(found, same, "left_anti")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

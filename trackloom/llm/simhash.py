@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Workspace, record_batch, table
 from .components import components
@@ -118,3 +119,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that come first by doc_id in their component.
+
+    Of repeated rows, or rows of one doc_id and fingerprint, one stays.
+    """
+    found = near_duplicates(docs, radius, shingle)
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.doc_id", "k.fp")
+    schema = StructType([*(f for f in docs.schema if f.name != "fp__"), StructField("fp__", LongType())])
+
+    def run(batches):
+        for b in batches:
+            b = b.drop_columns(["fp__"]) if "fp__" in b.schema.names else b
+            fps = [fingerprint(t, shingle) for t in b["text"].to_pylist()]
+            yield b.append_column("fp__", pa.array(fps, pa.int64()))
+
+    kept = docs.mapInArrow(run, schema).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(first["doc_id"]) & (F.col("d.fp__") == first["fp"])
+    return kept.join(first, same, "left_semi").dropDuplicates(["doc_id", "fp__"]).drop("fp__")

@@ -206,3 +206,19 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``score`` doesn't call toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+
+    def run(batches):
+        hashed, model = Hashed(), shared.value
+        k = list(CHAIN).index("toxic")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                p = model.predict(Texts.of([hashed.of(t) for t in b["text"].to_pylist()]))
+                yield b.filter(pa.array(p[:, k] < model.cuts[k]))
+
+    return docs.mapInArrow(run, docs.schema)
