@@ -26,9 +26,10 @@ POSES = "track_id long, frame long, x double, y double, z double, rot array<doub
 def event_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poses (track_id, frame, x, y, z) from the events table: a user is a track."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value", "props")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = events.withColumnRenamed("user_id", "track_id")
+    order = Window.partitionBy("track_id").orderBy("ts", "event_id")
     return events.select(
-        F.col("user_id").alias("track_id"),
+        "track_id",
         (F.row_number().over(order) - 1).cast("long").alias("frame"),
         F.col("value").alias("x"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("y"),
