@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pytest
 import xxhash
 
 from trackloom.llm.common import Workspace
@@ -47,7 +48,9 @@ def test_masks_cover():
             assert any(not any(m >> b & 1 for b in bits) for m in every)
 
 
-def test_links_are_the_pairs_within_the_radius(spark):
+@pytest.mark.parametrize("compared", [1, 3, 16])
+def test_links_are_the_pairs_within_the_radius(spark, monkeypatch, compared):
+    monkeypatch.setattr("trackloom.llm.simhash.PAIRS", compared)
     rnd = random.Random(3)
     centres = [rnd.getrandbits(64) for _ in range(40)]
     fps = {0, (1 << 64) - 1, *centres}

@@ -6,7 +6,8 @@ positions some v is orthogonal to all their vectors, so in v's table the mask le
 positions out: two fingerprints that differ there, and nowhere else, have the same key. Every pair
 within the radius collides, without probability.
 
-In a bucket pairs are never listed. Each member sends all its variants with up to radius / 2 of the
+The members of a bucket of up to ``PAIRS`` are compared with each other. In a larger one, pairs are never
+listed: each member sends all its variants with up to radius / 2 of the
 free bits turned; two members within the radius meet at a variant between them, and members that
 meet are within the radius, so a link from each to the least one of the variant keeps exactly the
 right components. Copies are one fingerprint from the start.
@@ -29,6 +30,8 @@ from .components import components
 BITS = 64
 SEED = 42
 RADIUS = 2
+#: Members of a bucket that are compared with each other; more of them meet at variants, as exactly.
+PAIRS = 16
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -82,7 +85,7 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     every = masks(radius)
     rows = distinct.select("fp", F.posexplode(F.array(*(F.lit(m) for m in every))).alias("table", "mask"))
     rows = rows.select("table", F.expr("fp & mask").alias("key"), "fp")
-    shared = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
 
     def variants(mask: int):
         free = [1 << i for i in range(BITS) if not mask >> i & 1]
@@ -90,12 +93,19 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         return F.array(*(F.lit(t - (1 << 64) if t >> 63 else t) for t in turned))
 
     by_table = F.element_at(F.array(*map(variants, every)), F.col("table") + 1)
-    member = rows.join(shared, ["table", "key"]).select("table", "fp", F.explode(by_table).alias("turn"))
-    member = member.select("table", F.expr("fp ^ turn").alias("variant"), "fp")
-    # A variant's members and its least one: by two partial aggregates, as a variant near a large
+    member = rows.join(shared, ["table", "key"])
+    few = member.where(F.col("n") <= PAIRS).select("table", "key", F.col("fp").alias("a"))
+    others = few.withColumnRenamed("a", "b").withColumnsRenamed({"table": "table2", "key": "key2"})
+    near = (F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    few = few.join(others, (F.col("table") == F.col("table2")) & (F.col("key") == F.col("key2")) & near).select("a", "b")
+
+    many = member.where(F.col("n") > PAIRS).select("table", "fp", F.explode(by_table).alias("turn"))
+    many = many.select("table", F.expr("fp ^ turn").alias("variant"), "fp")
+    # A variant's members and its least one: by partial aggregates, as a variant near a large
     # group of near copies may have thousands of members.
-    least = member.groupBy("table", "variant").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most")
-    return member.join(least, ["table", "variant"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    least = many.groupBy("table", "variant").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most")
+    many = many.join(least, ["table", "variant"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
+    return few.unionByName(many).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
