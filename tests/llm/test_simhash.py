@@ -6,7 +6,7 @@ import xxhash
 
 from trackloom.llm.common import Workspace
 from trackloom.llm.components import components
-from trackloom.llm.simhash import fingerprint, links, masks, near_duplicates
+from trackloom.llm.simhash import all_of_bucket, fingerprint, links, masks, near_duplicates, one_of_each
 
 from .conftest import documents
 
@@ -99,3 +99,47 @@ def test_near_duplicates(spark):
     got = sorted((tuple(r) for r in near_duplicates(documents(spark, rows)).collect()), key=str)
     assert got == want
     assert near_duplicates(documents(spark, [])).collect() == []
+
+
+def test_all_of_bucket_is_every_pair_within_the_radius(spark):
+    rnd = random.Random(8)
+    fps = [rnd.getrandbits(63) for _ in range(20)]
+    for _ in range(150):
+        x = rnd.choice(fps)
+        for b in rnd.sample(range(63), rnd.randrange(5)):
+            x ^= 1 << b
+        fps.append(x)
+    live = spark.createDataFrame([(i, i, x) for i, x in enumerate(fps)], "node long, rank long, fp long")
+    want = {(b, a) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 6}
+    assert {(r.a, r.b) for r in all_of_bucket(live, 6).collect()} == want
+
+
+def grams(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_one_of_each(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(1000, None), (1001, ""), (1002, " \t"), (None, "alone null"), (900, "a b"), (901, "A  b"), (902, "a c")]
+    for i in range(8):
+        base = [rnd.choice(words) for _ in range(rnd.randrange(150, 400))]
+        for j in range(12):
+            w = list(base)
+            for _ in range(j % 3):
+                w[rnd.randrange(len(w))] = rnd.choice(words)
+            rows.append((10 * j + i, " ".join(w)))
+    rows += [rows[-1], (None, rows[-1][1])]
+
+    def close(a, b):
+        return len(a & b) >= 0.8 * len(a | b)
+
+    sets = [grams(t) for _, t in rows]
+    root = roots(range(len(rows)), [(a, b) for a, b in combinations(range(len(rows)), 2) if close(sets[a], sets[b])])
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root[k]] = min(least.get(root[k], 10**6), 10**6 if i is None else i)
+    got = one_of_each(documents(spark, rows)).collect()
+    assert sorted(10**6 if r.doc_id is None else r.doc_id for r in got) == sorted(least.values())
+    assert len(got[0]) == 7 and one_of_each(documents(spark, [])).collect() == []

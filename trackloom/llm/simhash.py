@@ -32,6 +32,11 @@ SEED = 42
 RADIUS = 2
 #: Members of a bucket that are compared with each other; more of them meet at variants, as exactly.
 PAIRS = 16
+#: Of ``one_of_each``: bits in which candidates may differ, the similarity of links, and the rounds that
+#: compare with the first of a bucket only.
+STAGE_RADIUS = 6
+SIMILARITY = 0.8
+LEADING = 2
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -47,7 +52,11 @@ def fingerprint(text: str | None, shingle: int) -> int:
     ends = [s - 1 for s in starts[1:]] + [len(joined)]
     digest = xxhash.xxh64_intdigest
     spans = zip(starts, ends[shingle - 1 :]) if len(words) >= shingle else [(0, len(joined))]
-    hashes = np.array([digest(joined[i:j], SEED) for i, j in spans], "<u8")
+    return majority(np.array([digest(joined[i:j], SEED) for i, j in spans], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed number."""
     ones = np.zeros(BITS, np.int64)
     for part in range(0, len(hashes), 1 << 14):  # bounds the unpacked bits of long texts
         block = hashes[part : part + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -131,21 +140,119 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that come first by doc_id in their component.
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the ``shingle``-word shingles; shorter texts are one shingle."""
+    size, digest = min(shingle, len(words)), xxhash.xxh64_intdigest
+    every = (b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)) if words else ()
+    return np.unique(np.fromiter((digest(x, SEED) for x in every), "<u8"))
 
-    Of repeated rows, or rows of one doc_id and fingerprint, one stays.
-    """
-    found = near_duplicates(docs, radius, shingle)
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.doc_id", "k.fp")
-    schema = StructType([*(f for f in docs.schema if f.name != "fp__"), StructField("fp__", LongType())])
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose shingle sets have a Jaccard similarity of ``least`` or more."""
 
     def run(batches):
         for b in batches:
-            b = b.drop_columns(["fp__"]) if "fp__" in b.schema.names else b
-            fps = [fingerprint(t, shingle) for t in b["text"].to_pylist()]
-            yield b.append_column("fp__", pa.array(fps, pa.int64()))
+            kept = []
+            for x, y in zip(b["x"], b["y"]):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(shared >= least * (len(x) + len(y) - shared))
+            yield pa.record_batch([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    of = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    of = of.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return of.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _keyed(live: DataFrame, radius: int) -> DataFrame:
+    """``live`` with bucket, a row for each table of the radius. Buckets are 64-bit hashes of table and key."""
+    every = F.array(*(F.lit(m) for m in masks(radius)))
+    return live.select("node", "rank", "fp", F.explode(every).alias("mask")).select(F.expr("xxhash64(mask, fp & mask)").alias("bucket"), "node", "rank", "fp")
+
+
+def _near(radius: int):
+    return F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= radius
+
+
+def first_of_bucket(live: DataFrame, tables: int, radius: int) -> DataFrame:
+    """Pairs (a, b): for each a the first b by rank that is within ``radius`` and leads one of its buckets.
+
+    Buckets are those of the covering tables of radius ``tables``. The leaders are partial aggregates, and each
+    node has one pair at most, so large groups make no more rows than they have members.
+    """
+    rows = _keyed(live, tables)
+    lead = rows.groupBy("bucket").agg(F.min(F.struct("rank", "node", "fp")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    lead = lead.select("bucket", F.col("lead.rank").alias("rank_b"), F.col("lead.node").alias("b"), F.col("lead.fp").alias("fp_b"))
+    led = rows.join(lead, "bucket").where((F.col("node") != F.col("b")) & _near(radius))
+    return led.groupBy(F.col("node").alias("a")).agg(F.min_by("b", F.struct("rank_b", "b")).alias("b"))
+
+
+def all_of_bucket(live: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of all nodes within ``radius``: each pair shares a bucket of some covering table."""
+    rows = _keyed(live, radius).select("bucket", "node", "fp")
+    other = rows.select("bucket", F.col("node").alias("b"), F.col("fp").alias("fp_b"))
+    return rows.join(other, "bucket").where((F.col("node") > F.col("b")) & _near(radius)).select(F.col("node").alias("a"), "b").distinct()
+
+
+def one_of_each(docs: DataFrame, radius: int = STAGE_RADIUS, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that come first by doc_id in their group.
+
+    Candidates are pairs of texts within ``radius`` by the fingerprints of their sets of words, an edit
+    changing fewer words than shingles. They are links if their sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``least`` or more. First, in ``LEADING`` rounds, each text is compared with the first by
+    doc_id of its buckets only, and goes if they are similar: so large groups of near copies shrink without
+    listing pairs. Then all pairs within the radius that are left are compared. No two rows that stay are
+    linked, and each row that goes is joined by links to one that stays.
+
+    Texts of the same words, A-Z in either case, are one node, by a 64-bit hash. Of repeated rows, or rows of one
+    doc_id and node, one stays. Null texts are empty, and all texts without words are copies; a null doc_id
+    comes last. A column node__ is replaced. An empty table gives no rows.
+    """
+    space = Workspace(docs.sparkSession, "one_of_each")
+    schema = StructType([*(f for f in docs.schema if f.name != "node__"), StructField("node__", LongType())])
+
+    def words(text: str | None) -> list[bytes]:
+        return (text or "").encode().lower().split()
+
+    def node(found: list[bytes]) -> int:
+        return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(found), SEED)).view(np.int64))
+
+    def name_rows(batches):
+        for b in batches:
+            b = b.drop_columns(["node__"]) if "node__" in b.schema.names else b
+            nodes = [node(words(t)) for t in b["text"].to_pylist()]
+            yield b.append_column("node__", pa.array(nodes, pa.int64()))
+
+    def sketch(batches):
+        for b in batches:
+            found = [words(t) for t in b["text"].to_pylist()]
+            fps = [majority(shingle_set(w, 1)) for w in found]
+            yield record_batch({"rank": b["rank"], "node": [node(w) for w in found], "fp": fps}, "rank long, node long, fp long")
+
+    def sets_of(batches):
+        for b in batches:
+            found = [words(t) for t in b["text"].to_pylist()]
+            sets = [shingle_set(w, shingle).tobytes() for w in found]
+            yield record_batch({"rank": b["rank"], "node": [node(w) for w in found], "shingles": sets}, "rank long, node long, shingles binary")
+
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank")
+    texts = docs.select(rank, "text")
+    every = texts.mapInArrow(sketch, "rank long, node long, fp long").groupBy("node").agg(F.min("rank").alias("rank"), F.first("fp").alias("fp"))
+    live = every = space.save(every, "nodes")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The similar ones of the pairs; only their texts are read into sets."""
+        pairs = space.save(pairs, f"pairs_{name}")
+        wanted = every.join(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi").select("node", "rank")
+        sets = texts.join(wanted.select("rank"), "rank", "left_semi").mapInArrow(sets_of, "rank long, node long, shingles binary")
+        sets = sets.join(wanted, ["node", "rank"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
+        return space.save(similar(pairs, space.save(sets, f"sets_{name}"), least), f"links_{name}")
 
-    kept = docs.mapInArrow(run, schema).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(first["doc_id"]) & (F.col("d.fp__") == first["fp"])
-    return kept.join(first, same, "left_semi").dropDuplicates(["doc_id", "fp__"]).drop("fp__")
+    for k in range(LEADING):
+        gone = linked(first_of_bucket(live, RADIUS, radius), str(k)).select(F.col("a").alias("node"))
+        live = space.save(live.join(gone, "node", "left_anti"), f"live{k}")
+    roots = components(linked(all_of_bucket(live, radius), "all"), space).withColumnRenamed("node", "of")
+    rooted = live.join(roots, F.col("node") == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "rank", "node")
+    first = rooted.groupBy("root").agg(F.min(F.struct("rank", "node")).alias("k")).select("k.rank", "k.node")
+    kept = docs.mapInArrow(name_rows, schema)
+    return kept.join(first, (rank == first["rank"]) & (F.col("node__") == first["node"]), "left_semi").dropDuplicates(["doc_id", "node__"]).drop("node__")
