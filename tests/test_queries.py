@@ -5,8 +5,9 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from trackloom.plans.queries import QUERIES
-from trackloom.plans.sql import SQL
+from trackloom.plans import motion, queries, sql
+
+QUERIES, SQL = queries.QUERIES | motion.QUERIES, sql.SQL | motion.SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
