@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import predict as pr
-from ..operators import rotation, shape
+from ..operators import rotation, shape, tree
 from ..sources import poses as src
 from .queries import FIVE, MODELS, r6
-from .sql import ALL, KEYS, LAGS, POSES, STEPS, _errors
+from .sql import ALL, KEYS, LAGS, LOCAL, POSES, STEPS, _err, _errors, _norm
 
 SCALES = [i / 10 for i in range(5, 13)]
 
@@ -99,11 +99,45 @@ def last_direction(spark, d):
     return rows.select(*pr.KEYS, "k", *unit).select(*pr.KEYS, "k", r6("ux"), r6("uy"))
 
 
+TREE = ["speed", "acc", "turn"]
+
+
+def tree_root_split(spark, d):
+    """The first cut of the tree that chooses a model by cost, for each step."""
+    rows = tree.binned(tree.training_rows(src.event_poses(spark, d), FIVE), TREE).withColumn("node", F.col("step"))
+    found = tree.best_splits(rows, TREE, FIVE)
+    return found.select(F.col("node").alias("step"), "feature", F.col("bin").cast("long").alias("bin"), F.round("cost", 3).alias("cost"), F.round("whole", 3).alias("whole"), "left_model", "right_model")
+
+
+def gaussian_divergence(spark, d):
+    """Kullback-Leibler divergence of the errors' Gaussian in the velocity's frame from that in the world's."""
+    cols = ["ex", "ey", "ez"]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    local = ev.local_errors(src.event_poses(spark, d), "VEL_DEG1").where("ex IS NOT NULL AND ey IS NOT NULL AND ez IS NOT NULL")
+    g = local.groupBy("step", "frame_kind").agg(*(F.avg(c).alias(f"m{c[1]}") for c in cols), *(F.covar_samp(a, b).alias(f"c{a[1]}{b[1]}") for a, b in pairs))
+    a = g.where("frame_kind = 'velocity'").drop("frame_kind")
+    b = g.where("frame_kind = 'world'").select("step", *(F.col(c).alias(f"w{c}") for c in g.columns[2:]))
+    return a.join(b, "step").select("step", F.round(F.expr(DIVERGENCE), 5).alias("divergence"))
+
+
+def _inverse(p):
+    """Determinant and the inverse's numerators of a symmetric matrix of columns."""
+    xx, xy, xz, yy, yz, zz = (f"{p}c{n}" for n in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    n = {"xx": f"({yy}*{zz}-{yz}*{yz})", "xy": f"({xz}*{yz}-{xy}*{zz})", "xz": f"({xy}*{yz}-{xz}*{yy})"}
+    n |= {"yy": f"({xx}*{zz}-{xz}*{xz})", "yz": f"({xy}*{xz}-{xx}*{yz})", "zz": f"({xx}*{yy}-{xy}*{xy})"}
+    return f"({xx}*{n['xx']}+{xy}*{n['xy']}+{xz}*{n['xz']})", n
+
+
+_det, _n = _inverse("w")
+_trace = "+".join(f"{1 if a == b else 2}*{_n[a + b]}*c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+_shift = "+".join(f"{1 if a == b else 2}*{_n[a + b]}*(wm{a}-m{a})*(wm{b}-m{b})" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+DIVERGENCE = f"(({_trace})/{_det} - 3 + ({_shift})/{_det} + ln({_det}/{_inverse('')[0]}))/2"
+
 QUERIES = {
     f.__name__: f
     for f in (
         rotation_errors, rotation_scores, rotation_scale_sweep, circle_errors, circle_shares, tangents, even_lengths, local_motion,
-        sweep_metrics, chosen_model_errors, unusual_frames, last_direction,
+        sweep_metrics, chosen_model_errors, unusual_frames, last_direction, tree_root_split, gaussian_divergence,
     )
 }
 
@@ -237,4 +271,24 @@ SELECT {KEYS}, round(dot, 6) + 0.0 AS dot FROM d WHERE dot <= 0""",
 c AS (SELECT {KEYS}, {', '.join(f'floor({c}/50) - lag(floor({c}/50)) OVER w AS {c}' for c in 'xy')} FROM st {W}),
 u AS (SELECT {KEYS}, {', '.join(f'last_value({c}/nullif(sqrt(x*x+y*y), 0) IGNORE NULLS) OVER (PARTITION BY track_id, step ORDER BY k) AS u{c}' for c in 'xy')} FROM c)
 SELECT {KEYS}, {_rounded(['ux', 'uy'])} FROM u""",
+    "gaussian_divergence": f"""{LOCAL},
+g4 AS (SELECT step, frame_kind, {', '.join(f'avg(e{c}) AS m{c}' for c in 'xyz')}, {', '.join(f'covar_samp(e{a}, e{b}) AS c{a}{b}' for a, b in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))}
+       FROM loc WHERE ex IS NOT NULL AND ey IS NOT NULL AND ez IS NOT NULL GROUP BY ALL),
+wo AS (SELECT step, {', '.join(f'{c} AS w{c}' for c in ('mx', 'my', 'mz', 'cxx', 'cxy', 'cxz', 'cyy', 'cyz', 'czz'))} FROM g4 WHERE frame_kind = 'world')
+SELECT step, round({DIVERGENCE}, 5) AS divergence FROM g4 JOIN wo USING (step) WHERE frame_kind = 'velocity'""",
+    "tree_root_split": f"""{_errors(FIVE).split(',\ne AS')[0]},
+f AS (SELECT step, sqrt({_dot('v{}', 'v{}').replace('vx', '(x1-x2)').replace('vy', '(y1-y2)').replace('vz', '(z1-z2)')})/step AS speed,
+      sqrt({'+'.join(f'({c}1-2*{c}2+{c}3)*({c}1-2*{c}2+{c}3)' for c in 'xyz')})/(step*step) AS acc,
+      acos(greatest(-1, least(1, ({'+'.join(f'({c}2-{c}3)*({c}1-{c}2)' for c in 'xyz')})/nullif({_norm(f'{c}2-{c}3' for c in 'xyz')}*{_norm(f'{c}1-{c}2' for c in 'xyz')}, 0)))) AS turn,
+      {', '.join(f'{_err(m)} AS {m}' for m in FIVE)} FROM h WHERE k >= 3),
+ends AS (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in TREE)} FROM f),
+b AS ({' UNION ALL '.join(f"SELECT step, {i} AS place, '{c}' AS feature, coalesce(least(31, CAST(floor(({c}-lo_{c})/(hi_{c}-lo_{c})*32) AS INT)), -1) AS bin, {', '.join(FIVE)} FROM f, ends" for i, c in enumerate(TREE))}),
+s AS (SELECT step, place, feature, bin, {', '.join(f'sum({m}) AS {m}' for m in FIVE)} FROM b GROUP BY ALL),
+c AS (SELECT step, place, feature, bin, max(bin) OVER (PARTITION BY step, place) AS final,
+      {', '.join(f'sum({m}) OVER (PARTITION BY step, place ORDER BY bin) AS l_{m}, sum({m}) OVER (PARTITION BY step, place) AS t_{m}' for m in FIVE)} FROM s),
+o AS (SELECT step, feature, bin, place, least({', '.join(f'l_{m}' for m in FIVE)}) AS l, least({', '.join(f't_{m}-l_{m}' for m in FIVE)}) AS r, least({', '.join(f't_{m}' for m in FIVE)}) AS whole,
+      CASE {' '.join(f"WHEN l_{m} = least({', '.join(f'l_{x}' for x in FIVE)}) THEN '{m}'" for m in FIVE)} END AS left_model,
+      CASE {' '.join(f"WHEN t_{m}-l_{m} = least({', '.join(f't_{x}-l_{x}' for x in FIVE)}) THEN '{m}'" for m in FIVE)} END AS right_model FROM c WHERE bin < final),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY round(l + r, 6), place, bin) AS i FROM o)
+SELECT step, feature, CAST(bin AS BIGINT) AS bin, round(l + r, 3) AS cost, round(whole, 3) AS whole, left_model, right_model FROM p2 WHERE i = 1""",
 }
