@@ -40,6 +40,8 @@ K = 5
 HOT_SHARE = 1 / 1024
 #: A chunk here holds its bigrams several times over in numpy arrays.
 CHUNK_TOKENS = 500_000
+#: Tokens to a bucket, whose entries a task holds several times over.
+BUCKET_TOKENS = 400_000
 HELD_OUT = 10
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -356,7 +358,7 @@ def katz(docs: DataFrame) -> Katz:
     spark = docs.sparkSession
     space = Workspace(spark, "katz")
     chunks = chunk_table(docs, space, lower=True, end=True, words=False, tokens=CHUNK_TOKENS)
-    buckets = n_buckets(chunks)
+    buckets = n_buckets(chunks, BUCKET_TOKENS)
     words = space.save(per_bucket(per_chunk(chunks, [], _ask_words(buckets), QUESTION), _answer_words, ANSWER), "words")
     got = _add(words)
     unigrams = Unigrams.fit(got["tokens"], got["types"], [got[c] for c in COUNTS])
