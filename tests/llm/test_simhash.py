@@ -1,12 +1,13 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
 
 from trackloom.llm.common import Workspace
 from trackloom.llm.components import components
-from trackloom.llm.simhash import all_of_bucket, fingerprint, links, masks, near_duplicates, one_of_each
+from trackloom.llm.simhash import PAIRS, fingerprint, links, masks, members, near_duplicates, of_crowds, of_small_buckets, one_of_each
 
 from .conftest import documents
 
@@ -40,10 +41,10 @@ def test_fingerprint():
 
 
 def test_masks_cover():
-    for radius in (2, 4):
+    for radius in (2, 4, 6):
         every = [m % (1 << 64) for m in masks(radius)]
         rnd = random.Random(2)
-        tuples = combinations(range(64), 2) if radius == 2 else (rnd.sample(range(64), 4) for _ in range(3000))
+        tuples = combinations(range(64), 2) if radius == 2 else (rnd.sample(range(64), radius) for _ in range(3000))
         for bits in tuples:
             assert any(not any(m >> b & 1 for b in bits) for m in every)
 
@@ -101,17 +102,42 @@ def test_near_duplicates(spark):
     assert near_duplicates(documents(spark, [])).collect() == []
 
 
-def test_all_of_bucket_is_every_pair_within_the_radius(spark):
-    rnd = random.Random(8)
+def near_copies(rnd, n, most):
     fps = [rnd.getrandbits(63) for _ in range(20)]
-    for _ in range(150):
-        x = rnd.choice(fps)
-        for b in rnd.sample(range(63), rnd.randrange(5)):
+    for _ in range(n):
+        x = rnd.choice(fps[:20])
+        for b in rnd.sample(range(63), rnd.randrange(most)):
             x ^= 1 << b
         fps.append(x)
+    return fps
+
+
+def test_small_buckets_and_crowds_hold_every_pair_within_the_radius(spark):
+    fps = near_copies(random.Random(8), 500, 4)
     live = spark.createDataFrame([(i, i, x) for i, x in enumerate(fps)], "node long, rank long, fp long")
     want = {(b, a) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 6}
-    assert {(r.a, r.b) for r in all_of_bucket(live, 6).collect()} == want
+    member = members(live, 6)
+    small = {(r.a, r.b) for r in of_small_buckets(member, 6).collect()}
+    crowd = {r.node for r in member.where(f"n > {PAIRS}").collect()}
+    assert small <= want and crowd
+    assert all(a in crowd and b in crowd for a, b in want - small)
+
+
+def test_crowds_lose_no_similar_pair(spark):
+    rnd = random.Random(10)
+    base = rnd.sample(range(10**6), 200)
+    sets = []
+    for _ in range(120):
+        kept = set(rnd.sample(base, rnd.randrange(100, 201)))
+        sets.append(np.array(sorted(kept | set(rnd.sample(range(10**6), rnd.randrange(40)))), "<u8"))
+    sets += [np.array([7], "<u8"), np.array([], "<u8")]
+    fps = [rnd.randrange(8) for _ in sets]
+    crowd = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    held = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "node long, shingles binary")
+    got = {(r.a, r.b) for r in of_crowds(crowd, held, 2, 0.8).collect()}
+    within = {(b, a) for a, b in combinations(range(len(sets)), 2) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    similar = {(b, a) for b, a in within if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) > 0}
+    assert similar and similar <= got <= within and len(got) < len(within)
 
 
 def grams(text):

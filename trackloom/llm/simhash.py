@@ -78,8 +78,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def masks(radius: int) -> list[int]:
-    """The tables' bit masks, as signed numbers."""
-    vectors = [1 + i % ((1 << radius + 1) - 1) for i in range(BITS)]
+    """The tables' bit masks, as signed numbers; each keeps about half of the bits or more.
+
+    Up to radius 5 all vectors recur. For 6 there are more vectors than positions; those that have the highest bit
+    make each mask keep 32 bits or all, where 1 to 64 would leave masks of one bit.
+    """
+    if not 0 <= radius <= 6:
+        raise ValueError("the radius has to be 0 to 6")
+    vectors = [1 + i % ((1 << radius + 1) - 1) if radius < 6 else BITS + i for i in range(BITS)]
     out = []
     for v in range(1, 1 << radius + 1):
         mask = sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2)
@@ -187,13 +193,44 @@ def first_of_bucket(live: DataFrame, tables: int, radius: int) -> DataFrame:
     return led.groupBy(F.col("node").alias("a")).agg(F.min_by("b", F.struct("rank_b", "b")).alias("b"))
 
 
-def all_of_bucket(live: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b) of all nodes within ``radius``: each pair shares a bucket of some covering table."""
+def members(live: DataFrame, radius: int) -> DataFrame:
+    """(bucket, node, fp, n) for the buckets of the covering tables that have n > 1 members."""
     rows = _keyed(live, radius).select("bucket", "node", "fp")
+    return rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+
+
+def of_small_buckets(member: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) within ``radius`` that share a bucket of up to ``PAIRS`` members."""
+    rows = member.where(F.col("n") <= PAIRS).select("bucket", "node", "fp")
     other = rows.select("bucket", F.col("node").alias("b"), F.col("fp").alias("fp_b"))
     return rows.join(other, "bucket").where((F.col("node") > F.col("b")) & _near(radius)).select(F.col("node").alias("a"), "b").distinct()
 
 
+def of_crowds(crowd: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFrame:
+    """Pairs (a, b) of ``crowd`` (node, fp) within ``radius`` that can have a similarity of ``least`` or more.
+
+    Members of a large bucket are alike in words; listing their pairs would grow with the square of the
+    group. Sets of similarity ``least`` share one of their rarest shingles, 1 - least of each and one more, so
+    only nodes that share such a shingle are paired, which loses no link. Texts that are alike but under the
+    threshold have shingles of their own there.
+    """
+
+    def rows(batches):
+        for b in batches:
+            for node, fp, x in zip(b["node"].to_pylist(), b["fp"].to_pylist(), b["shingles"]):
+                found = np.frombuffer(x.as_buffer(), "<i8")
+                yield record_batch({"node": np.full(len(found), node), "fp": np.full(len(found), fp), "s": found}, "node long, fp long, s long")
+
+    each = crowd.join(sets, "node").select("node", "fp", "shingles").mapInArrow(rows, "node long, fp long, s long")
+    held = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s")
+    sorted_ = held.groupBy("node", "fp").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all")).withColumn("size", F.size("all"))
+    prefix = F.slice("all", 1, (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int"))
+    rare = sorted_.select("node", "fp", "size", F.explode(F.filter(prefix, lambda x: x["df"] > 1)["s"]).alias("s"))
+    other = rare.select("s", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("size").alias("size_b"))
+    lengths = F.least("size", "size_b") >= F.greatest("size", "size_b") * least - 1e-9
+    return rare.join(other, "s").where((F.col("node") > F.col("b")) & lengths & _near(radius)).select(F.col("node").alias("a"), "b").distinct()
+
+
 def one_of_each(docs: DataFrame, radius: int = STAGE_RADIUS, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all their columns, that come first by doc_id in their group.
 
@@ -201,8 +238,8 @@ def one_of_each(docs: DataFrame, radius: int = STAGE_RADIUS, shingle: int = 5, l
     changing fewer words than shingles. They are links if their sets of ``shingle``-word shingles have a Jaccard
     similarity of ``least`` or more. First, in ``LEADING`` rounds, each text is compared with the first by
     doc_id of its buckets only, and goes if they are similar: so large groups of near copies shrink without
-    listing pairs. Then all pairs within the radius that are left are compared. No two rows that stay are
-    linked, and each row that goes is joined by links to one that stays.
+    listing pairs. Then pairs within the radius that are left are compared: those of small buckets all, those of
+    large ones if they share a rare shingle (see ``of_crowds``), which links need. No two rows that stay are linked, and each row that goes is joined by links to one that stays.
 
     Texts of the same words, A-Z in either case, are one node, by a 64-bit hash. Of repeated rows, or rows of one
     doc_id and node, one stays. Null texts are empty, and all texts without words are copies; a null doc_id
@@ -240,18 +277,26 @@ def one_of_each(docs: DataFrame, radius: int = STAGE_RADIUS, shingle: int = 5, l
     every = texts.mapInArrow(sketch, "rank long, node long, fp long").groupBy("node").agg(F.min("rank").alias("rank"), F.first("fp").alias("fp"))
     live = every = space.save(every, "nodes")
 
+    def sets_for(nodes: DataFrame, name: str) -> DataFrame:
+        """(node, shingles) of the nodes; only their texts are read into sets."""
+        wanted = every.join(nodes, "node", "left_semi").select("node", "rank")
+        sets = texts.join(wanted.select("rank"), "rank", "left_semi").mapInArrow(sets_of, "rank long, node long, shingles binary")
+        return space.save(sets.join(wanted, ["node", "rank"], "left_semi").dropDuplicates(["node"]).select("node", "shingles"), f"sets_{name}")
+
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """The similar ones of the pairs; only their texts are read into sets."""
+        """The similar ones of the pairs."""
         pairs = space.save(pairs, f"pairs_{name}")
-        wanted = every.join(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi").select("node", "rank")
-        sets = texts.join(wanted.select("rank"), "rank", "left_semi").mapInArrow(sets_of, "rank long, node long, shingles binary")
-        sets = sets.join(wanted, ["node", "rank"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
-        return space.save(similar(pairs, space.save(sets, f"sets_{name}"), least), f"links_{name}")
+        sets = sets_for(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("node")), name)
+        return space.save(similar(pairs, sets, least), f"links_{name}")
 
     for k in range(LEADING):
         gone = linked(first_of_bucket(live, RADIUS, radius), str(k)).select(F.col("a").alias("node"))
         live = space.save(live.join(gone, "node", "left_anti"), f"live{k}")
-    roots = components(linked(all_of_bucket(live, radius), "all"), space).withColumnRenamed("node", "of")
+    member = space.save(members(live, radius), "members")
+    crowd = space.save(member.where(F.col("n") > PAIRS).select("node", "fp").distinct(), "crowd")
+    close = of_crowds(crowd, sets_for(crowd.select("node"), "crowd"), radius, least)
+    pairs = of_small_buckets(member, radius).unionByName(close).distinct()
+    roots = components(linked(pairs, "all"), space).withColumnRenamed("node", "of")
     rooted = live.join(roots, F.col("node") == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "rank", "node")
     first = rooted.groupBy("root").agg(F.min(F.struct("rank", "node")).alias("k")).select("k.rank", "k.node")
     kept = docs.mapInArrow(name_rows, schema)
