@@ -7,7 +7,7 @@ import xxhash
 
 from trackloom.llm.common import Workspace
 from trackloom.llm.components import components
-from trackloom.llm.simhash import PAIRS, fingerprint, links, masks, members, near_duplicates, of_crowds, of_small_buckets, one_of_each
+from trackloom.llm.simhash import PAIRS, fingerprint, links, majority, masks, members, near_duplicates, of_crowds, of_small_buckets, one_of_each, shingle_set
 
 from .conftest import documents
 
@@ -169,3 +169,25 @@ def test_one_of_each(spark):
     got = one_of_each(documents(spark, rows)).collect()
     assert sorted(10**6 if r.doc_id is None else r.doc_id for r in got) == sorted(least.values())
     assert len(got[0]) == 7 and one_of_each(documents(spark, [])).collect() == []
+
+
+def sketch(words):
+    return majority(shingle_set([w.encode() for w in words], 1)) % (1 << 64)
+
+
+@pytest.mark.parametrize("place", [0, 60, 120])
+def test_copies_linked_only_through_their_original(spark, place):
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    while len(texts) < 120:
+        w = list(base)
+        for at in rnd.sample(range(40), 7):
+            w[10 * at] = f"x{rnd.randrange(10**6)}"
+        if (sketch(w) ^ sketch(base)).bit_count() <= 6:
+            texts.append(" ".join(w))
+    texts.insert(place, " ".join(base))
+    sets = [grams(t) for t in texts]
+    close = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert set(roots(range(len(texts)), close).values()) == {0} and all(place in p for p in close)
+    assert [r.doc_id for r in one_of_each(documents(spark, list(enumerate(texts)))).collect()] == [0]

@@ -32,11 +32,9 @@ SEED = 42
 RADIUS = 2
 #: Members of a bucket that are compared with each other; more of them meet at variants, as exactly.
 PAIRS = 16
-#: Of ``one_of_each``: bits in which candidates may differ, the similarity of links, and the rounds that
-#: compare with the first of a bucket only.
+#: Of ``one_of_each``: bits in which candidates may differ, and the similarity of links.
 STAGE_RADIUS = 6
 SIMILARITY = 0.8
-LEADING = 2
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -236,10 +234,10 @@ def one_of_each(docs: DataFrame, radius: int = STAGE_RADIUS, shingle: int = 5, l
 
     Candidates are pairs of texts within ``radius`` by the fingerprints of their sets of words, an edit
     changing fewer words than shingles. They are links if their sets of ``shingle``-word shingles have a Jaccard
-    similarity of ``least`` or more. First, in ``LEADING`` rounds, each text is compared with the first by
-    doc_id of its buckets only, and goes if they are similar: so large groups of near copies shrink without
-    listing pairs. Then pairs within the radius that are left are compared: those of small buckets all, those of
-    large ones if they share a rare shingle (see ``of_crowds``), which links need. No two rows that stay are linked, and each row that goes is joined by links to one that stays.
+    similarity of ``least`` or more. Each text is compared with the first by doc_id of its buckets, and pairs within
+    the radius: those of small buckets all, those of large ones if they share a rare shingle (see ``of_crowds``),
+    which links need. Groups are the components of all links, so a text that goes still links others. No two rows
+    that stay are linked, and each row that goes is joined by links to one that stays.
 
     Texts of the same words, A-Z in either case, are one node, by a 64-bit hash. Of repeated rows, or rows of one
     doc_id and node, one stays. Null texts are empty, and all texts without words are copies; a null doc_id
@@ -275,7 +273,7 @@ def one_of_each(docs: DataFrame, radius: int = STAGE_RADIUS, shingle: int = 5, l
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank")
     texts = docs.select(rank, "text")
     every = texts.mapInArrow(sketch, "rank long, node long, fp long").groupBy("node").agg(F.min("rank").alias("rank"), F.first("fp").alias("fp"))
-    live = every = space.save(every, "nodes")
+    every = space.save(every, "nodes")
 
     def sets_for(nodes: DataFrame, name: str) -> DataFrame:
         """(node, shingles) of the nodes; only their texts are read into sets."""
@@ -289,15 +287,13 @@ def one_of_each(docs: DataFrame, radius: int = STAGE_RADIUS, shingle: int = 5, l
         sets = sets_for(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("node")), name)
         return space.save(similar(pairs, sets, least), f"links_{name}")
 
-    for k in range(LEADING):
-        gone = linked(first_of_bucket(live, RADIUS, radius), str(k)).select(F.col("a").alias("node"))
-        live = space.save(live.join(gone, "node", "left_anti"), f"live{k}")
-    member = space.save(members(live, radius), "members")
+    led = linked(first_of_bucket(every, RADIUS, radius), "led")
+    member = space.save(members(every, radius), "members")
     crowd = space.save(member.where(F.col("n") > PAIRS).select("node", "fp").distinct(), "crowd")
     close = of_crowds(crowd, sets_for(crowd.select("node"), "crowd"), radius, least)
     pairs = of_small_buckets(member, radius).unionByName(close).distinct()
-    roots = components(linked(pairs, "all"), space).withColumnRenamed("node", "of")
-    rooted = live.join(roots, F.col("node") == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "rank", "node")
+    roots = components(led.unionByName(linked(pairs, "all")), space).withColumnRenamed("node", "of")
+    rooted = every.join(roots, F.col("node") == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "rank", "node")
     first = rooted.groupBy("root").agg(F.min(F.struct("rank", "node")).alias("k")).select("k.rank", "k.node")
     kept = docs.mapInArrow(name_rows, schema)
     return kept.join(first, (rank == first["rank"]) & (F.col("node__") == first["node"]), "left_semi").dropDuplicates(["doc_id", "node__"]).drop("node__")
