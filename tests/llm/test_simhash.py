@@ -191,3 +191,22 @@ def test_copies_linked_only_through_their_original(spark, place):
     close = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert set(roots(range(len(texts)), close).values()) == {0} and all(place in p for p in close)
     assert [r.doc_id for r in one_of_each(documents(spark, list(enumerate(texts)))).collect()] == [0]
+
+
+def test_every_similar_pair_is_linked(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(60):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(100, 600))]
+        cut = base[: int(len(base) * rnd.choice([0.95, 0.9, 0.85, 0.81]))]
+        longer = base + [f"y{rnd.randrange(10**6)}" for _ in range(len(base) // rnd.randrange(5, 20))]
+        edited = list(base)
+        for _ in range(len(base) // rnd.randrange(30, 60)):
+            edited[rnd.randrange(len(base))] = f"x{rnd.randrange(10**6)}"
+        rows += [(i, " ".join(base)), (100 + 2 * i, " ".join(rnd.choice([cut, longer]))), (101 + 2 * i, " ".join(edited))]
+    sets = [grams(t) for _, t in rows]
+    close = [(a, b) for a, b in combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = roots(range(len(rows)), close)
+    assert 60 < len(set(root.values())) < 100
+    got = one_of_each(documents(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows[k][0] for k in set(root.values()))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Workspace, record_batch, table
+from .common import Workspace, record_batch, shuffle_partitions, table
 from .components import components
 
 BITS = 64
@@ -32,9 +32,11 @@ SEED = 42
 RADIUS = 2
 #: Members of a bucket that are compared with each other; more of them meet at variants, as exactly.
 PAIRS = 16
-#: Of ``one_of_each``: bits in which candidates may differ, and the similarity of links.
-STAGE_RADIUS = 6
+#: Of ``one_of_each``: the similarity of links, words of a set's bitmap, sets that the frequent shingles are found in, about, and their number.
 SIMILARITY = 0.8
+MAPS = 8
+SAMPLE = 10_000
+FREQUENT = 100_000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -178,19 +180,6 @@ def _near(radius: int):
     return F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= radius
 
 
-def first_of_bucket(live: DataFrame, tables: int, radius: int) -> DataFrame:
-    """Pairs (a, b): for each a the first b by rank that is within ``radius`` and leads one of its buckets.
-
-    Buckets are those of the covering tables of radius ``tables``. The leaders are partial aggregates, and each
-    node has one pair at most, so large groups make no more rows than they have members.
-    """
-    rows = _keyed(live, tables)
-    lead = rows.groupBy("bucket").agg(F.min(F.struct("rank", "node", "fp")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    lead = lead.select("bucket", F.col("lead.rank").alias("rank_b"), F.col("lead.node").alias("b"), F.col("lead.fp").alias("fp_b"))
-    led = rows.join(lead, "bucket").where((F.col("node") != F.col("b")) & _near(radius))
-    return led.groupBy(F.col("node").alias("a")).agg(F.min_by("b", F.struct("rank_b", "b")).alias("b"))
-
-
 def members(live: DataFrame, radius: int) -> DataFrame:
     """(bucket, node, fp, n) for the buckets of the covering tables that have n > 1 members."""
     rows = _keyed(live, radius).select("bucket", "node", "fp")
@@ -229,15 +218,97 @@ def of_crowds(crowd: DataFrame, sets: DataFrame, radius: int, least: float) -> D
     return rare.join(other, "s").where((F.col("node") > F.col("b")) & lengths & _near(radius)).select(F.col("node").alias("a"), "b").distinct()
 
 
-def one_of_each(docs: DataFrame, radius: int = STAGE_RADIUS, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that recur most in a sample of the sets, and their ranks by frequency: the last in the order of prefixes.
+
+    Any order keeps prefixes exact; one with frequent shingles last makes fewer candidates. At most ``FREQUENT`` come to the driver.
+    """
+    share = max(1, sets.count() // SAMPLE)
+
+    def rows(batches):
+        for b in batches:
+            for x in b["shingles"]:
+                yield pa.record_batch([pa.array(np.frombuffer(x.as_buffer(), "<i8"))], names=["s"])
+
+    sample = sets.where(F.expr(f"pmod(node, {share}) = 0")).select("shingles").mapInArrow(rows, "s long")
+    found = sample.groupBy("s").agg(F.count("*").alias("n")).where("n > 4").orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
+    keys = np.array([r["s"] for r in found], "<i8").view("<u8")
+    order = np.argsort(keys)
+    return keys[order], len(keys) - order
+
+
+def postings(sets: DataFrame, least: float, space: Workspace) -> DataFrame:
+    """(s, node, n): the shingles in the prefixes of the sets that n > 1 prefixes hold.
+
+    Sets of Jaccard similarity ``least`` or more share a shingle of their prefixes, 1 - least of each set and one more, first
+    in an order that all sets have in common.
+    """
+    keys, ranks = frequent(sets)
+
+    def rows(batches):
+        for b in batches:
+            for node, x in zip(b["node"].to_pylist(), b["shingles"]):
+                found = np.frombuffer(x.as_buffer(), "<u8")
+                if not len(found):
+                    continue
+                late = np.zeros(len(found), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                    late = np.where(keys[at] == found, ranks[at], 0)
+                size = len(found) - int(np.ceil(len(found) * least - 1e-9)) + 1
+                first = found[np.lexsort((found, late))[:size]]
+                yield record_batch({"s": first.view("<i8"), "node": np.full(len(first), node)}, "s long, node long")
+
+    each = sets.select("node", "shingles").mapInArrow(rows, "s long, node long")
+    found = space.save_bucketed(each, "prefixes", "s", shuffle_partitions(sets.sparkSession))
+    return found.join(found.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "s")
+
+
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Parities of the set's shingles by their lowest bits: two sets differ in as many shingles as bits, or more."""
+    odd = np.bincount((found % np.uint64(64 * MAPS)).astype(np.int64), minlength=64 * MAPS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _may_be_similar(least: float):
+    """Whether sizes and bitmaps of two rows, the second one's with _b, leave a similarity of ``least`` possible."""
+    bits = sum((F.bit_count(F.col(f"map{k}").bitwiseXOR(F.col(f"map{k}_b"))) for k in range(1, MAPS)), F.bit_count(F.col("map0").bitwiseXOR(F.col("map0_b"))))
+    lengths = F.least("size", "size_b") >= F.greatest("size", "size_b") * least - 1e-9
+    return lengths & (bits <= (F.col("size") + F.col("size_b")) * ((1 - least) / (1 + least)) + 1e-6)
+
+
+def leading(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b): for each a the leader b of one of its buckets, the weightiest that may be similar.
+
+    ``rows`` are postings with size and bitmap. Weight is the number of texts met in all buckets, so that the middle of a group leads it.
+    Each node has one pair at most, so large groups make no more of them than they have members.
+    """
+    weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = rows.join(weight, "node")
+    maps = [f"map{k}" for k in range(MAPS)]
+    lead = weighed.groupBy("s").agg(F.max(F.struct("weight", "node", "size", *maps)).alias("lead"))
+    lead = lead.select("s", *(F.col(f"lead.{c}").alias(f"{c}_b") for c in ("weight", "node", "size", *maps)))
+    led = rows.join(lead, "s").where((F.col("node") != F.col("node_b")) & _may_be_similar(least))
+    return led.groupBy(F.col("node").alias("a")).agg(F.max_by("node_b", F.struct("weight_b", "node_b")).alias("b"))
+
+
+def apart(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that share a shingle of their prefixes, may be similar, and that ``roots`` (node, root) doesn't connect yet."""
+    known = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = known.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
+    known = known.join(mixed, "s")
+    other = known.select("s", *(F.col(c).alias(f"{c}_b") for c in known.columns if c not in ("s", "n")))
+    return known.join(other, "s").where((F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & _may_be_similar(least)).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all their columns, that come first by doc_id in their group.
 
-    Candidates are pairs of texts within ``radius`` by the fingerprints of their sets of words, an edit
-    changing fewer words than shingles. They are links if their sets of ``shingle``-word shingles have a Jaccard
-    similarity of ``least`` or more. Each text is compared with the first by doc_id of its buckets, and pairs within
-    the radius: those of small buckets all, those of large ones if they share a rare shingle (see ``of_crowds``),
-    which links need. Groups are the components of all links, so a text that goes still links others. No two rows
-    that stay are linked, and each row that goes is joined by links to one that stays.
+    Texts are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``least`` or more; groups
+    are the components of the links, so a text that goes still links others. No link is left out: candidates share
+    a shingle of their prefixes, as similar sets must (see ``postings``). First each text is compared with a leader of its
+    buckets; then all candidates that these links don't connect already, less those that sizes or bitmaps rule out. No
+    two rows that stay are linked, and each row that goes is joined by links to one that stays.
 
     Texts of the same words, A-Z in either case, are one node, by a 64-bit hash. Of repeated rows, or rows of one
     doc_id and node, one stays. Null texts are empty, and all texts without words are copies; a null doc_id
@@ -258,41 +329,34 @@ def one_of_each(docs: DataFrame, radius: int = STAGE_RADIUS, shingle: int = 5, l
             nodes = [node(words(t)) for t in b["text"].to_pylist()]
             yield b.append_column("node__", pa.array(nodes, pa.int64()))
 
-    def sketch(batches):
+    def name_texts(batches):
         for b in batches:
-            found = [words(t) for t in b["text"].to_pylist()]
-            fps = [majority(shingle_set(w, 1)) for w in found]
-            yield record_batch({"rank": b["rank"], "node": [node(w) for w in found], "fp": fps}, "rank long, node long, fp long")
+            yield record_batch({"rank": b["rank"], "node": [node(words(t)) for t in b["text"].to_pylist()]}, "rank long, node long")
 
     def sets_of(batches):
         for b in batches:
             found = [words(t) for t in b["text"].to_pylist()]
-            sets = [shingle_set(w, shingle).tobytes() for w in found]
-            yield record_batch({"rank": b["rank"], "node": [node(w) for w in found], "shingles": sets}, "rank long, node long, shingles binary")
+            sets = [shingle_set(w, shingle) for w in found]
+            maps = np.array([bitmap(x) for x in sets], "<i8").reshape(-1, MAPS)
+            columns = {"rank": b["rank"], "node": [node(w) for w in found], "size": list(map(len, sets)), "shingles": [x.tobytes() for x in sets]}
+            yield record_batch(columns | {f"map{k}": maps[:, k] for k in range(MAPS)}, set_schema)
 
+    maps = [f"map{k}" for k in range(MAPS)]
+    set_schema = "rank long, node long, size long, shingles binary, " + ", ".join(f"{m} long" for m in maps)
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank")
     texts = docs.select(rank, "text")
-    every = texts.mapInArrow(sketch, "rank long, node long, fp long").groupBy("node").agg(F.min("rank").alias("rank"), F.first("fp").alias("fp"))
-    every = space.save(every, "nodes")
-
-    def sets_for(nodes: DataFrame, name: str) -> DataFrame:
-        """(node, shingles) of the nodes; only their texts are read into sets."""
-        wanted = every.join(nodes, "node", "left_semi").select("node", "rank")
-        sets = texts.join(wanted.select("rank"), "rank", "left_semi").mapInArrow(sets_of, "rank long, node long, shingles binary")
-        return space.save(sets.join(wanted, ["node", "rank"], "left_semi").dropDuplicates(["node"]).select("node", "shingles"), f"sets_{name}")
+    every = space.save(texts.mapInArrow(name_texts, "rank long, node long").groupBy("node").agg(F.min("rank").alias("rank")), "nodes")
+    sets = texts.mapInArrow(sets_of, set_schema).join(every, ["node", "rank"], "left_semi").dropDuplicates(["node"]).drop("rank")
+    sets = space.save(sets, "sets")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The similar ones of the pairs."""
-        pairs = space.save(pairs, f"pairs_{name}")
-        sets = sets_for(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("node")), name)
-        return space.save(similar(pairs, sets, least), f"links_{name}")
-
-    led = linked(first_of_bucket(every, RADIUS, radius), "led")
-    member = space.save(members(every, radius), "members")
-    crowd = space.save(member.where(F.col("n") > PAIRS).select("node", "fp").distinct(), "crowd")
-    close = of_crowds(crowd, sets_for(crowd.select("node"), "crowd"), radius, least)
-    pairs = of_small_buckets(member, radius).unionByName(close).distinct()
-    roots = components(led.unionByName(linked(pairs, "all")), space).withColumnRenamed("node", "of")
+        return space.save(similar(space.save(pairs, f"pairs_{name}"), sets, least), f"links_{name}")
+
+    rows = space.save(postings(sets, least, space).join(sets.select("node", "size", *maps), "node"), "postings")
+    led = linked(leading(rows, least), "led")
+    roots = space.save(components(led, Workspace(docs.sparkSession, "led")), "roots")
+    roots = components(led.unionByName(linked(apart(rows, roots, least), "apart")), space).withColumnRenamed("node", "of")
     rooted = every.join(roots, F.col("node") == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "rank", "node")
     first = rooted.groupBy("root").agg(F.min(F.struct("rank", "node")).alias("k")).select("k.rank", "k.node")
     kept = docs.mapInArrow(name_rows, schema)
