@@ -81,3 +81,13 @@ def test_odd_markup():
 
 def test_empty(spark):
     assert m.extract(table(spark, [])).collect() == []
+
+
+def test_repeated_branches_leave_articles(spark):
+    rnd = random.Random(3)
+    own = [f"{rnd.random()} {rnd.random()}" for _ in range(60)]
+    body = "<article><h1>{0}</h1><p>{1}</p><p>Same words, in a node of text that differs</p><div class=box><p>Licence line</p></div><div>Letters <b>by mail</b></div></article>"
+    pages = [(i, f"http://one.org/{i}", body.format(i, x)) for i, x in enumerate(own)]
+    assert [r[2] for r in sorted(text(table(spark, pages)), key=lambda r: r[0])] == [f"{i} {x} Same words, in a node of text that differs" for i, x in enumerate(own)]
+    # Few pages leave the article whole.
+    assert all(r[2].endswith("Licence line Letters by mail") for r in text(table(spark, pages[:20])))
