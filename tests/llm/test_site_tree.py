@@ -91,3 +91,9 @@ def test_repeated_branches_leave_articles(spark):
     assert [r[2] for r in sorted(text(table(spark, pages)), key=lambda r: r[0])] == [f"{i} {x} Same words, in a node of text that differs" for i, x in enumerate(own)]
     # Few pages leave the article whole.
     assert all(r[2].endswith("Licence line Letters by mail") for r in text(table(spark, pages[:20])))
+
+
+def test_classes_with_slashes():
+    for page in ["<html><body><div class=w-1/2><p>a<b class='md:w-2/3 basis-1/3'>b</b></p></div></body></html>", "<div class=/>ab</div>", "<div class='x/p.'><p>ab"]:
+        node, _, _, blocks = m.describe(page)
+        assert m.main_text(blocks, [1.0] * 9) == "ab" and max(blocks[0][1]) < len(node) == len(set(node))

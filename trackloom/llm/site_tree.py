@@ -72,24 +72,26 @@ SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "children", "main")
+    __slots__ = ("tag", "parent", "path", "noise", "children", "main")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
+    def __init__(self, tag: str, parent: int | None, path: int, noise: bool, main: bool):
+        self.tag, self.parent, self.path, self.noise, self.main, self.children = tag, parent, path, noise, main, []
 
 
-def _node(parent: Node | None, tag: str, attributes: str) -> Node:
+def _node(nodes: list[Node], above: int, tag: str, attributes: str) -> Node:
+    parent = nodes[above]
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     words = {w.lower() for k in ("class", "id") for w in SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", found.get(k, ""))) if w}
     words |= {w for k in ("class", "id") for w in re.split(r"[^a-z]+", found.get(k, "").lower())}
     main = tag in MAIN_TAGS or found.get("role", "").lower() == "main"
-    within = bool(parent and parent.main)
+    within = parent.main
     noise = tag in NOISE_TAGS or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found
     noise = noise or bool(words & NOISE_WORDS) and tag not in ("html", "body") and not main or tag == "header" and not within
-    noise = noise or bool(parent and parent.noise)
-    path = f"{parent.path if parent else ''}/{tag}.{'.'.join(sorted(found.get('class', '').lower().split()))}"
+    noise = noise or parent.noise
+    # The path is a hash of the parent's and this one's tag and classes, so deep markup has no long paths.
+    path = _hash(f"{parent.path}/{tag}.{'.'.join(sorted(found.get('class', '').lower().split()))}")
     # A main element inside a noisy one, as in a comment's article, is not the page's.
-    return Node(tag, path, noise, (main or within) and not noise)
+    return Node(tag, above, path, noise, (main or within) and not noise)
 
 
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -99,7 +101,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     same element makes blocks of its own.
     """
     page = page or ""
-    nodes = [Node("", "", False, False)]
+    nodes = [Node("", None, 0, False, False)]
     stack, number = [0], {0: 0}
     blocks: list[tuple[int, list[str]]] = []
     open_block = False
@@ -153,7 +155,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                     k -= 1
                 if lowest is not None:
                     close(lowest)
-            node = _node(nodes[stack[-1]], tag, m[3])
+            node = _node(nodes, stack[-1], tag, m[3])
             nodes[stack[-1]].children.append(tag)
             nodes.append(node)
             if tag in VOID:
@@ -174,7 +176,7 @@ def _hash(text: str) -> int:
 def describe(page: str | None) -> tuple[list[int], list[int], list[int], list]:
     """Of a page's distinct nodes the hash of path, shape and content; and its blocks as (text, nodes above, noise, main)."""
     nodes, blocks = parse(page)
-    numbers: dict[str, int] = {}
+    numbers: dict[int, int] = {}
     shapes: list[list[str]] = []
     for node in nodes[1:]:
         k = numbers.setdefault(node.path, len(numbers))
@@ -184,17 +186,17 @@ def describe(page: str | None) -> tuple[list[int], list[int], list[int], list]:
     contents: list[list[str]] = [[] for _ in shapes]
     out = []
     for i, text in blocks:
-        path, above = nodes[i].path, []
-        while path:
-            above.append(numbers[path])
-            path = path.rpartition("/")[0]
+        at, above = i, []
+        while at:
+            above.append(numbers[nodes[at].path])
+            at = nodes[at].parent
         h = str(_hash(text))
         for k in above:
             contents[k].append(h)
         out.append((text, above, nodes[i].noise, nodes[i].main))
     shape = [_hash(" ".join(s)) for s in shapes]
     content = [_hash(" ".join(c)) for c in contents]
-    return [_hash(p) for p in numbers], shape, content, out
+    return list(numbers), shape, content, out
 
 
 PARSED = "page long, page_id long, url string, host string, node array<long>, shape array<long>, content array<long>, blocks binary"
