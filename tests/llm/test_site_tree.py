@@ -97,3 +97,16 @@ def test_classes_with_slashes():
     for page in ["<html><body><div class=w-1/2><p>a<b class='md:w-2/3 basis-1/3'>b</b></p></div></body></html>", "<div class=/>ab</div>", "<div class='x/p.'><p>ab"]:
         node, _, _, blocks = m.describe(page)
         assert m.main_text(blocks, [1.0] * 9) == "ab" and max(blocks[0][1]) < len(node) == len(set(node))
+
+
+def test_wrappers_named_like_noise_keep_the_article():
+    article = "<article><p>The long text of the page</p><div class=share>Send it</div><div class=comments><article>Nice</article></div></article>"
+    for name in ["page has-sidebar", "with-sidebar", "no-ads", "menu-open", "widget", "related-layout", "cookie-consent-given", "pageSidebar"]:
+        for page in [f"<body><nav>Menu</nav><div class='{name}'>{article}<aside>Side</aside></div><div class=ad>Buy</div>", f"<div class='{name}'><p>The long text of the page</p></div><div class=ad>Buy</div>"]:
+            *_, blocks = m.describe(page)
+            assert m.main_text(blocks, [1.0] * 40) == "The long text of the page", (name, page)
+    # A list of other articles is no wrapper, however long; a wrapper that is the same on all pages goes.
+    *_, blocks = m.describe("<article>Own text</article><div class=related><article>Another article that is longer</article></div>")
+    assert m.main_text(blocks, [1.0] * 40) == "Own text"
+    *_, blocks = m.describe("<div class=widget><p>Same everywhere</p></div>")
+    assert m.main_text(blocks, [0.05] * 40) == ""

@@ -10,7 +10,9 @@ own node only, and the article raises that by ``PRIOR``, so it takes more pages
 
 Importance says nothing of a menu or an advert that differs from page to page, so nodes whose tag, role,
 class or id names such a part are of no importance either. Where pages have an article or main
-element, text outside it is of none.
+element, text outside it is of none. A keyword in a class or id is weaker than a tag: an element that holds over
+half of the page's text is a wrapper whatever its name, and stays as far as its importance confirms it, unless it
+holds comments, or an article stands outside such elements.
 
 Pages are parsed once, in parallel, and written with their blocks compressed, bucketed by page; only
 hashes of nodes are shuffled, pre-aggregated by (host, node, shape), so a host with a third of all
@@ -64,34 +66,45 @@ NOISE_WORDS = set(
     "notification nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments disqus "
     "respond replies reply share sharing social related recommended newsletter subscribe signup login popup modal overlay pagination pager widget".split()
 )
+COMMENT_WORDS = set("comment comments disqus respond replies reply".split())
+#: Classes that tell a page's state, as has-sidebar or no-ads.
+STATE = re.compile(r"(?:has|have|with|without|no|not|is)[-_]", re.I)
 MAIN_TAGS = {"article", "main"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+SPLIT = re.compile(r"[^a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "noise", "children", "main")
+    #: noise by tag, role or comments; named: the numbers of the elements at and above this that keywords name, and whether each is in an article.
+    __slots__ = ("tag", "parent", "path", "noise", "named", "children", "main")
 
-    def __init__(self, tag: str, parent: int | None, path: int, noise: bool, main: bool):
-        self.tag, self.parent, self.path, self.noise, self.main, self.children = tag, parent, path, noise, main, []
+    def __init__(self, tag: str, parent: int | None, path: int, noise: bool, named: tuple[tuple[int, bool], ...], main: bool):
+        self.tag, self.parent, self.path, self.noise, self.named, self.main, self.children = tag, parent, path, noise, named, main, []
 
 
 def _node(nodes: list[Node], above: int, tag: str, attributes: str) -> Node:
     parent = nodes[above]
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
-    words = {w.lower() for k in ("class", "id") for w in SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", found.get(k, ""))) if w}
-    words |= {w for k in ("class", "id") for w in re.split(r"[^a-z]+", found.get(k, "").lower())}
+    names = [c for k in ("class", "id") for c in found.get(k, "").split() if not STATE.match(c)]
+    words = {w for c in names for x in (c, CAMEL.sub("-", c)) for w in SPLIT.split(x.lower())}
     main = tag in MAIN_TAGS or found.get("role", "").lower() == "main"
     within = parent.main
     noise = tag in NOISE_TAGS or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found
-    noise = noise or bool(words & NOISE_WORDS) and tag not in ("html", "body") and not main or tag == "header" and not within
-    noise = noise or parent.noise
+    noise = noise or tag == "header" and not within or parent.noise
+    keyword = bool(words & NOISE_WORDS) and tag not in ("html", "body") and not main
+    noise = noise or keyword and bool(words & COMMENT_WORDS)
+    named = parent.named + ((len(nodes), within),) if keyword else parent.named
     # The path is a hash of the parent's and this one's tag and classes, so deep markup has no long paths.
     path = _hash(f"{parent.path}/{tag}.{'.'.join(sorted(found.get('class', '').lower().split()))}")
     # A main element inside a noisy one, as in a comment's article, is not the page's.
-    return Node(tag, above, path, noise, (main or within) and not noise)
+    return Node(tag, above, path, noise, named, (main or within) and not noise)
+
+
+def _kind(node: Node) -> tuple:
+    return node.noise, node.named, node.main
 
 
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -101,7 +114,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     same element makes blocks of its own.
     """
     page = page or ""
-    nodes = [Node("", None, 0, False, False)]
+    nodes = [Node("", None, 0, False, (), False)]
     stack, number = [0], {0: 0}
     blocks: list[tuple[int, list[str]]] = []
     open_block = False
@@ -110,7 +123,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal open_block
         # A block belongs to its nearest block element; inline elements are part of it, noisy ones apart.
         at = stack[-1]
-        if not open_block or nodes[blocks[-1][0]].noise != nodes[at].noise or nodes[blocks[-1][0]].main != nodes[at].main:
+        if not open_block or _kind(nodes[blocks[-1][0]]) != _kind(nodes[at]):
             blocks.append((at, []))
             open_block = True
         blocks[-1][1].append(piece)
@@ -173,6 +186,18 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def noisy(nodes: list[Node], blocks: list[tuple[int, str]]) -> list[bool]:
+    """Of each block whether it lies in noise, by tags or by names of elements that are no wrappers of the page's text."""
+    held, total, clear = {}, 0, False
+    for i, text in blocks:
+        if not nodes[i].noise:
+            total += len(text)
+            clear = clear or nodes[i].main and all(inner for _, inner in nodes[i].named)
+            for k, _ in nodes[i].named:
+                held[k] = held.get(k, 0) + len(text)
+    return [nodes[i].noise or any(2 * held[k] <= total or clear and not inner for k, inner in nodes[i].named) for i, _ in blocks]
+
+
 def describe(page: str | None) -> tuple[list[int], list[int], list[int], list]:
     """Of a page's distinct nodes the hash of path, shape and content; and its blocks as (text, nodes above, noise, main)."""
     nodes, blocks = parse(page)
@@ -185,7 +210,7 @@ def describe(page: str | None) -> tuple[list[int], list[int], list[int], list]:
         shapes[k] += [c for j, c in enumerate(node.children) if not j or node.children[j - 1] != c]
     contents: list[list[str]] = [[] for _ in shapes]
     out = []
-    for i, text in blocks:
+    for (i, text), noise in zip(blocks, noisy(nodes, blocks)):
         at, above = i, []
         while at:
             above.append(numbers[nodes[at].path])
@@ -193,7 +218,7 @@ def describe(page: str | None) -> tuple[list[int], list[int], list[int], list]:
         h = str(_hash(text))
         for k in above:
             contents[k].append(h)
-        out.append((text, above, nodes[i].noise, nodes[i].main))
+        out.append((text, above, noise, nodes[i].main and not noise))
     shape = [_hash(" ".join(s)) for s in shapes]
     content = [_hash(" ".join(c)) for c in contents]
     return list(numbers), shape, content, out
