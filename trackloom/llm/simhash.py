@@ -260,7 +260,8 @@ def postings(sets: DataFrame, least: float, space: Workspace) -> DataFrame:
                 yield record_batch({"s": first.view("<i8"), "node": np.full(len(first), node)}, "s long, node long")
 
     each = sets.select("node", "shingles").mapInArrow(rows, "s long, node long")
-    found = space.save_bucketed(each, "prefixes", "s", shuffle_partitions(sets.sparkSession))
+    parts = shuffle_partitions(sets.sparkSession)
+    found = space.save_bucketed(each.repartition(parts, "s"), "prefixes", "s", parts)
     return found.join(found.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "s")
 
 
@@ -338,16 +339,17 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) ->
             found = [words(t) for t in b["text"].to_pylist()]
             sets = [shingle_set(w, shingle) for w in found]
             maps = np.array([bitmap(x) for x in sets], "<i8").reshape(-1, MAPS)
-            columns = {"rank": b["rank"], "node": [node(w) for w in found], "size": list(map(len, sets)), "shingles": [x.tobytes() for x in sets]}
+            columns = {"node": [node(w) for w in found], "size": list(map(len, sets)), "shingles": [x.tobytes() for x in sets]}
             yield record_batch(columns | {f"map{k}": maps[:, k] for k in range(MAPS)}, set_schema)
 
     maps = [f"map{k}" for k in range(MAPS)]
-    set_schema = "rank long, node long, size long, shingles binary, " + ", ".join(f"{m} long" for m in maps)
+    set_schema = "node long, size long, shingles binary, " + ", ".join(f"{m} long" for m in maps)
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank")
     texts = docs.select(rank, "text")
     every = space.save(texts.mapInArrow(name_texts, "rank long, node long").groupBy("node").agg(F.min("rank").alias("rank")), "nodes")
-    sets = texts.mapInArrow(sets_of, set_schema).join(every, ["node", "rank"], "left_semi").dropDuplicates(["node"]).drop("rank")
-    sets = space.save(sets, "sets")
+    # Copies have one set; bucketed by node, the sets stay where they are when pairs are joined to them.
+    sets = texts.select("text").mapInArrow(sets_of, set_schema).dropDuplicates(["node"])
+    sets = space.save_bucketed(sets, "sets", "node", shuffle_partitions(docs.sparkSession))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The similar ones of the pairs."""
