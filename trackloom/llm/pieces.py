@@ -1,20 +1,27 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 The agenda holds every pair of neighbouring pieces whose join is a piece; the best score, then the
-leftmost, is merged first. With dropout, a keyed hash of (seed, variant, word, place of the pair)
-decides for each candidate whether it is skipped, so a word has as many segmentations as there are
-seeds and variants, each reproducible on any executor. A document draws its variant by a keyed
-hash of its doc_id. Without dropout the pieces are SentencePiece's own. Every segmentation decodes
-to the text: characters that the vocabulary lacks, and the space marker itself, become byte pieces.
-
-No piece has the space marker after another character, so words are encoded one by one and kept:
-the words that a batch of texts adds are merged together, one agenda step for all of them at a time.
+leftmost, comes off first and is merged. With dropout, a keyed hash of (seed, doc_id, place of the word in the
+text, number of the candidate in its agenda) decides whether a candidate is skipped for good instead, so each occurrence
+of a word is segmented by itself, and the same way on any executor. Without dropout the
+pieces are SentencePiece's own. Every segmentation decodes to the text: characters that the
+vocabulary lacks, and the space marker itself, become byte pieces.
+
+No piece has the space marker after another character, so words are encoded one by one. What becomes of
+a word depends on nothing but the numbers of its skipped candidates. A worker therefore keeps the outcomes
+that it has met as a tree: a node is a word and the candidates skipped so far, with the number of candidates that its agenda
+gives; its child by k skips the candidate k as well. All words of a batch go down the tree together, candidate by
+candidate; only an outcome that is new runs an agenda.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from functools import cache
+from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +33,17 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
-#: Words kept in a worker's memory, and texts looked at together.
-KEPT_WORDS = 600_000
-BATCH = 1000
+#: Outcomes kept in a worker's memory, and texts looked at together.
+KEPT = 200_000
+BATCH = 500
+#: Words of up to this many characters have fewer than 64 candidates: one for each pair, and two more for each merge. Longer ones are not kept.
+SHORT = 21
 
 SPACE = "▁"
 #: Stands for the space marker as a character of the text; no valid text holds a lone surrogate.
 ESCAPED = "\udc00"
+NEVER = 1 << 60
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-NEVER = np.int64(1) << 60
 
 
 class Pieces:
@@ -57,93 +65,82 @@ class Pieces:
             self.bytes[i] = t.replace(SPACE, " ").encode()
         for b, i in self.byte.items():
             self.bytes[i] = bytes([b])
-        self.of_char = np.full(0x110000, -1, np.int32)
+        # The rank of a piece is the place of its score; runs of spaces share one.
+        places = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in range(n)}, reverse=True))}
+        self.length = [0] * n
         for t, i in self.id.items():
-            if len(t) == 1:
-                self.of_char[ord(t)] = i
-        # Scores in order: the rank of a piece is its place by score.
-        order = np.argsort([-sp.get_score(i) for i in range(n)], kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        self.n = n
-        pairs = [
-            (self.id[t[:k]] * n + self.id[t[k:]], rank[i], i)
-            for t, i in self.id.items()
-            for k in range(1, len(t))
-            if t[:k] in self.id and t[k:] in self.id
-        ]
-        pairs = np.array(sorted(pairs), np.int64)
-        self.code, self.rank, self.joined = (np.ascontiguousarray(pairs[:, k]) for k in range(3))
-
-    def encode(self, words: list[str], dropout: float, seed: int) -> list[bytes]:
-        """The pieces' numbers of each word, as bytes of 32-bit integers."""
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        key = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words], np.uint64)
-        out: list[bytes] = [b""] * len(words)
-        live = np.arange(len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        piece = self.of_char[points].astype(np.int64)
-        starts = np.cumsum(lens) - lens
-        of = np.repeat(np.arange(len(words)), lens)
-        at = np.arange(len(piece)) - starts[of]  # where in its word each symbol begins
-        merged, agenda = np.full(len(piece), -1), np.full(len(piece), NEVER)
-
-        def propose(i: np.ndarray) -> None:
-            """Candidates of the symbols i with their right neighbours."""
-            right = np.minimum(i + 1, len(piece) - 1)
-            a, b = piece[i], piece[right]
-            ok = (of[right] == of[i]) & (right > i) & (a >= 0) & (b >= 0)
-            code = a * self.n + b
-            k = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-            ok &= self.code[k] == code
-            if dropout:
-                # The pair is known by where its two parts begin and by the piece that it makes.
-                h = key[live[of[i]]] ^ (at[i] * 0x9E3779B1 + at[right] * 0x85EBCA77 + self.joined[k] * 0xC2B2AE3D).astype(np.uint64)
-                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-                ok &= (h >> np.uint64(11)).astype(np.float64) / (1 << 53) >= dropout
-            merged[i] = self.joined[k]
-            agenda[i] = np.where(ok, (self.rank[k] << 24) | at[i], NEVER)
-
-        propose(np.arange(len(piece)))
-        while len(live):
-            best = np.minimum.reduceat(agenda, starts)
-            done = best == NEVER
-            if done.any():
-                ends = np.append(starts[1:], len(piece))
-                stay = ~done[of]
-                gone, gone_at = piece[~stay], at[~stay]
-                data, stop = gone.astype(np.int32).tobytes(), np.cumsum((ends - starts)[done])
-                strange = np.minimum.reduceat(gone, np.append(0, stop[:-1])) < 0
-                i = 0
-                for w, j, odd in zip(live[done].tolist(), stop.tolist(), strange.tolist()):
-                    out[w] = self._bytes(words[w], gone[i:j], gone_at[i:j]) if odd else data[4 * i : 4 * j]
-                    i = j
-                number = np.cumsum(~done) - 1
-                lens = (ends - starts)[~done]
-                live, best = live[~done], best[~done]
-                piece, at, merged, agenda = piece[stay], at[stay], merged[stay], agenda[stay]
-                of = number[of[stay]]
-                starts = np.cumsum(lens) - lens
-                if not len(live):
-                    break
-            first = np.flatnonzero(agenda == best[of])  # one a word: places in a word differ
-            piece[first] = merged[first]
-            keep = np.ones(len(piece), bool)
-            keep[first + 1] = False
-            piece, at, merged, agenda, of = piece[keep], at[keep], merged[keep], agenda[keep], of[keep]
-            starts = starts - np.arange(len(starts))
-            first = first - np.arange(len(first))
-            left = first[first > starts] - 1
-            propose(np.concatenate([first, left]))
-        return out
-
-    def _bytes(self, word: str, pieces: np.ndarray, at: np.ndarray) -> bytes:
-        out = []
-        for p, i in zip(pieces.tolist(), at.tolist()):
-            c = SPACE if word[i] == ESCAPED else word[i]
-            out += [p] if p >= 0 else [self.byte[b] for b in c.encode()]
-        return np.array(out, np.int32).tobytes()
+            self.length[i] = len(t)
+        #: The join of two neighbours, and its rank, by first << 32 | second. A character that is no piece has the number -1, and no joins.
+        self.join = {
+            self.id[t[:k]] << 32 | self.id[t[k:]]: i for t, i in self.id.items() for k in range(1, len(t)) if t[:k] in self.id and t[k:] in self.id
+        }
+        self.rank = {pair: places[sp.get_score(i)] for pair, i in self.join.items()}
+
+    def merge(self, word: str, skipped: int) -> tuple[bytes, int]:
+        """A short word's pieces, as 32-bit integers, and how many candidates its agenda gave; bit k of ``skipped`` skips candidate k.
+
+        The agenda is a list of all neighbours' ranks: for a few symbols its least one is found faster than by a heap.
+        """
+        piece = [self.id.get(c, -1) for c in word]
+        rank = self.rank
+        agenda = [rank.get(a << 32 | b, NEVER) for a, b in zip(piece, piece[1:])]
+        given = 0
+        while agenda and (best := min(agenda)) < NEVER:
+            i = agenda.index(best)
+            skip = skipped >> given & 1
+            given += 1
+            if skip:
+                agenda[i] = NEVER
+                continue
+            piece[i] = self.join[piece[i] << 32 | piece[i + 1]]
+            del piece[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = rank.get(piece[i - 1] << 32 | piece[i], NEVER)
+            if i < len(agenda):
+                agenda[i] = rank.get(piece[i] << 32 | piece[i + 1], NEVER)
+        if -1 in piece:
+            return self.with_bytes(word, piece), given
+        return array("i", piece).tobytes(), given
+
+    def merge_long(self, word: str, skipped: np.ndarray) -> bytes:
+        """As ``merge``, by a heap, so in time n log n; ``skipped`` has True for the candidates to skip."""
+        rank, n = self.rank, len(word)
+        piece = [self.id.get(c, -1) for c in word]
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        # A symbol has one candidate, with its right neighbour; the rank tells whether an entry still holds, or is as good as the one that does.
+        now = [rank.get(a << 32 | b, NEVER) for a, b in zip(piece, piece[1:])] + [NEVER]
+        agenda = [r << 32 | i for i, r in enumerate(now) if r < NEVER]
+        heapify(agenda)
+        given = 0
+        while agenda:
+            best = heappop(agenda)
+            i = best & 0xFFFFFFFF
+            if now[i] != best >> 32:
+                continue
+            given += 1
+            if skipped[given - 1]:
+                now[i] = NEVER
+                continue
+            j = right[i]
+            piece[i] = self.join[piece[i] << 32 | piece[j]]
+            now[j], piece[j], right[i] = NEVER, None, right[j]
+            if right[j] >= 0:
+                left[right[j]] = i
+            for a in (i, left[i]):
+                if a >= 0:
+                    b = right[a]
+                    now[a] = rank.get(piece[a] << 32 | piece[b], NEVER) if b >= 0 else NEVER
+                    if now[a] < NEVER:
+                        heappush(agenda, now[a] << 32 | a)
+        return self.with_bytes(word, [p for p in piece if p is not None])
+
+    def with_bytes(self, word: str, piece: list[int]) -> bytes:
+        """The pieces with the bytes of each character that is none."""
+        out, at = array("i"), 0
+        for p in piece:
+            out.extend([p] if p >= 0 else [self.byte[b] for b in (SPACE if word[at] == ESCAPED else word[at]).encode()])
+            at += self.length[p] if p >= 0 else 1
+        return out.tobytes()
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.bytes.__getitem__, ids))
@@ -155,41 +152,130 @@ def model(path: str) -> Pieces:
     return Pieces(path)
 
 
+def skips(key: np.ndarray | np.uint64, number: np.ndarray | int, dropout: float) -> np.ndarray:
+    """Whether the candidate ``number`` of the word with this 64-bit ``key`` is skipped: so for a share ``dropout`` of all."""
+    h = np.atleast_1d(key) + np.atleast_1d(np.asarray(number).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) < dropout * (1 << 53)
+
+
+class Outcomes:
+    """The tree of the outcomes of short words. ``roots`` has the node of each word without a skip."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.roots: dict[str, int] = {}
+        self.children: dict[int, int] = {}
+        self.word: list[str] = []
+        self.skipped: list[int] = []
+        self.out: list[bytes] = []
+        self.given = np.empty(1 << 16, np.int64)
+
+    def node(self, word: str, skipped: int) -> int:
+        at = len(self.out)
+        found, given = self.pieces.merge(word, skipped)
+        if at == len(self.given):
+            self.given = np.append(self.given, np.empty(at, np.int64))
+        self.given[at] = given
+        self.out.append(found)
+        self.word.append(word)
+        self.skipped.append(skipped)
+        return at
+
+    def child(self, code: int) -> int:
+        if code not in self.children:
+            at, k = code >> 6, code & 63
+            self.children[code] = self.node(self.word[at], self.skipped[at] | 1 << k)
+        return self.children[code]
+
+    def encode(self, words: list[str], key: np.ndarray, dropout: float) -> list[bytes]:
+        at = np.fromiter(map(self.roots.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(at < 0)
+        times = Counter(words[i] for i in fresh.tolist())
+        for w, n in times.items():
+            if n > 1:
+                self.roots[w] = self.node(w, 0)
+        at[fresh] = [self.roots.get(words[i], -1) for i in fresh.tolist()]
+
+        live = np.flatnonzero(at >= 0) if dropout else np.empty(0, np.int64)
+        k = 0
+        while len(live := live[self.given[at[live]] > k]):
+            hit = live[skips(key[live], k, dropout)]
+            codes, of = np.unique(at[hit] << 6 | k, return_inverse=True)
+            at[hit] = np.array([self.child(c) for c in codes.tolist()], np.int64)[of]
+            k += 1
+        out = [self.out[i] if i >= 0 else b"" for i in at.tolist()]
+
+        # A word that is met for the first time, and once, runs an agenda of its own, and isn't kept.
+        once = fresh[at[fresh] < 0]
+        mask = np.zeros(len(once), np.uint64)
+        for k in range(3 * max((len(words[i]) for i in once.tolist()), default=0)):
+            mask |= skips(key[once], k, dropout).astype(np.uint64) << np.uint64(k)
+        for i, m in zip(once.tolist(), mask.tolist()):
+            out[i] = self.pieces.merge(words[i], m)[0]
+        return out
+
+
+@cache
+def _kept(path: str) -> list[Outcomes]:
+    """What this worker has met, whatever texts and seeds it belonged to."""
+    return [Outcomes(model(path))]
+
+
+def encoder(path: str, dropout: float):
+    """A function of words and their keys that gives each word's pieces, as bytes of 32-bit integers."""
+    kept = _kept(path)
+
+    def run(words: list[str], key: np.ndarray) -> list[bytes]:
+        if len(kept[0].out) > KEPT:
+            kept[0] = Outcomes(model(path))
+        long = [i for i, w in enumerate(words) if len(w) > SHORT]
+        short = words
+        if long:
+            short = words.copy()
+            for i in long:
+                short[i] = ""
+        out = kept[0].encode(short, key, dropout)
+        for i in long:
+            out[i] = model(path).merge_long(words[i], skips(key[i], np.arange(3 * len(words[i])), dropout))
+        return out
+
+    return run
+
+
 def prepared(text: str) -> str:
     return SPACE + text.replace(SPACE, ESCAPED).replace(" ", SPACE) if text else ""
 
 
+def keys(doc_id: int | None, n: int, seed: int) -> np.ndarray:
+    """The keys of the ``n`` words of a text."""
+    return np.array(xxhash.xxh64_intdigest(str(doc_id), seed), np.uint64) + np.arange(n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
 RESULT = "doc_id long, n_pieces long, pieces array<int>, lossless boolean"
 
 
-def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = 1, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = 1) -> DataFrame:
     """Pieces of each text, and whether they decode to it (they always should).
 
-    Takes (doc_id long, text string); other columns are ignored. Returns doc_id, n_pieces, pieces and
-    lossless, a row for each input row, each by itself: rows that repeat get equal results. A null
-    text is empty and has no pieces; a null doc_id draws a variant as any other. Long texts are encoded
-    whole. An empty table gives no rows. ``path`` has to be there on every executor.
+    Takes (doc_id long, text string); other columns are ignored, whatever their names. Returns doc_id, n_pieces, pieces and
+    lossless, a row for each input row, each by itself: rows that repeat get equal results, and texts that share a doc_id
+    draw the same numbers. A null text is empty and has no pieces; a null doc_id draws as any other. Long texts, and long
+    words, are encoded whole, in time n log n. An empty table gives no rows. ``path`` has to be there on every executor.
     """
 
     def run(batches):
-        pieces = model(path)
-        known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        pieces, words_of = model(path), encoder(path, dropout)
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 b = whole.slice(at, BATCH)
-                ids, texts = b["doc_id"].to_pylist(), [t or "" for t in b["text"].to_pylist()]
-                if sum(map(len, known)) > KEPT_WORDS:
-                    known = [{} for _ in range(variants)]
+                texts = [t or "" for t in b["text"].to_pylist()]
                 words = [WORD.findall(prepared(t)) for t in texts]
-                of = [xxhash.xxh64_intdigest(str(i), seed) % variants for i in ids]
-                fresh: list[set] = [set() for _ in range(variants)]
-                for v, w in zip(of, words):
-                    fresh[v].update(w)
-                for v in range(variants):
-                    new = list(fresh[v].difference(known[v]))
-                    if new:
-                        known[v].update(zip(new, pieces.encode(new, dropout, seed * 1_000_003 + v)))
-                found = [np.frombuffer(b"".join(map(known[v].__getitem__, w)), np.int32) for v, w in zip(of, words)]
+                key = [keys(i, len(w), seed) for i, w in zip(b["doc_id"].to_pylist(), words)]
+                every = words_of([x for w in words for x in w], np.concatenate(key))
+                ends = np.cumsum([len(w) for w in words]).tolist()
+                found = [np.frombuffer(b"".join(every[e - len(w) : e]), np.int32) for w, e in zip(words, ends)]
                 lens = np.array([len(f) for f in found], np.int64)
                 arrays = [
                     b["doc_id"].cast(pa.int64()),
