@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of at most some hundred bytes: tens of MB.
+BROADCAST_ROWS = 100_000
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -17,6 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """A folder of written tables below ``spark.checkpoint.dir``.
 
@@ -33,20 +41,30 @@ class Workspace:
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
         self.spark, self.path = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
+    @contextmanager
+    def _cleaning(self) -> Iterator[None]:
+        """A written table needs its shuffle files no more: they go when the write ends, not when the driver collects its garbage."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with self._cleaning():
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         """Save so that later joins on ``key`` read this side without a shuffle."""
         full = f"t_{uuid.uuid4().hex}"
-        (
-            df.write.bucketBy(buckets, key)
-            .option("compression", "zstd")
-            .option("path", f"{self.path}/{name}")
-            .saveAsTable(full)
-        )
+        with self._cleaning():
+            df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(full)
         return self.spark.table(full)
 
     def drop(self, name: str) -> None:
@@ -73,6 +91,19 @@ def record_batch(columns: dict, schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array(columns[n], ARROW[t]) for n, t in fields], names=[n for n, _ in fields])
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows: what Python makes of a part is all that a task holds at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df``, to be broadcast if a count shows that it has up to ``rows`` rows, and whether it has. Its rows must be of a bounded size."""
+    small = df.limit(rows + 1).count() <= rows
+    return (F.broadcast(df) if small else df), small
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -22,9 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Workspace, record_batch, shuffle_partitions, table
+from .common import Workspace, record_batch, slices, table
 from .components import components
 
 BITS = 64
@@ -32,11 +31,6 @@ SEED = 42
 RADIUS = 2
 #: Members of a bucket that are compared with each other; more of them meet at variants, as exactly.
 PAIRS = 16
-#: Of ``one_of_each``: the similarity of links, words of a set's bitmap, sets that the frequent shingles are found in, about, and their number.
-SIMILARITY = 0.8
-MAPS = 8
-SAMPLE = 10_000
-FREQUENT = 100_000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -70,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     schema = "doc_id long, fp long"
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1000):
             fps = [fingerprint(t, shingle) for t in b["text"].to_pylist()]
             yield record_batch({"doc_id": b["doc_id"].cast(pa.int64()), "fp": fps}, schema)
 
@@ -78,14 +72,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def masks(radius: int) -> list[int]:
-    """The tables' bit masks, as signed numbers; each keeps about half of the bits or more.
-
-    Up to radius 5 all vectors recur. For 6 there are more vectors than positions; those that have the highest bit
-    make each mask keep 32 bits or all, where 1 to 64 would leave masks of one bit.
-    """
-    if not 0 <= radius <= 6:
-        raise ValueError("the radius has to be 0 to 6")
-    vectors = [1 + i % ((1 << radius + 1) - 1) if radius < 6 else BITS + i for i in range(BITS)]
+    """The tables' bit masks, as signed numbers; each keeps about half of the bits or more."""
+    if not 0 <= radius <= 5:
+        raise ValueError("the radius has to be 0 to 5")
+    vectors = [1 + i % ((1 << radius + 1) - 1) for i in range(BITS)]
     out = []
     for v in range(1, 1 << radius + 1):
         mask = sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2)
@@ -144,222 +134,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``shingle``-word shingles; shorter texts are one shingle."""
-    size, digest = min(shingle, len(words)), xxhash.xxh64_intdigest
-    every = (b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)) if words else ()
-    return np.unique(np.fromiter((digest(x, SEED) for x in every), "<u8"))
-
-
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose shingle sets have a Jaccard similarity of ``least`` or more."""
-
-    def run(batches):
-        for b in batches:
-            kept = []
-            for x, y in zip(b["x"], b["y"]):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(shared >= least * (len(x) + len(y) - shared))
-            yield pa.record_batch([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    of = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    of = of.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return of.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _keyed(live: DataFrame, radius: int) -> DataFrame:
-    """``live`` with bucket, a row for each table of the radius. Buckets are 64-bit hashes of table and key."""
-    every = F.array(*(F.lit(m) for m in masks(radius)))
-    return live.select("node", "rank", "fp", F.explode(every).alias("mask")).select(F.expr("xxhash64(mask, fp & mask)").alias("bucket"), "node", "rank", "fp")
-
-
-def _near(radius: int):
-    return F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= radius
-
-
-def members(live: DataFrame, radius: int) -> DataFrame:
-    """(bucket, node, fp, n) for the buckets of the covering tables that have n > 1 members."""
-    rows = _keyed(live, radius).select("bucket", "node", "fp")
-    return rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-
-
-def of_small_buckets(member: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b) within ``radius`` that share a bucket of up to ``PAIRS`` members."""
-    rows = member.where(F.col("n") <= PAIRS).select("bucket", "node", "fp")
-    other = rows.select("bucket", F.col("node").alias("b"), F.col("fp").alias("fp_b"))
-    return rows.join(other, "bucket").where((F.col("node") > F.col("b")) & _near(radius)).select(F.col("node").alias("a"), "b").distinct()
-
-
-def of_crowds(crowd: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFrame:
-    """Pairs (a, b) of ``crowd`` (node, fp) within ``radius`` that can have a similarity of ``least`` or more.
-
-    Members of a large bucket are alike in words; listing their pairs would grow with the square of the
-    group. Sets of similarity ``least`` share one of their rarest shingles, 1 - least of each and one more, so
-    only nodes that share such a shingle are paired, which loses no link. Texts that are alike but under the
-    threshold have shingles of their own there.
-    """
-
-    def rows(batches):
-        for b in batches:
-            for node, fp, x in zip(b["node"].to_pylist(), b["fp"].to_pylist(), b["shingles"]):
-                found = np.frombuffer(x.as_buffer(), "<i8")
-                yield record_batch({"node": np.full(len(found), node), "fp": np.full(len(found), fp), "s": found}, "node long, fp long, s long")
-
-    each = crowd.join(sets, "node").select("node", "fp", "shingles").mapInArrow(rows, "node long, fp long, s long")
-    held = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s")
-    sorted_ = held.groupBy("node", "fp").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all")).withColumn("size", F.size("all"))
-    prefix = F.slice("all", 1, (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int"))
-    rare = sorted_.select("node", "fp", "size", F.explode(F.filter(prefix, lambda x: x["df"] > 1)["s"]).alias("s"))
-    other = rare.select("s", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("size").alias("size_b"))
-    lengths = F.least("size", "size_b") >= F.greatest("size", "size_b") * least - 1e-9
-    return rare.join(other, "s").where((F.col("node") > F.col("b")) & lengths & _near(radius)).select(F.col("node").alias("a"), "b").distinct()
-
-
-def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that recur most in a sample of the sets, and their ranks by frequency: the last in the order of prefixes.
-
-    Any order keeps prefixes exact; one with frequent shingles last makes fewer candidates. At most ``FREQUENT`` come to the driver.
-    """
-    share = max(1, sets.count() // SAMPLE)
-
-    def rows(batches):
-        for b in batches:
-            for x in b["shingles"]:
-                yield pa.record_batch([pa.array(np.frombuffer(x.as_buffer(), "<i8"))], names=["s"])
-
-    sample = sets.where(F.expr(f"pmod(node, {share}) = 0")).select("shingles").mapInArrow(rows, "s long")
-    found = sample.groupBy("s").agg(F.count("*").alias("n")).where("n > 4").orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
-    keys = np.array([r["s"] for r in found], "<i8").view("<u8")
-    order = np.argsort(keys)
-    return keys[order], len(keys) - order
-
-
-def postings(sets: DataFrame, least: float, space: Workspace) -> DataFrame:
-    """(s, node, n): the shingles in the prefixes of the sets that n > 1 prefixes hold.
-
-    Sets of Jaccard similarity ``least`` or more share a shingle of their prefixes, 1 - least of each set and one more, first
-    in an order that all sets have in common.
-    """
-    keys, ranks = frequent(sets)
-
-    def rows(batches):
-        for b in batches:
-            for node, x in zip(b["node"].to_pylist(), b["shingles"]):
-                found = np.frombuffer(x.as_buffer(), "<u8")
-                if not len(found):
-                    continue
-                late = np.zeros(len(found), np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                    late = np.where(keys[at] == found, ranks[at], 0)
-                size = len(found) - int(np.ceil(len(found) * least - 1e-9)) + 1
-                first = found[np.lexsort((found, late))[:size]]
-                yield record_batch({"s": first.view("<i8"), "node": np.full(len(first), node)}, "s long, node long")
-
-    each = sets.select("node", "shingles").mapInArrow(rows, "s long, node long")
-    parts = shuffle_partitions(sets.sparkSession)
-    found = space.save_bucketed(each.repartition(parts, "s"), "prefixes", "s", parts)
-    return found.join(found.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "s")
-
-
-def bitmap(found: np.ndarray) -> np.ndarray:
-    """Parities of the set's shingles by their lowest bits: two sets differ in as many shingles as bits, or more."""
-    odd = np.bincount((found % np.uint64(64 * MAPS)).astype(np.int64), minlength=64 * MAPS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
-def _may_be_similar(least: float):
-    """Whether sizes and bitmaps of two rows, the second one's with _b, leave a similarity of ``least`` possible."""
-    bits = sum((F.bit_count(F.col(f"map{k}").bitwiseXOR(F.col(f"map{k}_b"))) for k in range(1, MAPS)), F.bit_count(F.col("map0").bitwiseXOR(F.col("map0_b"))))
-    lengths = F.least("size", "size_b") >= F.greatest("size", "size_b") * least - 1e-9
-    return lengths & (bits <= (F.col("size") + F.col("size_b")) * ((1 - least) / (1 + least)) + 1e-6)
-
-
-def leading(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b): for each a the leader b of one of its buckets, the weightiest that may be similar.
-
-    ``rows`` are postings with size and bitmap. Weight is the number of texts met in all buckets, so that the middle of a group leads it.
-    Each node has one pair at most, so large groups make no more of them than they have members.
-    """
-    weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
-    weighed = rows.join(weight, "node")
-    maps = [f"map{k}" for k in range(MAPS)]
-    lead = weighed.groupBy("s").agg(F.max(F.struct("weight", "node", "size", *maps)).alias("lead"))
-    lead = lead.select("s", *(F.col(f"lead.{c}").alias(f"{c}_b") for c in ("weight", "node", "size", *maps)))
-    led = rows.join(lead, "s").where((F.col("node") != F.col("node_b")) & _may_be_similar(least))
-    return led.groupBy(F.col("node").alias("a")).agg(F.max_by("node_b", F.struct("weight_b", "node_b")).alias("b"))
-
-
-def apart(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) that share a shingle of their prefixes, may be similar, and that ``roots`` (node, root) doesn't connect yet."""
-    known = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = known.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
-    known = known.join(mixed, "s")
-    other = known.select("s", *(F.col(c).alias(f"{c}_b") for c in known.columns if c not in ("s", "n")))
-    return known.join(other, "s").where((F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & _may_be_similar(least)).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that come first by doc_id in their group.
-
-    Texts are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``least`` or more; groups
-    are the components of the links, so a text that goes still links others. No link is left out: candidates share
-    a shingle of their prefixes, as similar sets must (see ``postings``). First each text is compared with a leader of its
-    buckets; then all candidates that these links don't connect already, less those that sizes or bitmaps rule out. No
-    two rows that stay are linked, and each row that goes is joined by links to one that stays.
-
-    Texts of the same words, A-Z in either case, are one node, by a 64-bit hash. Of repeated rows, or rows of one
-    doc_id and node, one stays. Null texts are empty, and all texts without words are copies; a null doc_id
-    comes last. A column node__ is replaced. An empty table gives no rows.
-    """
-    space = Workspace(docs.sparkSession, "one_of_each")
-    schema = StructType([*(f for f in docs.schema if f.name != "node__"), StructField("node__", LongType())])
-
-    def words(text: str | None) -> list[bytes]:
-        return (text or "").encode().lower().split()
-
-    def node(found: list[bytes]) -> int:
-        return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(found), SEED)).view(np.int64))
-
-    def name_rows(batches):
-        for b in batches:
-            b = b.drop_columns(["node__"]) if "node__" in b.schema.names else b
-            nodes = [node(words(t)) for t in b["text"].to_pylist()]
-            yield b.append_column("node__", pa.array(nodes, pa.int64()))
-
-    def name_texts(batches):
-        for b in batches:
-            yield record_batch({"rank": b["rank"], "node": [node(words(t)) for t in b["text"].to_pylist()]}, "rank long, node long")
-
-    def sets_of(batches):
-        for b in batches:
-            found = [words(t) for t in b["text"].to_pylist()]
-            sets = [shingle_set(w, shingle) for w in found]
-            maps = np.array([bitmap(x) for x in sets], "<i8").reshape(-1, MAPS)
-            columns = {"node": [node(w) for w in found], "size": list(map(len, sets)), "shingles": [x.tobytes() for x in sets]}
-            yield record_batch(columns | {f"map{k}": maps[:, k] for k in range(MAPS)}, set_schema)
-
-    maps = [f"map{k}" for k in range(MAPS)]
-    set_schema = "node long, size long, shingles binary, " + ", ".join(f"{m} long" for m in maps)
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank")
-    texts = docs.select(rank, "text")
-    every = space.save(texts.mapInArrow(name_texts, "rank long, node long").groupBy("node").agg(F.min("rank").alias("rank")), "nodes")
-    # Copies have one set; bucketed by node, the sets stay where they are when pairs are joined to them.
-    sets = texts.select("text").mapInArrow(sets_of, set_schema).dropDuplicates(["node"])
-    sets = space.save_bucketed(sets, "sets", "node", shuffle_partitions(docs.sparkSession))
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """The similar ones of the pairs."""
-        return space.save(similar(space.save(pairs, f"pairs_{name}"), sets, least), f"links_{name}")
-
-    rows = space.save(postings(sets, least, space).join(sets.select("node", "size", *maps), "node"), "postings")
-    led = linked(leading(rows, least), "led")
-    roots = space.save(components(led, Workspace(docs.sparkSession, "led")), "roots")
-    roots = components(led.unionByName(linked(apart(rows, roots, least), "apart")), space).withColumnRenamed("node", "of")
-    rooted = every.join(roots, F.col("node") == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "rank", "node")
-    first = rooted.groupBy("root").agg(F.min(F.struct("rank", "node")).alias("k")).select("k.rank", "k.node")
-    kept = docs.mapInArrow(name_rows, schema)
-    return kept.join(first, (rank == first["rank"]) & (F.col("node__") == first["node"]), "left_semi").dropDuplicates(["doc_id", "node__"]).drop("node__")

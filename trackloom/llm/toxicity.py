@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, table
+from .common import record_batch, slices, table
 
 #: Category and the SQL of its label over the columns of labels, in the order of the chain.
 CHAIN = {
@@ -38,7 +38,9 @@ SMOOTH = 10.0
 LEAST_RATIO = 1.0
 STEPS = 400
 RIDGE = 1e-5
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
+#: Texts looked at together.
+ROWS = 500
 #: A-Z in lower case; ASCII characters that are no letters or digits part words.
 PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
@@ -162,7 +164,7 @@ def training_set(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
 
     def run(batches):
         hashed = Hashed()
-        for b in batches:
+        for b in slices(batches, ROWS):
             cols = {c: b[c] for c in ["doc_id", *CHAIN]}
             yield record_batch(cols | {"words": [hashed.of(t) for t in b["text"].to_pylist()]}, schema)
 
@@ -193,12 +195,10 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     def run(batches):
         hashed, model = Hashed(), shared.value
         cut = model.cuts[list(CHAIN).index("toxic")]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                p = model.predict(Texts.of([hashed.of(t) for t in b["text"].to_pylist()]))
-                out = {f"p_{c}": p[:, k] for k, c in enumerate(CHAIN)}
-                yield record_batch(out | {"doc_id": b["doc_id"].cast(pa.int64()), "toxic": out["p_toxic"] >= cut}, RESULT)
+        for b in slices(batches, ROWS):
+            p = model.predict(Texts.of([hashed.of(t) for t in b["text"].to_pylist()]))
+            out = {f"p_{c}": p[:, k] for k, c in enumerate(CHAIN)}
+            yield record_batch(out | {"doc_id": b["doc_id"].cast(pa.int64()), "toxic": out["p_toxic"] >= cut}, RESULT)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
 
@@ -209,16 +209,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``score`` doesn't call toxic."""
+    """The rows of ``docs``, with all their columns, that ``score`` doesn't call toxic.
+
+    Each row is judged by itself: rows that repeat stay or go together. Null and empty texts, long ones and ids are as in
+    ``score``; columns but text are not looked at. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
         hashed, model = Hashed(), shared.value
         k = list(CHAIN).index("toxic")
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                p = model.predict(Texts.of([hashed.of(t) for t in b["text"].to_pylist()]))
-                yield b.filter(pa.array(p[:, k] < model.cuts[k]))
+        for b in slices(batches, ROWS):
+            p = model.predict(Texts.of([hashed.of(t) for t in b["text"].to_pylist()]))
+            yield b.filter(pa.array(p[:, k] < model.cuts[k]))
 
     return docs.mapInArrow(run, docs.schema)
