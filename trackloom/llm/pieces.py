@@ -34,15 +34,17 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 #: Outcomes kept in a worker's memory, and texts looked at together.
-KEPT = 200_000
-BATCH = 500
+KEPT = 300_000
+BATCH = 1000
 #: Words of up to this many characters have fewer than 64 candidates: one for each pair, and two more for each merge. Longer ones are not kept.
 SHORT = 21
 
 SPACE = "▁"
 #: Stands for the space marker as a character of the text; no valid text holds a lone surrogate.
 ESCAPED = "\udc00"
-NEVER = 1 << 60
+#: More than any rank; less than any piece, and than the -1 of a character that is none.
+NEVER = 1 << 30
+DEAD = -2
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -70,45 +72,98 @@ class Pieces:
         self.length = [0] * n
         for t, i in self.id.items():
             self.length[i] = len(t)
-        #: The join of two neighbours, and its rank, by first << 32 | second. A character that is no piece has the number -1, and no joins.
+        #: The join of two neighbours, and its rank, by first << bits | second. A character that is no piece has the number -1, and no joins.
+        self.bits = n.bit_length()
         self.join = {
-            self.id[t[:k]] << 32 | self.id[t[k:]]: i for t, i in self.id.items() for k in range(1, len(t)) if t[:k] in self.id and t[k:] in self.id
+            self.id[t[:k]] << self.bits | self.id[t[k:]]: i for t, i in self.id.items() for k in range(1, len(t)) if t[:k] in self.id and t[k:] in self.id
         }
         self.rank = {pair: places[sp.get_score(i)] for pair, i in self.join.items()}
+        self.codes = np.array(sorted(self.join), np.int64)
+        self.code_joins = np.array([self.join[c] for c in self.codes.tolist()], np.int32)
+        self.code_ranks = np.array([self.rank[c] for c in self.codes.tolist()], np.int64)
+        #: The piece of each rank, -1 where several share it.
+        self.of_rank = np.full(len(places), -2, np.int32)
+        for i in self.id.values():
+            k = places[sp.get_score(i)]
+            self.of_rank[k] = i if self.of_rank[k] == -2 else -1
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for t, i in self.id.items():
+            if len(t) == 1:
+                self.of_char[ord(t)] = i
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the join of each two neighbours, or NEVER."""
+        code = a.astype(np.int64) << self.bits | b
+        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[k] == code, self.code_ranks[k], NEVER)
 
-    def merge(self, word: str, skipped: int) -> tuple[bytes, int]:
-        """A short word's pieces, as 32-bit integers, and how many candidates its agenda gave; bit k of ``skipped`` skips candidate k.
+    def merge(self, words: list[str], skipped: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Short words' pieces, as 32-bit integers, and how many candidates each one's agenda gave; bit k of its ``skipped`` skips candidate k.
 
-        The agenda is a list of all neighbours' ranks: for a few symbols its least one is found faster than by a heap.
+        Words of one length are merged together, one candidate of each at a time. Their symbols are the rows of arrays, the words the columns.
         """
-        piece = [self.id.get(c, -1) for c in word]
-        rank = self.rank
-        agenda = [rank.get(a << 32 | b, NEVER) for a, b in zip(piece, piece[1:])]
-        given = 0
-        while agenda and (best := min(agenda)) < NEVER:
-            i = agenda.index(best)
-            skip = skipped >> given & 1
-            given += 1
-            if skip:
-                agenda[i] = NEVER
-                continue
-            piece[i] = self.join[piece[i] << 32 | piece[i + 1]]
-            del piece[i + 1], agenda[i]
-            if i:
-                agenda[i - 1] = rank.get(piece[i - 1] << 32 | piece[i], NEVER)
-            if i < len(agenda):
-                agenda[i] = rank.get(piece[i] << 32 | piece[i + 1], NEVER)
-        if -1 in piece:
-            return self.with_bytes(word, piece), given
-        return array("i", piece).tobytes(), given
+        out: list[bytes] = [b""] * len(words)
+        given = np.zeros(len(words), np.int64)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(lens[lens > 0]).tolist():
+            which = np.flatnonzero(lens == n)
+            text = "".join(words[i] for i in which.tolist())
+            piece = np.ascontiguousarray(self.of_char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(-1, n).T)
+            self._agenda(piece, skipped[which], given, which)
+            found, kept = piece.T, piece.T > DEAD
+            data, ends = found[kept].tobytes(), 4 * np.cumsum(kept.sum(axis=1))
+            strange, at = (piece == -1).any(axis=0).tolist(), 0
+            for i, end, odd in zip(which.tolist(), ends.tolist(), strange):
+                out[i] = self.with_bytes(words[i], memoryview(data[at:end]).cast("i")) if odd else data[at:end]
+                at = end
+        return out, given
+
+    def _agenda(self, piece: np.ndarray, skipped: np.ndarray, given: np.ndarray, which: np.ndarray) -> None:
+        """Merges the symbols ``piece`` in place; a symbol that another has taken in is DEAD."""
+        n, width = piece.shape
+        # A symbol's candidate is the one with its right neighbour: its rank, then its row, so that the least is the leftmost.
+        rows = np.arange(n, dtype=np.int64)[:, None]
+        agenda = np.full((n, width), NEVER << 5, np.int64)
+        agenda[:-1] = self.ranks(piece[:-1], piece[1:]) << 5 | rows[:-1]
+        before, after = np.repeat(rows - 1, width, axis=1), np.repeat(rows + 1, width, axis=1)
+        flat, cand, prev, next_ = piece.reshape(-1), agenda.reshape(-1), before.reshape(-1), after.reshape(-1)
+        live = np.arange(width)
+        while len(live):
+            best = (agenda if len(live) == width else agenda[:, live]).min(axis=0)
+            more = best < NEVER << 5
+            live, best = live[more], best[more]
+            row = best & 31
+            at = row * width + live
+            skip = (skipped[live] >> given[which[live]].astype(np.uint64) & np.uint64(1)).astype(bool)
+            given[which[live]] += 1
+            cand[at[skip]] = NEVER << 5
+            merged = ~skip
+            column, row, at, rank = live[merged], row[merged], at[merged], best[merged] >> 5
+            gone = next_[at] * width + column
+            new = self.of_rank[rank]
+            shared = np.flatnonzero(new < 0)
+            if len(shared):
+                code = flat[at[shared]].astype(np.int64) << self.bits | flat[gone[shared]]
+                new[shared] = self.code_joins[np.searchsorted(self.codes, code)]
+            flat[at], flat[gone], cand[gone] = new, DEAD, NEVER << 5
+            right, left = next_[gone], prev[at]
+            next_[at] = right
+            has = right < n
+            to = right[has] * width + column[has]
+            prev[to] = row[has]
+            cand[at] = NEVER << 5
+            cand[at[has]] = self.ranks(new[has], flat[to]) << 5 | row[has]
+            has = left >= 0
+            to = left[has] * width + column[has]
+            cand[to] = self.ranks(flat[to], new[has]) << 5 | left[has]
 
     def merge_long(self, word: str, skipped: np.ndarray) -> bytes:
         """As ``merge``, by a heap, so in time n log n; ``skipped`` has True for the candidates to skip."""
-        rank, n = self.rank, len(word)
+        rank, bits, n = self.rank, self.bits, len(word)
         piece = [self.id.get(c, -1) for c in word]
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         # A symbol has one candidate, with its right neighbour; the rank tells whether an entry still holds, or is as good as the one that does.
-        now = [rank.get(a << 32 | b, NEVER) for a, b in zip(piece, piece[1:])] + [NEVER]
+        now = [rank.get(a << bits | b, NEVER) for a, b in zip(piece, piece[1:])] + [NEVER]
         agenda = [r << 32 | i for i, r in enumerate(now) if r < NEVER]
         heapify(agenda)
         given = 0
@@ -122,14 +177,14 @@ class Pieces:
                 now[i] = NEVER
                 continue
             j = right[i]
-            piece[i] = self.join[piece[i] << 32 | piece[j]]
+            piece[i] = self.join[piece[i] << bits | piece[j]]
             now[j], piece[j], right[i] = NEVER, None, right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for a in (i, left[i]):
                 if a >= 0:
                     b = right[a]
-                    now[a] = rank.get(piece[a] << 32 | piece[b], NEVER) if b >= 0 else NEVER
+                    now[a] = rank.get(piece[a] << bits | piece[b], NEVER) if b >= 0 else NEVER
                     if now[a] < NEVER:
                         heappush(agenda, now[a] << 32 | a)
         return self.with_bytes(word, [p for p in piece if p is not None])
@@ -170,32 +225,33 @@ class Outcomes:
         self.word: list[str] = []
         self.skipped: list[int] = []
         self.out: list[bytes] = []
-        self.given = np.empty(1 << 16, np.int64)
+        self.given = np.zeros(1 << 16, np.int64)
 
-    def node(self, word: str, skipped: int) -> int:
+    def nodes(self, words: list[str], skipped: list[int]) -> range:
+        """New nodes."""
         at = len(self.out)
-        found, given = self.pieces.merge(word, skipped)
-        if at == len(self.given):
-            self.given = np.append(self.given, np.empty(at, np.int64))
-        self.given[at] = given
-        self.out.append(found)
-        self.word.append(word)
-        self.skipped.append(skipped)
-        return at
-
-    def child(self, code: int) -> int:
-        if code not in self.children:
-            at, k = code >> 6, code & 63
-            self.children[code] = self.node(self.word[at], self.skipped[at] | 1 << k)
-        return self.children[code]
+        found, given = self.pieces.merge(words, np.array(skipped, np.uint64))
+        self.out += found
+        self.word += words
+        self.skipped += skipped
+        while len(self.out) > len(self.given):
+            self.given = np.append(self.given, np.empty_like(self.given))
+        self.given[at : len(self.out)] = given
+        return range(at, len(self.out))
+
+    def children_of(self, codes: list[int]) -> list[int]:
+        """The nodes for each node << 6 | k that skips its candidate k as well."""
+        new = [c for c in codes if c not in self.children]
+        of = [c >> 6 for c in new]
+        self.children.update(zip(new, self.nodes([self.word[i] for i in of], [self.skipped[i] | 1 << (c & 63) for c, i in zip(new, of)])))
+        return [self.children[c] for c in codes]
 
     def encode(self, words: list[str], key: np.ndarray, dropout: float) -> list[bytes]:
         at = np.fromiter(map(self.roots.get, words, repeat(-1)), np.int64, len(words))
         fresh = np.flatnonzero(at < 0)
         times = Counter(words[i] for i in fresh.tolist())
-        for w, n in times.items():
-            if n > 1:
-                self.roots[w] = self.node(w, 0)
+        again = [w for w, n in times.items() if n > 1]
+        self.roots.update(zip(again, self.nodes(again, [0] * len(again))))
         at[fresh] = [self.roots.get(words[i], -1) for i in fresh.tolist()]
 
         live = np.flatnonzero(at >= 0) if dropout else np.empty(0, np.int64)
@@ -203,17 +259,17 @@ class Outcomes:
         while len(live := live[self.given[at[live]] > k]):
             hit = live[skips(key[live], k, dropout)]
             codes, of = np.unique(at[hit] << 6 | k, return_inverse=True)
-            at[hit] = np.array([self.child(c) for c in codes.tolist()], np.int64)[of]
+            at[hit] = np.array(self.children_of(codes.tolist()), np.int64)[of]
             k += 1
         out = [self.out[i] if i >= 0 else b"" for i in at.tolist()]
 
-        # A word that is met for the first time, and once, runs an agenda of its own, and isn't kept.
+        # A word that is met for the first time, and once, is merged for itself, and isn't kept.
         once = fresh[at[fresh] < 0]
         mask = np.zeros(len(once), np.uint64)
         for k in range(3 * max((len(words[i]) for i in once.tolist()), default=0)):
             mask |= skips(key[once], k, dropout).astype(np.uint64) << np.uint64(k)
-        for i, m in zip(once.tolist(), mask.tolist()):
-            out[i] = self.pieces.merge(words[i], m)[0]
+        for i, found in zip(once.tolist(), self.pieces.merge([words[i] for i in once.tolist()], mask)[0]):
+            out[i] = found
         return out
 
 
