@@ -8,7 +8,7 @@ pieces are SentencePiece's own. Every segmentation decodes to the text: characte
 vocabulary lacks, and the space marker itself, become byte pieces.
 
 No piece has the space marker after another character, so words are encoded one by one. What becomes of
-a word depends on nothing but the numbers of its skipped candidates. A worker therefore keeps the outcomes
+a word depends on nothing but the numbers of its skipped candidates. A task therefore keeps the outcomes
 that it has met as a tree: a node is a word and the candidates skipped so far, with the number of candidates that its agenda
 gives; its child by k skips the candidate k as well. All words of a batch go down the tree together, candidate by
 candidate; only an outcome that is new runs an agenda.
@@ -33,9 +33,9 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-#: Outcomes kept in a worker's memory, and texts looked at together.
-KEPT = 300_000
-BATCH = 1000
+#: Outcomes kept by a task, and texts looked at together.
+KEPT = 150_000
+BATCH = 250
 #: Words of up to this many characters have fewer than 64 candidates: one for each pair, and two more for each merge. Longer ones are not kept.
 SHORT = 21
 
@@ -273,19 +273,14 @@ class Outcomes:
         return out
 
 
-@cache
-def _kept(path: str) -> list[Outcomes]:
-    """What this worker has met, whatever texts and seeds it belonged to."""
-    return [Outcomes(model(path))]
-
-
 def encoder(path: str, dropout: float):
     """A function of words and their keys that gives each word's pieces, as bytes of 32-bit integers."""
-    kept = _kept(path)
+    pieces = model(path)
+    kept = [Outcomes(pieces)]
 
     def run(words: list[str], key: np.ndarray) -> list[bytes]:
         if len(kept[0].out) > KEPT:
-            kept[0] = Outcomes(model(path))
+            kept[0] = Outcomes(pieces)
         long = [i for i, w in enumerate(words) if len(w) > SHORT]
         short = words
         if long:
@@ -294,7 +289,7 @@ def encoder(path: str, dropout: float):
                 short[i] = ""
         out = kept[0].encode(short, key, dropout)
         for i in long:
-            out[i] = model(path).merge_long(words[i], skips(key[i], np.arange(3 * len(words[i])), dropout))
+            out[i] = pieces.merge_long(words[i], skips(key[i], np.arange(3 * len(words[i])), dropout))
         return out
 
     return run
