@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from trackloom.llm import secrets as m
 
@@ -100,3 +101,46 @@ def test_redact_and_digest(spark):
 
 def test_empty(spark):
     assert m.scan(documents(spark, [])).collect() == []
+
+
+def test_many_matches_take_no_square_of_their_number(spark):
+    rnd = random.Random(5)
+    digits = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(24))
+    text = " ".join(rnd.choice(["x", "secret=abcdefg", "AKIA" + "A" * 16]) + "\U0001f600" + digits() for _ in range(100_000))
+    df = m.scan(documents(spark, [(1, text), (2, "z" * 3000 + " token=abcdefgh " + "y" * 3000)]), [0.0] * len(m.ALPHABET) ** 2)
+    began = time.monotonic()
+    one, two = df.withColumn("clean", m.redact(df)).orderBy("doc_id").collect()
+    assert time.monotonic() - began < 60
+    assert [tuple(s) for s in one["secrets"]] == base(text)
+    assert one["clean"] == re.sub(r"secret=abcdefg|AKIAA{16}|[0-9a-f]{24}", "[secret]", text)
+    assert two["clean"] == "z" * 3000 + " [secret] " + "y" * 3000
+
+
+def test_overlaps_and_running_folds(spark):
+    rnd = random.Random(6)
+    rows_ = []
+    for _ in range(200):
+        cuts = sorted(rnd.sample(range(400), 2 * rnd.randrange(60)))
+        rows_.append((list(zip(cuts[::2], cuts[1::2])), [(a, a + rnd.randrange(1, 20)) for a in (rnd.randrange(400) for _ in range(rnd.randrange(8)))]))
+    span = lambda x: [(a, 0, b, "w") for a, b in x]
+    df = spark.createDataFrame([(span(c), span(k), [b - a for a, b in c]) for c, k in rows_], f"c array<{m.SPAN}>, k array<{m.SPAN}>, n array<int>")
+    total = m.running(df["n"], lambda a, b: a + b)
+    for (c, k), r in zip(rows_, df.select(m.free(df["c"], df["k"]).alias("f"), total.alias("t")).collect()):
+        assert [(s["start"], s["stop"]) for s in r["f"]] == [x for x in c if not any(a < x[1] and x[0] < b for a, b in k)]
+        assert r["t"] == [sum(b - a for a, b in c[:i]) for i in range(len(c))]
+
+
+def test_held_out_precision_and_recall(spark):
+    """The default models, on words of documents outside the sample and strings of another generator."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = m.fit(docs)
+    rnd = random.Random(7)
+    forms = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789ABCDEF", string.ascii_uppercase + string.digits]
+    secret = ["".join(rnd.choice(a) for _ in range(rnd.randrange(24, 48))) for a in forms for _ in range(100)]
+    parts = ["get", "Element", "By", "configuration", "_of_", "things", "request", "Handler", "manager", "-factory", "/usr/local/", "share/", "documents", "version"]
+    plain = ["".join(rnd.choice(parts) for _ in range(9))[:44] for _ in range(400)]
+    test = [(i, f"x {w} y") for i, w in enumerate(secret + plain)]
+    got = {r["doc_id"]: any(s["kind"] == "markov" for s in r["secrets"]) for r in m.scan(documents(spark, test), model).collect()}
+    caught, wrong = sum(got[i] for i in range(400)), sum(got[400 + i] for i in range(400))
+    print("caught", caught, "of 400, wrong", wrong)
+    assert caught >= 380 and wrong <= 8
