@@ -47,9 +47,10 @@ def slow(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("rows", [100_000, 0])
-def test_equals_brute_force(spark, monkeypatch, rows):
-    monkeypatch.setattr(m, "BROADCAST_ROWS", rows)
+@pytest.mark.parametrize("most", [{}, {"BROADCAST_ROWS": 0}, {"BROADCAST_BYTES": 300}])
+def test_equals_brute_force(spark, monkeypatch, most):
+    for name, n in most.items():
+        monkeypatch.setattr(f"trackloom.llm.common.{name}", n)
     docs, items = cases()
     table = spark.createDataFrame([(*i, 1, "x") for i in items], "item_id long, text string, h int, gram string")
     got = m.decontaminate(documents(spark, docs), table).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -27,7 +27,11 @@ def fitted(spark):
     return docs, *m.fit_text(docs)
 
 
-def test_equals_brute_force(spark, fitted):
+@pytest.mark.parametrize("rows_", [100_000, 0])
+def test_equals_brute_force(spark, fitted, monkeypatch, rows_):
+    """Whether the keys' tables are broadcast or not, some hot and some not."""
+    monkeypatch.setattr("trackloom.llm.common.BROADCAST_ROWS", rows_)
+    monkeypatch.setattr("trackloom.llm.common.HOT", 4)
     docs, langs, model = fitted
     assert langs == LANGS
     rnd = random.Random(2)
@@ -74,3 +78,40 @@ def test_empty(spark, fitted):
     empty = documents(spark, [])
     assert m.fit_text(empty)[0] == []
     assert m.identify(m.document_rows(docs), [], model).count() == docs.count()
+
+
+def test_text_model_equals_counts(spark):
+    rnd = random.Random(4)
+    rows = [(i, text(rnd, LANGS[i % 2], 5), LANGS[i % 2], "s", 1) for i in range(8)] + [(8, "é x", "bb", "s", 1), (9, None, "aa", "s", 1), (None, "zzz", "aa", "s", 1)]
+    langs, model = m.fit_text(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    for k, lang in enumerate(langs):
+        n = [0.5] * (1 << m.BITS)
+        for i, t, of, *_ in rows:
+            data = f" {t} ".encode() if i is not None and t is not None and of == lang else b""
+            for a, b, c in zip(data, data[1:], data[2:]):
+                n[((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF) >> (32 - m.BITS)] += 1
+        assert np.allclose(model[k], np.log(np.array(n) / sum(n)))
+
+
+def test_most_languages(spark, monkeypatch):
+    monkeypatch.setattr("trackloom.llm.language.LANGUAGES", 2)
+    rows = [(i, "abc def", lang, "s", 1) for i, lang in enumerate(["cc", "aa", "bb", "aa", "bb"])]
+    assert m.fit_text(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))[0] == ["aa", "bb"]
+
+
+def test_page_rows(spark):
+    pages = [
+        (1, "https://user@www.Site.co.DE:80/fr/x?q", "<HTML class=x lang='DE-at'>"),
+        (2, "http://site.com/fra/x", "<html>"),
+        (3, None, None),
+        (4, "no address", '<p lang="de">'),
+        (5, "ftp://host/en", '<html lang=x>'),
+    ]
+    got = {r["page_id"]: (r["declared"], r["suffix"], r["host"], r["domain"]) for r in m.page_rows(page_table(spark, pages)).collect()}
+    assert got == {
+        1: ("de", "de/fr", "www.site.co.de", "co.de"),
+        2: (None, "com", "site.com", "site.com"),
+        3: (None, None, "", ""),
+        4: (None, None, "", ""),
+        5: (None, "host/en", "host", ""),
+    }

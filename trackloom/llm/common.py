@@ -9,12 +9,15 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows of at most some hundred bytes: tens of MB.
+#: What may be broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32_000_000
+#: The most keys that are called hot.
+HOT = 1024
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,6 +75,22 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hot_join(rows: DataFrame, found: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` left join ``found`` (``on``, ``n`` and one column more) where a key may hold a third of all rows.
+
+    ``n`` is the rows of a key, ``total`` those of all: at most ``HOT`` keys have more than their share of ``total`` / ``HOT``, and
+    these are broadcast. Rows of theirs, and rows with a null key, are dealt out by a hash of the whole row.
+    """
+    (value,) = (c for c in found.columns if c not in (*on, n))
+    hot = found.where(F.col(n) > total / HOT).select(*on, F.col(value).alias("hot__"))
+    cold = found.where(F.col(n) <= total / HOT).select(*on, value, F.lit(-1).alias("side__"))
+    met = rows.join(F.broadcast(hot), on, "left")
+    away = F.col("hot__").isNotNull() | F.array_contains(F.array(*(F.col(c).isNull() for c in on)), True)
+    met = met.withColumn("side__", F.when(away, F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int")).otherwise(-1))
+    out = met.join(cold, [*on, "side__"], "left")
+    return out.select(*rows.columns, F.coalesce("hot__", value).alias(value))
+
+
 ARROW = {
     "long": pa.int64(),
     "int": pa.int32(),
@@ -98,9 +117,13 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(at, rows)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df``, to be broadcast if a count shows that it has up to ``rows`` rows, and whether it has. Its rows must be of a bounded size."""
-    small = df.limit(rows + 1).count() <= rows
+def bounded(df: DataFrame, size: Column | None = None) -> tuple[DataFrame, bool]:
+    """``df``, to be broadcast if it is seen to be small, and whether it is: up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes.
+
+    ``size`` gives a row's bytes; without it, rows must be of a bounded size. The check reads one row more than may be.
+    """
+    rows = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0)).alias("bytes")).first()
+    small = rows["n"] <= BROADCAST_ROWS and rows["bytes"] <= BROADCAST_BYTES
     return (F.broadcast(df) if small else df), small
 
 

@@ -8,7 +8,7 @@ start; the positional bound (it starts in the document) and the length bound (it
 come first, then the words of the document's window are compared with the item's, one by one.
 
 Documents' words are exploded within a stage; only verified hits are shuffled. Benchmark windows
-are broadcast while their count is under ``BROADCAST_ROWS``, checked each time; above, the join
+are broadcast while their rows and bytes are within the limits of ``common.bounded``, checked each time; above, the join
 is an ordinary one.
 """
 
@@ -17,12 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, table
+from .common import ASCII_LOWER, ASCII_UPPER, bounded, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Rows of at most some hundred bytes: tens of MB.
-BROADCAST_ROWS = 100_000
 
 
 def words(text: str) -> Column:
@@ -38,18 +36,22 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return grams.select(F.expr(f"slice(w, s, {window})").alias("gram"), "item_id").distinct()
 
 
-def _bounded(df: DataFrame) -> tuple[DataFrame, bool]:
-    small = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return (F.broadcast(df) if small else df), small
+def _bytes(gram: str) -> Column:
+    """Of an array of words; a word may be of any length."""
+    return F.octet_length(F.concat_ws(" ", gram)) + 32 * F.size(gram)
 
 
 def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Each distinct window with its rarest word and that word's first place in it."""
+    """Each distinct window with its rarest word and that word's first place in it.
+
+    A word that most windows hold would send them all to one task, so the counts go to the windows where the vocabulary may be broadcast.
+    """
     grams = windows.select("gram").distinct()
-    vocabulary, _ = _bounded(grams.select(F.explode("gram").alias("word")).distinct())
+    vocabulary, small = bounded(grams.select(F.explode("gram").alias("word")).distinct(), F.octet_length("word"))
     counts = (
         docs.select(F.explode(words("text")).alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
     )
+    counts = F.broadcast(counts) if small else counts  # no more words than the vocabulary's
     placed = grams.select("gram", F.posexplode("gram").alias("at", "word")).join(counts, "word", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("rarest")
     return placed.groupBy("gram").agg(rarest).select("gram", F.col("rarest.word").alias("word"), F.col("rarest.at").alias("at"))
@@ -57,7 +59,7 @@ def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """A row (doc_id, h, n_words) with null start for each document, and one for each verified hit."""
-    found, small = _bounded(prefixes(docs, windows))
+    found, small = bounded(prefixes(docs, windows), _bytes("gram"))
     held = docs.select("doc_id", F.xxhash64("text").alias("h"), words("text").alias("w"))
     wanted = found.select("word", "gram", "at")
     fits = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.size("gram") <= F.col("n_words"))
@@ -92,7 +94,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """
     windows = item_windows(items, window)
     found = hits(docs, windows)
-    listed, _ = _bounded(windows)
+    listed, _ = bounded(windows, _bytes("gram"))
     spans = F.collect_set(F.when(F.col("gram").isNotNull(), F.struct("start", F.size("gram").alias("n")))).alias("hit_spans")
     itself = F.sum(F.when(F.col("gram").isNull(), 1).otherwise(0)).alias("copies")
     rows = (
@@ -102,7 +104,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
     covered = F.expr("size(array_distinct(flatten(transform(hit_spans, x -> sequence(x.start, x.start + x.n - 1)))))")
     listed_ids = F.expr("array_join(array_sort(transform(items, x -> cast(x AS string))), ',')")
-    return rows.select(
+    rows = rows.select(
         "doc_id",
         "h",
         "n_words",
@@ -112,12 +114,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         (F.size("hit_spans") > 0).alias("contaminated"),
         "items",
         "hit_spans",
-        F.explode(F.expr("array_repeat(0, cast(copies AS int))")).alias("copy"),
-    ).drop("copy")
+        (F.col("copies") - 1).alias("more"),
+        F.explode(F.expr("sequence(0, (copies - 1) div 65536)")).alias("high"),
+    )
+    # A row for each copy, by arrays of a bounded size.
+    low = F.explode(F.expr("sequence(0, least(65535, more - high * 65536))")).alias("low")
+    return rows.select("*", low).drop("more", "high", "low")
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no window of an item."""
+    """The rows of ``docs``, with all their columns, that hold no window of an item.
+
+    Rows that repeat stay or go together; rows that share a doc_id are judged by their own texts. Null and empty texts hold
+    nothing and stay; long ones are looked at whole. Other columns, whatever their names, are kept as they are. Empty tables are allowed.
+    """
     windows = item_windows(items, window)
     found = hits(docs, windows).where(F.col("gram").isNotNull()).select("doc_id", "h").distinct().alias("f")
     held = docs.alias("d")

@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, record_batch, table
+from .common import Workspace, bounded, hot_join, record_batch, slices, table
 
 SAMPLE = 2000
 BITS = 16
 EVIDENCE = 100
+#: The most languages that are learnt: their cells are held by the driver and each worker.
+LANGUAGES = 100
 #: Weight of the broader prior, in rows.
 PRIOR_ROWS = 10.0
 MARKUP = re.compile(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
@@ -43,15 +45,19 @@ def trigrams(text: str) -> np.ndarray:
 def fit_text(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log-likelihood of each hashed trigram, a row for each language.
 
-    The tasks count trigrams by language; the driver gets the counts of 2 ** BITS cells a language.
+    The tasks count trigrams by language; the driver gets the counts of 2 ** BITS cells a language. Of the sample's languages
+    the ``LANGUAGES`` with the most documents are learnt. Rows with a null doc_id or lang don't count, null texts have no trigrams; of
+    rows that share a doc_id all count. Other columns are ignored. Without labelled rows there are no languages.
     """
     labelled = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL")
     ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    common = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
     schema = "lang string, cell int, n long"
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches, 1000):
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
                 cells = np.bincount(trigrams(text or ""), minlength=1 << BITS)
                 counts[lang] = counts.get(lang, 0) + cells
@@ -59,8 +65,7 @@ def fit_text(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarr
             cell = np.flatnonzero(n)
             yield record_batch({"lang": [lang] * len(cell), "cell": cell, "n": n[cell]}, schema)
 
-    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = texts.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
+    rows = texts.join(F.broadcast(common), "lang", "left_semi").select("lang", "text").mapInArrow(run, schema).groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in rows})
     n = np.full((len(langs), 1 << BITS), 0.5)
     for r in rows:
@@ -76,7 +81,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"),
         F.col("html").alias("text"),
         F.lower(F.nullif(F.regexp_extract("html", DECLARED, 1), F.lit(""))).alias("declared"),
-        F.concat_ws("/", F.regexp_extract(host, r"([^.]*)$", 1), F.nullif(F.lower(segment), F.lit(""))).alias("suffix"),
+        F.nullif(F.concat_ws("/", F.nullif(F.regexp_extract(host, r"([^.]*)$", 1), F.lit("")), F.nullif(F.lower(segment), F.lit(""))), F.lit("")).alias("suffix"),
         F.coalesce(host, F.lit("")).alias("host"),
         F.coalesce(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"),
         F.lit(True).alias("markup"),
@@ -106,7 +111,7 @@ def text_evidence(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataF
 
     def run(batches):
         cells = shared.value
-        for b in batches:
+        for b in slices(batches, 1000):
             loglik, own = [], []
             for text, markup in zip(b["text"].to_pylist(), b["markup"].to_pylist()):
                 g = trigrams(MARKUP.sub(" ", text or "") if markup else text or "")
@@ -121,18 +126,19 @@ def text_evidence(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataF
 
 
 def _counts(rows: DataFrame, by: list[str], name: str, n: int) -> DataFrame:
-    """For each key an array of the rows of each language."""
+    """For each key its rows, n__, and an array of those of each language."""
     each = [F.count(F.when(F.col("own") == k, 1)).cast("double") for k in range(1, n + 1)]
-    return rows.groupBy(*by).agg(F.array(*each).alias(name))
+    return rows.groupBy(*by).agg(F.array(*each).alias(name), F.count("*").alias("n__"))
 
 
 def identify(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """(doc_id, page_id, lang, probability, text_lang, posterior) for rows of ``page_rows`` or ``document_rows``.
+    """(doc_id, page_id, lang, probability, text_lang) for rows of ``page_rows`` or ``document_rows``.
 
     A row for each input row; rows that repeat are counted and answered each. A missing declaration,
     suffix or text is no evidence; hosts that are missing are one host. lang is null where the model
     has no languages. Ties go to the first language by name. Long texts count whole. An empty table
-    gives no rows.
+    gives no rows. Columns are those of ``ROW`` with text and markup in place of loglik and own; others are an error. A key's rows (a host's, a
+    declaration's) are never brought together: what they need goes to them by a broadcast, or by ``hot_join``.
     """
     n = len(langs)
     if not n:
@@ -148,16 +154,21 @@ def identify(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
         """P(value | lang) for each value of a column, with one unseen value."""
         kept = _counts(seen.where(F.col(by).isNotNull()), [by], "c", n)
         shares = [F.log((F.col("c")[k] + 0.5) / (total[k] + 1.0)) for k in range(n)]
-        return kept.select(by, F.array(*shares).alias(f"{by}_log"))
+        return kept.select(by, "n__", F.array(*shares).alias(f"{by}_log"))
 
     def left_out(name: str) -> Column:
         return F.transform(F.col(name), lambda c, k: c - F.when(k + 1 == F.col("own"), 1.0).otherwise(0.0))
 
     hosts = _counts(seen, ["domain", "host"], "at_host", n)
-    domains = _counts(seen, ["domain"], "at_domain", n)
-    # The keys' tables are joined first: rows meet each only once, and a hot key's rows can be split.
-    joined = seen.join(hosts.join(domains, "domain"), ["domain", "host"])
-    joined = joined.join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
+    domains = _counts(seen, ["domain"], "at_domain", n).drop("n__")
+    # The keys' tables are joined first, so rows meet each only once.
+    both = hosts.join(domains, "domain").select("domain", "host", "n__", F.struct("at_host", "at_domain").alias("prior__"))
+    tables = [(both, ["domain", "host"]), (likelihood("declared"), ["declared"]), (likelihood("suffix"), ["suffix"])]
+    count, joined = seen.count(), seen
+    for found, on in tables:
+        small, is_small = bounded(found, F.lit(16 * n) + F.octet_length(F.concat_ws("", *on)))
+        joined = joined.join(small.drop("n__"), on, "left") if is_small else hot_join(joined, found, on, "n__", count)
+    joined = joined.select("*", "prior__.*")
     joined = joined.select("*", left_out("at_host").alias("h"), left_out("at_domain").alias("d"))
 
     def smoothed(name: str, broader: list[Column]) -> list[Column]:
