@@ -15,11 +15,11 @@ from .sql import ALL, KEYS, LAGS, LOCAL, POSES, STEPS, _err, _errors, _norm
 SCALES = [i / 10 for i in range(5, 13)]
 
 
-def _turned(spark, d):
+def _turned(spark, d, scale=1):
     """Event poses with made-up axis-angle vectors, zero ones among them."""
     p = src.event_poses(spark, d)
     v = [((F.floor("x") % 7) - 3) * F.lit(0.2), ((F.col("y") % 5) - 2) * F.lit(0.2), ((F.col("z") % 3) - 1) * F.lit(0.2)]
-    return p.select("*", *(c.cast("double").alias(f"v{n}") for c, n in zip(v, "xyz")))
+    return p.select("*", *((c.cast("double") * scale).alias(f"v{n}") for c, n in zip(v, "xyz")))
 
 
 def rotation_errors(spark, d):
