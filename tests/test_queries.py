@@ -5,9 +5,9 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from trackloom.plans import features, motion, queries, sql
+from trackloom.plans import features, motion, queries, reports, sql
 
-QUERIES, SQL = queries.QUERIES | motion.QUERIES | features.QUERIES, sql.SQL | motion.SQL | features.SQL
+QUERIES, SQL = queries.QUERIES | motion.QUERIES | features.QUERIES | reports.QUERIES, sql.SQL | motion.SQL | features.SQL | reports.SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -79,8 +79,8 @@ def turned_sql(scale: int = 1) -> str:
     vectors = ", ".join(f"(({e}) * 0.2e0) * {scale} AS v{c}" for c, e in (("x", "(floor(x) % 7) - 3"), ("y", "(y % 5) - 2"), ("z", "(z % 3) - 1")))
     return f"""WITH {STEPS},
 v AS (SELECT *, {vectors} FROM st),
-t AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS t FROM v),
-q AS (SELECT track_id, step, k, x, y, z, cos(t / 2) AS qw, {', '.join(f'v{c} * CASE WHEN t = 0 THEN 0.5 ELSE sin(t / 2) / t END AS q{c}' for c in 'xyz')} FROM t)"""
+vt AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS t FROM v),
+q AS (SELECT track_id, step, k, x, y, z, cos(t / 2) AS qw, {', '.join(f'v{c} * CASE WHEN t = 0 THEN 0.5 ELSE sin(t / 2) / t END AS q{c}' for c in 'xyz')} FROM vt)"""
 
 
 def _list(name: str, columns: dict[str, str]) -> str:

@@ -75,8 +75,9 @@ def sweep_metrics(spark, d):
 
 def chosen_model_errors(spark, d):
     """Errors of three ways to choose a model: always the quadratic one, the previous frame's best, this frame's best."""
-    e = pr.long_errors(pr.errors(src.event_poses(spark, d), FIVE))
-    best = ev.best_model(e).select(*pr.KEYS, "k", F.col("ordinal").alias("best"), F.lag("ordinal", 1, 0).over(pr.order()).alias("last"))
+    wide = pr.errors(src.event_poses(spark, d), FIVE)
+    e = pr.long_errors(wide)
+    best = ev.best_model(wide, FIVE).select(*pr.KEYS, "k", F.col("ordinal").alias("best"), F.lag("ordinal", 1, 0).over(pr.order()).alias("last"))
     both = e.join(best, [*pr.KEYS, "k"])
     ways = {"quadratic": F.col("model") == "ACC_DEG2", "causal": F.col("ordinal") == F.col("last"), "best": F.col("ordinal") == F.col("best")}
     named = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in ways.items())))).alias("way")

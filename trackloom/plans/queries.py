@@ -52,15 +52,15 @@ def track_scores(spark, d):
 
 
 def best_models(spark, d):
-    return ev.best_model(_long(spark, d, FIVE)).select(*pr.KEYS, "k", "model", r6("err"))
+    return ev.best_model(pr.errors(_poses(spark, d), FIVE), FIVE).select(*pr.KEYS, "k", "model", r6("err"))
 
 
 def best_model_counts(spark, d):
-    return ev.best_model(_long(spark, d, FIVE)).groupBy("step", "model").agg(F.count("*").alias("n"), r6(F.avg("err"), "mean_err"))
+    return ev.best_model(pr.errors(_poses(spark, d), FIVE), FIVE).groupBy("step", "model").agg(F.count("*").alias("n"), r6(F.avg("err"), "mean_err"))
 
 
 def previous_best_label(spark, d):
-    best = ev.best_model(_long(spark, d, FIVE))
+    best = ev.best_model(pr.errors(_poses(spark, d), FIVE), FIVE)
     return best.select(*pr.KEYS, "k", F.lag("ordinal").over(pr.order()).alias("last_label"))
 
 
@@ -93,7 +93,7 @@ def score_table(spark, d):
 
 
 def mean_error_by_step_and_all(spark, d):
-    e = ev.best_model(_long(spark, d, FIVE))
+    e = ev.best_model(pr.errors(_poses(spark, d), FIVE), FIVE)
     return e.rollup("step").agg(r6(F.avg("err"), "mean_err"), F.count("*").alias("n"))
 
 
@@ -125,16 +125,19 @@ def smoothed(spark, d):
 
 def frame_gaps(spark, d):
     w = Window.partitionBy("track_id").orderBy("frame")
-    kept = _poses(spark, d).where("(frame * 7) % 5 <> 3")
+    # Frames by the day of the track: days without an event are gaps.
+    day = F.datediff(F.to_date("ts"), F.min(F.to_date("ts")).over(Window.partitionBy("user_id"))).cast("long")
+    kept = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("track_id"), day.alias("frame")).distinct()
     return kept.select("track_id", "frame", (F.col("frame") - F.lag("frame", 1).over(w)).alias("gap")).select("track_id", "frame", F.coalesce("gap", F.lit(0)).alias("gap"))
 
 
 def sub_sequences(spark, d):
-    """Range join: frames and the bounds [low, high) of their track's parts."""
-    p = _poses(spark, d)
+    """Range join: frames and the bounds [low, high) of their track's parts, which meet by tens of frames, so that a frame meets a part or two."""
+    p = _poses(spark, d).withColumn("ten", F.expr("frame div 10"))
     bounds = p.groupBy("track_id").agg(F.max("frame").alias("last")).select("track_id", F.explode(F.sequence(F.lit(0), F.expr("last div 20"))).alias("part"))
     bounds = bounds.select("track_id", "part", (F.col("part") * 20).alias("low"), (F.col("part") * 20 + 20).alias("high"))
-    joined = p.join(bounds, "track_id").where("frame >= low AND frame < high")
+    bounds = bounds.select("*", F.explode(F.sequence(F.expr("low div 10"), F.expr("(high - 1) div 10"))).alias("ten"))
+    joined = p.join(bounds, ["track_id", "ten"]).where("frame >= low AND frame < high")
     return joined.groupBy("track_id", "part").agg(F.count("*").alias("n"), r6(F.avg("x"), "mean_x"))
 
 
@@ -153,16 +156,27 @@ def track_bounds(spark, d):
 
 
 def ratio_distribution(spark, d):
+    """Of a ratio: its spread, and the share of rows under some values, which takes no group's values together as a median would."""
     k = pr.kinematics(_poses(spark, d)).where("vel_bcs_ratio IS NOT NULL")
     c = "vel_bcs_ratio"
-    return k.groupBy("step").agg(r6(F.avg(c), "mean"), r6(F.min(c), "least"), r6(F.max(c), "most"), r6(F.percentile(c, 0.5), "median"), r6(F.stddev_pop(c), "std"))
+    under = [r6(F.avg((F.col(c) < t).cast("int")), f"under_{n}") for n, t in (("0", 0.0), ("half", 0.5), ("1", 1.0))]
+    return k.groupBy("step").agg(r6(F.avg(c), "mean"), r6(F.min(c), "least"), r6(F.max(c), "most"), r6(F.stddev_pop(c), "std"), *under)
 
 
 def error_histogram(spark, d):
-    e = _long(spark, d, FIVE).where("step = 1")
-    top = e.groupBy("model").agg(F.percentile("err", 0.9).alias("p")).agg(F.max("p").alias("top"))
-    cells = e.crossJoin(F.broadcast(top)).where("err >= 0 AND err < top").select("model", F.floor(F.col("err") / F.col("top") * 35).cast("int").alias("bin"))
-    return cells.groupBy("model", "bin").agg(F.count("*").alias("n"))
+    """Density of each model's errors in 35 equal bins, up to the largest of the models' 90th percentiles.
+
+    Percentiles come from a histogram of 10,000 bins up to the largest error, not from all errors in one place.
+    """
+    e = _long(spark, d, FIVE).select("step", "model", "err")
+    top = F.broadcast(e.groupBy("step").agg(F.max("err").alias("largest")))
+    fine = e.join(top, "step").groupBy("step", "model", "largest", F.floor(F.col("err") / F.col("largest") * 10000).alias("cell")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("step", "model")  # at most 10,001 rows
+    upto = fine.select("*", F.sum("n").over(w.orderBy("cell")).alias("upto"), F.sum("n").over(w).alias("total"))
+    ends = upto.where("upto >= 0.9 * total").groupBy("step", "model").agg(F.min(F.col("largest") * (F.col("cell") + 1) / 10000).alias("p")).groupBy("step").agg(F.max("p").alias("top"))
+    cells = e.join(F.broadcast(ends), "step").where("err >= 0 AND err < top").groupBy("step", "model", "top", F.floor(F.col("err") / F.col("top") * 35).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("step", "model"))
+    return cells.select("step", "model", "bin", "n", F.round(F.col("n") / total / (F.col("top") / 35), 6).alias("density"))
 
 
 def turn_fit(spark, d):
@@ -174,9 +188,9 @@ def turn_fit(spark, d):
 
 
 def standard_scaling(spark, d):
-    k = pr.kinematics(_poses(spark, d)).where("step = 1")
-    fitted = k.where("track_id % 5 <> 0").agg(F.avg("speed").alias("m"), F.stddev_pop("speed").alias("s"))
-    return k.crossJoin(F.broadcast(fitted)).select("track_id", "k", r6((F.col("speed") - F.col("m")) / F.col("s"), "scaled"))
+    k = pr.kinematics(_poses(spark, d))
+    fitted = k.where("track_id % 5 <> 0").groupBy("step").agg(F.avg("speed").alias("m"), F.stddev_pop("speed").alias("s"))
+    return k.join(F.broadcast(fitted), "step").select("track_id", "step", "k", r6((F.col("speed") - F.col("m")) / F.col("s"), "scaled"))
 
 
 def feature_correlation(spark, d):
@@ -190,19 +204,17 @@ def feature_correlation(spark, d):
 
 def track_split(spark, d):
     """ceil(0.2 n) test and ceil(0.15 n) validation tracks in the order of a hash; the rest trains."""
-    ids = _poses(spark, d).select("track_id").distinct()
-    w = Window.orderBy((F.col("track_id") * 2654435761) % 4294967296, "track_id")  # the tracks' dimension, not their rows
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    at = ids.select("track_id", F.row_number().over(w).alias("i"), n.alias("n"))
-    test = F.ceil(F.col("n") * 0.2)
-    val = test + F.ceil(F.col("n") * 0.15)
-    return at.select("track_id", F.when(F.col("i") <= test, "test").when(F.col("i") <= val, "validation").otherwise("train").alias("split"))
+    return ev.split_groups(_poses(spark, d).select("track_id").distinct(), "track_id")
 
 
 def compare_results(spark, d):
-    """Two stored results: rows on one side only, and the largest difference of each metric; nulls equal nulls."""
-    a = ev.scores(_long(spark, d, FIVE)).where("track_id % 7 <> 0").select("track_id", "step", "model", "score", "mean_err")
-    b = ev.scores(_long(spark, d, FIVE)).where("track_id % 11 <> 0").select("track_id", "step", "model", (F.col("score") * 1.5).alias("score2"), F.col("mean_err").alias("mean_err2"))
+    """Two stored results: rows on one side only, and the largest difference of each metric; nulls equal nulls.
+
+    The results are the track scores of steps 1 and 2, and of steps 2 and 3 with the threshold at 30.
+    """
+    e = _long(spark, d, FIVE)
+    a = ev.scores(e.where("step < 3")).select("track_id", "step", "model", "score", "mean_err")
+    b = ev.scores(e.where("step > 1"), 30.0).select("track_id", "step", "model", F.col("score").alias("score2"), F.col("mean_err").alias("mean_err2"))
     both = a.join(b, ["track_id", "step", "model"], "full_outer")
     left = F.sum(F.when(F.col("score2").isNull(), 1).otherwise(0)).alias("only_left")
     right = F.sum(F.when(F.col("score").isNull(), 1).otherwise(0)).alias("only_right")

@@ -143,22 +143,27 @@ FROM c, range(0, 21) r(t) GROUP BY ALL""",
 f AS (SELECT {KEYS}, coalesce(sqrt((x-x1)*(x-x1)+(y-y1)*(y-y1)) < 30, false) OR k < 2 AS f FROM h)
 SELECT {KEYS}, k - max(CASE WHEN f THEN k END) OVER (PARTITION BY track_id, step ORDER BY k) AS rows_since FROM f""",
     "smoothed": f"WITH {LAGS} SELECT {KEYS}, round(0.5*x+0.3*x1+0.2*x2, 6) AS smooth_x FROM h",
-    "frame_gaps": f"""WITH {POSES} SELECT track_id, frame, frame - lag(frame, 1, frame) OVER (PARTITION BY track_id ORDER BY frame) AS gap
-FROM p WHERE (frame * 7) % 5 <> 3""",
+    "frame_gaps": """WITH d AS (SELECT DISTINCT user_id AS track_id, date_diff('day', min(CAST(ts AS DATE)) OVER (PARTITION BY user_id), CAST(ts AS DATE)) AS frame FROM events)
+SELECT track_id, frame, frame - lag(frame, 1, frame) OVER (PARTITION BY track_id ORDER BY frame) AS gap FROM d""",
     "sub_sequences": f"WITH {POSES} SELECT track_id, frame // 20 AS part, count(*) AS n, round(avg(x), 6) AS mean_x FROM p GROUP BY ALL",
     "tracker_errors": f"""WITH {POSES} SELECT track_id, count(*) AS n, count(*) FILTER (frame % 3 = 1) AS n_calc,
 round(avg(abs(x + 0.5 - x)) FILTER (frame % 3 = 1), 6) AS mean_diff FROM p GROUP BY 1""",
     "track_bounds": f"WITH {POSES} SELECT track_id, " + ", ".join(f"{n}({c}) AS {n}_{c}" for c in "xyz" for n in ("min", "max")) + ", count(*) AS n FROM p GROUP BY 1",
     "ratio_distribution": f"""{KIN} SELECT step, round(avg(vel_bcs_ratio), 6) AS mean, round(min(vel_bcs_ratio), 6) AS least, round(max(vel_bcs_ratio), 6) AS most,
-round(quantile_cont(vel_bcs_ratio, 0.5), 6) AS median, round(stddev_pop(vel_bcs_ratio), 6) AS std FROM kin WHERE vel_bcs_ratio IS NOT NULL GROUP BY 1""",
-    "error_histogram": f"""{_errors(FIVE)}, top AS (SELECT max(q) AS top FROM (SELECT quantile_cont(err, 0.9) AS q FROM l WHERE step = 1 GROUP BY model))
-SELECT model, CAST(floor(err / top * 35) AS INT) AS bin, count(*) AS n FROM l, top WHERE step = 1 AND err < top GROUP BY ALL""",
+round(stddev_pop(vel_bcs_ratio), 6) AS std, {", ".join(f"round(avg(CAST(vel_bcs_ratio < {t} AS INT)), 6) AS under_{n}" for n, t in (("0", 0), ("half", 0.5), ("1", 1)))}
+FROM kin WHERE vel_bcs_ratio IS NOT NULL GROUP BY 1""",
+    "error_histogram": f"""{_errors(FIVE)}, g AS (SELECT step, max(err) AS largest FROM l GROUP BY 1),
+c AS (SELECT step, model, largest, floor(err / largest * 10000) AS cell, count(*) AS n FROM l JOIN g USING (step) GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY step, model ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY step, model) AS total FROM c),
+p9 AS (SELECT step, max(p) AS top FROM (SELECT step, model, min(largest * (cell + 1) / 10000) AS p FROM u WHERE upto >= 0.9 * total GROUP BY ALL) GROUP BY 1),
+b9 AS (SELECT step, model, top, CAST(floor(err / top * 35) AS INT) AS bin, count(*) AS n FROM l JOIN p9 USING (step) WHERE err < top GROUP BY ALL)
+SELECT step, model, bin, n, round(n / sum(n) OVER (PARTITION BY step, model) / (top / 35), 6) AS density FROM b9""",
     "turn_fit": f"""{KIN}, r AS (SELECT step, lag(turn, 2) OVER w AS a, lag(turn) OVER w AS b, turn AS c FROM kin WINDOW w AS (PARTITION BY track_id, step ORDER BY k)),
 f AS (SELECT step, CAST(floor(a / 0.1) AS INT) AS bin, count(*) AS n, regr_slope(c, b) AS slope, regr_intercept(c, b) AS intercept
       FROM r WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY 1, 2)
 SELECT step, bin, n, round(slope, 4) AS slope, round(intercept, 4) AS intercept FROM f WHERE n > 1 AND abs(slope) < 2""",
-    "standard_scaling": f"""{KIN}, f AS (SELECT avg(speed) AS m, stddev_pop(speed) AS s FROM kin WHERE step = 1 AND track_id % 5 <> 0)
-SELECT track_id, k, round((speed - m) / s, 6) + 0.0 AS scaled FROM kin, f WHERE step = 1""",
+    "standard_scaling": f"""{KIN}, f AS (SELECT step, avg(speed) AS m, stddev_pop(speed) AS s FROM kin WHERE track_id % 5 <> 0 GROUP BY 1)
+SELECT track_id, step, k, round((speed - m) / s, 6) + 0.0 AS scaled FROM kin JOIN f USING (step)""",
     "feature_correlation": KIN + ", c AS (SELECT * FROM kin WHERE turn IS NOT NULL AND vel_bcs_ratio IS NOT NULL) "
     + " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r, abs(corr({a}, {b})) > 0.7 AS collinear FROM c"
@@ -167,9 +172,10 @@ SELECT track_id, k, round((speed - m) / s, 6) + 0.0 AS scaled FROM kin, f WHERE
     "track_split": """WITH i AS (SELECT track_id, row_number() OVER (ORDER BY (track_id * 2654435761) % 4294967296, track_id) AS i, count(*) OVER () AS n
   FROM (SELECT DISTINCT user_id AS track_id FROM events))
 SELECT track_id, CASE WHEN i <= ceil(n * 0.2) THEN 'test' WHEN i <= ceil(n * 0.2) + ceil(n * 0.15) THEN 'validation' ELSE 'train' END AS split FROM i""",
-    "compare_results": f"""{_errors(FIVE)}{SCORES}
-SELECT count(*) FILTER (track_id % 7 <> 0 AND track_id % 11 = 0) AS only_left, count(*) FILTER (track_id % 7 = 0 AND track_id % 11 <> 0) AS only_right,
-       round(max(score * 0.5) FILTER (track_id % 7 <> 0 AND track_id % 11 <> 0), 6) AS score_diff, 0.0 AS err_diff FROM s""",
+    "compare_results": f"""{_errors(FIVE)}{SCORES}, a AS (SELECT * FROM s WHERE step < 3),
+b AS (SELECT track_id, step, model, avg(CAST(err <= 30 AS INT)) AS score2, avg(err) AS mean_err2 FROM l WHERE step > 1 GROUP BY ALL)
+SELECT count(*) FILTER (score2 IS NULL) AS only_left, count(*) FILTER (score IS NULL) AS only_right,
+       round(max(abs(score - score2)), 6) AS score_diff, round(max(abs(mean_err - mean_err2)), 6) AS err_diff FROM a FULL JOIN b USING (track_id, step, model)""",
     "short_names": f"""WITH {TRACKS} SELECT DISTINCT body_name, seq_name, CASE WHEN length(body_name) < 11 THEN body_name ELSE body_name[1:8] || '...' END AS body_short,
 array_to_string(list_transform(string_split(seq_name, '_'), lambda w: w[1] || CASE WHEN w[-1:] IN ('1', '2') THEN w[-1:] ELSE '' END), '_') AS seq_short FROM tr""",
     "best_model_per_sequence": f"""{_errors(FIVE)}, q AS (SELECT step, CAST(track_id % 22 AS INT) AS seq, model, sum(err) AS s, count(*) AS n FROM l GROUP BY ALL)
