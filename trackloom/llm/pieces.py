@@ -34,8 +34,8 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 #: Outcomes kept by a task, and texts looked at together.
-KEPT = 150_000
-BATCH = 250
+KEPT = 250_000
+BATCH = 500
 #: Words of up to this many characters have fewer than 64 candidates: one for each pair, and two more for each merge. Longer ones are not kept.
 SHORT = 21
 
