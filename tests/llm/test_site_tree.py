@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -74,6 +75,10 @@ def test_odd_markup():
         ("<p>" * 300 + "deep", "deep"),
         ("<span>a</span><span>b</span>c", "abc"),
         ("<div class=sidebarx>kept</div><div class=leftSidebar>gone</div>", "kept"),
+        ("<p>whole</p><title>never closed<p>rest", "whole never closed rest"),
+        ("<p>text<a href='cut off", "text"),
+        ("<p class='a' class=ad>first counts</p><p id = ad>gone", "first counts"),
+        ("<p hidden>no</p><p hidden=until-found>yes</p>", "yes"),
     ]:
         *_, blocks = m.describe(page)
         assert m.main_text(blocks, [1.0] * 400) == want, page
@@ -96,7 +101,7 @@ def test_repeated_branches_leave_articles(spark):
 def test_classes_with_slashes():
     for page in ["<html><body><div class=w-1/2><p>a<b class='md:w-2/3 basis-1/3'>b</b></p></div></body></html>", "<div class=/>ab</div>", "<div class='x/p.'><p>ab"]:
         node, _, _, blocks = m.describe(page)
-        assert m.main_text(blocks, [1.0] * 9) == "ab" and max(blocks[0][1]) < len(node) == len(set(node))
+        assert m.main_text(blocks, [1.0] * 9) == "ab" and max(blocks[0]) < len(node) == len(set(node))
 
 
 def test_wrappers_named_like_noise_keep_the_article():
@@ -110,3 +115,60 @@ def test_wrappers_named_like_noise_keep_the_article():
     assert m.main_text(blocks, [1.0] * 40) == "Own text"
     *_, blocks = m.describe("<div class=widget><p>Same everywhere</p></div>")
     assert m.main_text(blocks, [0.05] * 40) == ""
+
+
+def test_attributes_that_only_look_like_noise():
+    for start in ['<div style="overflow:hidden">', '<p aria-hidden="false">', '<p title="a hidden gem">', '<p data-id="share-7">', '<p class="share-price">', '<p class="comments-on-law">', "<p title=\"class='ad'\">"]:
+        *_, blocks = m.describe(f"<article><p>Before the part</p>{start}The part itself</p></div></article>")
+        assert m.main_text(blocks, [1.0] * 9) == "Before the part The part itself", start
+
+
+def test_broken_and_deep_pages_take_time_in_proportion():
+    n = 100_000
+    began = time.monotonic()
+    for page in ["<a " * n * 3, "<div>" * n, "<div>x" * n, "<p><button>" + "<div>" * n, "<div>" * n + "</span>" * n, "<div>" * n + "<li>" * n, '<a b="' * n + ">", "<a '" * n + "'>'",
+                 "<title>" * n, "<!--" * n, "<" * n, "<div class=ad>x" * n, "</" * n + ">", "<ul>" + "<li><div>" * n]:
+        m.main_text(m.describe(page)[-1], [1.0] * 4 * n)
+    assert time.monotonic() - began < 60
+
+
+def test_whole_texts_equal_a_plain_site_tree(spark):
+    """The operator against nested loops over pages, ancestors and forms."""
+    rnd = random.Random(8)
+    pages = []
+    for i in range(90):
+        parts = [f"<div class=s{rnd.randrange(3)}><p>own {rnd.random()}</p></div>" for _ in range(rnd.randrange(1, 4))]
+        parts.insert(rnd.randrange(len(parts) + 1), "<div class=box><p>Same note</p><i>again</i></div>")
+        body = "".join(parts)
+        pages.append((i, f"http://h{i % 3 // 2}.org/", f"<body><article>{body}</article></body>" if i % 2 else f"<body>{body}<div class=menu-like>{rnd.choice('ab')}</div></body>"))
+    trees = [m.parse(p) for _, _, p in pages]
+
+    def path(nodes, i):
+        return [] if not i else [*path(nodes, nodes[i].parent), nodes[i].path]
+
+    forms: dict = {}
+    for (_, url, _), (nodes, blocks) in zip(pages, trees):
+        for key in {n.path for n in nodes[1:]}:
+            shape = [c for n in nodes[1:] if n.path == key for j, c in enumerate(n.children) if not j or n.children[j - 1] != c]
+            content = sorted(t for i, t in blocks if key in path(nodes, i))
+            for kind, form in (("shape", shape), ("content", content)):
+                forms.setdefault((url, key), {}).setdefault(kind, []).append(str(form))
+
+    def score(url, key):
+        h, n = 0.0, 0
+        for kind in ("shape", "content"):
+            c = Counter(forms[url, key][kind])
+            n = sum(c.values())
+            h = max(h, -sum(x / n * math.log(x / n, n) for x in c.values()) if n > 1 else 1.0)
+        return (h * n + m.FEW_PAGES) / (n + m.FEW_PAGES)
+
+    want = []
+    for (i, url, _), (nodes, blocks) in zip(pages, trees):
+        kept = []
+        for k, t in blocks:
+            scores = [score(url, key) for key in path(nodes, k)]
+            if scores[-1] + m.PRIOR >= m.LEAST if nodes[k].main else min(scores) >= m.LEAST:
+                kept.append(t)
+        want.append((i, url, " ".join(kept), len(" ".join(kept))))
+    assert text(table(spark, pages)) == sorted(want, key=str)
+    assert any("Same note" not in w[2] and w[2] for w in want)

@@ -10,7 +10,7 @@ own node only, and the article raises that by ``PRIOR``, so it takes more pages
 
 Importance says nothing of a menu or an advert that differs from page to page, so nodes whose tag, role,
 class or id names such a part are of no importance either. Where pages have an article or main
-element, text outside it is of none. A keyword in a class or id is weaker than a tag: an element that holds over
+element, text outside it is of none. A name counts only if all its parts are such words or say nothing, and is weaker than a tag: an element that holds over
 half of the page's text is a wrapper whatever its name, and stays as far as its importance confirms it, unless it
 holds comments, or an article stands outside such elements.
 
@@ -66,119 +66,192 @@ NOISE_WORDS = set(
     "notification nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments disqus "
     "respond replies reply share sharing social related recommended newsletter subscribe signup login popup modal overlay pagination pager widget".split()
 )
+#: Words that leave a name what the noise words in it make it, as in ad-slot; any other one makes it a name of something else, as in share-price.
+GENERIC_WORDS = set(
+    "area bar block body bottom box btn button buttons container content entry footer form group header icon icons inner item items left link links list "
+    "main module open outer page panel post posts right row section site slot small top unit wrap wrapper global fixed sticky primary secondary".split()
+)
 COMMENT_WORDS = set("comment comments disqus respond replies reply".split())
 #: Classes that tell a page's state, as has-sidebar or no-ads.
 STATE = re.compile(r"(?:has|have|with|without|no|not|is)[-_]", re.I)
 MAIN_TAGS = {"article", "main"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+MARK = re.compile(r"<(?:(!--)|([!?])|/([a-zA-Z][^\s/>]*)|([a-zA-Z][^\s/>]*))")
+#: An attribute of a tag, from where the last one ended; a quote without an end is a letter of a plain value.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)?(\s*=\s*)?")
+PLAIN = re.compile(r"[^\s>]*")
+LOOKED_AT = {"class", "id", "role", "hidden"}
 SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Raw elements without an end tag: these end at once, the others with the page.
+SHORT_RAW = {"title", "textarea", "noscript", "noembed", "noframes"}
+
+
+class Tags:
+    """A page's tags, found in one pass: no part of the page is looked at again, however broken its markup is."""
+
+    def __init__(self, page: str):
+        self.page, self.n = page, len(page)
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.unclosed: set[str] = set()
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """Those of ``LOOKED_AT``, the first of each name, and the place after the tag's end; the page's length if it has none."""
+        page, found = self.page, {}
+        while at < self.n and page[at] != ">":
+            m = ATTRIBUTE.match(page, at)
+            name, value = m[1], ""
+            start, at = at, m.end()
+            if m[2]:
+                quote = page[at : at + 1]
+                if quote in ("'", '"') and quote and self.last[quote] > at:
+                    end = page.index(quote, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    value = PLAIN.match(page, at)[0]
+                    at += len(value)
+            if name and name.lower() in LOOKED_AT:
+                found.setdefault(name.lower(), html.unescape(value))
+            at = max(at, start + 1)
+        return found, at + 1 if at < self.n else self.n
+
+    def after_raw(self, tag: str, at: int) -> int:
+        """The place after the end tag of a raw element that begins at ``at``."""
+        end = None if tag in self.unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(self.page, at)
+        if end:
+            return end.end()
+        self.unclosed.add(tag)
+        return at if tag in SHORT_RAW else self.n
 
 
 class Node:
-    #: noise by tag, role or comments; named: the numbers of the elements at and above this that keywords name, and whether each is in an article.
-    __slots__ = ("tag", "parent", "path", "noise", "named", "children", "main")
+    #: noise: by tag, role or comments; named: the nearest element at or above this that a keyword names, or 0; inner: whether that lies in an article.
+    __slots__ = ("tag", "parent", "path", "noise", "named", "inner", "children", "main")
 
-    def __init__(self, tag: str, parent: int | None, path: int, noise: bool, named: tuple[tuple[int, bool], ...], main: bool):
-        self.tag, self.parent, self.path, self.noise, self.named, self.main, self.children = tag, parent, path, noise, named, main, []
+    def __init__(self, tag: str, parent: int, path: int, noise: bool, named: int, inner: bool, main: bool):
+        self.tag, self.parent, self.path, self.noise, self.named, self.inner, self.main, self.children = tag, parent, path, noise, named, inner, main, []
 
 
-def _node(nodes: list[Node], above: int, tag: str, attributes: str) -> Node:
+def _node(nodes: list[Node], above: int, tag: str, found: dict[str, str]) -> Node:
     parent = nodes[above]
-    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     names = [c for k in ("class", "id") for c in found.get(k, "").split() if not STATE.match(c)]
-    words = {w for c in names for x in (c, CAMEL.sub("-", c)) for w in SPLIT.split(x.lower())}
+    parts = [{w for w in SPLIT.split(x.lower()) if w} for c in names for x in {c, CAMEL.sub("-", c)}]
+    words = {w for p in parts if p & NOISE_WORDS and p <= NOISE_WORDS | GENERIC_WORDS for w in p}
     main = tag in MAIN_TAGS or found.get("role", "").lower() == "main"
     within = parent.main
-    noise = tag in NOISE_TAGS or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found
+    hidden = found.get("hidden", "until-found").lower() not in ("until-found", "false")
+    noise = tag in NOISE_TAGS or found.get("role", "").lower() in NOISE_ROLES or hidden
     noise = noise or tag == "header" and not within or parent.noise
     keyword = bool(words & NOISE_WORDS) and tag not in ("html", "body") and not main
     noise = noise or keyword and bool(words & COMMENT_WORDS)
-    named = parent.named + ((len(nodes), within),) if keyword else parent.named
+    named, inner = (len(nodes), within) if keyword else (parent.named, parent.inner)
     # The path is a hash of the parent's and this one's tag and classes, so deep markup has no long paths.
     path = _hash(f"{parent.path}/{tag}.{'.'.join(sorted(found.get('class', '').lower().split()))}")
     # A main element inside a noisy one, as in a comment's article, is not the page's.
-    return Node(tag, above, path, noise, named, (main or within) and not noise)
+    return Node(tag, above, path, noise, named, inner, (main or within) and not noise)
+
+
+class Open:
+    """The open elements, and where those of a tag, or of a group of tags, lie among them."""
 
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.stack = nodes, [0]
+        self.of_tag: dict[str, list[int]] = {}
 
-def _kind(node: Node) -> tuple:
-    return node.noise, node.named, node.main
+    def push(self, number: int) -> None:
+        self.of_tag.setdefault(self.nodes[number].tag, []).append(len(self.stack))
+        self.stack.append(number)
+
+    def nearest(self, tags: set[str]) -> int:
+        """The place of the innermost open element of these tags; 0 if none is open."""
+        return max((self.of_tag[t][-1] for t in tags if self.of_tag.get(t)), default=0)
+
+    def close(self, k: int) -> bool:
+        """Closes the elements from place k on; tells whether one makes a block."""
+        block = False
+        while len(self.stack) > k:
+            tag = self.nodes[self.stack.pop()].tag
+            self.of_tag[tag].pop()
+            block = block or tag in BLOCK
+        return block
 
 
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements in page order, and blocks of text: the number of the element and the text, in page order.
 
-    An unclosed element ends with its parent; a stray end tag is ignored. Text between blocks of the
-    same element makes blocks of its own.
+    An unclosed element ends with its parent; a stray end tag is ignored, and a tag that the page's end cuts off is no text. Text between
+    blocks of the same element makes blocks of its own. Takes time in proportion to the page, however deep or broken it is.
     """
     page = page or ""
-    nodes = [Node("", None, 0, False, (), False)]
-    stack, number = [0], {0: 0}
+    nodes = [Node("", 0, 0, False, 0, True, False)]
+    tags, open_ = Tags(page), Open(nodes)
     blocks: list[tuple[int, list[str]]] = []
-    open_block = False
+    open_block, kind = False, None
 
     def text(piece: str) -> None:
-        nonlocal open_block
+        nonlocal open_block, kind
         # A block belongs to its nearest block element; inline elements are part of it, noisy ones apart.
-        at = stack[-1]
-        if not open_block or _kind(nodes[blocks[-1][0]]) != _kind(nodes[at]):
+        at = open_.stack[-1]
+        here = (nodes[at].noise, nodes[at].named, nodes[at].main)
+        if not open_block or kind != here:
             blocks.append((at, []))
-            open_block = True
+            open_block, kind = True, here
         blocks[-1][1].append(piece)
 
     def close(k: int) -> None:
         nonlocal open_block
-        if any(nodes[i].tag in BLOCK for i in stack[k:]):
+        if open_.close(k):
             open_block = False
-        del stack[k:]
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        start = m.start() if m else n
-        if start > at:
-            text(page[at:start])
+
+    at, from_ = 0, 0
+    while at < tags.n:
+        m = MARK.search(page, at)
         if not m:
             break
-        at = m.end()
+        if m.start() > from_:
+            text(page[from_ : m.start()])
+        if m[1] is None and tags.last[">"] < m.end():
+            from_ = tags.n
+            break
         if m[1]:
-            tag = m[1].lower()
-            k = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag), None)
-            if k is not None:
-                close(k)
-            elif tag in ("br", "p"):
-                open_block = False
-        elif m[2]:
-            tag = m[2].lower()
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else tags.n
+        elif m[2] or m[3]:
+            at = page.index(">", m.end()) + 1
+            if m[3]:
+                tag = m[3].lower()
+                if open_.of_tag.get(tag):
+                    close(open_.of_tag[tag][-1])
+                elif tag in ("br", "p"):
+                    open_block = False
+        else:
+            tag = m[4].lower()
+            found, at = tags.attributes(m.end())
+            if at == tags.n and page[-1] != ">":
+                from_ = at
+                break
             if tag in BLOCK:
                 open_block = False
                 if tag != "br":
-                    k = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == "p" or nodes[stack[k]].tag in P_STOPS), None)
-                    if k is not None and nodes[stack[k]].tag == "p":
+                    k = open_.nearest({"p"} | P_STOPS)
+                    if k and nodes[open_.stack[k]].tag == "p":
                         close(k)
             if tag in CLOSES:
                 same, stops = CLOSES[tag]
-                k = len(stack) - 1
-                lowest = None
-                while k > 0 and nodes[stack[k]].tag not in stops:
-                    if nodes[stack[k]].tag in same:
-                        lowest = k
-                    k -= 1
-                if lowest is not None:
+                stop = open_.nearest(stops)
+                lowest = min((k for t in same if (k := next((k for k in open_.of_tag.get(t, ())[::-1] if k > stop), 0))), default=0)
+                if lowest:
                     close(lowest)
-            node = _node(nodes, stack[-1], tag, m[3])
-            nodes[stack[-1]].children.append(tag)
-            nodes.append(node)
-            if tag in VOID:
-                continue
+            number, above = len(nodes), open_.stack[-1]
+            nodes.append(_node(nodes, above, tag, found))
+            nodes[above].children.append(tag)
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
-                continue
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "path"):
-                stack.append(len(nodes) - 1)
+                at = tags.after_raw(tag, at)
+            elif tag not in VOID and not (tag in ("svg", "path") and page[at - 2] == "/"):
+                open_.push(number)
+        from_ = at
+    if from_ < tags.n:
+        text(page[from_:])
     return nodes, [(i, t) for i, parts in blocks if (t := " ".join(html.unescape("".join(parts)).split()))]
 
 
@@ -188,40 +261,51 @@ def _hash(text: str) -> int:
 
 def noisy(nodes: list[Node], blocks: list[tuple[int, str]]) -> list[bool]:
     """Of each block whether it lies in noise, by tags or by names of elements that are no wrappers of the page's text."""
-    held, total, clear = {}, 0, False
+    named = [k for k in range(1, len(nodes)) if nodes[k].named == k]
+    up = {k: nodes[nodes[k].parent].named for k in named}
+    all_inner = {0: True}
+    for k in named:
+        all_inner[k] = nodes[k].inner and all_inner[up[k]]
+    held, total, clear = dict.fromkeys([0, *named], 0), 0, False
     for i, text in blocks:
         if not nodes[i].noise:
             total += len(text)
-            clear = clear or nodes[i].main and all(inner for _, inner in nodes[i].named)
-            for k, _ in nodes[i].named:
-                held[k] = held.get(k, 0) + len(text)
-    return [nodes[i].noise or any(2 * held[k] <= total or clear and not inner for k, inner in nodes[i].named) for i, _ in blocks]
+            clear = clear or nodes[i].main and all_inner[nodes[i].named]
+            held[nodes[i].named] += len(text)
+    for k in reversed(named):
+        held[up[k]] += held[k]
+    bad = {0: False}
+    for k in named:
+        bad[k] = bad[up[k]] or 2 * held[k] <= total or clear and not nodes[k].inner
+    return [nodes[i].noise or bad[nodes[i].named] for i, _ in blocks]
 
 
-def describe(page: str | None) -> tuple[list[int], list[int], list[int], list]:
-    """Of a page's distinct nodes the hash of path, shape and content; and its blocks as (text, nodes above, noise, main)."""
+def describe(page: str | None) -> tuple[list[int], list[int], list[int], tuple[list[int], list]]:
+    """Of a page's distinct nodes the hash of path, shape and content; the number of each one's parent, and the blocks as (text, node, noise, main).
+
+    A node's content are the texts at and below it, whatever their order.
+    """
     nodes, blocks = parse(page)
     numbers: dict[int, int] = {}
     shapes: list[list[str]] = []
+    parents: list[int] = []
     for node in nodes[1:]:
         k = numbers.setdefault(node.path, len(numbers))
         if k == len(shapes):
             shapes.append([])
+            parents.append(numbers[nodes[node.parent].path] if node.parent else -1)
         shapes[k] += [c for j, c in enumerate(node.children) if not j or node.children[j - 1] != c]
-    contents: list[list[str]] = [[] for _ in shapes]
+    contents = [0] * len(shapes)
     out = []
     for (i, text), noise in zip(blocks, noisy(nodes, blocks)):
-        at, above = i, []
-        while at:
-            above.append(numbers[nodes[at].path])
-            at = nodes[at].parent
-        h = str(_hash(text))
-        for k in above:
-            contents[k].append(h)
-        out.append((text, above, noise, nodes[i].main and not noise))
-    shape = [_hash(" ".join(s)) for s in shapes]
-    content = [_hash(" ".join(c)) for c in contents]
-    return list(numbers), shape, content, out
+        k = numbers[nodes[i].path] if i else -1
+        if k >= 0:
+            contents[k] += _hash(text)
+        out.append((text, k, noise, nodes[i].main and not noise))
+    for k in range(len(contents) - 1, -1, -1):
+        if parents[k] >= 0:
+            contents[parents[k]] += contents[k]
+    return list(numbers), [_hash(" ".join(s)) for s in shapes], [_hash(str(c)) for c in contents], (parents, out)
 
 
 PARSED = "page long, page_id long, url string, host string, node array<long>, shape array<long>, content array<long>, blocks binary"
@@ -264,14 +348,18 @@ def importance(pages: DataFrame) -> DataFrame:
     return scores.select("host", "node", drawn.alias("score"))
 
 
-def main_text(blocks: list, scores: list[float]) -> str:
+def main_text(page: tuple[list[int], list], scores: list[float]) -> str:
     """The page's text: its main element's blocks if it has one, less noise and less branches of low importance."""
+    parents, blocks = page
+    low: list[bool] = []
+    for parent, score in zip(parents, scores):
+        low.append(score < LEAST or parent >= 0 and low[parent])
     has_main = any(main for _, _, _, main in blocks)
     kept = []
-    for text, above, noise, main in blocks:
+    for text, k, noise, main in blocks:
         if noise or has_main and not main:
             continue
-        if any(scores[k] < LEAST for k in above) if not main else above and scores[above[0]] + PRIOR < LEAST:
+        if k >= 0 and (scores[k] + PRIOR < LEAST if main else low[k]):
             continue
         kept.append(text)
     return " ".join(kept)
