@@ -7,8 +7,6 @@ cost. The driver holds the tree only, of at most 2 ** depth nodes.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,22 +61,30 @@ def best_splits(rows: DataFrame, features: list[str], models: list[str]) -> Data
     return found.groupBy("node").agg(F.min("s").alias("s")).select("node", "s.feature", "s.bin", "s.cost", "s.whole", "s.left_model", "s.right_model")
 
 
-def node_of(tree: dict[int, dict]) -> Column:
-    """A row's leaf: the root is 1, a node's children are 2 n and 2 n + 1."""
-    deep = max((n.bit_length() for n in tree), default=0)
-    at: Column = F.lit(1)
-    for level in range(1, deep + 1):
-        cuts = [(n, t) for n, t in tree.items() if n.bit_length() == level]
-        before = at
-        at = reduce(lambda out, c: F.when(before == c[0], F.when(F.col(f"bin_{c[1]['feature']}") <= c[1]["bin"], 2 * c[0]).otherwise(2 * c[0] + 1)).otherwise(out), cuts, before)
-    return at
+def node_of(tree: dict[int, dict], features: list[str], replaced: dict[str, Column] | None = None) -> Column:
+    """A row's leaf: the root is 1, a node's children are 2 n and 2 n + 1. ``replaced`` has columns for the bins of some features.
+
+    One fold down the levels over the tree as arrays, so the expression doesn't grow with the nodes.
+    """
+    if not tree:
+        return F.lit(1)
+    size = max(tree) + 1
+    feature = F.lit([features.index(tree[n]["feature"]) + 1 if n in tree else 0 for n in range(1, size)])
+    cut = F.lit([tree[n]["bin"] if n in tree else 0 for n in range(1, size)])
+    bins = F.array(*((replaced or {}).get(f, F.col(f"bin_{f}")) for f in features))
+
+    def down(n: Column, _: Column) -> Column:
+        right = F.when(F.element_at(bins, F.element_at(feature, n)) <= F.element_at(cut, n), 0).otherwise(1)
+        return F.when(n >= size, n).when(F.element_at(feature, n) == 0, n).otherwise(2 * n + right)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(tree).bit_length())), F.lit(1), down)
 
 
 def fit(rows: DataFrame, features: list[str], models: list[str], depth: int = 8) -> dict[int, dict]:
     """Cuts by node of rows that ``binned`` made. A node that no cut makes cheaper is a leaf; no rows give no cuts."""
     tree: dict[int, dict] = {}
     for level in range(1, depth + 1):
-        open_ = rows.withColumn("node", node_of(tree)).where(F.col("node") >= 1 << level - 1)
+        open_ = rows.withColumn("node", node_of(tree, features)).where(F.col("node") >= 1 << level - 1)
         found = [r.asDict() for r in best_splits(open_, features, models).collect()]  # at most 2 ** (level - 1)
         better = {r["node"]: r for r in found if r["cost"] < r["whole"] - 1e-6}
         if not better:
@@ -87,11 +93,43 @@ def fit(rows: DataFrame, features: list[str], models: list[str], depth: int = 8)
     return tree
 
 
-def chosen(rows: DataFrame, tree: dict[int, dict], models: list[str]) -> DataFrame:
-    """``rows`` with model, the tree's choice, and err, what it costs. A tree without cuts chooses the first model."""
-    names = {2 * n + i: t[f"{side}_model"] for n, t in tree.items() for i, side in enumerate(("left", "right"))}
-    rows = rows.withColumn("node", node_of(tree))
-    model = reduce(lambda out, x: F.when(F.col("node") == x[0], F.lit(x[1])).otherwise(out), names.items(), F.lit(models[0]))
-    rows = rows.withColumn("model", model)
-    err = reduce(lambda out, m: F.when(F.col("model") == m, F.col(m)).otherwise(out), models[1:], F.col(models[0]))
-    return rows.withColumn("err", err)
+def costs(node: Column, tree: dict[int, dict], models: list[str], depth: int = 30) -> Column:
+    """What the choice of a row's leaf ``node``, or of the node above it at ``depth``, costs. A tree without cuts chooses the first model."""
+    names = {2 * n + i: models.index(t[f"{side}_model"]) + 1 for n, t in tree.items() for i, side in enumerate(("left", "right"))}
+    of = F.lit([names.get(n, 1) for n in range(1, max(names, default=1) + 1)])
+    level = F.floor(F.log2(node.cast("double")) + 1e-9).cast("int")
+    above = F.floor(node / F.pow(F.lit(2.0), F.greatest(level - depth, F.lit(0)))).cast("int")
+    return F.element_at(F.array(*models), F.element_at(of, above))
+
+
+def chosen(rows: DataFrame, tree: dict[int, dict], features: list[str], models: list[str]) -> DataFrame:
+    """``rows`` with node, its leaf, and err, what the leaf's choice costs."""
+    rows = rows.withColumn("node", node_of(tree, features))
+    return rows.withColumn("err", costs(F.col("node"), tree, models))
+
+
+def depth_scores(rows: DataFrame, tree: dict[int, dict], features: list[str], models: list[str], depth: int = 8) -> DataFrame:
+    """(step or null for all, depth, mean_err): the tree cut at each depth; depth 0 is the best choice of each row, a bound."""
+    rows = rows.withColumn("node", node_of(tree, features))
+    each = [F.struct(F.lit(d).alias("depth"), costs(F.col("node"), tree, models, d).alias("err")) for d in range(1, depth + 1)]
+    each.append(F.struct(F.lit(0).alias("depth"), F.least(*models).alias("err")))
+    long = rows.select("step", F.inline(F.array(*each)))
+    return long.groupBy("step", "depth").agg(F.sum("err").alias("s"), F.count("err").alias("n")).select(F.explode(F.array("step", F.lit(None))).alias("step"), "depth", "s", "n").groupBy("step", "depth").agg((F.sum("s") / F.sum("n")).alias("mean_err"))
+
+
+def importance(rows: DataFrame, tree: dict[int, dict], features: list[str], models: list[str], seed: int = 0, buckets: int = 64) -> DataFrame:
+    """(step, feature, rise, place): how much the mean error rises when a feature's values are dealt out anew among the rows; 0 is the largest rise.
+
+    Rows are put in the order of a hash within ``buckets`` hashed buckets, and each takes the value of the row before it; the first takes the last one's. So no
+    global order is needed. All features are dealt in one pass over one window. Ties go by name.
+    """
+    h = F.xxhash64(F.lit(seed), *KEYS, "k")
+    w = Window.partitionBy("deal__").orderBy("order__", *KEYS, "k")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("order__", h).withColumn("deal__", F.pmod("order__", F.lit(buckets)))
+    rows = rows.select("*", *(F.coalesce(F.lag(f"bin_{f}").over(w), F.last(f"bin_{f}").over(whole)).alias(f"dealt_{f}") for f in features))
+    leaf = rows.select("step", *models, node_of(tree, features).alias("node"), *(node_of(tree, features, {f: F.col(f"dealt_{f}")}).alias(f"node_{f}") for f in features))
+    cost = leaf.select("step", costs(F.col("node"), tree, models).alias("err"), *(costs(F.col(f"node_{f}"), tree, models).alias(f) for f in features))
+    means = cost.groupBy("step").agg(*(F.avg(F.col(f) - F.col("err")).alias(f) for f in features))
+    long = means.select("step", F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("rise")) for f in features))))
+    return long.withColumn("place", F.row_number().over(Window.partitionBy("step").orderBy(F.desc("rise"), "feature")) - 1)

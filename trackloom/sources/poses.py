@@ -5,20 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.layers import matrix
+from ..functions.quat import from_axis_angle
+
 # Names of the bodies, sequences and motion kinds, in the order of their numbers.
-BODIES = (
-    "3D Touch,Ape,Auto GPS,Bracket,Cat,Deadpool,Driller,FlashLight,Jack,Lamp Clamp,RJ45 Clip,Squirrel,Standtube,Stitch,Teapot,"
-    "Vampire Queen,RTI Arm,Wall Shelf,Lego,Tube"
-).split(",")
-SEQUENCES = (
-    "complex_movable_handheld complex_movable_suspension complex_static_handheld complex_static_suspension complex_static_trans "
-    "easy_static_handheld easy_static_suspension easy_static_trans light_movable_handheld light_movable_suspension "
-    "light_static_handheld light_static_suspension light_static_trans occlusion_movable_suspension "
-    "outdoor_scene1_movable_handheld_cam1 outdoor_scene1_movable_handheld_cam2 outdoor_scene1_movable_suspension_cam1 "
-    "outdoor_scene1_movable_suspension_cam2 outdoor_scene2_movable_handheld_cam1 outdoor_scene2_movable_handheld_cam2 "
-    "outdoor_scene2_movable_suspension_cam1 outdoor_scene2_movable_suspension_cam2"
-).split()
-MOTION_KINDS = "movable_handheld movable_suspension static_handheld static_suspension static_trans".split()
+BODIES = [
+    "3D Touch", "Ape", "Auto GPS", "Bracket", "Cat", "Deadpool", "Driller", "FlashLight", "Jack", "Lamp Clamp", "RJ45 Clip", "Squirrel", "Standtube",
+    "Stitch", "Teapot", "Vampire Queen", "RTI Arm", "Wall Shelf", "Lego", "Tube",
+]
+SEQUENCES = [
+    "complex_movable_handheld",
+    "complex_movable_suspension",
+    "complex_static_handheld",
+    "complex_static_suspension",
+    "complex_static_trans",
+    "easy_static_handheld",
+    "easy_static_suspension",
+    "easy_static_trans",
+    "light_movable_handheld",
+    "light_movable_suspension",
+    "light_static_handheld",
+    "light_static_suspension",
+    "light_static_trans",
+    "occlusion_movable_suspension",
+    "outdoor_scene1_movable_handheld_cam1",
+    "outdoor_scene1_movable_handheld_cam2",
+    "outdoor_scene1_movable_suspension_cam1",
+    "outdoor_scene1_movable_suspension_cam2",
+    "outdoor_scene2_movable_handheld_cam1",
+    "outdoor_scene2_movable_handheld_cam2",
+    "outdoor_scene2_movable_suspension_cam1",
+    "outdoor_scene2_movable_suspension_cam2",
+]
+MOTION_KINDS = ["movable_handheld", "movable_suspension", "static_handheld", "static_suspension", "static_trans"]
 
 POSES = "track_id long, frame long, x double, y double, z double, rot array<double>"
 
@@ -61,14 +80,50 @@ def read_pose_text(spark: SparkSession, path: str) -> DataFrame:
     A file is one track, named sequence/body; its lines are numbered as they stand in it. Blank lines
     have no number; a line without 12 numbers is an error.
     """
+    rows = _numbered_lines(spark, path, 12, "a pose line has no 12 numbers")
+    return rows.select("track_id", "frame", *(F.col("n")[9 + i].alias(c) for i, c in enumerate("xyz")), F.slice("n", 1, 9).alias("rot"))
+
+
+def _numbered_lines(spark: SparkSession, path: str, size: int, fault: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select("value", F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)/[^/]*$", 1).alias("track_id"))
     lines = F.filter(F.split("value", "\r?\n"), lambda s: F.trim(s) != "")
     rows = files.select("track_id", F.posexplode(lines).alias("frame", "line"))
     n = F.transform(F.split(F.trim("line"), r"\s+"), lambda s: s.cast("double"))
     rows = rows.select("track_id", F.col("frame").cast("long").alias("frame"), n.alias("n"))
-    whole = F.when(F.size("n") == 12, F.col("n")).otherwise(F.raise_error(F.lit("a pose line has no 12 numbers")))
-    rows = rows.select("track_id", "frame", whole.alias("n"))
-    return rows.select("track_id", "frame", *(F.col("n")[9 + i].alias(c) for i, c in enumerate("xyz")), F.slice("n", 1, 9).alias("rot"))
+    whole = F.when(F.size("n") == size, F.col("n")).otherwise(F.raise_error(F.lit(fault)))
+    return rows.select("track_id", "frame", whole.alias("n"))
+
+
+def read_vector_text(spark: SparkSession, path: str) -> DataFrame:
+    """Files of one track each, a line per frame: x, y, z, then the rotation's axis times its angle. Gives poses with vx, vy, vz and rot.
+
+    Named and numbered as in ``read_pose_text``; a line without 6 numbers is an error.
+    """
+    rows = _numbered_lines(spark, path, 6, "a line has no 6 numbers")
+    rows = rows.select("track_id", "frame", *(F.col("n")[i].alias(c) for i, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))))
+    q = from_axis_angle([F.col(f"v{c}") for c in "xyz"])
+    rows = rows.select("*", *(c.alias(f"q{n}") for c, n in zip(q, "wxyz")))
+    return rows.selectExpr("track_id", "frame", "x", "y", "z", "vx", "vy", "vz", "array(" + ", ".join(matrix("r", "q@").values()) + ") AS rot")
+
+
+def write_pose_text(poses: DataFrame, path: str) -> None:
+    """Pose files below ``path``, a folder for each track: a line per frame with rot and x, y, z, in the order of frames.
+
+    A track's lines come from one task, as their order is their number. Takes (track_id, frame, x, y, z, rot).
+    """
+    numbers = F.concat("rot", F.array("x", "y", "z"))
+    lines = poses.select(F.col("track_id").alias("track"), F.lit(0).alias("body"), "frame", F.array_join(F.transform(numbers, lambda v: v.cast("string")), " ").alias("value"))
+    lines.repartition("track").sortWithinPartitions("track", "frame").drop("frame").write.partitionBy("track", "body").text(path)
+
+
+def with_tracker(poses: DataFrame, tracker: DataFrame, step: int) -> DataFrame:
+    """``poses`` (track_id, frame, x, y, z) with the distance ``off`` to a tracker's pose, null where it has none.
+
+    Row i of a tracker's track belongs to frame 1 + i * step; tracks without a file have no rows.
+    """
+    at = tracker.select("track_id", (F.col("frame") * step + 1).alias("frame"), *(F.col(c).alias(f"t{c}") for c in "xyz"))
+    off = F.sqrt(sum(((F.col(c) - F.col(f"t{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("tx")) ** 2))
+    return poses.join(at, ["track_id", "frame"], "left").select("track_id", "frame", off.alias("off"))
 
 
 SCENE = "map<string, array<struct<cam_R_m2c:array<double>,cam_t_m2c:array<double>>>>"
