@@ -14,7 +14,7 @@ from ..operators import features as ft
 from ..operators import filters as fl
 from ..operators import learning as le
 from ..operators import predict as pr
-from ..operators import rotation, shape, tree
+from ..operators import rotation, segments, shape, tree
 from ..sources import poses as src
 from .features import ctes, significant, turned_sql
 from .motion import ROT, SQL as MOTION_SQL, W, _turned
@@ -211,11 +211,34 @@ def stored_results(spark, d):
     return both.groupBy("metric", "step").agg(F.count("*").alias("n"), same, F.round(F.max(F.abs(F.col("value") - F.col("other"))), 6).alias("largest"))
 
 
+def arm_movements(spark, d):
+    """Movements between still poses: how many poses are in one, how far they have come at most."""
+    rows = segments.movements(_still(spark, d))
+    return rows.groupBy("track_id", "step").agg(F.count("*").alias("n"), F.sum((F.col("moving") > 0).cast("long")).alias("in_movement"), F.max("moving").alias("longest"))
+
+
+def _still(spark, d):
+    """Poses on a coarse grid, many of which stand still."""
+    return src.event_poses(spark, d).select("track_id", "frame", F.floor(F.col("x") / 20).cast("double").alias("x"), F.floor(F.col("y") / 20).cast("double").alias("y"), F.lit(0.0).alias("z"))
+
+
+def min_jerk_errors(spark, d):
+    """Mean errors of the minimum-jerk prediction and of the quadratic one where there is a fit, by the movement's length so far."""
+    e = segments.min_jerk_errors(src.event_poses(spark, d)).where("err IS NOT NULL")
+    return e.groupBy("step", F.least("moving", F.lit(10)).alias("poses")).agg(F.count("*").alias("n"), F.avg("err").alias("mean_err"), F.avg("quad").alias("mean_quad"))
+
+
+def matrix_errors(spark, d):
+    """Mean and largest angle off of the rotation nearest to the extrapolated matrix."""
+    return segments.matrix_errors(_turned(spark, d)).groupBy("step").agg(F.count("*").alias("n"), F.avg("err").alias("mean_err"), F.max("err").alias("most"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         training_table, label_counts, feature_projection, feature_completeness, multiplier_errors, tree_depth_scores, feature_importance, spline_errors, spline_sweep,
         rotation_scale_grid, chosen_bodies, track_grid, pose_text_round_trip, vector_text_round_trip, scene_round_trip, tracker_files, stored_results,
+        arm_movements, min_jerk_errors, matrix_errors,
     )
 }
 
@@ -243,7 +266,10 @@ _trace = "(1 - 2 * (qy * qy + qz * qz)) + (1 - 2 * (qx * qx + qz * qz)) + (1 - 2
 #: The poses with their rotations, a row a frame.
 _frames = turned_sql().replace(STEPS, POSES + ", st AS (SELECT track_id, 1 AS step, frame AS k, x, y, z FROM p)")
 _local = MOTION_SQL["local_motion"].split("\nSELECT ")[0]
+_coarse = STEPS.replace("value AS x,", "floor(value / 20) AS x,").replace("CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS y, CAST(event_id % 97 AS DOUBLE) AS z", "floor(CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 20) AS y, 0e0 AS z")
 SQL = {
+    "arm_movements": f"""WITH {_coarse}, {ctes(segments.ARM, 'st', 'f')}
+SELECT track_id, step, count(*) AS n, count(*) FILTER (moving > 0) AS in_movement, max(moving) AS longest FROM f GROUP BY ALL""",
     "training_table": f"{_table} SELECT track_id, step, k, split, label, last_label, {', '.join(significant(n) for n in [*le.FEATURES, *le.CLASSES, 'min_err'])} FROM tt",
     "label_counts": f"{_table} SELECT split, step, label, count(*) AS n, round(avg(min_err), 4) AS mean_err FROM tt GROUP BY ALL",
     "feature_projection": f"{_features} SELECT {KEYS}, {', '.join(significant(n) for n in ('bounce_angle', 'speed_deg1', 'vel_dot'))} FROM s2",
