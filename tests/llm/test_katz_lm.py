@@ -1,50 +1,61 @@
 import math
 import random
 from collections import Counter, defaultdict
+from functools import cache
 
+import numpy as np
 import pytest
 
 from trackloom.llm.chunks import NULL_ID
-from trackloom.llm.katz_lm import K, good_turing, held_out, katz
+from trackloom.llm.katz_lm import K, good_turing, held_out, katz, readable
 
 from .conftest import documents
 
 
-def brute(rows):
+def brute(rows, order=2):
     """Katz by dictionaries, one document at a time."""
     docs = [(NULL_ID if i is None else i, [*(t or "").encode().lower().split(), None]) for i, t in rows]
-    uni, bi = Counter(), defaultdict(Counter)
+    uni, grams = Counter(), {n: defaultdict(Counter) for n in range(2, order + 1)}
     for i, tokens in docs:
         if not held_out(i):
             uni.update(tokens)
-            for v, w in zip(["start", *tokens], tokens):
-                bi[v][w] += 1
+            full = ["start", *tokens]
+            for at in range(1, len(full)):
+                for n in range(2, min(order, at + 1) + 1):
+                    grams[n][tuple(full[at - n + 1 : at])][full[at]] += 1
     n, v = sum(uni.values()), len(uni)
     d1 = good_turing([sum(c == r for c in uni.values()) for r in range(1, K + 2)])
-    d2 = good_turing([sum(c == r for x in bi.values() for c in x.values()) for r in range(1, K + 2)])
+    dn = {k: good_turing([sum(c == r for x in g.values() for c in x.values()) for r in range(1, K + 2)]) for k, g in grams.items()}
     d = lambda x, c: x[c] if c <= K else 1
     mass = sum(d(d1, c) * c for c in uni.values())
     scale = n if mass < n else n + 1
     unknown = 1 - mass / scale if n else 1.0
     p1 = lambda w: d(d1, uni[w]) * uni[w] / scale if uni[w] else unknown
 
-    def p2(w, v):
-        seen = bi.get(v)
-        if not seen:
+    @cache
+    def p(w, context):
+        if not context:
             return p1(w)
+        below = (lambda x: float(np.float32(p(x, context[1:])))) if len(context) > 1 else p1
+        seen = grams[len(context) + 1].get(context)
+        if not seen:
+            return below(w)
         total = sum(seen.values())
         total += all(c > K for c in seen.values())
+        discount = dn[len(context) + 1]
         if seen[w]:
-            return d(d2, seen[w]) * seen[w] / total
-        left = 1 - sum(d(d2, c) * c for c in seen.values()) / total
-        return left / (1 - sum(p1(x) for x in seen if seen[x])) * p1(w)
+            return d(discount, seen[w]) * seen[w] / total
+        left = 1 - sum(d(discount, c) * c for c in seen.values()) / total
+        return left / (1 - sum(below(x) for x in seen if seen[x])) * below(w)
 
-    for v_ in list(bi)[:40]:  # exactly normalised over all words and the unknown one
-        assert math.isclose(sum(p2(w, v_) for w in [*uni, "never"]), 1, rel_tol=1e-9)
+    for g in grams.values():  # normalised over all words and the unknown one
+        for context in list(g)[:40]:
+            assert math.isclose(sum(p(w, context) for w in [*uni, "never"]), 1, rel_tol=1e-9 if len(context) < 2 else 1e-5)
     out = []
     for i, tokens in docs:
         base = sum(math.log10((uni[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens)
-        score = sum(math.log10(p2(w, u)) for u, w in zip(["start", *tokens], tokens))
+        full = ["start", *tokens]
+        score = sum(math.log10(p(full[at], tuple(full[max(0, at - order + 1) : at]))) for at in range(1, len(full)))
         out.append((None if i == NULL_ID else i, held_out(i), len(tokens), sum(uni[t] > 0 for t in tokens), n, base, score))
     return out
 
@@ -67,10 +78,19 @@ def same(got, want):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
-@pytest.mark.parametrize("share", [1 / 1024, 0.02])
-def test_equals_brute_force(spark, monkeypatch, share):
+@pytest.mark.parametrize(("order", "share"), [(1, 1 / 1024), (2, 1 / 1024), (2, 0.02), (3, 1 / 1024), (3, 0.002), (4, 0.002)])
+def test_equals_brute_force(spark, monkeypatch, order, share):
     monkeypatch.setattr("trackloom.llm.katz_lm.HOT_SHARE", share)
-    same(katz(documents(spark, rows())).scores.collect(), brute(rows()))
+    same(katz(documents(spark, rows()), order).scores.collect(), brute(rows(), order))
+
+
+def test_tables_can_be_read(spark):
+    docs = [(NULL_ID if i is None else i, ["start", *(t or "").encode().lower().split(), None]) for i, t in rows()]
+    docs = [t for i, t in docs if not held_out(i)]
+    for n, table in enumerate(katz(documents(spark, rows()), 3).tables, 1):
+        want = Counter(Counter(tuple(t[at - n + 1 : at + 1]) for t in docs for at in range(1, len(t)) if at >= n - 1).values())
+        got = readable(table, n).where("count > 0").groupBy("count").count().collect()
+        assert {r[0]: r[1] for r in got} == want
 
 
 def test_small_chunks_give_the_same(spark, monkeypatch):
@@ -78,7 +98,7 @@ def test_small_chunks_give_the_same(spark, monkeypatch):
 
     real = m.chunk_table
     monkeypatch.setattr(m, "chunk_table", lambda *a, **k: real(*a, **k | {"tokens": 50}))
-    same(katz(documents(spark, rows())).scores.collect(), brute(rows()))
+    same(katz(documents(spark, rows())).scores.collect(), brute(rows(), 3))
 
 
 def test_without_training_documents(spark):

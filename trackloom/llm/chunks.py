@@ -4,8 +4,9 @@ Corpus statistics about every token or window would need a shuffled row per toke
 task turns the documents that it reads into chunks of about a million tokens. For each key
 that a chunk holds, however often, one packed entry goes to the bucket that owns the key;
 the bucket answers every chunk in the order in which it asked. Both sides are grouped by
-Spark; a chunk and a bucket have bounded sizes, and a key that a third of all rows hold
-still costs a bucket one entry a chunk.
+Spark. A chunk has a bounded size. Buckets are as many as the tokens ask for, about a million entries to each; a key
+costs its bucket one entry for each chunk that holds it, however many rows do, so a bucket of common keys has an entry
+more for each chunk: with 500,000 tokens a chunk, ten million for 10 TB of text.
 
 The chunk table is written to the shared workspace, bucketed by chunk, before anything is
 asked: every later pass reads the same chunks, whatever tasks or executors were lost.

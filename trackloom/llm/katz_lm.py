@@ -1,22 +1,24 @@
-"""Katz backoff language model, trained on and applied to a whole corpus.
+"""Katz backoff language model of any order, trained on and applied to a whole corpus.
 
-Good-Turing discounts take mass from bigrams seen up to five times; a context gives that mass
-to the words it was not seen with, in proportion to their unigram probability, which is
+Good-Turing discounts take mass from n-grams seen up to five times; a context gives that mass
+to the words it was not seen with, in proportion to their probability one order lower; the lowest is
 discounted in the same way in favour of one unknown word:
 
-    p(w)   = d(c) c / N                      p(unknown) = 1 - sum of these
-    p(w|v) = d(c(v,w)) c(v,w) / c(v)         if the bigram was seen
-           = a(v) p(w)                       else; a(v) makes the sum over all w exactly 1
+    p(w)     = d(c) c / N                      p(unknown) = 1 - sum of these
+    p(w|u v) = d(c(u v w)) c(u v w) / c(u v)   if the n-gram was seen
+             = a(u v) p(w|v)                   else; a(u v) makes the sum over all w exactly 1
 
-A context whose bigrams are all seen more than five times has nothing discounted; there, counts
-are divided by c(v) + 1. A context that training lacks has a(v) = 1. Each document is scored by
-the recursion for each of its tokens, the first in the context of the document's start.
+A context whose n-grams are all seen more than five times has nothing discounted; there, counts
+are divided by c + 1. A context that training lacks has a = 1. Each document is scored by
+the recursion for each of its tokens; the first is in the context of the document's start, the second has a word less than a
+trigram's context, and so on.
 
-Counts live in two written tables, by buckets of words and of contexts. Chunks of documents ask
-the buckets for the counts of their distinct words, then of their distinct bigrams (see
+Counts live in written tables, one for each order, by buckets of words and of contexts. Chunks of documents ask
+the buckets for the counts of their distinct words, then of their distinct bigrams, and so on up (see
 ``chunks``). A bucket owns whole contexts, so it can add up what normalising needs; contexts with
-more than a 1024th of all tokens (1024 of them at most) are spread over buckets by their second
-word, and their sums, a row each, are added by Spark and sent to all tasks.
+more than a 1024th of all tokens (1024 of them at most in an order) are spread over buckets by their last
+word, and their sums, a row each, are added by Spark and sent to all tasks. From the trigrams on a context goes by a 64-bit hash, and
+probabilities of the order below by 32-bit floats, on both sides alike, so that sums are still exactly 1.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import NULL_ID, QUESTION, Chunk, bucket_of, chunk_table, n_buckets, per_bucket, per_chunk
-from .common import Workspace, pack, table
+from .common import Workspace, pack, record_batch, table, unpack
 from .substring_dedup import mix
 
+#: Words of the longest n-grams.
+ORDER = 3
 #: Counts up to this are discounted.
 K = 5
 #: Contexts with more than this share of the training tokens are spread over buckets.
@@ -169,11 +173,18 @@ def _rows(bucket, chunks, answers, counted, totals, last, hot=()) -> pd.DataFram
     of_all |= {c: int(few[r]) for r, c in enumerate(COUNTS, 1)}
     rows.append({"kind": "table", "bucket": bucket, "payload": counted} | of_all)
     names = [x.strip().rsplit(" ", 1)[0] for x in ANSWER.split(",")]
-    frame = pd.DataFrame([*rows, *hot], columns=names)
-    return frame.astype({n: "Int64" for n in ["chunk", "context", "types", "tokens", "last", *COUNTS]})
+    frame = pd.DataFrame([*rows, *hot], columns=names, dtype=object)  # contexts are 64-bit numbers, which floats can't hold
+    return frame.astype({n: "Int64" for n in ["chunk", "context", "types", "tokens", "last", *COUNTS]} | {"p_seen": "Float64"})
 
 
-# --- bigrams
+# --- n-grams
+
+
+class Level(NamedTuple):
+    """What scoring an order needs beside the answers: discounts, and the sums of the hot contexts."""
+
+    d: np.ndarray
+    hot: dict  # context -> (n1 .. nK, tokens seen more often, p_seen)
 
 
 class Words:
@@ -191,82 +202,142 @@ class Words:
         self.hot[n] = True
 
 
-class Bigrams:
-    """A chunk's distinct bigrams, in the order of their buckets, contexts and words."""
-
-    def __init__(self, chunk: Chunk, words: Words, layout: Layout):
-        n = len(words.number)
-        tokens = chunk.tokens.astype(np.int64)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[chunk.starts] = n - 1
-        pairs, inverse = np.unique(before * n + tokens, return_inverse=True)
-        first, second = pairs // n, pairs % n
-        context, word = words.number[first], words.number[second]
-        bucket = layout.bucket(context, word, words.hot[first])
+class Grams:
+    """A chunk's distinct n-grams, in the order of their buckets, contexts and words; from bigrams up, each order on the one below."""
+
+    def __init__(self, chunk: Chunk, words: Words, layout: Layout, unigrams: Unigrams, lower: Grams | None = None):
+        tokens, size = chunk.tokens.astype(np.int64), len(words.number)
+        self.words, self.unigrams, self.n = words, unigrams, lower.n + 1 if lower else 2
+        if lower is None:
+            at, before = np.arange(len(tokens)), np.empty_like(tokens)
+            before[1:] = tokens[:-1]
+            before[chunk.starts] = size - 1
+            key, self.count, self.hot = words.number, words.count, words.hot
+        else:
+            place = np.arange(len(tokens)) - np.repeat(chunk.starts, chunk.lens)
+            at = np.flatnonzero(place >= self.n - 2)
+            before = lower.of_token[at - 1]
+            key, self.count = mix(mix(lower.context) + lower.word), lower.seen
+            self.hot = self.count > layout.hot
+        pairs, inverse = np.unique(before * size + tokens[at], return_inverse=True)
+        first, second = pairs // size, pairs % size
+        context, word = key[first], words.number[second]
+        bucket = layout.bucket(context, word, self.hot[first])
         order = np.lexsort((word, context, bucket))
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.of_token = place[inverse]
+        of = np.empty_like(order)
+        of[order] = np.arange(len(order))
+        self.of_token = np.full(len(tokens), -1)
+        self.of_token[at] = of[inverse]
         self.first, self.second, self.bucket = first[order], second[order], bucket[order]
         self.context, self.word = context[order], word[order]
+        if lower is None:
+            self.below = unigrams.p(words.count[self.second])
+        else:
+            suffix = np.empty(len(order), np.int64)
+            suffix[self.of_token[at]] = lower.of_token[at]
+            self.below = lower.p[suffix].astype(np.float32).astype(np.float64)
 
     def runs(self, i: int, j: int) -> np.ndarray:
-        """Where contexts begin among the bigrams i to j."""
-        return np.flatnonzero(np.diff(self.context[i:j], prepend=self.context[i] + np.uint64(1)))
+        """Where contexts begin among the n-grams i to j."""
+        return np.flatnonzero(np.diff(self.context[i:j], prepend=self.context[i] ^ np.uint64(1)))
 
+    def solve(self, answer: list, level: Level) -> None:
+        """The training counts ``seen``, and the probabilities ``p`` of the words in their contexts."""
+        self.seen = np.concatenate([a[0] for a in answer] or [np.empty(0, np.int64)])
+        size = len(self.count)
+        full, sums, known = np.zeros(size, bool), np.zeros((size, K + 2)), np.zeros(size, bool)
+        ends = np.cumsum([len(a[0]) for a in answer])
+        for a, e in zip(answer, ends):
+            i, j = e - len(a[0]), e
+            at = self.runs(i, j)
+            first = self.first[i:j][at]
+            full[first] = a[1]
+            lacking = first[np.minimum.reduceat(a[0], at) == 0]
+            sums[lacking] = np.stack(a[2:], axis=1)
+            known[lacking] = True
+        hot = self.hot[self.first]
+        for local, context in dict(zip(self.first[hot].tolist(), self.context[hot].view(np.int64).tolist())).items():
+            s = level.hot.get(context)
+            if s is not None:
+                sums[local], known[local], full[local] = s, True, sum(s[:K]) == 0 and s[K] > 0
+        total = self.count + full  # of a context
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mass = (sums[:, :K] * (level.d[1:] * np.arange(1, K + 1))).sum(axis=1) + sums[:, K]
+            alpha = (1 - mass / total) / (1 - sums[:, K + 1])
+            alpha = np.where(known & (self.count > 0), alpha, 1.0)
+            found = self.seen * level.d[np.where(self.seen > K, 0, self.seen)] / total[self.first]
+            self.p = np.where(self.seen > 0, found, alpha[self.first] * self.below)
 
-def _ask_bigrams(layout: Layout):
-    kind = np.uint64 if layout.wide else np.uint32
 
+def _grams(chunk, answers, layout: Layout, unigrams: Unigrams, levels: list[Level]) -> tuple[Words, Grams | None]:
+    """The highest order whose answers are there, solved from the bigrams up."""
+    words, grams = Words(chunk, answers[0], layout), None
+    for answer, level in zip(answers[1:], levels):
+        lower, grams = grams, Grams(chunk, words, layout, unigrams, grams)
+        grams.solve(answer, level)
+        if lower is not None:  # a token too near to the start for this order keeps the lower one's probability
+            grams.token_p = np.where(grams.of_token >= 0, grams.p[grams.of_token], lower.token_p)
+        else:
+            grams.token_p = grams.p[grams.of_token]
+    return words, grams
+
+
+def _ask_grams(layout: Layout, unigrams: Unigrams, levels: list[Level]):
     def ask(chunk, answers):
-        words = Words(chunk, answers[0], layout)
-        pairs = Bigrams(chunk, words, layout)
-        seen = np.bincount(pairs.of_token, _train(chunk)[1], minlength=len(pairs.first)).astype(np.int64)
+        words, lower = _grams(chunk, answers, layout, unigrams, levels)
+        grams = Grams(chunk, words, layout, unigrams, lower)
+        if not len(grams.bucket):
+            return
+        wide = np.uint64 if layout.wide else np.uint32
+        kind = wide if grams.n == 2 else np.uint64
+        held = _train(chunk)[1] & (grams.of_token >= 0)
+        seen = np.bincount(grams.of_token[held], minlength=len(grams.first)).astype(np.int64)
+        below = words.count[grams.second] if grams.n == 2 else grams.below.astype(np.float32)
 
         def columns(i, j):
-            at = pairs.runs(i, j)
+            at = grams.runs(i, j)
             lens = np.diff(np.append(at, j - i))
-            context, word = pairs.context[i:j][at].astype(kind), pairs.word[i:j].astype(kind)
-            return context, words.hot[pairs.first[i:j][at]], lens, word, words.count[pairs.second[i:j]], seen[i:j]
+            return grams.context[i:j][at].astype(kind), grams.hot[grams.first[i:j][at]], lens, grams.word[i:j].astype(wide), below[i:j], seen[i:j]
 
-        yield _questions(chunk.id, pairs.bucket, columns)
+        yield _questions(chunk.id, grams.bucket, columns)
 
     return ask
 
 
-def _answer_bigrams(unigrams: Unigrams):
+def _answer_grams(unigrams: Unigrams, n: int):
     def answer(bucket: int, chunks: list[int], got: list) -> pd.DataFrame:
         context = np.concatenate([np.repeat(g[0], g[2]) for g in got]).astype(np.uint64)
         hot = np.concatenate([np.repeat(g[1], g[2]) for g in got])
-        word, count, seen = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
+        word, below, seen = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
         order = np.lexsort((word, context))
         c, w = context[order], word[order]
         new = np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])]
         inverse = np.empty(len(order), np.int64)
         inverse[order] = np.cumsum(new) - 1
-        one = order[new]  # an entry of each distinct bigram
+        one = order[new]  # an entry of each distinct n-gram
         totals = np.bincount(inverse, seen, minlength=len(one)).astype(np.int64)
+        p_below = unigrams.p(below[one]) if n == 2 else below[one].astype(np.float64)
 
         contexts, of = np.unique(context[one], return_inverse=True)
         few = [np.bincount(of, totals == r, minlength=len(contexts)) for r in range(1, K + 1)]
         many = np.bincount(of, np.where(totals > K, totals, 0), minlength=len(contexts))
-        p_seen = np.bincount(of, np.where(totals > 0, unigrams.p(count[one]), 0), minlength=len(contexts))
+        p_seen = np.bincount(of, np.where(totals > 0, p_below, 0), minlength=len(contexts))
         full = (sum(few) == 0) & (many > 0)
 
         answers, at = [], 0
         for g in got:
-            n = len(g[3])
-            mine = totals[inverse[at : at + n]]
-            at += n
+            size = len(g[3])
+            mine = totals[inverse[at : at + size]]
+            at += size
             which = np.searchsorted(contexts, g[0].astype(np.uint64))
             lacks = np.minimum.reduceat(mine, np.cumsum(g[2]) - g[2]) == 0
             i = which[lacks]
             answers.append(pack(mine, full[which], *(f[i].astype(np.int64) for f in few), many[i].astype(np.int64), p_seen[i]))
 
         is_hot = np.bincount(of, hot[one], minlength=len(contexts)) > 0
+        signed = contexts.view(np.int64)
         rows = [
-            {"kind": "hot", "bucket": bucket, "context": int(contexts[i]), "p_seen": p_seen[i], "tokens": int(many[i])}
+            {"kind": "hot", "bucket": bucket, "context": int(signed[i]), "p_seen": p_seen[i], "tokens": int(many[i])}
             | {f"n{r}": int(few[r - 1][i]) for r in range(1, K + 1)}
             for i in np.flatnonzero(is_hot)
         ]
@@ -277,50 +348,12 @@ def _answer_bigrams(unigrams: Unigrams):
     return answer
 
 
-class Backoff(NamedTuple):
-    """What scoring needs beside the answers: discounts, and the sums of the hot contexts."""
-
-    layout: Layout
-    unigrams: Unigrams
-    d: np.ndarray
-    hot: dict  # context -> (n1 .. nK, tokens seen more often, p_seen)
-
-
-def _scores(model: Backoff):
+def _scores(layout: Layout, unigrams: Unigrams, levels: list[Level]):
     def scores(chunk, answers):
-        words = Words(chunk, answers[0], model.layout)
-        pairs = Bigrams(chunk, words, model.layout)
-        seen = np.concatenate([a[0] for a in answers[1]])
-        size = len(words.count)
-        full, sums, known = np.zeros(size, bool), np.zeros((size, K + 2)), np.zeros(size, bool)
-        ends = np.cumsum([len(a[0]) for a in answers[1]])
-        for a, e in zip(answers[1], ends):
-            i, j = e - len(a[0]), e
-            at = pairs.runs(i, j)
-            first = pairs.first[i:j][at]
-            full[first] = a[1]
-            lacking = first[np.minimum.reduceat(a[0], at) == 0]
-            sums[lacking] = np.stack(a[2:], axis=1)
-            known[lacking] = True
-        for local in np.flatnonzero(words.hot):
-            s = model.hot.get(int(words.number[local]))
-            if s is not None:
-                sums[local], known[local], full[local] = s, True, sum(s[:K]) == 0 and s[K] > 0
-
-        total = words.count + full  # of a context
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mass = (sums[:, :K] * (model.d[1:] * np.arange(1, K + 1))).sum(axis=1) + sums[:, K]
-            alpha = (1 - mass / total) / (1 - sums[:, K + 1])
-            alpha = np.where(known & (words.count > 0), alpha, 1.0)
-            p_word = model.unigrams.p(words.count)
-            p = np.where(
-                seen > 0,
-                seen * model.d[np.where(seen > K, 0, seen)] / total[pairs.first],
-                alpha[pairs.first] * p_word[pairs.second],
-            )
-        n, v = model.unigrams.tokens, model.unigrams.types
+        words, grams = _grams(chunk, answers, layout, unigrams, levels)
+        n, v = unigrams.tokens, unigrams.types
         base = np.log10((words.count + 0.1) / (n + 0.1 * (v + 1)))[chunk.tokens]
-        score = np.log10(p)[pairs.of_token]
+        p = grams.token_p if grams is not None else unigrams.p(words.count)[chunk.tokens]
         yield {
             "doc_id": [None if i == NULL_ID else i for i in chunk.doc_ids.tolist()],
             "held_out": _train(chunk)[0],
@@ -328,18 +361,36 @@ def _scores(model: Backoff):
             "n_known": np.add.reduceat((words.count > 0)[chunk.tokens].astype(np.int64), chunk.starts),
             "train_tokens": np.full(len(chunk.lens), n),
             "base_score": np.add.reduceat(base, chunk.starts),
-            "score": np.add.reduceat(score, chunk.starts),
+            "score": np.add.reduceat(np.log10(p), chunk.starts),
         }
 
     return scores
 
 
+COUNTED = "n int, bucket int, context long, word long, count long"
+
+
+def readable(table: DataFrame, n: int) -> DataFrame:
+    """(n, bucket, context, word, count): a row for each n-gram of a stored table of ``Katz``, to be read, joined or written by order and bucket.
+
+    A word has the number bucket << shift | place of the words' table, where context is null; a bigram's context is a word's number, a longer one's a hash.
+    """
+
+    def run(batches):
+        for b in batches:
+            for bucket, payload in zip(b["bucket"].to_pylist(), b["payload"].to_pylist()):
+                *context, word, count = unpack(payload)
+                rows = {"n": np.full(len(word), n), "bucket": np.full(len(word), bucket), "word": word.astype(np.uint64).view(np.int64), "count": count}
+                yield record_batch(rows | {"context": context[0].view(np.int64) if context else [None] * len(word)}, COUNTED)
+
+    return table.select("bucket", "payload").mapInArrow(run, COUNTED)
+
+
 class Katz(NamedTuple):
-    """scores: a row for each document; words, bigrams: the model's counts by bucket (packed)."""
+    """scores: a row for each document; tables: the model's counts by bucket (packed, see ``readable``), one table for each order."""
 
     scores: DataFrame
-    words: DataFrame
-    bigrams: DataFrame
+    tables: list[DataFrame]
 
 
 def _add(df: DataFrame):
@@ -347,33 +398,36 @@ def _add(df: DataFrame):
     return df.where("kind = 'table'").agg(*sums, F.coalesce(F.max("last"), F.lit(0)).alias("last")).first()
 
 
-def katz(docs: DataFrame) -> Katz:
-    """Fit on the training documents of ``docs`` (doc_id long, text string) and score all of them.
+def katz(docs: DataFrame, order: int = ORDER) -> Katz:
+    """Fit on the training documents of ``docs`` (doc_id long, text string) and score all of them by n-grams of up to ``order`` words.
 
     Other columns are ignored. Gives a row for each input row, also where doc_ids repeat: rows that
     share a doc_id are documents of their own. A null text is empty and consists of the end token.
     A null doc_id is held out. Without training documents all words are the unknown word, with
-    probability 1. An empty table gives no rows.
+    probability 1. Long texts are scored whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "katz")
     chunks = chunk_table(docs, space, lower=True, end=True, words=False, tokens=CHUNK_TOKENS)
     buckets = n_buckets(chunks, BUCKET_TOKENS)
-    words = space.save(per_bucket(per_chunk(chunks, [], _ask_words(buckets), QUESTION), _answer_words, ANSWER), "words")
+    words = space.save(per_bucket(per_chunk(chunks, [], _ask_words(buckets), QUESTION), _answer_words, ANSWER), "grams1")
     got = _add(words)
     unigrams = Unigrams.fit(got["tokens"], got["types"], [got[c] for c in COUNTS])
     layout = Layout(buckets, max(1, int(got["last"]).bit_length()), got["tokens"] * HOT_SHARE)
-    answers = [words.where("kind = 'answer'").select("chunk", "bucket", "payload")]
-    asked = per_chunk(chunks, answers, _ask_bigrams(layout), QUESTION)
-    bigrams = space.save(per_bucket(asked, _answer_bigrams(unigrams), ANSWER), "bigrams")
-    n = _add(bigrams)
+    tables, levels = [words], []
+    answer = lambda t: t.where("kind = 'answer'").select("chunk", "bucket", "payload")
     sums = [*COUNTS[:K], "tokens", "p_seen"]
-    hot = bigrams.where("kind = 'hot'").groupBy("context").agg(*(F.sum(c).alias(c) for c in sums)).collect()
-    model = Backoff(layout, unigrams, good_turing([n[c] for c in COUNTS]), {r["context"]: [r[c] for c in sums] for r in hot})
-    model.d[0] = 1.0
-    answers.append(bigrams.where("kind = 'answer'").select("chunk", "bucket", "payload"))
-    kept = [t.where("kind = 'table'").select("bucket", "payload", "types", "tokens") for t in (words, bigrams)]
-    return Katz(per_chunk(chunks, answers, _scores(model), RESULT), *kept)
+    for n in range(2, order + 1):
+        asked = per_chunk(chunks, list(map(answer, tables)), _ask_grams(layout, unigrams, list(levels)), QUESTION)
+        grams = space.save(per_bucket(asked, _answer_grams(unigrams, n), ANSWER), f"grams{n}")
+        of = _add(grams)
+        hot = grams.where("kind = 'hot'").groupBy("context").agg(*(F.sum(c).alias(c) for c in sums)).collect()
+        d = good_turing([of[c] for c in COUNTS])
+        d[0] = 1.0
+        levels.append(Level(d, {r["context"]: [r[c] for c in sums] for r in hot}))
+        tables.append(grams)
+    kept = [t.where("kind = 'table'").select("bucket", "payload", "types", "tokens") for t in tables]
+    return Katz(per_chunk(chunks, list(map(answer, tables)), _scores(layout, unigrams, levels), RESULT), kept)
 
 
 def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
