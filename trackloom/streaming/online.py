@@ -7,35 +7,62 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "track_id long, frame long, hold double, velocity double, quadratic double, late long"
-STATE = "frame long, seen array<double>, late long"
+#: Weights of the last poses, the newest first, each with what stands in for it while the history is shorter.
+MODELS = {"static": [[1]], "velocity": [[2, -1], [1]], "quadratic": [[3, -3, 1], [2, -1], [1]], "jerk": [[4, -6, 4, -1], [3, -3, 1], [2, -1], [1]]}
+OUT = "track_id long, frame long, " + ", ".join(f"{m} double" for m in MODELS) + ", winner string, switched double, late long"
+STATE = "frame long, seen array<double>, winner int, late long"
+HISTORY = 4
+
+
+def _errors(history: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Distances (rows, models) of each new pose from what each model makes of those before it; NaN where there are none."""
+    every = np.concatenate([history, new])
+    out = np.full((len(new), len(MODELS)), np.nan)
+    before = np.arange(len(history), len(every))  # how many poses come before each
+    for j, forms in enumerate(MODELS.values()):
+        done = np.zeros(len(new), bool)
+        for weights in forms:
+            rows = np.flatnonzero((before >= len(weights)) & ~done)
+            made = sum(w * every[before[rows] - 1 - i] for i, w in enumerate(weights))
+            out[rows, j] = np.linalg.norm(new[rows] - made, axis=1)
+            done[rows] = True
+    return out
 
 
 def _score(key, batches, state: GroupState):
-    frame, seen, late = state.get if state.exists else (-1, [], 0)
-    seen = [np.array(seen[i : i + 3]) for i in range(0, len(seen), 3)]  # the newest first
+    frame, seen, winner, late = state.get if state.exists else (-1, [], -1, 0)
     rows = pd.concat(list(batches)).sort_values("frame", kind="stable")  # one track in one trigger
-    out = []
-    for at, *p in rows[["frame", "x", "y", "z"]].itertuples(index=False):
-        if at <= frame:
-            late += 1
-            continue
-        here = np.array(p)
-        if seen:
-            hold = seen[0]
-            vel = 2 * seen[0] - seen[1] if len(seen) > 1 else hold
-            quad = 3 * seen[0] - 3 * seen[1] + seen[2] if len(seen) > 2 else vel
-            out.append((key[0], at, *(float(np.linalg.norm(here - g)) for g in (hold, vel, quad)), late))
-        frame, seen = int(at), [here, *seen][:3]
-    state.update((frame, [float(c) for p in seen for c in p], late))
-    yield pd.DataFrame(out, columns=["track_id", "frame", "hold", "velocity", "quadratic", "late"])
+    frames = rows["frame"].to_numpy()
+    fresh = frames > np.maximum.accumulate(np.append(frame, frames))[:-1]
+    new = rows.loc[fresh, ["x", "y", "z"]].to_numpy(float)
+    history = np.array(seen, float).reshape(-1, 3)  # the oldest first
+    err = _errors(history, new)
+    known = ~np.isnan(err[:, 0]) if len(new) else np.zeros(0, bool)
+    best = np.where(known, np.nan_to_num(err, nan=np.inf).argmin(axis=1) if len(new) else 0, -1)
+    last = np.append(winner, best)[:-1]
+    switched = np.where(last >= 0, err[np.arange(len(new)), np.maximum(last, 0)], err[:, 0]) if len(new) else np.empty(0)
+    out = pd.DataFrame(err[known], columns=list(MODELS))
+    out.insert(0, "frame", frames[fresh][known])
+    out["winner"] = np.array(list(MODELS))[best[known]]
+    out["switched"] = switched[known]
+    missed = pd.DataFrame({"frame": frames[~fresh]})
+    counted = late + np.cumsum(~fresh)
+    out["late"] = counted[fresh][known]
+    missed["late"] = counted[~fresh]
+    kept = np.concatenate([history, new])[-HISTORY:]
+    state.update((int(max(frame, frames.max())), kept.reshape(-1).tolist(), int(best[-1]) if len(best) else winner, int(late + (~fresh).sum())))
+    both = pd.concat([out, missed], ignore_index=True)
+    both.insert(0, "track_id", key[0])
+    yield both[["track_id", "frame", *MODELS, "winner", "switched", "late"]].astype({"winner": object}).where(lambda d: d.notna(), None)
 
 
 def online_errors(poses: DataFrame) -> DataFrame:
     """A stream of poses (track_id, frame, x, y, z) to the errors of what was predicted for each from those before it.
 
-    A track's state is its last three poses, its last frame and the number of rows that came late: at or before
-    the last frame. Late rows are left out and counted. Rows of a trigger are taken by frame. The trigger's size bounds
-    what a task holds: limit it by the source's maxFilesPerTrigger or maxOffsetsPerTrigger.
+    winner is the model with the least error, ties to the first; switched is the error of the row before's winner. A track's first pose has no row. A
+    pose at or before the track's last frame comes late: its row has the frame and null errors, and late counts the late ones so far; it
+    changes nothing else. A track's state is its last four poses, its last frame and winner, and that count.
+    Rows of a trigger are taken by frame. The trigger's size bounds what a task holds: limit it by the source's maxFilesPerTrigger or
+    maxOffsetsPerTrigger.
     """
     return poses.groupBy("track_id").applyInPandasWithState(_score, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
