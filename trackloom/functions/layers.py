@@ -41,6 +41,22 @@ def unit(name: str, a: str, size: str) -> Layer:
     return each(name, f"{a} / nullif({size}, 0)")
 
 
+def parallel(name: str, a: str, b: str) -> Layer:
+    """The part of a along b; null where b is zero."""
+    return each(name, f"{b} * {dot(a, b)} / nullif({dot(b, b)}, 0)")
+
+
+def reflected(name: str, a: str, b: str) -> Layer:
+    """a mirrored at the line along b."""
+    return each(name, f"(2 * {b} * {dot(a, b)} / nullif({dot(b, b)}, 0) - {a})")
+
+
+def roots(a: str, b: str, c: str) -> tuple[str, str]:
+    """The smaller and the larger root of a quadratic with a > 0; null if it has none."""
+    square = f"({b} * {b} - 4 * {a} * {c})"
+    return tuple(f"CASE WHEN {square} >= 0 THEN (-{b} {sign} sqrt(abs({square}))) / nullif(2 * {a}, 0) END" for sign in "-+")
+
+
 def arc(cosine: str) -> str:
     """The angle of a column that holds a cosine; null of null."""
     return f"CASE WHEN {cosine} >= 1 THEN 0e0 WHEN {cosine} <= -1 THEN pi() ELSE acos({cosine}) END"

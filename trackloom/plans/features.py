@@ -6,12 +6,13 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions.layers import Layer
+from ..functions.layers import Layer, apply, arc, dot, each, norm, parallel, reflected, roots
 from ..operators import features as ft
 from ..operators import orientation as ot
 from ..operators import predict as pr
+from ..sources import poses as src
 from .motion import _turned
-from .sql import KEYS, STEPS
+from .sql import KEYS, LAGS, STEPS
 
 #: The axis-angle vectors of these queries are as many times as long, so that turns come near a half turn.
 WIDE = 4
@@ -61,7 +62,29 @@ def aligned_accelerations(spark, d):
     return rows.selectExpr(*KEYS.split(", "), "round(signed, 5) + 0e0 AS signed", "flips")
 
 
-QUERIES = {f.__name__: f for f in (scalar_features, axis_features, orientation_errors, orientation_ranking, unwrapped_rotations, aligned_accelerations)}
+def orientation_sweep_metrics(spark, d):
+    """Shares of angles under two and under five degrees and the mean, by track, then over tracks."""
+    e = pr.long_errors(ot.orientation_errors(_turned(spark, d, WIDE)), list(ot.PREDICTED))
+    share = lambda t: F.avg((F.col("err") < F.radians(F.lit(float(t)))).cast("int"))
+    by = e.groupBy("track_id", "step", "model").agg(share(2).alias("a"), share(5).alias("b"), F.avg("err").alias("m"))
+    return by.groupBy("step", "model").agg(F.round(F.avg("a"), 5).alias("under_2"), F.round(F.avg("b"), 5).alias("under_5"), F.round(F.avg("m"), 5).alias("mean_angle"))
+
+
+def motion_parts(spark, d):
+    """Of the last two moves: the parts along and across, the mirrored move, the acute angle, and when the motion comes within 100 of where it was, if it goes on."""
+    rows = apply(pr.with_history(pr.down_sampled(src.event_poses(spark, d)), 3).where("k >= 3"), PARTS)
+    return rows.selectExpr(*KEYS.split(", "), *(significant(n) for n in PART_NAMES))
+
+
+PARTS = [
+    each("v@", "(@1 - @2)") | each("u@", "(@2 - @3)"),
+    parallel("along@", "u@", "v@") | reflected("mirror@", "u@", "v@") | {"uu": dot("u@", "u@"), "vv": dot("v@", "v@"), "uv": dot("u@", "v@")},
+    each("across@", "(u@ - along@)") | {"acute_cos": "abs(uv) / nullif(sqrt(uu) * sqrt(vv), 0)", "reach": "uu - 10000"},
+    {"along_size": norm("along@"), "across_size": norm("across@"), "acute": arc("acute_cos")} | dict(zip(("enters", "leaves"), roots("vv", "(2 * uv)", "reach"))),
+]
+PART_NAMES = ["along_size", "across_size", "mirrorx", "mirrory", "mirrorz", "acute", "enters", "leaves"]
+
+QUERIES = {f.__name__: f for f in (scalar_features, axis_features, orientation_errors, orientation_ranking, unwrapped_rotations, aligned_accelerations, orientation_sweep_metrics, motion_parts)}
 
 
 def ctes(layers: list[Layer], first: str, name: str) -> str:
@@ -108,6 +131,13 @@ SELECT {KEYS}, {', '.join(f'round({e}, 5) + 0e0 AS {n}' for n, e in ot.PREDICTED
 {ctes(ot.layers(), 'q', 'f')},
 l AS ({' UNION ALL '.join(f"SELECT step, '{n}' AS model, {e} AS err FROM f WHERE k >= 4" for n, e in ot.PREDICTED.items())})
 SELECT step, model, count(err) AS n, round(avg(CAST(err <= radians(2) AS INT)), 5) AS score, round(avg(err), 5) AS mean_err FROM l GROUP BY ALL""",
+    "orientation_sweep_metrics": f"""{turned_sql(WIDE)},
+{ctes(ot.layers(), 'q', 'f')},
+l AS ({' UNION ALL '.join(f"SELECT track_id, step, '{n}' AS model, {e} AS err FROM f WHERE k >= 4" for n, e in ot.PREDICTED.items())}),
+a AS (SELECT track_id, step, model, avg(CAST(err < radians(2) AS INT)) AS a, avg(CAST(err < radians(5) AS INT)) AS b, avg(err) AS m FROM l GROUP BY ALL)
+SELECT step, model, round(avg(a), 5) AS under_2, round(avg(b), 5) AS under_5, round(avg(m), 5) AS mean_angle FROM a GROUP BY ALL""",
+    "motion_parts": f"""WITH {LAGS}, h3 AS (SELECT * FROM h WHERE k >= 3), {ctes(PARTS, 'h3', 'f')}
+SELECT {KEYS}, {', '.join(significant(n) for n in PART_NAMES)} FROM f""",
     "unwrapped_rotations": f"""{turned_sql(WIDE)},
 {ctes(ot.unwrap_layers('q@'), 'q', 'f')}
 SELECT {KEYS}, {', '.join(f'round(r{c}, 5) + 0e0 AS r{c}' for c in 'xyz')} FROM f""",
