@@ -127,7 +127,7 @@ SCALED = "abs(turn - scale * last / pow(1 + pow(last / (2 * pi()), power), 1 / p
 def chosen_bodies(spark, d):
     """Frames of the tracks of a list of bodies."""
     p = src.event_poses(spark, d)
-    wanted = F.broadcast(src.tracks(p).where(F.col("body_name").isin("Cat", "Teapot", "Lego")).select("track_id"))
+    wanted = F.broadcast(src.tracks(p).where(F.col("body_name").isin("3D Touch", "Cat", "Teapot")).select("track_id"))
     return p.join(wanted, "track_id", "left_semi").groupBy("track_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sum_x"))
 
 
@@ -284,7 +284,7 @@ c3 AS (SELECT step, round(turn, 3) AS turn, round(last, 3) AS last, count(*) AS
 m3 AS (SELECT step, scale, power, sum(n * {SCALED}) / sum(n) AS mean_err FROM c3, (SELECT unnest([{', '.join(f'{s!r}e0' for s in SCALES)}]) AS scale), (SELECT unnest([{', '.join(f'{p!r}e0' for p in POWERS)}]) AS power) GROUP BY ALL)
 SELECT step, scale, power, round(mean_err, 5) AS mean_err, row_number() OVER (PARTITION BY step ORDER BY round(mean_err, 6), scale, power) = 1 AS best FROM m3""",
     "chosen_bodies": f"""WITH {POSES}, {TRACKS} SELECT track_id, count(*) AS n, round(sum(x), 4) AS sum_x FROM p
-WHERE track_id IN (SELECT track_id FROM tr WHERE body_name IN ('Cat', 'Teapot', 'Lego')) GROUP BY 1""",
+WHERE track_id IN (SELECT track_id FROM tr WHERE body_name IN ('3D Touch', 'Cat', 'Teapot')) GROUP BY 1""",
     "track_grid": f"""WITH {TRACKS},
 b AS (SELECT unnest(range(0, {len(src.BODIES)})) AS body), s AS (SELECT unnest(range(0, {len(src.SEQUENCES)})) AS seq),
 n AS (SELECT body, seq, count(*) AS tracks FROM tr GROUP BY ALL)
