@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import xxhash
 
 from trackloom.llm import toxicity as m
 
@@ -58,3 +60,23 @@ def test_without_labels(spark):
     df = documents(spark, [(1, "a"), (2, None)])
     assert [r["toxic"] for r in m.score(df, m.fit(df, empty)).collect()] in ([False] * 2, [True] * 2)
     assert m.score(documents(spark, []), m.fit(df, empty)).collect() == []
+
+
+def test_scores_equal_a_plain_chain(spark):
+    """Every probability by hand: a text's distinct words, their weights, and the probabilities of the categories before."""
+    rows, labels = cases(200)
+    rows += [(9000, None), (9001, ""), (9002, "É-w1_W1 w1")]
+    df = documents(spark, rows)
+    chain = m.fit(df, spark.createDataFrame(labels[:150], "doc_id long, quality int, toxic int, text string"))
+    size = 1 << m.BITS
+    got = {r["doc_id"]: r for r in m.score(df, chain).collect()}
+    for i, text in rows:
+        plain = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in text or "")
+        words = {w.translate({k: k + 32 for k in range(65, 91)}) for w in plain.split(" ")} - {""}
+        numbers = {xxhash.xxh64_intdigest(w.encode()) >> (64 - m.BITS) for w in words}
+        before = []
+        for name, w in zip(m.CHAIN, chain.weights):
+            z = sum(w[n] for n in numbers) + w[size] + sum(a * b for a, b in zip(before, w[size + 1 :]))
+            before.append(1 / (1 + math.exp(-z)))
+            assert math.isclose(got[i][f"p_{name}"], before[-1], rel_tol=1e-9), (i, name)
+        assert got[i]["toxic"] == (before[list(m.CHAIN).index("toxic")] >= chain.cuts[list(m.CHAIN).index("toxic")])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, table
+from .common import record_batch, slices, table
 
 SAMPLE = 1000
 SYMBOLS = "#*$%&|<>"
@@ -138,7 +138,7 @@ def verdicts(docs: DataFrame, rules: list[str] | None = None) -> DataFrame:
     schema = "doc_id long, kept boolean, failed_rule string"
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1000):
             texts = map(Text, b["text"].to_pylist())
             failed = [next((name for name in rules if RULES[name](t)), None) for t in texts]
             yield record_batch({"doc_id": b["doc_id"].cast(pa.int64()), "kept": [f is None for f in failed], "failed_rule": failed}, schema)
@@ -147,12 +147,16 @@ def verdicts(docs: DataFrame, rules: list[str] | None = None) -> DataFrame:
 
 
 def measures(docs: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """The cascade's verdict beside the contract's measures, which every text gets."""
+    """The cascade's verdict beside the contract's measures, which every text gets.
+
+    Takes (doc_id long, text string); other columns are ignored, whatever their names. A row for each input row, each by itself, so repeated rows get
+    equal results. A null or empty text has no words, measures of 0, and is rejected. Long texts are measured whole. An empty table gives no rows.
+    """
     rules = rules or order(costs(docs))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1000):
             out: dict = {n: [] for n in [*names, "base_failed", "kept"]}
             for text in b["text"].to_pylist():
                 t = Text(text)

@@ -84,7 +84,10 @@ def masks(radius: int) -> list[int]:
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) between fingerprints fp: each pair within an even ``radius`` is connected by them."""
+    """Links (a, b) between fingerprints fp: each pair within an even ``radius`` is connected by them.
+
+    ``distinct`` has each fingerprint once, none null; other columns are ignored. An empty table, or one of a single fingerprint, has no links.
+    """
     if radius % 2 or radius < 0:
         raise ValueError("the radius has to be even")
     every = masks(radius)
