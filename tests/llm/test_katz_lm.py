@@ -98,7 +98,7 @@ def test_small_chunks_give_the_same(spark, monkeypatch):
 
     real = m.chunk_table
     monkeypatch.setattr(m, "chunk_table", lambda *a, **k: real(*a, **k | {"tokens": 50}))
-    same(katz(documents(spark, rows())).scores.collect(), brute(rows(), 3))
+    same(katz(documents(spark, rows()), 3).scores.collect(), brute(rows(), 3))
 
 
 def test_without_training_documents(spark):

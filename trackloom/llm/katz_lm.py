@@ -36,8 +36,8 @@ from .chunks import NULL_ID, QUESTION, Chunk, bucket_of, chunk_table, n_buckets,
 from .common import Workspace, pack, record_batch, table, unpack
 from .substring_dedup import mix
 
-#: Words of the longest n-grams.
-ORDER = 3
+#: Words of the longest n-grams, unless another order is asked for. Trigrams take about twice the time, memory and disk (see the README).
+ORDER = 2
 #: Counts up to this are discounted.
 K = 5
 #: Contexts with more than this share of the training tokens are spread over buckets.
