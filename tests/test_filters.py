@@ -70,3 +70,20 @@ def test_sweep_equals_single_filters(spark):
 
 def test_grid():
     assert len(m.grid()) == sum(1 for d in range(1, 6) for c in range(d + 1, 11) for n in range(c, 21))
+
+
+@pytest.mark.parametrize("mode", m.MODES)
+def test_sinc_splines(mode):
+    """Constant tracks stay, and wide functions with little taper follow a slow curve."""
+    for degree in (1.2, 2.0, 2.66):
+        for controls in range(int(degree) + 2, 8):
+            for inputs in range(controls, 12):
+                w = m.sinc_spline_weights(degree, controls, inputs, 6.6, 20.0, mode)
+                # Rows of the basis sum to 1, so the fit holds a constant.
+                assert sum(w) == pytest.approx(1, abs=1e-6) and len(w) == inputs
+    u = np.array([2.3, 4.0, 5.9])
+    b = m.sinc_basis(u, 2.2, 6, 4.7, 8.0)
+    for row, x in zip(b, u):
+        t = [(x - i) / 1.6 - 1 for i in range(6)]
+        raw = [math.sin(math.pi * v) / (math.pi * v) * math.exp(-8 * v * v / (4.7**2 - v * v)) if v else 1.0 for v in t]
+        assert row == pytest.approx([r / sum(raw) for r in raw])

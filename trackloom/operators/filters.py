@@ -5,6 +5,7 @@ The weights depend on a few parameters only and are computed on the driver; a tr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil
 
 import numpy as np
@@ -31,47 +32,84 @@ def basis(u: np.ndarray, degree: int, count: int) -> np.ndarray:
     return b[:, :count]
 
 
-def spline_weights(degree: int, controls: int, inputs: int, mode: str = "extrapolate") -> list[float]:
+def fit_weights(basis_at: Callable, slopes_at: Callable, degree: float, controls: int, inputs: int, mode: str) -> list[float]:
     """Weights of the last ``inputs`` poses, the oldest first, for the next pose.
 
-    A curve with ``controls`` control points is fitted to the poses. extrapolate places one more pose on it and takes the curve's end;
+    A curve with ``controls`` control points is fitted to the poses; ``basis_at`` gives a row of their weights for each place u on it, ``slopes_at`` the
+    first and second derivatives at one. extrapolate places one more pose on the curve and takes its end;
     smooth takes the curve at the last pose; accelerate adds the curve's velocity and half its acceleration there to the last pose,
     smooth_accelerate to the smoothed one.
     """
     if not degree < controls <= inputs + (mode == "extrapolate"):
         raise ValueError("a fit needs more control points than its degree, and as many poses")
     u = np.linspace(degree, controls, inputs + (mode == "extrapolate"))
-    b = basis(u, degree, controls)
-    end = basis(u[-1:], degree, controls)[0]
+    b = basis_at(u)
     if mode == "extrapolate":
         # The unknown last pose is where the curve ends: the fit of the known ones decides it.
-        return (end @ np.linalg.pinv(b[:-1])).tolist()
+        return (b[-1] @ np.linalg.pinv(b[:-1])).tolist()
     fit = np.linalg.pinv(b)
-    last = np.zeros(inputs)
-    last[-1] = 1.0
+    start = b[-1] @ fit if mode.startswith("smooth") else np.append(np.zeros(inputs - 1), 1.0)
+    if mode == "smooth":
+        return start.tolist()
     du = u[1] - u[0] if inputs > 1 else 0.0
-    at = np.array([u[-1]])
-    first, second = np.zeros(controls), np.zeros(controls)
-    if degree >= 1:
-        lower = basis(at - 1, degree - 1, controls - 1)[0]
-        first = np.append(0, lower) - np.append(lower, 0)
-    if degree >= 2:
-        lower = basis(at - 2, degree - 2, controls - 2)[0]
-        step = np.append(0, lower) - np.append(lower, 0)
-        second = np.append(0, step) - np.append(step, 0)
-    move = (first * du + second * du * du / 2) @ fit
-    start = end @ fit if mode.startswith("smooth") else last
-    return (start if mode == "smooth" else start + move).tolist()
+    first, second = slopes_at(u[-1:])
+    return (start + (first * du + second * du * du / 2) @ fit).tolist()
 
 
-def spline_filters(degree: int, controls: int, inputs: int, mode: str = "extrapolate") -> dict[int, list[float]]:
+def spline_weights(degree: int, controls: int, inputs: int, mode: str = "extrapolate") -> list[float]:
+    """``fit_weights`` of a uniform B-spline."""
+
+    def slopes(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, second = np.zeros(controls), np.zeros(controls)
+        if degree >= 1:
+            lower = basis(at - 1, degree - 1, controls - 1)[0]
+            first = np.append(0, lower) - np.append(lower, 0)
+        if degree >= 2:
+            lower = basis(at - 2, degree - 2, controls - 2)[0]
+            step = np.append(0, lower) - np.append(lower, 0)
+            second = np.append(0, step) - np.append(step, 0)
+        return first, second
+
+    return fit_weights(lambda u: basis(u, degree, controls), slopes, degree, controls, inputs, mode)
+
+
+def sinc_basis(u: np.ndarray, degree: float, controls: int, radius: float, k: float) -> np.ndarray:
+    """Tapered sinc functions in place of B-splines of a real-valued degree: as wide as these, a row that sums to 1 for each u."""
+    t = (u[:, None] - np.arange(controls)) / ((degree + 1) / 2) - 1
+    inside = np.abs(t) < radius
+    t = np.where(inside, t, 0.0)
+    b = np.where(inside, np.sinc(t) * np.exp(-k * t * t / (radius * radius - t * t)), 0.0)
+    return b / b.sum(axis=1, keepdims=True)
+
+
+def sinc_spline_weights(degree: float, controls: int, inputs: int, radius: float, k: float, mode: str = "extrapolate") -> list[float]:
+    """``fit_weights`` of tapered sinc functions; derivatives by five-point differences."""
+    at = lambda u: sinc_basis(u, degree, controls, radius, k)
+
+    def slopes(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = 1e-3
+        a, b, c, d, e = (at(u + i * h)[0] for i in (-2, -1, 0, 1, 2))
+        return (a - 8 * b + 8 * d - e) / (12 * h), (-a + 16 * b - 30 * c + 16 * d - e) / (12 * h * h)
+
+    return fit_weights(at, slopes, degree, controls, inputs, mode)
+
+
+def growing(degree: float, controls: int, inputs: int, weights: Callable) -> dict[int, list[float]]:
     """Weights by the number of poses at hand: growing fits up to ``inputs``, simple predictors before."""
-    out = {n: [0.0] * (n - 3) + SHORT[min(n, 3)] for n in range(1, degree + 1)}
-    for n in range(degree + 1, inputs + 1):
-        out[n] = spline_weights(degree, min(n, controls), n, mode)
+    out = {n: [0.0] * (n - 3) + SHORT[min(n, 3)] for n in range(1, int(degree) + 1)}
+    for n in range(int(degree) + 1, inputs + 1):
+        out[n] = weights(min(n, controls), n)
     return out
 
 
+def spline_filters(degree: int, controls: int, inputs: int, mode: str = "extrapolate") -> dict[int, list[float]]:
+    return growing(degree, controls, inputs, lambda c, n: spline_weights(degree, c, n, mode))
+
+
+def sinc_spline_filters(degree: float, controls: int, inputs: int, radius: float, k: float, mode: str = "extrapolate") -> dict[int, list[float]]:
+    return growing(degree, controls, inputs, lambda c, n: sinc_spline_weights(degree, c, n, radius, k, mode))
+
+
 def sinc_derivative(t: np.ndarray, radius: float, k: float) -> np.ndarray:
     """Derivative of sinc(t) tapered by exp(-k t^2 / (radius^2 - t^2)) within the radius."""
     inside = np.abs(t) < radius

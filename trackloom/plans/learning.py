@@ -89,12 +89,13 @@ def feature_importance(spark, d):
     return tree.importance(rows, grown, le.FEATURES, le.CLASSES).where("place < 10")
 
 
-SPLINE, SINC = (2, 4, 6), (5.5, 8.0)
+SPLINE, SINC, SINC_SPLINE = (2, 4, 6), (5.5, 8.0), (2.2, 5, 6, 4.7, 8.0)
 
 
 def spline_errors(spark, d):
     e = [fl.filtered_errors(src.event_poses(spark, d), fl.spline_filters(*SPLINE, m), "err").withColumn("model", F.lit(m)) for m in fl.MODES]
-    e.append(fl.filtered_errors(src.event_poses(spark, d), fl.sinc_filters(*SINC), "err").withColumn("model", F.lit("sinc")))
+    for name, filters in (("sinc", fl.sinc_filters(*SINC)), ("sinc_spline", fl.sinc_spline_filters(*SINC_SPLINE))):
+        e.append(fl.filtered_errors(src.event_poses(spark, d), filters, "err").withColumn("model", F.lit(name)))
     every = e[0]
     for more in e[1:]:
         every = every.unionByName(more)
@@ -261,7 +262,7 @@ def _filter_sql(filters, model):
     return f"SELECT step, '{model}' AS model, sqrt({off}) AS err FROM (SELECT *, {w} AS w FROM (SELECT *, {past} FROM st) WHERE k > 0)"
 
 
-_filters = {m: fl.spline_filters(*SPLINE, m) for m in fl.MODES} | {"sinc": fl.sinc_filters(*SINC)}
+_filters = {m: fl.spline_filters(*SPLINE, m) for m in fl.MODES} | {"sinc": fl.sinc_filters(*SINC), "sinc_spline": fl.sinc_spline_filters(*SINC_SPLINE)}
 _trace = "(1 - 2 * (qy * qy + qz * qz)) + (1 - 2 * (qx * qx + qz * qz)) + (1 - 2 * (qx * qx + qy * qy))"
 #: The poses with their rotations, a row a frame.
 _frames = turned_sql().replace(STEPS, POSES + ", st AS (SELECT track_id, 1 AS step, frame AS k, x, y, z FROM p)")
