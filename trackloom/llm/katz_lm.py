@@ -45,7 +45,7 @@ HOT_SHARE = 1 / 1024
 #: A chunk here holds its bigrams several times over in numpy arrays.
 CHUNK_TOKENS = 500_000
 #: Tokens to a bucket, whose entries a task holds several times over.
-BUCKET_TOKENS = 400_000
+BUCKET_TOKENS = 200_000
 HELD_OUT = 10
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -306,12 +306,13 @@ def _ask_grams(layout: Layout, unigrams: Unigrams, levels: list[Level]):
 
 def _answer_grams(unigrams: Unigrams, n: int):
     def answer(bucket: int, chunks: list[int], got: list) -> pd.DataFrame:
-        context = np.concatenate([np.repeat(g[0], g[2]) for g in got]).astype(np.uint64)
+        context = np.concatenate([np.repeat(g[0].astype(np.uint64), g[2]) for g in got])
         hot = np.concatenate([np.repeat(g[1], g[2]) for g in got])
         word, below, seen = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
         order = np.lexsort((word, context))
         c, w = context[order], word[order]
         new = np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])]
+        del c, w
         inverse = np.empty(len(order), np.int64)
         inverse[order] = np.cumsum(new) - 1
         one = order[new]  # an entry of each distinct n-gram
