@@ -1,6 +1,6 @@
 """The text operators' queries, by name, and the SQL of those that DuckDB can express."""
 
-from . import decontaminate, katz_lm, language, pieces, quality, secrets, simhash, site_tree, substring_dedup, toxicity
+from . import decontaminate, katz_lm, language, pieces, quality, ranked_search, secrets, simhash, site_tree, substring_dedup, toxicity
 
 QUERIES = {
     "op1_main_text": site_tree.op1_main_text,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_katz_lm": katz_lm.op9_katz_lm,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
 }
 SQL = {
     "op6_decontaminate": decontaminate.SQL,
     "op7_quality": quality.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
+    "op11_ranked_search": ranked_search.SQL,
 }
