@@ -98,6 +98,7 @@ ARROW = {
     "boolean": pa.bool_(),
     "string": pa.string(),
     "binary": pa.binary(),
+    "array<long>": pa.list_(pa.int64()),
     "array<int>": pa.list_(pa.int32()),
     "array<double>": pa.list_(pa.float64()),
     "array<string>": pa.list_(pa.string()),

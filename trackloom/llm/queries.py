@@ -1,6 +1,6 @@
 """The text operators' queries, by name, and the SQL of those that DuckDB can express."""
 
-from . import decontaminate, katz_lm, language, pieces, quality, ranked_search, secrets, simhash, site_tree, substring_dedup, toxicity
+from . import conversation_repair, decontaminate, katz_lm, language, pieces, quality, ranked_search, secrets, simhash, site_tree, substring_dedup, toxicity
 
 QUERIES = {
     "op1_main_text": site_tree.op1_main_text,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_katz_lm": katz_lm.op9_katz_lm,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
 }
 SQL = {
     "op6_decontaminate": decontaminate.SQL,
