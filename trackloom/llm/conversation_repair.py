@@ -415,3 +415,51 @@ def damage(rows: DataFrame) -> DataFrame:
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(damage(table(spark, sf_dir, "conversations")))
+
+
+SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, CAST(i AS INTEGER), 1)) AS BIGINT)), lambda crc, b:
+           list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295), 4294967295) % 20 AS kind
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations)),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, left(role, 1) AS c FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, rtrim(text, E' \t\n\x0b\x0c\r') AS bare FROM n),
+f AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND again AS twice, bare = '' OR again AS gone, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+         lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c NOT IN ('su', 'ua', 'au') AS odd, CAST(cut AS INTEGER) AS p FROM o),
+m AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (twice) AS duplicate,
+         count(*) FILTER (cut) AS truncated, count(*) FILTER (odd) AS illegal, count(*) AS rows FROM f GROUP BY conv_id),
+best AS (
+  SELECT conv_id, rows AS i, {'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])} AS s0, {'c': 4, 'a': 'II', 'r': ['user:', 'assistant:']} AS s1,
+         {'c': 2, 'a': 'I', 'r': ['assistant:']} AS s2, {'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])} AS s3 FROM m
+  UNION ALL
+  SELECT conv_id, i - 1,
+         list_min([n0, {'c': n2.c + 2, 'a': 'I' || n2.a, 'r': list_prepend('user:', n2.r)}, {'c': n3.c + 4, 'a': 'II' || n3.a, 'r': list_concat(['user:', 'assistant:'], n3.r)}]),
+         list_min([n1, {'c': n2.c + 2, 'a': 'I' || n2.a, 'r': list_prepend('user:', n2.r)}, {'c': n3.c + 4, 'a': 'II' || n3.a, 'r': list_concat(['user:', 'assistant:'], n3.r)}]),
+         list_min([n2, {'c': n3.c + 2, 'a': 'I' || n3.a, 'r': list_prepend('assistant:', n3.r)}]),
+         list_min([n3, {'c': n2.c + 2, 'a': 'I' || n2.a, 'r': list_prepend('user:', n2.r)}])
+  FROM (
+    SELECT b.conv_id, b.i,
+           list_min([{'c': s0.c + 3, 'a': 'D' || s0.a, 'r': s0.r}, CASE WHEN NOT gone AND c = 's' THEN {'c': s1.c + p, 'a': 'K' || s1.a, 'r': list_prepend(role || ':' || text, s1.r)} END,
+                     CASE WHEN NOT gone AND c = 'u' THEN {'c': s2.c + p, 'a': 'K' || s2.a, 'r': list_prepend(role || ':' || text, s2.r)} END,
+                     CASE WHEN NOT gone THEN {'c': s2.c + 2 + p, 'a': 'R' || s2.a, 'r': list_prepend('user:' || text, s2.r)} END]) AS n0,
+           list_min([{'c': s1.c + 3, 'a': 'D' || s1.a, 'r': s1.r}, CASE WHEN NOT gone AND c = 'u' THEN {'c': s2.c + p, 'a': 'K' || s2.a, 'r': list_prepend(role || ':' || text, s2.r)} END,
+                     CASE WHEN NOT gone THEN {'c': s2.c + 2 + p, 'a': 'R' || s2.a, 'r': list_prepend('user:' || text, s2.r)} END]) AS n1,
+           list_min([{'c': s2.c + 3, 'a': 'D' || s2.a, 'r': s2.r}, CASE WHEN NOT gone AND c = 'a' THEN {'c': s3.c + p, 'a': 'K' || s3.a, 'r': list_prepend(role || ':' || text, s3.r)} END,
+                     CASE WHEN NOT gone THEN {'c': s3.c + 2 + p, 'a': 'R' || s3.a, 'r': list_prepend('assistant:' || text, s3.r)} END]) AS n2,
+           list_min([{'c': s3.c + 3, 'a': 'D' || s3.a, 'r': s3.r}, CASE WHEN NOT gone AND c = 'u' THEN {'c': s2.c + p, 'a': 'K' || s2.a, 'r': list_prepend(role || ':' || text, s2.r)} END,
+                     CASE WHEN NOT gone THEN {'c': s2.c + 2 + p, 'a': 'R' || s2.a, 'r': list_prepend('user:' || text, s2.r)} END]) AS n3
+    FROM best b JOIN f ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND b.i = f.i))
+SELECT whole.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit,
+       sha256(coalesce(array_to_string(s0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS whole
+LEFT JOIN m ON whole.conv_id IS NOT DISTINCT FROM m.conv_id
+LEFT JOIN best ON whole.conv_id IS NOT DISTINCT FROM best.conv_id AND best.i = 0
+"""

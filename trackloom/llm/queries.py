@@ -21,4 +21,5 @@ SQL = {
     "op7_quality": quality.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
     "op11_ranked_search": ranked_search.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
 }
