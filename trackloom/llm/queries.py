@@ -1,6 +1,6 @@
 """The text operators' queries, by name, and the SQL of those that DuckDB can express."""
 
-from . import conversation_repair, decontaminate, katz_lm, language, pieces, quality, ranked_search, secrets, simhash, site_tree, substring_dedup, toxicity
+from . import conversation_repair, decontaminate, katz_lm, language, pieces, quality, ranked_search, secrets, simhash, site_tree, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_main_text": site_tree.op1_main_text,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_ranked_search": ranked_search.op11_ranked_search,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_warc": warc.op13_warc,
 }
 SQL = {
     "op6_decontaminate": decontaminate.SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op10_substring_dedup": substring_dedup.SQL,
     "op11_ranked_search": ranked_search.SQL,
     "op12_conversation_repair": conversation_repair.SQL,
+    "op13_warc": warc.SQL,
 }
