@@ -24,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, record_batch, shuffle_partitions, table
+from .common import Workspace, bounded, record_batch, shuffle_partitions, table
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows that the lattice knows (forced deletions in a row count as one), and bytes of text, of a block.
@@ -311,31 +311,38 @@ def _applied(batches):
     yield from _batches(rows, PIECE)
 
 
-def faults(rows: DataFrame) -> DataFrame:
-    """Distinct rows with their number of copies, whether they are blank, truncated, or later than an equal role and text."""
+def faults(rows: DataFrame, space: Workspace) -> DataFrame:
+    """Distinct rows with their number of copies, whether they are blank, truncated, or later than an equal role and text.
+
+    Only rows whose role and text occur again are moved to be counted; a row's digest stands for its text in all keys.
+    """
     given = F.col("copies") if "copies" in rows.columns else F.lit(1)
     there = given > 0
     text, role = (F.when(there, F.coalesce(c, F.lit(" "))).alias(c) for c in ("text", "role"))
     named = rows.select(F.col("conv_id").cast("long"), F.when(there, F.col("turn")).cast("long").alias("turn"), role, text, given.cast("long").alias("copies"))
-    # The digest stands for the text in keys, so that these are of a bounded size.
     hashed = named.withColumn("digest", F.sha2("text", 256))
-    distinct = hashed.groupBy("conv_id", "turn", "role", "digest", "text").agg(F.sum("copies").alias("copies"))
-    earliest = distinct.where("copies > 0").groupBy("conv_id", "role", "digest").agg(F.min(F.struct("turn")).alias("least"), F.count("*").alias("times"))
-    earliest = earliest.where("times > 1").select(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d"), "least")
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("digest") == F.col("d"))
+    again = hashed.groupBy("conv_id", "role", "digest").agg(F.min(F.struct("turn")).alias("least"), F.count("*").alias("times"), F.sum("copies").alias("all"))
+    again = again.where("times > 1 OR all > 1 OR digest IS NULL")
+    again = again.select(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d"), "least")
+    found, _ = bounded(space.save(again, "repeated"), F.coalesce(F.octet_length("r"), F.lit(0)) + 100)
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("role").eqNullSafe(F.col("r")) & F.col("digest").eqNullSafe(F.col("d"))
+    met = hashed.join(found, same, "left")
+    late = (F.col("least").isNotNull() & ~F.col("least.turn").eqNullSafe(F.col("turn"))).alias("late")
+    keys = ["conv_id", "turn", "role", "digest", "text", "late"]
+    once = met.where("least IS NULL").select("conv_id", "turn", "role", "digest", "text", late, "copies")
+    # A later row goes, so its text is not needed, unless it is blank.
     bare = F.rtrim("text", F.lit(SPACE))
-    late = F.col("least").isNotNull() & ~F.col("least.turn").eqNullSafe(F.col("turn"))
-    return distinct.join(earliest, same, "left").select(
-        "conv_id", "turn", "role", "digest", "text", "copies", (bare == "").alias("blank"), late.alias("late"),
-        (~F.right(bare, F.lit(1)).isin(".", "!", "?")).alias("truncated"),
-    )
+    more = met.where("least IS NOT NULL").select("conv_id", "turn", "role", "digest", F.when(~late | (bare == ""), F.col("text")).alias("text"), late, "copies")
+    more = more.groupBy(*keys).agg(F.sum("copies").alias("copies"))
+    blank, truncated = F.coalesce(bare == "", F.lit(False)), ~F.right(bare, F.lit(1)).isin(".", "!", "?")
+    return once.unionByName(more).select(*keys, "copies", blank.alias("blank"), F.coalesce(truncated, F.lit(False)).alias("truncated"))
 
 
 def _pieces(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Repaired conversations of one piece, and the pieces of others."""
     space = Workspace(rows.sparkSession, "conversations")
     order = ["conv_id", "turn", "role", "digest"]
-    dealt = faults(rows).repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = faults(rows, space).repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
     blocks = space.save(dealt.drop("digest").withColumn("part", F.spark_partition_id()).mapInArrow(_cut(block), CUT), "blocks")
     rest = blocks.where("not whole")
     between = rest.select("conv_id", "part", "no", "codes").mapInArrow(_costs, COSTS)
