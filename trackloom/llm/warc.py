@@ -63,8 +63,9 @@ def revisited(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def dictionary(pages: DataFrame) -> bytes:
-    """Trained on a bounded sample by a hash of the page; empty where that is too small to learn from."""
-    drawn = pages.orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE).select(F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    """Trained on about ``SAMPLE`` pages drawn by a hash, twice as many at most; empty where these are too few to learn from."""
+    share = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(pages.count(), 1))) < SAMPLE
+    drawn = pages.where(share).select(F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(2 * SAMPLE)
     samples = [r["html"].encode() for r in drawn.collect() if r["html"]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
