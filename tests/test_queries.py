@@ -5,9 +5,9 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from trackloom.plans import features, learning, motion, queries, reports, sql
+from trackloom.plans import curves, features, learning, motion, queries, reports, sql
 
-QUERIES, SQL = queries.QUERIES | motion.QUERIES | features.QUERIES | reports.QUERIES | learning.QUERIES, sql.SQL | motion.SQL | features.SQL | reports.SQL | learning.SQL
+QUERIES, SQL = queries.QUERIES | motion.QUERIES | features.QUERIES | reports.QUERIES | learning.QUERIES | curves.QUERIES, sql.SQL | motion.SQL | features.SQL | reports.SQL | learning.SQL | curves.SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layers import ORDER, Layer, apply
-from . import evaluate
+from . import evaluate, segments
 from .features import SCALARS, base, error_layers, layers
 from .predict import KEYS
 
 HELD = {"STATIC": "@1", "VEL_DEG1": "(2 * @1 - @2)", "VEL_DEG2": "(2.5e0 * @1 - 2 * @2 + 0.5e0 * @3)", "ACC_DEG2": "(3 * @1 - 3 * @2 + @3)", "JERK": "(4 * @1 - 6 * @2 + 4 * @3 - @4)"}
 CIRCLES = {"CIRC_VEL_DEG1": "circ1", "CIRC_VEL_DEG2": "circ2", "CIRC_ACC": "circ3"}
-CLASSES = [*HELD, *CIRCLES]
+CURVES = {"MIN_JERK": "joint", "MIN_JERK_SPLIT": "split"}
+CLASSES = [*HELD, *CIRCLES, *CURVES]
 #: What the tree looks at.
 FEATURES = [
     "timestep", "speed_deg1", "speed_deg2", "acc_mag", "jerk_mag", "speed_acc_ratio", "disp_mag_ratio", "bounce_angle", "bounce_angle_2_sum", "ortho_acc_mag",
@@ -25,7 +26,14 @@ def class_errors() -> Layer:
         return "sqrt(" + " + ".join(f"({p}) * ({p})" for p in parts) + ")"
 
     held = {m: size([f"{c} - {p.replace('@', c)}" for c in "xyz"]) for m, p in HELD.items()}
-    return held | {m: size([f"{n}_{c}" for c in "xyz"]) for m, n in CIRCLES.items()}
+    curves = {m: size([f"{c} - coalesce({n}_{c}, {HELD['ACC_DEG2'].replace('@', c)})" for c in "xyz"]) for m, n in CURVES.items()}
+    return held | {m: size([f"{n}_{c}" for c in "xyz"]) for m, n in CIRCLES.items()} | curves
+
+
+def curved(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``features.base`` with joint_x .. split_z: where minimum-jerk curves through the poses before a row put it, null where there is none."""
+    made = [f"{n}_{c}" for n in CURVES.values() for c in "xyz"]
+    return segments.predictions(rows).selectExpr(*rows.columns, *(f"lag({c}) OVER {ORDER} AS {c}" for c in made))
 
 
 def label() -> list[Layer]:
@@ -39,10 +47,11 @@ def training_table(poses: DataFrame, features: list[str] | None = None) -> DataF
     """(track_id, step, k, split, features, errors of ``CLASSES``, label, min_err, last_label); k from 4, all steps together.
 
     Poses are (track_id, frame, x, y, z, vx, vy, vz). Features, errors and labels come from one pass over one window; tracks are split
-    by ``evaluate.split_groups``, so no track is on two sides. A missing feature is null.
+    by ``evaluate.split_groups``, so no track is on two sides. A missing feature is null; where there is no minimum-jerk curve, its class takes the
+    quadratic prediction, and so never the label.
     """
     names = features or list(SCALARS)
-    rows = apply(base(poses), [*layers(), *error_layers()]).where("k >= 4")
+    rows = apply(curved(base(poses)), [*layers(), *error_layers()]).where("k >= 4")
     rows = rows.selectExpr(*KEYS, "k", *(f"{SCALARS[n]} AS {n}" for n in names), *(f"{e} AS {m}" for m, e in class_errors().items()))
     split = evaluate.split_groups(poses.select("track_id").distinct(), "track_id")
     return apply(rows, label()).join(split, "track_id")

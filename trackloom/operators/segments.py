@@ -1,95 +1,110 @@
-"""Point-to-point movements between still poses, minimum-jerk curves through them, and the nearest rotation to an extrapolated matrix."""
+"""Point-to-point movements between still poses, minimum-jerk curves through them, and the nearest rotation to an extrapolated matrix.
+
+A curve of duration d is a polynomial in i / d, i being the rows since the movement's start. So the weighted sums of i^p and of i^p times the way
+from the start, running over a movement, hold all that the fit of any duration needs: its end and its residual follow in closed form. No pose of a
+movement is left out, however long it is, and no row carries those before it.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.layers import ORDER, UPTO, Layer, apply, arc, dot, each, lags, matrix, norm
 from .features import base
-from .predict import KEYS, down_sampled, order
+from .predict import KEYS, down_sampled
 
 #: Still is a move of less than this; a turn beyond TURN, or a third difference of jerk that outweighs the acceleration, ends a movement.
 STILL, TURN, JUMP, OUTWEIGHS = "10", "pi() / 6", "0.1", "1.25"
 #: A weight grows by the inverse square of this with a pose's age, so that a movement's start holds.
 FADING = 0.91
-#: Poses of a movement that a fit looks at, and its durations, as multiples of the time so far.
-LONGEST = 60
+#: Durations of a fit, as multiples of the time so far.
 DURATIONS = 1 + np.arange(33) / 8
 
-#: From (track_id, step, k, x, y, z): moving, the rows since the last one that belongs to no movement.
+#: From (track_id, step, k, x, y, z): moving, the rows since the last one that belongs to no movement, and moving_x, moving_y, moving_z, the same on one
+#: axis, where a move of less than STILL to the positive side is still and a change of sign is a turn. Accelerations are by time, jerks are not.
 ARM: list[Layer] = [
     lags(["x", "y", "z"], 6),
     each("v@", "(@ - @1)") | each("u@", "(@1 - @2)") | each("a@", "(@ - 2 * @1 + @2)") | each("p@", "(@ - 6 * @1 + 15 * @2 - 20 * @3 + 15 * @4 - 6 * @5 + @6)"),
     {"nv": norm("v@"), "nu": norm("u@"), "na": norm("a@"), "np": norm("p@"), "uv": dot("u@", "v@")},
-    {"turn_cos": "uv / nullif(nu * nv, 0)", "still": f"coalesce(nv < {STILL}, false)", "was_still": f"coalesce(nu < {STILL}, false)"},
+    {"turn_cos": "uv / nullif(nu * nv, 0)", "still": f"coalesce(nv < {STILL}, false)", "was_still": f"coalesce(nu < {STILL}, false)"}
+    | each("still_@", f"coalesce(v@ < {STILL}, false)") | each("was_still_@", f"coalesce(u@ < {STILL}, false)"),
     {"turn": arc("turn_cos")},
     {
-        "outside": f"k = 0 OR still OR (k >= 2 AND coalesce(turn > {TURN}, false) AND NOT was_still) OR coalesce(np > {JUMP} AND np > {OUTWEIGHS} * na, false)"
-    },
-    {"moving": f"k - max(CASE WHEN outside THEN k END) OVER {UPTO}"},
-    each("next@", f"lead(@) OVER {ORDER}"),
-]
+        "outside": f"k = 0 OR still OR (k >= 2 AND coalesce(turn > {TURN}, false) AND NOT was_still) OR coalesce(np > {JUMP} AND np > {OUTWEIGHS} * na / (step * step), false)"
+    }
+    | each("outside_@", f"k = 0 OR still_@ OR (k >= 2 AND sign(v@) <> sign(u@) AND NOT was_still_@) OR coalesce(abs(p@) > {JUMP} AND abs(p@) > {OUTWEIGHS} * abs(a@), false)"),
+    {"moving": f"k - max(CASE WHEN outside THEN k END) OVER {UPTO}"} | each("moving_@", f"k - max(CASE WHEN outside_@ THEN k END) OVER {UPTO}"),
+]
 
 
-def movements(poses: DataFrame) -> DataFrame:
-    """(track_id, step, k, moving): rows since the last pose that belongs to no movement, 0 for such a pose itself."""
-    return apply(down_sampled(poses).select(*KEYS, "k", "x", "y", "z"), ARM).select(*KEYS, "k", "moving")
+def _fit(name: str, moving: str, axes: str) -> list[Layer]:
+    """<name>_x and so on: where a curve through the movement's poses, all of ``axes`` on one duration, is a row later; null for fewer than three poses.
 
+    For a duration the best end is the least-squares solution; of the durations the one of the least weighted residual is taken, ties to the shortest.
+    With r = 1 / d, the residual is the weighted square of the way, which no duration changes, less ways(r) / sizes(r).
+    """
+    over = f"OVER (PARTITION BY track_id, step, {name}_start ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    powers = [(3, "w3"), (4, "(w3 * i)"), (5, "(w3 * i * i)")]
+    named = lambda p, c: f"{name}_way{p}{c}"
+    product = lambda p, q: "(" + " + ".join(f"{named(p, c)} * {named(q, c)}" for c in axes) + ")"
+    ways = {6: product(3, 3), 7: product(3, 4), 8: f"(225 * {product(4, 4)} + 120 * {product(3, 5)})", 9: product(4, 5), 10: product(5, 5)}
+    quartic = lambda c6, c7, c8, c9, c10: f"(100 * {c6} + r * (-300 * {c7} + r * ({c8} + r * (-180 * {c9} + r * 36 * {c10}))))"
+    sizes = quartic(*(f"345 * {name}_size8" if p == 8 else f"{name}_size{p}" for p in range(6, 11)))
+    gain = f"named_struct('gain', {quartic(*(f'{name}_ways{p}' for p in range(6, 11)))} / {sizes}, 'order', -j, 'r', r)"
+    tau = f"least(1e0, ({moving} + 1) * r)"
+    return [
+        {f"{name}_start": f"k - {moving}", "i": f"CAST({moving} AS DOUBLE)"},
+        {f"{name}_from{c}": f"first_value({c}) {over}" for c in axes} | {"w3": f"power({FADING * FADING!r}e0, i) * i * i * i"},
+        {f"{name}_size{p}": f"sum(w3 * {' * '.join(['i'] * (p - 3))}) {over}" for p in range(6, 11)}
+        | {named(p, c): f"sum({w} * ({c} - {name}_from{c})) {over}" for p, w in powers for c in axes},
+        {f"{name}_ways{p}": e for p, e in ways.items()},
+        {f"{name}_best": f"CASE WHEN {moving} >= 2 THEN array_max(transform(transform(sequence(0, {len(DURATIONS) - 1}), j -> 8e0 / ((8 + j) * i)), (r, j) -> {gain})) END"},
+        {"r": f"{name}_best.r"},
+        {f"{name}_scale": f"(r * r * r * {sizes})", f"{name}_tau": tau},
+        {f"{name}_share": f"{name}_tau * {name}_tau * {name}_tau * (10 - 15 * {name}_tau + 6 * {name}_tau * {name}_tau)"},
+        {f"{name}_{c}": f"{name}_from{c} + {name}_share * (10 * {named(3, c)} + r * (-15 * {named(4, c)} + r * 6 * {named(5, c)})) / {name}_scale" for c in axes},
+    ]
+
+
+def _apply(rows: DataFrame, name: str, moving: str, axes: str) -> DataFrame:
+    kept = rows.columns
+    return apply(rows, _fit(name, moving, axes)).select(*kept, *(f"{name}_{c}" for c in axes))
+
+
+def predictions(rows: DataFrame) -> DataFrame:
+    """``rows`` (track_id, step, k, x, y, z and others) with moving, and where minimum-jerk curves are a row later: joint_x, y, z by one duration for all
+    axes, split_x, y, z by movements and durations of each axis; null where there is no fit.
+
+    All windows are within a track and step, so there is one exchange.
+    """
+    kept = rows.columns
+    rows = apply(rows, ARM).select(*kept, "moving", *(f"moving_{c}" for c in "xyz"))
+    rows = _apply(rows, "joint", "moving", "xyz")
+    for c in "xyz":
+        rows = _apply(rows, "split", f"moving_{c}", c)
+    return rows.drop(*(f"moving_{c}" for c in "xyz"))
 
-def min_jerk(t: np.ndarray) -> np.ndarray:
-    """Share of the way after a share t of the time."""
-    t = np.clip(t, 0, 1)
-    return t**3 * (10 - 15 * t + 6 * t * t)
 
+def movements(poses: DataFrame) -> DataFrame:
+    """(track_id, step, k, moving): rows since the last pose that belongs to no movement, 0 for such a pose itself."""
+    return apply(down_sampled(poses).select(*KEYS, "k", "x", "y", "z"), ARM).select(*KEYS, "k", "moving")
 
-def fitted(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Predicted next points and durations of ``points`` (rows, poses, axes), each row one movement from its first pose on.
 
-    For a duration the best end is a least-squares solution in closed form; of the durations the one with the least weighted residual is taken, ties to
-    the shortest. The prediction stays at the end once it is reached.
-    """
-    n = points.shape[1]
-    moved = points - points[:, :1]
-    w = FADING ** (2.0 * np.arange(n))  # the newest has the least weight
-    best, at, duration = np.full(len(points), np.inf), np.zeros((len(points), points.shape[2])), np.zeros(len(points))
-    for d in DURATIONS * (n - 1):
-        s = min_jerk(np.arange(n) / d)
-        way = np.einsum("n,rna->ra", w * s, moved) / (w * s * s).sum()
-        left = np.einsum("n,rna->r", w, (moved - s[:, None] * way[:, None]) ** 2)
-        better = left < best * (1 - 1e-9) - 1e-12
-        best[better], duration[better] = left[better], d
-        at[better] = (points[:, 0] + min_jerk(np.array(n / d)) * way)[better]
-    return at, duration
+#: Errors of the pose after k.
+ERRORS: list[Layer] = [
+    each("next@", f"lead(@) OVER {ORDER}") | each("quad@", f"(3 * @ - 3 * lag(@) OVER {ORDER} + lag(@, 2) OVER {ORDER})"),
+    {"quad": norm("(quad@ - next@)"), "err": norm("(joint_@ - next@)"), "split": norm("(coalesce(split_@, quad@) - next@)"), "axes": " + ".join(f"CAST(split_{c} IS NOT NULL AS INT)" for c in "xyz")},
+]
 
 
 def min_jerk_errors(poses: DataFrame) -> DataFrame:
-    """(track_id, step, k, moving, err, quad): how far the pose after k is from the minimum-jerk prediction, and from the quadratic one.
+    """(track_id, step, k, moving, err, split, axes, quad): how far the pose after k is from the minimum-jerk predictions, and from the quadratic one.
 
-    Movements of fewer than three poses have no fit and a null err; of longer ones than ``LONGEST`` the last so many poses count. A row carries its movement's
-    poses, so rows are fitted wherever they lie, in batches, and a long track is no single task's.
+    Movements of fewer than three poses have no fit and a null err; of split, the ``axes`` that have no fit take the quadratic prediction.
     """
-    window = order().rowsBetween(1 - LONGEST, 0)
-    rows = apply(down_sampled(poses).select(*KEYS, "k", "x", "y", "z"), ARM)
-    rows = rows.select(*KEYS, "k", "moving", *(F.collect_list(c).over(window).alias(f"past_{c}") for c in "xyz"), "nextx", "nexty", "nextz", *(F.expr(f"3 * {c} - 3 * {c}1 + {c}2").alias(f"quad{c}") for c in "xyz"))
-    rows = rows.where("nextx IS NOT NULL AND k >= 2")
-    schema = "track_id long, step long, k long, moving long, err double, quad double"
-
-    def run(batches):
-        for b in batches:
-            end = b[["nextx", "nexty", "nextz"]].to_numpy()
-            quad = np.linalg.norm(b[["quadx", "quady", "quadz"]].to_numpy() - end, axis=1)
-            err = np.full(len(b), np.nan)
-            size = np.minimum(b["moving"].to_numpy() + 1, LONGEST)
-            for n in np.unique(size[size >= 3]):
-                which = np.flatnonzero(size == n)
-                past = np.stack([np.array([p[-n:] for p in b[f"past_{c}"].iloc[which]]) for c in "xyz"], axis=2)
-                err[which] = np.linalg.norm(fitted(past)[0] - end[which], axis=1)
-            yield pd.DataFrame({"track_id": b["track_id"], "step": b["step"], "k": b["k"], "moving": b["moving"], "err": pd.Series(err).replace(np.nan, None), "quad": quad})
-
-    return rows.mapInPandas(run, schema)
+    rows = predictions(down_sampled(poses).select(*KEYS, "k", "x", "y", "z"))
+    return apply(rows, ERRORS).where("nextx IS NOT NULL AND k >= 2").select(*KEYS, "k", "moving", "err", "split", "axes", "quad")
 
 
 def nearest_rotations(matrices: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ from ..operators import learning as le
 from ..operators import predict as pr
 from ..operators import rotation, segments, shape, tree
 from ..sources import poses as src
+from .curves import CURVED
 from .features import ctes, significant, turned_sql
 from .motion import ROT, SQL as MOTION_SQL, W, _turned
 from .sql import KEYS, POSES, STEPS, TRACKS
@@ -223,12 +224,6 @@ def _still(spark, d):
     return src.event_poses(spark, d).select("track_id", "frame", F.floor(F.col("x") / 20).cast("double").alias("x"), F.floor(F.col("y") / 20).cast("double").alias("y"), F.lit(0.0).alias("z"))
 
 
-def min_jerk_errors(spark, d):
-    """Mean errors of the minimum-jerk prediction and of the quadratic one where there is a fit, by the movement's length so far."""
-    e = segments.min_jerk_errors(src.event_poses(spark, d)).where("err IS NOT NULL")
-    return e.groupBy("step", F.least("moving", F.lit(10)).alias("poses")).agg(F.count("*").alias("n"), F.avg("err").alias("mean_err"), F.avg("quad").alias("mean_quad"))
-
-
 def matrix_errors(spark, d):
     """Mean and largest angle off of the rotation nearest to the extrapolated matrix."""
     return segments.matrix_errors(_turned(spark, d)).groupBy("step").agg(F.count("*").alias("n"), F.avg("err").alias("mean_err"), F.max("err").alias("most"))
@@ -239,12 +234,13 @@ QUERIES = {
     for f in (
         training_table, label_counts, feature_projection, feature_completeness, multiplier_errors, tree_depth_scores, feature_importance, spline_errors, spline_sweep,
         rotation_scale_grid, chosen_bodies, track_grid, pose_text_round_trip, vector_text_round_trip, scene_round_trip, tracker_files, stored_results,
-        arm_movements, min_jerk_errors, matrix_errors,
+        arm_movements, matrix_errors,
     )
 }
 
 _table = f"""{turned_sql()},
-{ctes([*ft.layers(), *ft.error_layers()], 'q', 'f')},
+{CURVED},
+{ctes([*ft.layers(), *ft.error_layers()], 'qf', 'f')},
 e2 AS (SELECT {KEYS}, {', '.join(f'{ft.SCALARS[n]} AS {n}' for n in le.FEATURES)}, {', '.join(f'{e} AS {m}' for m, e in le.class_errors().items())} FROM f WHERE k >= 4),
 {ctes(le.label(), 'e2', 'l2')},
 sp AS ({SPLIT}),
