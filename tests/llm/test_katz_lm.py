@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from trackloom.llm.chunks import NULL_ID
@@ -24,8 +25,8 @@ def brute(rows, order=2):
                 for n in range(2, min(order, at + 1) + 1):
                     grams[n][tuple(full[at - n + 1 : at])][full[at]] += 1
     n, v = sum(uni.values()), len(uni)
-    d1 = good_turing([sum(c == r for c in uni.values()) for r in range(1, K + 2)])
-    dn = {k: good_turing([sum(c == r for x in g.values() for c in x.values()) for r in range(1, K + 2)]) for k, g in grams.items()}
+    d1 = good_turing([sum(c == r for c in uni.values()) for r in range(1, K + 2)])[0]
+    dn = {k: good_turing([sum(c == r for x in g.values() for c in x.values()) for r in range(1, K + 2)])[0] for k, g in grams.items()}
     d = lambda x, c: x[c] if c <= K else 1
     mass = sum(d(d1, c) * c for c in uni.values())
     scale = n if mass < n else n + 1
@@ -111,10 +112,46 @@ def test_empty(spark):
     assert katz(documents(spark, [])).scores.collect() == []
 
 
-PAIRS = [(1, 100, 40), (2, 40, 20), (3, 20, 12), (4, 12, 8), (5, 8, 6)]
-
-
-def test_discounts():
-    d = good_turing([100, 40, 20, 12, 8, 6])
-    assert d[1:] == pytest.approx([((r + 1) * b / (r * a) - 0.36) / 0.64 for r, a, b in PAIRS])
-    assert good_turing([0, 0, 0, 0, 0, 0])[1] == 0.5
+def test_discounts_follow_the_line():
+    n = [round(1e6 / r**2.5) for r in range(1, K + 2)]
+    d, method = good_turing(n)
+    common = 6**-1.5
+    assert method == "good-turing"
+    assert d[1:] == pytest.approx([((1 + 1 / r) ** -1.5 - common) / (1 - common) for r in range(1, K + 1)], rel=2e-3)
+
+
+def test_raw_estimates_hold_while_they_differ_from_the_line():
+    n = [100_000, 20_000, 9_000, 5_000, 3_300, 2_300]
+    slope = np.polyfit(np.log(range(1, 7)), np.log(n), 1)[0]
+    common, (d, method) = 6 ** (slope + 1), good_turing(n)
+    raw = [(r + 1) * n[r] / n[r - 1] / r for r in range(1, 6)]
+    line = [(1 + 1 / r) ** (slope + 1) for r in range(1, 6)]
+    apart = [abs(a - b) > 1.96 * (r + 1) / r * n[r] / n[r - 1] * math.sqrt(1 / n[r] + 1 / n[r - 1]) for r, a, b in zip(range(1, 6), raw, line, strict=True)]
+    first = apart.index(False) if False in apart else K
+    assert method == "good-turing" and first > 0
+    assert d[1:] == pytest.approx([((a if i < first and common < a < 1 else b) - common) / (1 - common) for i, (a, b) in enumerate(zip(raw, line, strict=True))])
+
+
+def test_sparse_and_flat_counts():
+    assert good_turing([0, 0, 0, 0, 0, 0]) == (pytest.approx(np.array([1, 0.5, 0.75, 5 / 6, 0.875, 0.9])), "absolute")
+    assert good_turing([5, 5, 5, 5, 5, 5])[1] == "absolute"
+    for n in ([40, 0, 3, 0, 0, 1], [9, 4, 0, 0, 0, 0], [7, 9, 2, 3, 1, 0]):
+        d, method = good_turing(n)
+        assert ((d[1:] > 0) & (d[1:] < 1)).all(), (n, d, method)
+    assert good_turing([40, 0, 3, 0, 0, 1])[1] == "good-turing"
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_given_tables_are_discounted_by_good_turing(size):
+    rows = pq.read_table(f"/root/testdata/{size}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    words, pairs = Counter(), Counter()
+    for r in rows:
+        if not held_out(r["doc_id"]):
+            tokens = [*(r["text"] or "").encode().lower().split(), None]
+            words.update(tokens)
+            pairs.update(zip(["start", *tokens], tokens, strict=False))
+    for counts in (words, pairs):
+        n = [sum(c == r for c in counts.values()) for r in range(1, K + 2)]
+        d, method = good_turing(n)
+        assert method == "good-turing", n
+        assert ((d[1:] > 0.1) & (d[1:] < 0.95)).all(), (n, d)

@@ -1,6 +1,6 @@
 """Katz backoff language model of any order, trained on and applied to a whole corpus.
 
-Good-Turing discounts take mass from n-grams seen up to five times; a context gives that mass
+Simple Good-Turing discounts take mass from n-grams seen up to five times; a context gives that mass
 to the words it was not seen with, in proportion to their probability one order lower; the lowest is
 discounted in the same way in favour of one unknown word:
 
@@ -66,21 +66,38 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(text.encode()) % HELD_OUT == 0
 
 
-def good_turing(n: list[int]) -> np.ndarray:
-    """Discounts d[0..K] for counts from n[r - 1] keys seen r times, r to K + 1.
+def good_turing(n: list[int]) -> tuple[np.ndarray, str]:
+    """Discounts d[0..K] for counts from n[r - 1] keys seen r times, r to K + 1, and the method: "good-turing" or, rarely, "absolute".
 
-    Where the counts of counts give no discount between 0 and 1 for some r, as in small corpora,
-    absolute discounting takes its place for all r.
+    Simple Good-Turing: counts of counts, averaged over the gaps between those that occur, lie about a line of logarithms. Raw estimates of a true
+    count, (r + 1) n(r + 1) / n(r), hold up to the first r where they and the line's don't differ by more than chance, the line's from there on, and
+    where a raw one would leave no discount between 0 and 1. The line gives such discounts whenever it falls faster than 1 / r; only where it doesn't,
+    or has fewer than two points, absolute discounting takes its place.
     """
+    r, counts = np.arange(1, K + 2), np.array(n, float)
+    seen = np.flatnonzero(counts > 0)
     d = np.ones(K + 1)
-    with np.errstate(all="ignore"):
-        r, n = np.arange(1, K + 1), np.array(n, float)
-        common = (K + 1) * n[K] / n[0]
-        d[1:] = ((r + 1) * n[1:] / (r * n[:-1]) - common) / (1 - common)
-        if not ((d[1:] > 0) & (d[1:] < 1)).all():
-            less = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-            d[1:] = (r - less) / r
-    return d
+    if len(seen) >= 2:
+        before = np.append(0, r[seen][:-1])
+        after = np.append(r[seen][1:], 2 * r[seen][-1] - before[-1])
+        slope = np.polyfit(np.log(r[seen]), np.log(2 * counts[seen] / (after - before)), 1)[0]
+        if slope < -1:
+            share = (1 + 1 / r[:K]) ** (slope + 1)  # of a count that is kept, by the line
+            common = (K + 1.0) ** (slope + 1)
+            for i in range(K):
+                if not (counts[i] and counts[i + 1]):
+                    break
+                raw = (i + 2) * counts[i + 1] / counts[i] / (i + 1)
+                spread = (i + 2) / (i + 1) * counts[i + 1] / counts[i] * np.sqrt(1 / counts[i + 1] + 1 / counts[i])
+                if abs(raw - share[i]) <= 1.96 * spread:
+                    break
+                if common < raw < 1:
+                    share[i] = raw
+            d[1:] = (share - common) / (1 - common)
+            return d, "good-turing"
+    less = counts[0] / (counts[0] + 2 * counts[1]) if counts[0] and counts[1] else 0.5
+    d[1:] = (r[:K] - less) / r[:K]
+    return d, "absolute"
 
 
 class Unigrams(NamedTuple):
@@ -93,7 +110,7 @@ class Unigrams(NamedTuple):
 
     @classmethod
     def fit(cls, tokens: int, types: int, n: list[int]) -> Unigrams:
-        d = np.append(good_turing(n), 1.0)
+        d = np.append(good_turing(n)[0], 1.0)
         r = np.arange(1, K + 1)
         kept = tokens - float(((1 - d[1 : K + 1]) * r * np.array(n[:K])).sum())
         if kept >= tokens:  # nothing is discounted: the unknown word counts as one more token
@@ -423,7 +440,7 @@ def katz(docs: DataFrame, order: int = ORDER) -> Katz:
         grams = space.save(per_bucket(asked, _answer_grams(unigrams, n), ANSWER), f"grams{n}")
         of = _add(grams)
         hot = grams.where("kind = 'hot'").groupBy("context").agg(*(F.sum(c).alias(c) for c in sums)).collect()
-        d = good_turing([of[c] for c in COUNTS])
+        d = good_turing([of[c] for c in COUNTS])[0]
         d[0] = 1.0
         levels.append(Level(d, {r["context"]: [r[c] for c in sums] for r in hot}))
         tables.append(grams)
