@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -90,13 +92,36 @@ def test_text_model_equals_counts(spark):
             data = f" {t} ".encode() if i is not None and t is not None and of == lang else b""
             for a, b, c in zip(data, data[1:], data[2:]):
                 n[((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF) >> (32 - m.BITS)] += 1
-        assert np.allclose(model[k], np.log(np.array(n) / sum(n)))
+        assert np.allclose([model.loglik(np.array([c]))[k] for c in range(0, 1 << m.BITS, 97)], np.log(np.array(n) / sum(n))[::97])
+        assert np.isclose(model.loglik(np.arange(1 << m.BITS).repeat(2))[k], 2 * np.log(np.array(n) / sum(n)).sum())
 
 
-def test_most_languages(spark, monkeypatch):
-    monkeypatch.setattr("trackloom.llm.language.LANGUAGES", 2)
-    rows = [(i, "abc def", lang, "s", 1) for i, lang in enumerate(["cc", "aa", "bb", "aa", "bb"])]
-    assert m.fit_text(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))[0] == ["aa", "bb"]
+def test_every_language_is_learnt(spark):
+    rnd = random.Random(6)
+    rows = [(i, text(rnd, "aa"), "aa", "s", 1) for i in range(3000)] + [(9000, text(rnd, "bb"), "bb", "s", 1)]
+    rows += [(10_000 + i, " ".join(chr(0x4E00 + 10 * i + rnd.randrange(10)) * 3 for _ in range(40)), f"x{i:03}", "s", 1) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    langs, model = m.fit_text(docs)
+    assert len(langs) == 152
+    got = {r["doc_id"]: r for r in m.identify(m.document_rows(docs), langs, model).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i]["text_lang"] == lang for i, _, lang, *_ in rows)
+
+
+def test_markup_like_patterns():
+    slow = re.compile(r"(?si)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
+    rnd = random.Random(8)
+    parts = ["<!--", "-->", "--", "<script", "<SCRIPT>", "</script>", "</script >", "<style ", "</style", ">", "<", "<p>", "x", " ", "a>b", "<scripty>", "</Style>"]
+    for _ in range(4000):
+        html = "".join(rnd.choice(parts) for _ in range(rnd.randrange(14)))
+        assert m.bare(html) == slow.sub(" ", html), html
+
+
+@pytest.mark.parametrize("part", ["<script ", "<!-- ", "<style>", "<", "<html lang", "</script", "<!--<script>"])
+def test_broken_pages_take_time_in_proportion(part):
+    began = time.perf_counter()
+    m.bare(part * 300_000)
+    assert time.perf_counter() - began < 5
 
 
 def test_page_rows(spark):

@@ -2,8 +2,8 @@
 
     P(lang | all) ~ P(text | lang)^t  P(declared | lang)  P(suffix | lang)  P(lang | host)
 
-Text likelihoods are a naive Bayes model of hashed byte trigrams, fitted on the labelled documents with
-the ``SAMPLE`` smallest hashes of their doc_id; they are tempered to the weight of ``EVIDENCE``
+Text likelihoods are a naive Bayes model of hashed byte trigrams, fitted on ``SAMPLE`` labelled documents, as many of each
+language, those with the smallest hashes of their doc_id (of more languages than that, one document each); they are tempered to the weight of ``EVIDENCE``
 trigrams at most, as neighbouring trigrams are not independent. Declared markup language (a page's lang
 attribute, a document's lang column) and address suffix (top-level domain and a two-letter first
 path segment) have smoothed likelihoods; the host's prior is smoothed towards its registered
@@ -15,10 +15,12 @@ its host's and domain's.
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace, bounded, hot_join, record_batch, slices, table
@@ -26,12 +28,37 @@ from .common import Workspace, bounded, hot_join, record_batch, slices, table
 SAMPLE = 2000
 BITS = 16
 EVIDENCE = 100
-#: The most languages that are learnt: their cells are held by the driver and each worker.
-LANGUAGES = 100
 #: Weight of the broader prior, in rows.
 PRIOR_ROWS = 10.0
-MARKUP = re.compile(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
-DECLARED = r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})"
+HIDDEN = re.compile(r"(?i)<(script|style)\b")
+CLOSED = {n: re.compile(rf"(?i)</{n}\s*>") for n in ("script", "style")}
+ELEMENT, DECLARED = r"(?i)<html\b[^>]*", r"(?i)\blang\s*=\s*[\"']?([A-Za-z]{2,3})"
+
+
+def bare(html: str) -> str:
+    """A space in place of each comment, script, style and tag. What isn't closed is text; one look forward tells that for all that follows."""
+    out, at, open_, missing = [], 0, html.find("<"), set()
+    while open_ >= 0:
+        end = -1
+        if html.startswith("<!--", open_) and "-->" not in missing:
+            end = html.find("-->", open_ + 4) + 3
+            if end < 3:
+                missing.add("-->")
+                end = -1
+        elif found := HIDDEN.match(html, open_):
+            name = found[1].lower()
+            if name not in missing:
+                close = CLOSED[name].search(html, found.end())
+                end = close.end() if close else -1
+                if not close:
+                    missing.add(name)
+        if end < 0:
+            end = html.find(">", open_ + 1) + 1
+            if not end:
+                break
+        out.append(html[at:open_])
+        at, open_ = end, html.find("<", end)
+    return " ".join([*out, html[at:]])
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -42,35 +69,58 @@ def trigrams(text: str) -> np.ndarray:
     return (h >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def fit_text(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-likelihood of each hashed trigram, a row for each language.
+class Model(NamedTuple):
+    """Log-likelihoods of hashed trigrams: ``unseen`` of each language, and what the cells that a language has been seen with add to it."""
 
-    The tasks count trigrams by language; the driver gets the counts of 2 ** BITS cells a language. Of the sample's languages
-    the ``LANGUAGES`` with the most documents are learnt. Rows with a null doc_id or lang don't count, null texts have no trigrams; of
-    rows that share a doc_id all count. Other columns are ignored. Without labelled rows there are no languages.
+    unseen: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    more: np.ndarray
+
+    @classmethod
+    def fit(cls, n_langs: int, lang: np.ndarray, cell: np.ndarray, n: np.ndarray) -> Model:
+        order = np.lexsort((lang, cell))
+        lang, cell, n = lang[order], cell[order], n[order]
+        total = np.bincount(lang, n, n_langs) + 0.5 * (1 << BITS)
+        return cls(np.log(0.5 / total), np.searchsorted(cell, np.arange((1 << BITS) + 1)), lang, np.log((n + 0.5) / 0.5))
+
+    def loglik(self, cells: np.ndarray) -> np.ndarray:
+        which, times = np.unique(cells, return_counts=True)
+        first, n = self.starts[which], self.starts[which + 1] - self.starts[which]
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return len(cells) * self.unseen + np.bincount(self.langs[at], self.more[at] * np.repeat(times, n), len(self.unseen))
+
+
+def fit_text(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], Model]:
+    """Languages, by name, and their model.
+
+    The tasks count trigrams by language; the driver gets the counts of cells that occur, 2 ** BITS a language at most. Every language is learnt, a rare one from
+    all its documents. Rows with a null doc_id or lang don't count, null texts have no trigrams; of rows that share a doc_id all count. Other
+    columns are ignored. Without labelled rows there are no languages.
     """
-    labelled = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL")
-    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    common = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    labelled = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("long"), "lang", "text")
+    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
+    share = max(1, sample // max(1, len(langs)))
+    ids = labelled.select("lang", "doc_id").distinct()
+    ids = ids.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("place") <= share)
+    texts = labelled.join(F.broadcast(ids.drop("place")), ["lang", "doc_id"], "left_semi")
     schema = "lang string, cell int, n long"
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for b in slices(batches, 1000):
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
-                cells = np.bincount(trigrams(text or ""), minlength=1 << BITS)
-                counts[lang] = counts.get(lang, 0) + cells
+                cells, n = np.unique(trigrams(text or ""), return_counts=True)
+                held = counts.setdefault(lang, np.zeros(1 << BITS, np.int64))
+                held[cells] += n
         for lang, n in counts.items():
             cell = np.flatnonzero(n)
             yield record_batch({"lang": [lang] * len(cell), "cell": cell, "n": n[cell]}, schema)
 
-    rows = texts.join(F.broadcast(common), "lang", "left_semi").select("lang", "text").mapInArrow(run, schema).groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in rows})
-    n = np.full((len(langs), 1 << BITS), 0.5)
-    for r in rows:
-        n[langs.index(r["lang"]), r["cell"]] += r["n"]
-    return langs, np.log(n / n.sum(axis=1, keepdims=True))
+    rows = texts.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    number = {lang: i for i, lang in enumerate(langs)}
+    lang = np.array([number[x] for x in rows["lang"].to_pylist()], np.int64)
+    return langs, Model.fit(len(langs), lang, rows["cell"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(float))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -80,7 +130,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("doc_id"),
         F.col("page_id").cast("long").alias("page_id"),
         F.col("html").alias("text"),
-        F.lower(F.nullif(F.regexp_extract("html", DECLARED, 1), F.lit(""))).alias("declared"),
+        F.lower(F.nullif(F.regexp_extract(F.regexp_extract("html", ELEMENT, 0), DECLARED, 1), F.lit(""))).alias("declared"),
         F.nullif(F.concat_ws("/", F.nullif(F.regexp_extract(host, r"([^.]*)$", 1), F.lit("")), F.nullif(F.lower(segment), F.lit(""))), F.lit("")).alias("suffix"),
         F.coalesce(host, F.lit("")).alias("host"),
         F.coalesce(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"),
@@ -105,19 +155,17 @@ def document_rows(docs: DataFrame) -> DataFrame:
 ROW = "doc_id long, page_id long, declared string, suffix string, host string, domain string, loglik array<double>, own int"
 
 
-def text_evidence(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
+def text_evidence(rows: DataFrame, langs: list[str], model: Model) -> DataFrame:
     """Tempered log-likelihoods and own, the language that the text alone speaks for (from 1; 0: no text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32).T.copy())  # 2 ** BITS numbers a language
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(model))  # of the sample's size, whatever the rows
 
     def run(batches):
-        cells = shared.value
+        known = Model(*shared.value)
         for b in slices(batches, 1000):
             loglik, own = [], []
             for text, markup in zip(b["text"].to_pylist(), b["markup"].to_pylist()):
-                g = trigrams(MARKUP.sub(" ", text or "") if markup else text or "")
-                total = np.zeros(len(langs))
-                for at in range(0, len(g), 1 << 16):
-                    total += cells[g[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
+                g = trigrams(bare(text or "") if markup else text or "")
+                total = known.loglik(g)
                 loglik.append(total * (min(1.0, EVIDENCE / len(g)) if len(g) else 0.0))
                 own.append(int(total.argmax()) + 1 if len(g) > 2 and len(langs) else 0)
             yield record_batch({n: b[n] for n in b.schema.names if n not in ("text", "markup")} | {"loglik": loglik, "own": own}, ROW)
@@ -127,11 +175,12 @@ def text_evidence(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataF
 
 def _counts(rows: DataFrame, by: list[str], name: str, n: int) -> DataFrame:
     """For each key its rows, n__, and an array of those of each language."""
-    each = [F.count(F.when(F.col("own") == k, 1)).cast("double") for k in range(1, n + 1)]
-    return rows.groupBy(*by).agg(F.array(*each).alias(name), F.count("*").alias("n__"))
+    own = rows.groupBy(*by, "own").agg(F.count("*").alias("c")).groupBy(*by)
+    own = own.agg(F.map_from_entries(F.collect_list(F.struct("own", "c"))).alias("m"), F.sum("c").alias("n__"))  # an entry a language
+    return own.select(*by, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double")).alias(name), "n__")
 
 
-def identify(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
+def identify(rows: DataFrame, langs: list[str], model: Model) -> DataFrame:
     """(doc_id, page_id, lang, probability, text_lang) for rows of ``page_rows`` or ``document_rows``.
 
     A row for each input row; rows that repeat are counted and answered each. A missing declaration,
@@ -146,18 +195,14 @@ def identify(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
         return rows.select("doc_id", "page_id", none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"))
     space = Workspace(rows.sparkSession, "language")
     seen = space.save(text_evidence(rows, langs, model), "rows")
-    total = _counts(seen, [], "all", n).first()["all"]
-    whole = sum(total)
-    prior = [(c + 1) / (whole + n) for c in total]
+    of = {r["own"]: r["count"] for r in seen.groupBy("own").count().collect()}
+    total = [float(of.get(k, 0)) for k in range(1, n + 1)]
+    prior = [(c + 1) / (sum(total) + n) for c in total]
 
     def likelihood(by: str) -> DataFrame:
         """P(value | lang) for each value of a column, with one unseen value."""
         kept = _counts(seen.where(F.col(by).isNotNull()), [by], "c", n)
-        shares = [F.log((F.col("c")[k] + 0.5) / (total[k] + 1.0)) for k in range(n)]
-        return kept.select(by, "n__", F.array(*shares).alias(f"{by}_log"))
-
-    def left_out(name: str) -> Column:
-        return F.transform(F.col(name), lambda c, k: c - F.when(k + 1 == F.col("own"), 1.0).otherwise(0.0))
+        return kept.select(by, "n__", F.zip_with("c", F.lit(total), lambda c, t: F.log((c + 0.5) / (t + 1.0))).alias(f"{by}_log"))
 
     hosts = _counts(seen, ["domain", "host"], "at_host", n)
     domains = _counts(seen, ["domain"], "at_domain", n).drop("n__")
@@ -169,30 +214,36 @@ def identify(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
         small, is_small = bounded(found, F.lit(16 * n) + F.octet_length(F.concat_ws("", *on)))
         joined = joined.join(small.drop("n__"), on, "left") if is_small else hot_join(joined, found, on, "n__", count)
     joined = joined.select("*", "prior__.*")
-    joined = joined.select("*", left_out("at_host").alias("h"), left_out("at_domain").alias("d"))
-
-    def smoothed(name: str, broader: list[Column]) -> list[Column]:
-        rows_ = sum((F.col(name)[k] for k in range(n)), F.lit(0.0))
-        return [(F.col(name)[k] + PRIOR_ROWS * broader[k]) / (rows_ + PRIOR_ROWS) for k in range(n)]
-
-    host_prior = smoothed("h", smoothed("d", [F.lit(p) for p in prior]))
-    zero = F.lit(0.0)
-    score = [
-        F.col("loglik")[k] + F.coalesce(F.col("declared_log")[k], zero) + F.coalesce(F.col("suffix_log")[k], zero) + F.log(host_prior[k])
-        for k in range(n)
-    ]
-    scored = joined.select("doc_id", "page_id", "own", F.array(*score).alias("score"))
-    best = F.array_max("score")
-    scored = scored.select("doc_id", "page_id", "own", F.transform("score", lambda s: F.exp(s - best)).alias("w"))
-    names = F.array(*map(F.lit, langs))
-    weight = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
-    return scored.select(
-        "doc_id",
-        "page_id",
-        F.element_at(names, F.array_position("w", F.lit(1.0)).cast("int")).alias("lang"),
-        (1 / weight).alias("probability"),
-        F.when(F.col("own") > 0, F.element_at(names, F.greatest("own", F.lit(1)))).alias("text_lang"),
-    )
+    return joined.select("doc_id", "page_id", "own", "loglik", "declared_log", "suffix_log", "at_host", "at_domain").mapInArrow(_decided(langs, np.array(prior)), FOUND)
+
+
+FOUND = "doc_id long, page_id long, lang string, probability double, text_lang string"
+
+
+def _decided(langs: list[str], prior: np.ndarray):
+    """The evidence of each row put together, its own count left out of its host's and domain's."""
+    n = len(langs)
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        out = np.zeros((len(column), n))
+        out[column.is_valid().to_numpy(zero_copy_only=False)] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        return out
+
+    def run(batches):
+        for b in slices(batches, 1000):
+            loglik, declared, suffix, host, domain = (matrix(b[c]) for c in ("loglik", "declared_log", "suffix_log", "at_host", "at_domain"))
+            own = b["own"].to_numpy()
+            itself = own[:, None] == np.arange(1, n + 1)
+            broader = prior
+            for counts in (domain - itself, host - itself):
+                broader = (counts + PRIOR_ROWS * broader) / (counts.sum(axis=1, keepdims=True) + PRIOR_ROWS)
+            score = loglik + declared + suffix + np.log(broader)
+            best = score.argmax(axis=1)
+            share = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
+            text_lang = [langs[k - 1] if k else None for k in own]
+            yield record_batch({"doc_id": b["doc_id"], "page_id": b["page_id"], "lang": [langs[k] for k in best], "probability": share, "text_lang": text_lang}, FOUND)
+
+    return run
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
