@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +13,7 @@ from ..operators import learning as le
 from ..operators import predict as pr
 from ..operators import rotation, segments, shape, tree
 from ..sources import poses as src
+from ..sources.store import scratch
 from .curves import CURVED
 from .features import ctes, significant, turned_sql
 from .motion import ROT, SQL as MOTION_SQL, W, _turned
@@ -108,24 +106,6 @@ def spline_sweep(spark, d):
     return fl.spline_sweep(src.event_poses(spark, d))
 
 
-SCALES, POWERS = [i / 32 for i in range(20, 53)], [0.5 + i / 10 for i in range(10)]
-
-
-def rotation_scale_grid(spark, d):
-    """Mean error of the last turn's angle, saturated with a power and scaled, over a grid; best marks each step's least one."""
-    turns = rotation.errors(_turned(spark, d)).select("step", "turn", F.lag("turn").over(pr.order()).alias("last")).where("last IS NOT NULL")
-    grid = F.array(*(F.struct(F.lit(s).alias("scale"), F.lit(p).alias("power")) for s in SCALES for p in POWERS))
-    # Turns are counted by thousandths first, so the grid meets a few cells and not all rows.
-    cells = turns.groupBy("step", F.round("turn", 3).alias("turn"), F.round("last", 3).alias("last")).agg(F.count("*").alias("n"))
-    rows = cells.select("step", "turn", "last", "n", F.inline(grid))
-    means = rows.groupBy("step", "scale", "power").agg(F.expr(f"sum(n * {SCALED}) / sum(n) AS mean_err"))
-    best = means.groupBy("step").agg(F.min(F.struct(F.round("mean_err", 6), "scale", "power")).alias("b")).select("step", F.col("b.scale").alias("scale"), F.col("b.power").alias("power"), F.lit(True).alias("best"))
-    return means.join(F.broadcast(best), ["step", "scale", "power"], "left").select("step", "scale", "power", F.round("mean_err", 5).alias("mean_err"), F.coalesce("best", F.lit(False)).alias("best"))
-
-
-SCALED = "abs(turn - scale * last / pow(1 + pow(last / (2 * pi()), power), 1 / power))"
-
-
 def chosen_bodies(spark, d):
     """Frames of the tracks of a list of bodies."""
     p = src.event_poses(spark, d)
@@ -140,16 +120,6 @@ def track_grid(spark, d):
     return pairs.join(seen, ["body", "seq"], "left").select("body", "seq", "body_name", "seq_name", F.coalesce("tracks", F.lit(0)).alias("tracks"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; a temporary one only where Spark is one local JVM and names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/poses-{uuid.uuid4().hex}"
-
-
 def _oriented(spark, d) -> DataFrame:
     rows = rotation.oriented(_turned(spark, d))
     return rows.selectExpr("track_id", "frame", "x", "y", "z", "vx", "vy", "vz", "array(" + ", ".join(matrix("r", "q@").values()) + ") AS rot")
@@ -233,7 +203,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         training_table, label_counts, feature_projection, feature_completeness, multiplier_errors, tree_depth_scores, feature_importance, spline_errors, spline_sweep,
-        rotation_scale_grid, chosen_bodies, track_grid, pose_text_round_trip, vector_text_round_trip, scene_round_trip, tracker_files, stored_results,
+        chosen_bodies, track_grid, pose_text_round_trip, vector_text_round_trip, scene_round_trip, tracker_files, stored_results,
         arm_movements, matrix_errors,
     )
 }
@@ -276,10 +246,6 @@ SELECT * FROM c2 UNION ALL SELECT 'not_produced', 0""",
 SELECT step, CAST(v AS DOUBLE) AS v, CAST(a AS DOUBLE) AS a, CAST(j AS DOUBLE) AS j, round(avg({MULTIPLIED}), 4) AS mean_err FROM r, mu WHERE jerk2 IS NOT NULL GROUP BY ALL""",
     "spline_errors": f"""WITH {STEPS}, l AS ({' UNION ALL '.join(_filter_sql(f, m) for m, f in _filters.items())})
 SELECT step, model, count(*) AS n, round(avg(err), 4) AS mean_err, round(max(err), 4) AS most FROM l GROUP BY ALL""",
-    "rotation_scale_grid": f"""{ROT}, g AS (SELECT step, turn, lag(turn) OVER w AS last FROM e {W}),
-c3 AS (SELECT step, round(turn, 3) AS turn, round(last, 3) AS last, count(*) AS n FROM g WHERE last IS NOT NULL GROUP BY ALL),
-m3 AS (SELECT step, scale, power, sum(n * {SCALED}) / sum(n) AS mean_err FROM c3, (SELECT unnest([{', '.join(f'{s!r}e0' for s in SCALES)}]) AS scale), (SELECT unnest([{', '.join(f'{p!r}e0' for p in POWERS)}]) AS power) GROUP BY ALL)
-SELECT step, scale, power, round(mean_err, 5) AS mean_err, row_number() OVER (PARTITION BY step ORDER BY round(mean_err, 6), scale, power) = 1 AS best FROM m3""",
     "chosen_bodies": f"""WITH {POSES}, {TRACKS} SELECT track_id, count(*) AS n, round(sum(x), 4) AS sum_x FROM p
 WHERE track_id IN (SELECT track_id FROM tr WHERE body_name IN ('3D Touch', 'Cat', 'Teapot')) GROUP BY 1""",
     "track_grid": f"""WITH {TRACKS},
