@@ -14,6 +14,7 @@ its host's and domain's.
 
 from __future__ import annotations
 
+import math
 import re
 from typing import NamedTuple
 
@@ -99,11 +100,17 @@ def fit_text(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], Model]:
     columns are ignored. Without labelled rows there are no languages.
     """
     labelled = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("long"), "lang", "text")
-    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
+    ids = labelled.select("lang", "doc_id").distinct().withColumn("h", F.xxhash64("doc_id"))
+    rows_of = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
+    langs = sorted(rows_of)
     share = max(1, sample // max(1, len(langs)))
-    ids = labelled.select("lang", "doc_id").distinct()
-    ids = ids.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("place") <= share)
-    texts = labelled.join(F.broadcast(ids.drop("place")), ["lang", "doc_id"], "left_semi")
+    # Of a common language only hashes low enough to be among the share's, with room to spare, are put in order.
+    room = share + 10 * math.sqrt(share) + 20
+    below = [(lang, int(min(1.0, room / n) * (1 << 64)) - (1 << 63) - 1) for lang, n in rows_of.items()]
+    bounds = ids.sparkSession.createDataFrame(below, "lang string, below long")  # a row a language
+    ids = ids.join(F.broadcast(bounds), "lang").where("h <= below")
+    ids = ids.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("place") <= share).select("lang", "doc_id")
+    texts = labelled.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")
     schema = "lang string, cell int, n long"
 
     def run(batches):
