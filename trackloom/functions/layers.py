@@ -33,8 +33,8 @@ def cross(name: str, a: str, b: str) -> Layer:
 
 
 def ratio(a: str, b: str) -> str:
-    """Null where the divisor is 0, or so small that the quotient tells nothing."""
-    return f"({a}) / CASE WHEN abs({b}) > 1e-6 THEN {b} END"
+    """Null where the divisor is 0."""
+    return f"({a}) / nullif({b}, 0)"
 
 
 def unit(name: str, a: str, size: str) -> Layer:

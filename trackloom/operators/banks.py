@@ -191,3 +191,19 @@ def filter_means(poses: DataFrame, bank: list[dict[int, list[float]]]) -> DataFr
     """``track_means`` of a bank of filters on positions."""
     errors, most = filter_errors(bank)
     return track_means(filters.with_past(poses, most), errors, len(bank))
+
+
+def filter_summary(poses: DataFrame, bank: list[dict[int, list[float]]]) -> DataFrame:
+    """(step, configuration, n, mean_err, most) of a bank of filters on positions, over all rows."""
+    errors, most = filter_errors(bank)
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                found, step = errors(b), b["step"].to_numpy()
+                for s in np.unique(step):
+                    of = found[step == s]
+                    yield pd.DataFrame({"step": s, "configuration": np.arange(len(bank), dtype=np.int32), "n": len(of), "s": of.sum(axis=0), "most": of.max(axis=0)})
+
+    rows = filters.with_past(poses, most).mapInPandas(run, "step long, configuration int, n long, s double, most double")
+    return rows.groupBy("step", "configuration").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean_err"), F.max("most").alias("most"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import Vec, cross, dot, minus, norm, scale, vec
+from ..sources.store import saved
 from .predict import KEYS, down_sampled, linear, order, with_history
 
 THRESHOLD = 20.0
@@ -117,11 +118,11 @@ def score_groups(scores: DataFrame, tracks: DataFrame, bar: str, left_out: list[
 def split_groups(rows: DataFrame, key: str, test: float = 0.2, validation: float = 0.15) -> DataFrame:
     """``rows`` with split: all rows of a key together, keys in the order of a hash; ceil of each share of the keys, the rest trains.
 
-    The order needs no single task: keys are counted in up to 4096 ranges of their hash, ranges before a key's are added up from these counts, and
+    The distinct keys are written once. The order needs no single task: keys are counted in up to 4096 ranges of their hash, ranges before a key's are added up from these counts, and
     keys are numbered within their range.
     """
     h = (F.col(key) * 2654435761) % 4294967296
-    keys = rows.select(key).distinct().select(key, h.alias("h__"), F.expr(f"((({key} * 2654435761) % 4294967296) div 1048576)").alias("range__"))
+    keys = saved(rows.select(key).distinct().select(key, h.alias("h__"), F.expr(f"((({key} * 2654435761) % 4294967296) div 1048576)").alias("range__")))
     counts = keys.groupBy("range__").agg(F.count("*").alias("n__"))  # at most 4096 rows
     other = counts.select(F.col("range__").alias("r__"), F.col("n__").alias("m__"))
     before = counts.join(F.broadcast(other), F.expr("r__ < range__"), "left").groupBy("range__").agg(F.coalesce(F.sum("m__"), F.lit(0)).alias("before__"))

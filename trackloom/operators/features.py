@@ -1,7 +1,7 @@
 """Features of a track's motion up to a frame, for learning which model predicts the next frame best.
 
 Rows are targets (track_id, step, k); all features look at the poses before the target only: the newest one, at k - 1, is x1, y1, z1.
-Everything is computed in one pass over one window. Ratios with a divisor of about 0, and circle features
+Everything is computed in one pass over one window. Ratios with a divisor of 0, and circle features
 where no circle of a valid radius goes through the last three points, are null.
 """
 

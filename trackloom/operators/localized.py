@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layers import Layer, apply, conjugate, cross, dot, each, lags, matrix, norm, unit
-from ..sources.poses import tracks
+from ..sources.poses import described
 from .features import base
 from .predict import KEYS
 
@@ -60,12 +60,11 @@ def statistics(errors: DataFrame) -> DataFrame:
     """By step, model, motion kind or all (null) and frame kind: n, means, deviations, covariances, their determinant, distances from
     the mean, the mean size and the 95 % interval of each mean. Null rows don't count; groups of one row have null deviations.
 
-    Two passes: the distances from the mean need the groups' means, a few hundred rows that are broadcast.
+    The mean distance from the mean needs a second pass with the groups' means, a few hundred rows that are broadcast; the mean square is the
+    sum of the variances.
     """
     kept = errors.where("ex IS NOT NULL AND ey IS NOT NULL AND ez IS NOT NULL")
-    kinds = kept.select("track_id").distinct()
-    # The tracks' own table is as large as they are many: it joins by track, where the rows lie already.
-    kept = kept.join(tracks(kinds).select("track_id", "motion_kind"), "track_id")
+    kept = described(kept)
     aggs = [F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in MOMENTS), *(F.stddev_samp(c).alias(f"std_{c}") for c in MOMENTS)]
     aggs += [F.var_samp(c).alias(f"var_{c}") for c in MOMENTS] + [F.covar_samp(a, b).alias(f"cov_{a}_{b}") for a, b in PAIRS]
     aggs += [F.avg(F.sqrt(F.col("ex") ** 2 + F.col("ey") ** 2 + F.col("ez") ** 2)).alias("mean_size")]
@@ -74,8 +73,10 @@ def statistics(errors: DataFrame) -> DataFrame:
     means = F.broadcast(stats.select("step", "model", "kind", "frame_kind", *(f"mean_{c}" for c in MOMENTS)))  # 12 groups for each motion kind and frame
     square = sum(((F.col(c) - F.col(f"mean_{c}")) ** 2 for c in MOMENTS[1:]), (F.col("ex") - F.col("mean_ex")) ** 2)
     apart = cells.join(means, ["step", "model", "kind", "frame_kind"]).groupBy("step", "model", "kind", "frame_kind")
-    spread = apart.agg(F.avg(F.sqrt(square)).alias("mean_distance"), F.avg(square).alias("mean_square_distance"))
-    return stats.join(spread, ["step", "model", "kind", "frame_kind"]).selectExpr("*", f"{DET} AS det", *(f"{e} AS {n}" for n, e in INTERVALS.items()))
+    spread = apart.agg(F.avg(F.sqrt(square)).alias("mean_distance"))
+    all_of = F.when(F.col("n") > 1, (F.col("n") - 1) / F.col("n") * (F.col("var_ex") + F.col("var_ey") + F.col("var_ez"))).otherwise(0.0)
+    stats = stats.withColumn("mean_square_distance", all_of)
+    return stats.join(F.broadcast(spread), ["step", "model", "kind", "frame_kind"]).selectExpr("*", f"{DET} AS det", *(f"{e} AS {n}" for n, e in INTERVALS.items()))
 
 
 DET = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layers import matrix
+from ..operators import banks
 from ..operators import evaluate as ev
 from ..operators import features as ft
 from ..operators import filters as fl
@@ -92,13 +93,11 @@ SPLINE, SINC, SINC_SPLINE = (2, 4, 6), (5.5, 8.0), (2.2, 5, 6, 4.7, 8.0)
 
 
 def spline_errors(spark, d):
-    e = [fl.filtered_errors(src.event_poses(spark, d), fl.spline_filters(*SPLINE, m), "err").withColumn("model", F.lit(m)) for m in fl.MODES]
-    for name, filters in (("sinc", fl.sinc_filters(*SINC)), ("sinc_spline", fl.sinc_spline_filters(*SINC_SPLINE))):
-        e.append(fl.filtered_errors(src.event_poses(spark, d), filters, "err").withColumn("model", F.lit(name)))
-    every = e[0]
-    for more in e[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("step", "model").agg(F.count("*").alias("n"), F.round(F.avg("err"), 4).alias("mean_err"), F.round(F.max("err"), 4).alias("most"))
+    """Errors of spline fits in four modes and of two tapered-sinc ones, all in one pass."""
+    bank = {m: fl.spline_filters(*SPLINE, m) for m in fl.MODES} | {"sinc": fl.sinc_filters(*SINC), "sinc_spline": fl.sinc_spline_filters(*SINC_SPLINE)}
+    found = banks.filter_summary(src.event_poses(spark, d), list(bank.values()))
+    name = F.element_at(F.array(*map(F.lit, bank)), F.col("configuration") + 1)
+    return found.select("step", name.alias("model"), "n", F.round("mean_err", 4).alias("mean_err"), F.round("most", 4).alias("most"))
 
 
 def spline_sweep(spark, d):
@@ -108,9 +107,8 @@ def spline_sweep(spark, d):
 
 def chosen_bodies(spark, d):
     """Frames of the tracks of a list of bodies."""
-    p = src.event_poses(spark, d)
-    wanted = F.broadcast(src.tracks(p).where(F.col("body_name").isin("3D Touch", "Cat", "Teapot")).select("track_id"))
-    return p.join(wanted, "track_id", "left_semi").groupBy("track_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sum_x"))
+    p = src.described(src.event_poses(spark, d)).where(F.col("body_name").isin("3D Touch", "Cat", "Teapot"))
+    return p.groupBy("track_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sum_x"))
 
 
 def track_grid(spark, d):
@@ -152,10 +150,7 @@ def scene_round_trip(spark, d):
     """Poses as scene files, a frame's key and its one object, read again; the keys' gaps."""
     path = scratch(spark)
     rows = _oriented(spark, d).where("frame % 4 <> 3")
-    one = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("frame").cast("string"), F.array(F.struct(F.col("rot").alias("cam_R_m2c"), F.array("x", "y", "z").alias("cam_t_m2c")))))))
-    # A scene file is a track: what one file holds, one task has to write.
-    files = rows.groupBy("track_id").agg(one.alias("m")).select(F.col("track_id").alias("track"), F.to_json("m").alias("value"))
-    files.repartition("track").write.partitionBy("track").text(path)
+    src.write_scene_json(rows, path)
     back = src.read_scene_json(spark, f"{path}/*/*.txt").select(_number(), "frame", "x")
     gap = F.col("frame") - F.lag("frame", 1).over(pr.Window.partitionBy("track_id").orderBy("frame"))
     gaps = back.select("track_id", "x", F.coalesce(gap, F.lit(0)).alias("gap"))

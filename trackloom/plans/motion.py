@@ -76,12 +76,13 @@ def sweep_metrics(spark, d):
 def chosen_model_errors(spark, d):
     """Errors of three ways to choose a model: always the quadratic one, the previous frame's best, this frame's best."""
     wide = pr.errors(src.event_poses(spark, d), FIVE)
-    e = pr.long_errors(wide)
-    best = ev.best_model(wide, FIVE).select(*pr.KEYS, "k", F.col("ordinal").alias("best"), F.lag("ordinal", 1, 0).over(pr.order()).alias("last"))
-    both = e.join(best, [*pr.KEYS, "k"])
-    ways = {"quadratic": F.col("model") == "ACC_DEG2", "causal": F.col("ordinal") == F.col("last"), "best": F.col("ordinal") == F.col("best")}
-    named = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in ways.items())))).alias("way")
-    return both.select("step", "err", named).groupBy("step", "way").agg(F.count("*").alias("n"), r6(F.avg("err"), "mean_err"))
+    each = F.array(*(F.struct(F.col(m).alias("err"), F.lit(i).alias("i")) for i, m in enumerate(FIVE)))
+    best = wide.select(*pr.KEYS, "k", F.array(*FIVE).alias("errs"), F.array_min(each).alias("best"))
+    last = F.element_at("errs", F.lag("best.i", 1, 0).over(pr.order()) + 1)
+    ways = {"quadratic": F.element_at("errs", FIVE.index("ACC_DEG2") + 1), "causal": last, "best": F.col("best.err")}
+    rows = best.select("step", *(e.alias(n) for n, e in ways.items()))
+    rows = rows.select("step", F.inline(F.array(*(F.struct(F.lit(n).alias("way"), F.col(n).alias("err")) for n in ways))))
+    return rows.groupBy("step", "way").agg(F.count("*").alias("n"), r6(F.avg("err"), "mean_err"))
 
 
 def unusual_frames(spark, d):

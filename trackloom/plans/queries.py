@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import predict as pr
+from ..operators.selection import quantiles
 from ..sources import poses as src
+from ..sources.store import saved
 
 MODELS = [*pr.LINEAR, "VEL_ANG", "VEL_BCS"]
 FIVE = ["STATIC", "VEL_DEG1", "VEL_DEG2", "ACC_DEG2", "JERK"]
@@ -164,16 +166,9 @@ def ratio_distribution(spark, d):
 
 
 def error_histogram(spark, d):
-    """Density of each model's errors in 35 equal bins, up to the largest of the models' 90th percentiles.
-
-    Percentiles come from a histogram of 10,000 bins up to the largest error, not from all errors in one place.
-    """
-    e = _long(spark, d, FIVE).select("step", "model", "err")
-    top = F.broadcast(e.groupBy("step").agg(F.max("err").alias("largest")))
-    fine = e.join(top, "step").groupBy("step", "model", "largest", F.floor(F.col("err") / F.col("largest") * 10000).alias("cell")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("step", "model")  # at most 10,001 rows
-    upto = fine.select("*", F.sum("n").over(w.orderBy("cell")).alias("upto"), F.sum("n").over(w).alias("total"))
-    ends = upto.where("upto >= 0.9 * total").groupBy("step", "model").agg(F.min(F.col("largest") * (F.col("cell") + 1) / 10000).alias("p")).groupBy("step").agg(F.max("p").alias("top"))
+    """Density of each model's errors in 35 equal bins, up to the largest of the models' 90th percentiles."""
+    e = saved(_long(spark, d, FIVE).select("step", "model", "err"))
+    ends = quantiles(e, ["step", "model"], "err", 0.9).groupBy("step").agg(F.max("quantile").alias("top"))
     cells = e.join(F.broadcast(ends), "step").where("err >= 0 AND err < top").groupBy("step", "model", "top", F.floor(F.col("err") / F.col("top") * 35).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("step", "model"))
     return cells.select("step", "model", "bin", "n", F.round(F.col("n") / total / (F.col("top") / 35), 6).alias("density"))

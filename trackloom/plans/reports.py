@@ -10,7 +10,9 @@ from ..operators import evaluate as ev
 from ..operators import features as ft
 from ..operators import localized as lo
 from ..operators import predict as pr
+from ..operators.selection import quantiles
 from ..sources import poses as src
+from ..sources.store import saved
 from .features import ctes, significant, turned_sql
 from .motion import _turned
 from .queries import FIVE, MODELS
@@ -60,10 +62,10 @@ def ratio_distributions(spark, d):
     """Mean, least, largest, median and deviation of what the true next displacement is as a share of velocity, acceleration and its orthogonal part."""
     rows = apply(pr.with_history(pr.down_sampled(src.event_poses(spark, d)), 3).where("k >= 3"), RATIOS)
     each = "inline(array(" + ", ".join(f"named_struct('ratio', '{n}', 'value', {n})" for n in ("velocity", "acceleration", "orthogonal")) + "))"
-    rows = rows.selectExpr("step", each).where("value IS NOT NULL")
-    # Exact medians would hold a group's values in one task; these are off by a thousandth of the rows.
+    rows = saved(rows.selectExpr("step", each).where("value IS NOT NULL"))
     aggs = [F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.min("value"), 4).alias("least"), F.round(F.max("value"), 4).alias("most"), F.round(F.stddev_pop("value"), 3).alias("std")]
-    return rows.groupBy("step", "ratio").agg(*aggs)
+    medians = quantiles(rows, ["step", "ratio"], "value", 0.5).select("step", "ratio", F.round("quantile", 4).alias("median"))
+    return rows.groupBy("step", "ratio").agg(*aggs).join(F.broadcast(medians), ["step", "ratio"])
 
 
 RATIOS = [
@@ -71,7 +73,7 @@ RATIOS = [
     {"vv": "vx * vx + vy * vy + vz * vz", "av": "ax * vx + ay * vy + az * vz", "nv": "nx * vx + ny * vy + nz * vz"},
     {f"o{c}": f"(a{c} - v{c} * av / nullif(vv, 0))" for c in "xyz"},
     {"oo": "ox * ox + oy * oy + oz * oz", "no": "nx * ox + ny * oy + nz * oz", "na": "(nx - vx) * ax + (ny - vy) * ay + (nz - vz) * az", "aa": "ax * ax + ay * ay + az * az"},
-    {"velocity": "nv / CASE WHEN vv > 1e-6 THEN vv END", "acceleration": "na / CASE WHEN aa > 1e-6 THEN aa END", "orthogonal": "no / CASE WHEN oo > 1e-6 THEN oo END"},
+    {"velocity": "nv / nullif(vv, 0)", "acceleration": "na / nullif(aa, 0)", "orthogonal": "no / nullif(oo, 0)"},
     # 2D bound: the best combination of the velocity and the acceleration across it.
     {f"e{c}": f"(n{c} - v{c} * coalesce(velocity, 0) - o{c} * coalesce(orthogonal, 0))" for c in "xyz"},
 ]
@@ -175,7 +177,8 @@ SELECT step, model, grouping, name, tracks, score, CAST(place AS INT) AS place,
        bool_or(score >= bar) OVER (PARTITION BY step, grouping, model) AS reaches FROM q2""",
     "ratio_distributions": f"""WITH {LAGS}, {_ratios},
 l AS ({' UNION ALL '.join(f"SELECT step, '{n}' AS ratio, {n} AS value FROM ra WHERE {n} IS NOT NULL" for n in ('velocity', 'acceleration', 'orthogonal'))})
-SELECT step, ratio, count(*) AS n, round(avg(value), 3) AS mean, round(min(value), 4) AS least, round(max(value), 4) AS most, round(stddev_pop(value), 3) AS std FROM l GROUP BY ALL""",
+SELECT step, ratio, count(*) AS n, round(avg(value), 3) AS mean, round(min(value), 4) AS least, round(max(value), 4) AS most, round(stddev_pop(value), 3) AS std,
+  round(median(value), 4) AS median FROM l GROUP BY ALL""",
     "best_scaled_plane": f"WITH {LAGS}, {_ratios} SELECT {KEYS}, round(sqrt(ex * ex + ey * ey + ez * ez), 4) AS err FROM ra",
     "switch_threshold_sweep": f"""WITH {LAGS},
 c AS (SELECT step, coalesce({_dot(V, {c: f'({c}2-{c}3)' for c in 'xyz'})}/nullif(sqrt({_dot(V, V)})*sqrt({_dot({c: f'({c}2-{c}3)' for c in 'xyz'}, {c: f'({c}2-{c}3)' for c in 'xyz'})}),0),1) AS cosine,

@@ -152,10 +152,8 @@ round(avg(abs(x + 0.5 - x)) FILTER (frame % 3 = 1), 6) AS mean_diff FROM p GROUP
     "ratio_distribution": f"""{KIN} SELECT step, round(avg(vel_bcs_ratio), 6) AS mean, round(min(vel_bcs_ratio), 6) AS least, round(max(vel_bcs_ratio), 6) AS most,
 round(stddev_pop(vel_bcs_ratio), 6) AS std, {", ".join(f"round(avg(CAST(vel_bcs_ratio < {t} AS INT)), 6) AS under_{n}" for n, t in (("0", 0), ("half", 0.5), ("1", 1)))}
 FROM kin WHERE vel_bcs_ratio IS NOT NULL GROUP BY 1""",
-    "error_histogram": f"""{_errors(FIVE)}, g AS (SELECT step, max(err) AS largest FROM l GROUP BY 1),
-c AS (SELECT step, model, largest, floor(err / largest * 10000) AS cell, count(*) AS n FROM l JOIN g USING (step) GROUP BY ALL),
-u AS (SELECT *, sum(n) OVER (PARTITION BY step, model ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY step, model) AS total FROM c),
-p9 AS (SELECT step, max(p) AS top FROM (SELECT step, model, min(largest * (cell + 1) / 10000) AS p FROM u WHERE upto >= 0.9 * total GROUP BY ALL) GROUP BY 1),
+    "error_histogram": f"""{_errors(FIVE)},
+p9 AS (SELECT step, max(p) AS top FROM (SELECT step, model, quantile_cont(err, 0.9) AS p FROM l GROUP BY ALL) GROUP BY 1),
 b9 AS (SELECT step, model, top, CAST(floor(err / top * 35) AS INT) AS bin, count(*) AS n FROM l JOIN p9 USING (step) WHERE err < top GROUP BY ALL)
 SELECT step, model, bin, n, round(n / sum(n) OVER (PARTITION BY step, model) / (top / 35), 6) AS density FROM b9""",
     "turn_fit": f"""{KIN}, r AS (SELECT step, lag(turn, 2) OVER w AS a, lag(turn) OVER w AS b, turn AS c FROM kin WINDOW w AS (PARTITION BY track_id, step ORDER BY k)),

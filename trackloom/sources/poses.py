@@ -67,8 +67,13 @@ def motion_kind(sequence: Column) -> Column:
 
 def tracks(poses: DataFrame) -> DataFrame:
     """(track_id, body, seq, body_name, seq_name, motion_kind, is_cam2) of the tracks that poses hold."""
+    return described(poses.select("track_id").distinct())
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """``rows`` with what their track_id tells: body, seq, body_name, seq_name, motion_kind, is_cam2. No join is needed."""
     body = (F.floor(F.col("track_id") / len(SEQUENCES)) % len(BODIES)).cast("int")
-    ids = poses.select("track_id").distinct().select("track_id", body.alias("body"), (F.col("track_id") % len(SEQUENCES)).cast("int").alias("seq"))
+    ids = rows.select("*", body.alias("body"), (F.col("track_id") % len(SEQUENCES)).cast("int").alias("seq"))
     name = lambda names, k: F.element_at(F.array(*map(F.lit, names)), k + 1)
     named = ids.select("*", name(BODIES, F.col("body")).alias("body_name"), name(SEQUENCES, F.col("seq")).alias("seq_name"))
     return named.select("*", motion_kind(F.col("seq_name")).alias("motion_kind"), F.col("seq_name").contains("cam2").alias("is_cam2"))
@@ -136,3 +141,15 @@ def read_scene_json(spark: SparkSession, path: str) -> DataFrame:
     one = F.when(F.size("objects") == 1, F.col("objects")[0]).otherwise(F.raise_error(F.lit("a frame has not one object")))
     rows = rows.select("track_id", F.col("frame").cast("long").alias("frame"), one.alias("o"))
     return rows.select("track_id", "frame", *(F.col("o.cam_t_m2c")[i].alias(c) for i, c in enumerate("xyz")), F.col("o.cam_R_m2c").alias("rot"))
+
+
+def write_scene_json(poses: DataFrame, path: str) -> None:
+    """Scene files below ``path``, a folder for each track: a line per frame, keyed by it, with its one object. Takes (track_id, frame, x, y, z, rot).
+
+    A file is written line by line in the order of frames, however long a track is.
+    """
+    order = Window.partitionBy("track_id").orderBy("frame")
+    object_ = F.to_json(F.array(F.struct(F.col("rot").alias("cam_R_m2c"), F.array("x", "y", "z").alias("cam_t_m2c"))))
+    line = F.concat(F.when(F.lag("frame").over(order).isNull(), "{").otherwise(","), F.lit('"'), F.col("frame").cast("string"), F.lit('": '), object_, F.when(F.lead("frame").over(order).isNull(), "}").otherwise(""))
+    lines = poses.select(F.col("track_id").alias("track"), "frame", line.alias("value"))
+    lines.repartition("track").sortWithinPartitions("track", "frame").select("track", "value").write.partitionBy("track").text(path)
