@@ -5,9 +5,9 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from trackloom.plans import curves, features, learning, motion, queries, reports, sql, sweeps
+from trackloom.plans import curves, features, learning, motion, queries, reports, sql, sweeps, views
 
-QUERIES, SQL = queries.QUERIES | motion.QUERIES | features.QUERIES | reports.QUERIES | learning.QUERIES | curves.QUERIES | sweeps.QUERIES, sql.SQL | motion.SQL | features.SQL | reports.SQL | learning.SQL | curves.SQL | sweeps.SQL
+QUERIES, SQL = queries.QUERIES | motion.QUERIES | features.QUERIES | reports.QUERIES | learning.QUERIES | curves.QUERIES | sweeps.QUERIES | views.QUERIES, sql.SQL | motion.SQL | features.SQL | reports.SQL | learning.SQL | curves.SQL | sweeps.SQL | views.SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
