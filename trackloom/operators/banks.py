@@ -18,7 +18,8 @@ from ..functions.layers import Layer, apply, conjugate, dot, lags, norm, quat, t
 from ..sources.store import saved
 from . import filters
 from .features import base
-from .predict import KEYS
+from .orientation import unwrap_layers
+from .predict import KEYS, order
 from .selection import cells_of, narrowed
 
 #: Errors that a task looks at together, and cells of a pass of ``medians``.
@@ -166,14 +167,20 @@ def arctangent(scale: np.ndarray) -> Errors:
     return turn_errors(lambda x: scale * np.arctan2(2 * np.sin(x / scale), 2 * np.cos(x / scale) - 1) - x)
 
 
-def filter_errors(bank: list[dict[int, list[float]]]) -> tuple[Errors, int]:
-    """Distances of a pose from what each filter makes of those before it, for rows of ``filters.with_past``; and the most poses a filter takes."""
-    most = max(max(f) for f in bank)
-    weights = np.zeros((most + 1, most, len(bank)))  # by poses at hand, from the newest back
+def _weights(bank: list[dict[int, list[float]]], most: int) -> np.ndarray:
+    """By poses at hand, from the newest back, a column for each filter."""
+    weights = np.zeros((most + 1, most, len(bank)))
     for j, filters_ in enumerate(bank):
         for at in range(1, most + 1):
             w = filters_[min(at, max(filters_))]
             weights[at, : len(w), j] = w[::-1]
+    return weights
+
+
+def filter_errors(bank: list[dict[int, list[float]]]) -> tuple[Errors, int]:
+    """Distances of a pose from what each filter makes of those before it, for rows of ``filters.with_past``; and the most poses a filter takes."""
+    most = max(max(f) for f in bank)
+    weights = _weights(bank, most)
 
     def errors(b: pd.DataFrame) -> np.ndarray:
         square, sizes = np.zeros((len(b), len(bank))), b["past_x"].str.len().to_numpy()
@@ -207,3 +214,52 @@ def filter_summary(poses: DataFrame, bank: list[dict[int, list[float]]]) -> Data
 
     rows = filters.with_past(poses, most).mapInPandas(run, "step long, configuration int, n long, s double, most double")
     return rows.groupBy("step", "configuration").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean_err"), F.max("most").alias("most"))
+
+
+#: What a sweep measures of a track: shares of distances under 20 and 50, the mean distance, shares of angles under two and five degrees, the mean angle.
+METRICS = ("under_20", "under_50", "mean_err", "under_2", "under_5", "mean_angle")
+
+
+def with_past_turns(poses: DataFrame, n: int) -> DataFrame:
+    """``filters.with_past`` of positions and of continuous rotation vectors rx, ry, rz, with the orientation qw .. qz; k from 1."""
+    rows = base(poses)
+    turned = apply(rows, unwrap_layers("q@")).select(*KEYS, "k", "x", "y", "z", "qw", "qx", "qy", "qz", "rx", "ry", "rz")
+    w = order().rowsBetween(-n, -1)
+    axes = ("x", "y", "z", "rx", "ry", "rz")
+    return turned.select("*", *(F.collect_list(c).over(w).alias(f"past_{c}") for c in axes)).where("k > 0")
+
+
+def metric_errors(bank: list[dict[int, list[float]]]) -> tuple[Errors, int]:
+    """A column for each of ``METRICS`` of each filter, the filters of one metric together: positions and rotation vectors are both filtered."""
+    distances, most = filter_errors(bank)
+    weights = _weights(bank, most)
+
+    def errors(b: pd.DataFrame) -> np.ndarray:
+        off, angle, sizes = distances(b), np.zeros((len(b), len(bank))), b["past_rx"].str.len().to_numpy()
+        for size in np.unique(sizes):
+            which = np.flatnonzero(sizes == size)
+            past = [np.array(b[f"past_r{c}"].iloc[which].tolist())[:, ::-1] @ weights[size, :size] for c in "xyz"]
+            length = np.sqrt(sum(p * p for p in past))
+            part = 0.5 * np.sinc(length / (2 * np.pi))
+            true = [b[f"q{c}"].to_numpy()[which, None] for c in "wxyz"]
+            cosine = true[0] * np.cos(length / 2) + part * sum(t * p for t, p in zip(true[1:], past, strict=True))
+            angle[which] = 2 * np.arccos(np.minimum(1, np.abs(cosine)))
+        near = [a < np.radians(t) for a, t in ((angle, 2), (angle, 5))]
+        return np.concatenate([off < 20, off < 50, off, *near, angle], axis=1, dtype=float)
+
+    return errors, most
+
+
+def spline_sweep(poses: DataFrame, configurations: list[tuple[int, int, int]] | None = None, modes: tuple[str, ...] = filters.MODES) -> DataFrame:
+    """(step, mode, degree, controls, inputs, tracks, ``METRICS``): every configuration's metrics by track, then their means over tracks.
+
+    Poses are (track_id, frame, x, y, z, vx, vy, vz). Rows never meet configurations one by one: a batch is multiplied with all weights.
+    """
+    columns = [(m, *c) for m in modes for c in configurations or filters.grid()]
+    errors, most = metric_errors([filters.spline_filters(*c, m) for m, *c in columns])
+    found = track_means(with_past_turns(poses, most), errors, len(METRICS) * len(columns))
+    at = F.col("configuration") % len(columns)
+    named = F.element_at(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("mode", "degree", "controls", "inputs"), c, strict=True))) for c in columns)), at + 1)
+    rows = found.groupBy("step", at.alias("at"), named.alias("c"), "tracks")
+    of = [F.max(F.when(F.floor(F.col("configuration") / len(columns)) == i, F.col("mean_err"))).alias(m) for i, m in enumerate(METRICS)]
+    return rows.agg(*of).select("step", "c.*", "tracks", *METRICS)

@@ -9,7 +9,6 @@ from collections.abc import Callable
 from math import ceil
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,43 +165,3 @@ def filtered_errors(poses: DataFrame, filters: dict[int, list[float]], name: str
 def grid(degrees=range(1, 6), most_controls: int = 10, most_inputs: int = 20) -> list[tuple[int, int, int]]:
     """All (degree, controls, inputs) that a fit can have."""
     return [(d, c, n) for d in degrees for c in range(d + 1, most_controls + 1) for n in range(max(c, d + 1), most_inputs + 1)]
-
-
-def spline_sweep(poses: DataFrame, configurations: list[tuple[int, int, int]] | None = None, modes: tuple[str, ...] = MODES) -> DataFrame:
-    """(step, mode, degree, controls, inputs, n, under_20, under_50, mean_err) of every configuration, by row and over all.
-
-    A batch of rows is multiplied with all configurations' weights as a matrix, and gives sums only: by step, mode and configuration, however many
-    rows it has. Rows never meet configurations one by one.
-    """
-    configurations = configurations or grid()
-    most = max(n for _, _, n in configurations)
-    columns = [(m, *c) for m in modes for c in configurations]
-    weights = np.zeros((most + 1, most, len(columns)))  # by poses at hand, from the newest back
-    for j, (mode, *c) in enumerate(columns):
-        filters = spline_filters(*c, mode)
-        for at in range(1, most + 1):
-            w = filters[min(at, max(filters))]
-            weights[at, : len(w), j] = w[::-1]
-    shared = poses.sparkSession.sparkContext.broadcast(weights)  # a few MB, whatever the input
-    schema = "step long, configuration int, n long, under_20 long, under_50 long, s double"
-
-    def run(batches):
-        w = shared.value
-        for b in batches:
-            sums: dict[int, np.ndarray] = {}
-            sizes = b["past_x"].str.len().to_numpy()
-            for (step, size), rows in b.groupby([b["step"], sizes]):
-                square = np.zeros((len(rows), w.shape[2]))
-                for c in "xyz":
-                    past = np.array(rows[f"past_{c}"].tolist())[:, ::-1]
-                    square += (rows[c].to_numpy()[:, None] - past @ w[size, :size]) ** 2
-                err = np.sqrt(square)
-                got = np.array([np.full(err.shape[1], len(err)), (err < 20).sum(axis=0), (err < 50).sum(axis=0), err.sum(axis=0)])
-                sums[step] = sums.get(step, 0) + got
-            for step, (n, a, c, s) in sums.items():
-                yield pd.DataFrame({"step": step, "configuration": np.arange(len(n), dtype=np.int32), "n": n.astype(int), "under_20": a.astype(int), "under_50": c.astype(int), "s": s})
-
-    rows = with_past(poses, most).select("step", "x", "y", "z", "past_x", "past_y", "past_z").mapInPandas(run, schema)
-    total = rows.groupBy("step", "configuration").agg(*(F.sum(c).alias(c) for c in ("n", "under_20", "under_50", "s")))
-    named = F.element_at(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("mode", "degree", "controls", "inputs"), c))) for c in columns)), F.col("configuration") + 1)
-    return total.select("step", named.alias("c"), "n", (F.col("under_20") / F.col("n")).alias("under_20"), (F.col("under_50") / F.col("n")).alias("under_50"), (F.col("s") / F.col("n")).alias("mean_err")).select("step", "c.*", "n", "under_20", "under_50", "mean_err")

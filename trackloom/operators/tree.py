@@ -7,6 +7,8 @@ cost. The driver holds the tree only, of at most 2 ** depth nodes.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..functions.vec import angle, combine, minus, norm, vec
 from .predict import KEYS, down_sampled, predictors, with_history
 
 BINS = 32
+#: Rows that are put in order together.
+RANGE = 50_000
 
 
 def training_rows(poses: DataFrame, models: list[str]) -> DataFrame:
@@ -117,18 +121,37 @@ def depth_scores(rows: DataFrame, tree: dict[int, dict], features: list[str], mo
     return long.groupBy("step", "depth").agg(F.sum("err").alias("s"), F.count("err").alias("n")).select(F.explode(F.array("step", F.lit(None))).alias("step"), "depth", "s", "n").groupBy("step", "depth").agg((F.sum("s") / F.sum("n")).alias("mean_err"))
 
 
-def importance(rows: DataFrame, tree: dict[int, dict], features: list[str], models: list[str], seed: int = 0, buckets: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, seed: int, name: str) -> DataFrame:
+    """``rows`` (track_id, step, k, ..) with ``name``: their number, from 0, in the order of a hash keyed by ``seed``.
+
+    Rows are numbered within ranges of the hash, as many as there are ``RANGE`` rows, and those of the ranges before are added: no task orders them all.
+    """
+    bits = min(16, max(0, (rows.count() // RANGE).bit_length()))
+    keyed = rows.withColumn("h__", F.xxhash64(F.lit(seed), *KEYS, "k")).withColumn("range__", F.shiftrightunsigned("h__", 64 - bits) if bits else F.lit(0).cast("long"))
+    counts = sorted(keyed.groupBy("range__").count().collect())  # at most 65,536
+    before = [(r, sum_) for (r, n), sum_ in zip(counts, [0, *accumulate(n for _, n in counts)], strict=False)]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "range__ long, start__ long"))
+    at = F.row_number().over(Window.partitionBy("range__").orderBy("h__", *KEYS, "k")) - 1
+    return keyed.withColumn("at__", at).join(starts, "range__").withColumn(name, F.col("start__") + F.col("at__")).drop("h__", "range__", "at__", "start__")
+
+
+def permuted(rows: DataFrame, columns: list[str], seed: int = 0) -> DataFrame:
+    """``rows`` with dealt_<column> for ``columns``: their values in another row, each row's going to exactly one.
+
+    Two copies are put in the orders of two hashes and meet by their numbers.
+    """
+    here = ranked(rows, 2 * seed, "number__")
+    there = ranked(rows.select(*KEYS, "k", *columns), 2 * seed + 1, "number__").select("number__", *(F.col(c).alias(f"dealt_{c}") for c in columns))
+    return here.join(there, "number__").drop("number__")
+
+
+def importance(rows: DataFrame, tree: dict[int, dict], features: list[str], models: list[str], seed: int = 0) -> DataFrame:
     """(step, feature, rise, place): how much the mean error rises when a feature's values are dealt out anew among the rows; 0 is the largest rise.
 
-    Rows are put in the order of a hash within ``buckets`` hashed buckets, and each takes the value of the row before it; the first takes the last one's. So no
-    global order is needed. All features are dealt in one pass over one window. Ties go by name.
+    All features are dealt by one permutation. Ties go by name. Rows need a (track_id, step, k) of their own.
     """
-    h = F.xxhash64(F.lit(seed), *KEYS, "k")
-    w = Window.partitionBy("deal__").orderBy("order__", *KEYS, "k")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("order__", h).withColumn("deal__", F.pmod("order__", F.lit(buckets)))
-    rows = rows.select("*", *(F.coalesce(F.lag(f"bin_{f}").over(w), F.last(f"bin_{f}").over(whole)).alias(f"dealt_{f}") for f in features))
-    leaf = rows.select("step", *models, node_of(tree, features).alias("node"), *(node_of(tree, features, {f: F.col(f"dealt_{f}")}).alias(f"node_{f}") for f in features))
+    rows = permuted(rows, [f"bin_{f}" for f in features], seed)
+    leaf = rows.select("step", *models, node_of(tree, features).alias("node"), *(node_of(tree, features, {f: F.col(f"dealt_bin_{f}")}).alias(f"node_{f}") for f in features))
     cost = leaf.select("step", costs(F.col("node"), tree, models).alias("err"), *(costs(F.col(f"node_{f}"), tree, models).alias(f) for f in features))
     means = cost.groupBy("step").agg(*(F.avg(F.col(f) - F.col("err")).alias(f) for f in features))
     long = means.select("step", F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("rise")) for f in features))))

@@ -12,6 +12,7 @@ from ..operators import features as ft
 from ..operators import filters as fl
 from ..operators import learning as le
 from ..operators import predict as pr
+from ..operators.orientation import unwrap_layers
 from ..operators import rotation, segments, shape, tree
 from ..sources import poses as src
 from ..sources.store import scratch
@@ -102,7 +103,17 @@ def spline_errors(spark, d):
 
 def spline_sweep(spark, d):
     """Every spline fit of degree 1 to 5, up to 10 control points and 20 poses, in four modes."""
-    return fl.spline_sweep(src.event_poses(spark, d))
+    return banks.spline_sweep(_turned(spark, d))
+
+
+#: Degree, control points and poses of the fits that spline_metrics looks at.
+FITS = [(1, 2, 3), (2, 4, 6), (3, 5, 9)]
+
+
+def spline_metrics(spark, d):
+    """Six metrics of three spline fits in four modes, on positions and rotation vectors: means over tracks of what they are by track."""
+    found = banks.spline_sweep(_turned(spark, d), FITS)
+    return found.select("step", "mode", "degree", "controls", "inputs", "tracks", *(F.round(m, 4).alias(m) for m in banks.METRICS))
 
 
 def chosen_bodies(spark, d):
@@ -197,7 +208,7 @@ def matrix_errors(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        training_table, label_counts, feature_projection, feature_completeness, multiplier_errors, tree_depth_scores, feature_importance, spline_errors, spline_sweep,
+        training_table, label_counts, feature_projection, feature_completeness, multiplier_errors, tree_depth_scores, feature_importance, spline_errors, spline_sweep, spline_metrics,
         chosen_bodies, track_grid, pose_text_round_trip, vector_text_round_trip, scene_round_trip, tracker_files, stored_results,
         arm_movements, matrix_errors,
     )
@@ -224,6 +235,19 @@ def _filter_sql(filters, model):
 
 
 _filters = {m: fl.spline_filters(*SPLINE, m) for m in fl.MODES} | {"sinc": fl.sinc_filters(*SINC), "sinc_spline": fl.sinc_spline_filters(*SINC_SPLINE)}
+_six = ", ".join(f"list({c}) OVER (PARTITION BY track_id, step ORDER BY k ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS p{c}" for c in ("x", "y", "z", "rx", "ry", "rz"))
+_fits = ", ".join(
+    f"('{m}', {d_}, {c}, {i}, {n}, {[0.0] * (n - len(w)) + list(map(float, w))})" for m in fl.MODES for d_, c, i in FITS for f in [fl.spline_filters(d_, c, i, m)] for n in range(1, 10) for w in [f[min(n, max(f))]]
+)
+_metrics = f"""{turned_sql()},
+{ctes(unwrap_layers('q@'), 'q', 'f')},
+pa AS (SELECT track_id, step, k, x, y, z, qw, qx, qy, qz, {_six} FROM f),
+fi AS (SELECT * FROM (VALUES {_fits}) f(mode, degree, controls, inputs, n, w)),
+m1 AS (SELECT *, {', '.join(f'list_dot_product(p{c}, CAST(w AS DOUBLE[])) AS g{c}' for c in ('x', 'y', 'z', 'rx', 'ry', 'rz'))} FROM pa JOIN fi ON n = len(px) WHERE k > 0),
+m2 AS (SELECT *, sqrt((x - gx) * (x - gx) + (y - gy) * (y - gy) + (z - gz) * (z - gz)) AS off, sqrt(grx * grx + gry * gry + grz * grz) AS t FROM m1),
+m3 AS (SELECT *, 2 * acos(least(1, abs(qw * cos(t / 2) + CASE WHEN t = 0 THEN 0.5 ELSE sin(t / 2) / t END * (qx * grx + qy * gry + qz * grz)))) AS ang FROM m2),
+m4 AS (SELECT track_id, step, mode, degree, controls, inputs, avg(CAST(off < 20 AS INT)) AS a, avg(CAST(off < 50 AS INT)) AS b, avg(off) AS c, avg(CAST(ang < radians(2) AS INT)) AS d,
+  avg(CAST(ang < radians(5) AS INT)) AS e, avg(ang) AS g FROM m3 GROUP BY ALL)"""
 _trace = "(1 - 2 * (qy * qy + qz * qz)) + (1 - 2 * (qx * qx + qz * qz)) + (1 - 2 * (qx * qx + qy * qy))"
 #: The poses with their rotations, a row a frame.
 _frames = turned_sql().replace(STEPS, POSES + ", st AS (SELECT track_id, 1 AS step, frame AS k, x, y, z FROM p)")
@@ -241,6 +265,9 @@ SELECT * FROM c2 UNION ALL SELECT 'not_produced', 0""",
 SELECT step, CAST(v AS DOUBLE) AS v, CAST(a AS DOUBLE) AS a, CAST(j AS DOUBLE) AS j, round(avg({MULTIPLIED}), 4) AS mean_err FROM r, mu WHERE jerk2 IS NOT NULL GROUP BY ALL""",
     "spline_errors": f"""WITH {STEPS}, l AS ({' UNION ALL '.join(_filter_sql(f, m) for m, f in _filters.items())})
 SELECT step, model, count(*) AS n, round(avg(err), 4) AS mean_err, round(max(err), 4) AS most FROM l GROUP BY ALL""",
+    "spline_metrics": f"""{_metrics}
+SELECT step, mode, CAST(degree AS INT) AS degree, CAST(controls AS INT) AS controls, CAST(inputs AS INT) AS inputs, count(*) AS tracks, round(avg(a), 4) AS under_20, round(avg(b), 4) AS under_50,
+  round(avg(c), 4) AS mean_err, round(avg(d), 4) AS under_2, round(avg(e), 4) AS under_5, round(avg(g), 4) AS mean_angle FROM m4 GROUP BY ALL""",
     "chosen_bodies": f"""WITH {POSES}, {TRACKS} SELECT track_id, count(*) AS n, round(sum(x), 4) AS sum_x FROM p
 WHERE track_id IN (SELECT track_id FROM tr WHERE body_name IN ('3D Touch', 'Cat', 'Teapot')) GROUP BY 1""",
     "track_grid": f"""WITH {TRACKS},

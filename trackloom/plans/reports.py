@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.layers import apply
 from ..operators import evaluate as ev
 from ..operators import features as ft
+from ..operators import gram
 from ..operators import localized as lo
 from ..operators import predict as pr
 from ..operators.selection import quantiles
@@ -117,16 +118,11 @@ def grouped_means(spark, d):
 
 
 def collinear_features(spark, d):
-    """Features in the order of ``NAMES`` that stay when those too close to an earlier one go."""
-    rows = ft.scalar_features(_turned(spark, d)).select(*NAMES).where(" AND ".join(f"{n} IS NOT NULL" for n in NAMES))
-    pairs = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]]
-    one = rows.agg(*(F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs))
-    each = F.inline(F.array(*(F.struct(F.lit(b).alias("feature"), F.abs(f"{a}__{b}").alias("r")) for a, b in pairs)))
-    return one.select(each).groupBy("feature").agg(F.round(F.max("r"), 4).alias("closest"), (F.max("r") > 0.7).alias("dropped"))
+    """Of all scalar features, those that go as they are too close to an earlier one."""
+    rows = ft.scalar_features(_turned(spark, d))
+    return gram.collinear(gram.correlations(rows, list(ft.SCALARS))).select("feature", F.round("closest", 4).alias("closest"), "dropped")
 
 
-NAMES = ["speed_deg1", "speed_deg2", "acc_mag", "jerk_mag", "bounce_angle", "disp_mag_diff", "vel_dot", "ortho_acc_mag", "dist_since_dir_change", "timestamp", "ax3_sq_diff"]
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -197,8 +193,8 @@ SELECT step, model, motion_kind, seq_name, count(*) AS tracks, round(avg(mean_er
 GROUP BY GROUPING SETS ((step, model, motion_kind, seq_name), (step, model, motion_kind), (step, model))""",
     "collinear_features": f"""{turned_sql()},
 {ctes(ft.layers(), 'q', 'f')},
-s2 AS (SELECT {', '.join(f'{ft.SCALARS[n]} AS {n}' for n in NAMES)} FROM f WHERE k >= 4),
-s3 AS (SELECT * FROM s2 WHERE {' AND '.join(f'{n} IS NOT NULL' for n in NAMES)}),
-p3 AS ({' UNION ALL '.join(f"SELECT '{b}' AS feature, abs(corr({a}, {b})) AS r FROM s3" for i, a in enumerate(NAMES) for b in NAMES[i + 1:])})
-SELECT feature, round(max(r), 4) AS closest, max(r) > 0.7 AS dropped FROM p3 GROUP BY 1""",
+s2 AS (SELECT {', '.join(f'{e} AS {n}' for n, e in ft.SCALARS.items())} FROM f WHERE k >= 4),
+c2 AS (SELECT [{', '.join(f"{{'feature': '{b}', 'r': abs(corr({a}, {b}))}}" for i, a in enumerate(ft.SCALARS) for b in list(ft.SCALARS)[i + 1:])}] AS l FROM s2),
+p3 AS (SELECT unnest(l, recursive := true) FROM c2)
+SELECT feature, round(max(r) FILTER (NOT isnan(r)), 4) AS closest, coalesce(max(r) FILTER (NOT isnan(r)) > 0.7, false) AS dropped FROM p3 GROUP BY 1""",
 }
