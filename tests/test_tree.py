@@ -78,3 +78,30 @@ def test_tree_depths_and_importance_equal_plain_ones(spark):
     assert rise["a"] > rise["b"] > -0.05 and rise["a"] > 0.5 and abs(rise["c"]) < rise["a"]
     places = sorted(r["place"] for r in tree.importance(df, grown, features, models).where("step = 1").collect())
     assert places == [0, 1, 2]
+
+
+def test_permutation_is_a_bijection(spark, monkeypatch):
+    monkeypatch.setattr(tree, "RANGE", 20)
+    rows = [(i, 1, i, i, i % 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "track_id long, step long, k long, bin_a int, bin_b int").repartition(3)
+    assert sorted(r["n"] for r in tree.ranked(df, 5, "n").collect()) == list(range(500))
+    got = tree.permuted(df, ["bin_a", "bin_b"]).collect()
+    assert sorted(r["dealt_bin_a"] for r in got) == list(range(500))
+    assert all(r["dealt_bin_b"] == r["dealt_bin_a"] % 7 for r in got)
+    assert sum(r["dealt_bin_a"] == r["bin_a"] for r in got) < 10
+    moved = sorted(abs(r["dealt_bin_a"] - r["bin_a"]) for r in got)
+    assert 100 < moved[250] < 200  # of a random permutation about 0.29 n
+    assert tree.permuted(df.where("false"), ["bin_a"]).collect() == []
+
+
+def test_bins_hold_about_as_many_rows(spark):
+    rnd = random.Random(4)
+    values = [rnd.gauss(0, 1) ** 9 for _ in range(4000)] + [1e12, None, float("nan")]
+    df = spark.createDataFrame([(i, v, 2.0) for i, v in enumerate(values)], "i long, a double, b double").repartition(3)
+    got = tree.sketched(df, ["a", "b"]).collect()
+    counts = [sum(r["bin_a"] == b for r in got) for b in range(tree.BINS)]
+    assert min(counts) > 80 and max(counts) < 180
+    of = {r["i"]: r["bin_a"] for r in got}
+    order = sorted((v, of[i]) for i, v in enumerate(values) if v is not None and v == v)
+    assert [b for _, b in order] == sorted(b for _, b in order)
+    assert of[4001] == of[4002] == -1 and {r["bin_b"] for r in got} == {0}

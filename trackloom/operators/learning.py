@@ -21,6 +21,11 @@ FEATURES = [
 ]
 
 
+def column(feature: str) -> str:
+    """A feature's name in a training table: one that is also a class's gets an end, as names are told apart without their case."""
+    return f"{feature}_value" if feature.upper() in CLASSES else feature
+
+
 def class_errors() -> Layer:
     def size(parts: list[str]) -> str:
         return "sqrt(" + " + ".join(f"({p}) * ({p})" for p in parts) + ")"
@@ -52,7 +57,7 @@ def training_table(poses: DataFrame, features: list[str] | None = None) -> DataF
     """
     names = features or list(SCALARS)
     rows = apply(curved(base(poses)), [*layers(), *error_layers()]).where("k >= 4")
-    rows = rows.selectExpr(*KEYS, "k", *(f"{SCALARS[n]} AS {n}" for n in names), *(f"{e} AS {m}" for m, e in class_errors().items()))
+    rows = rows.selectExpr(*KEYS, "k", *(f"{SCALARS[n]} AS {column(n)}" for n in names), *(f"{e} AS {m}" for m, e in class_errors().items()))
     split = evaluate.split_groups(poses.select("track_id").distinct(), "track_id")
     return apply(rows, label()).join(split, "track_id")
 

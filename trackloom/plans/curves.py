@@ -14,9 +14,14 @@ AVERAGED, TIMES, ENLARGED = 8, 4, 20
 _WINDOW = f"(PARTITION BY track_id ORDER BY frame ROWS BETWEEN {AVERAGED - 1} PRECEDING AND CURRENT ROW)"
 
 
+def smoothed(poses):
+    """Poses whose positions are moving averages of theirs, with all other columns."""
+    rows = apply(poses, [{f"{c}{i + 1}": f"avg({c}{i or ''}) OVER {_WINDOW}" for c in "xyz"} for i in range(TIMES)])
+    return rows.selectExpr(*(f"{ENLARGED} * {c}{TIMES} AS {c}" if c in ("x", "y", "z") else c for c in poses.columns))
+
+
 def smooth_poses(spark, d):
-    rows = apply(src.event_poses(spark, d), [{f"{c}{i + 1}": f"avg({c}{i or ''}) OVER {_WINDOW}" for c in "xyz"} for i in range(TIMES)])
-    return rows.selectExpr("track_id", "frame", *(f"{ENLARGED} * {c}{TIMES} AS {c}" for c in "xyz"))
+    return smoothed(src.event_poses(spark, d))
 
 
 def min_jerk_errors(spark, d):

@@ -15,8 +15,8 @@ from ..operators import predict as pr
 from ..operators.orientation import unwrap_layers
 from ..operators import rotation, segments, shape, tree
 from ..sources import poses as src
-from ..sources.store import scratch
-from .curves import CURVED
+from ..sources.store import saved, scratch
+from .curves import CURVED, smoothed
 from .features import ctes, significant, turned_sql
 from .motion import ROT, SQL as MOTION_SQL, W, _turned
 from .sql import KEYS, POSES, STEPS, TRACKS
@@ -69,25 +69,24 @@ MULTIPLIED = "sqrt(" + " + ".join(f"({p}) * ({p})" for p in _parts) + ")"
 
 
 def _grown(spark, d):
-    """The tree of depth 8 over the training tracks, and the test tracks' rows with their bins. The table is written once: each level reads it again."""
-    path = scratch(spark)
-    le.training_table(_turned(spark, d), le.FEATURES).select("track_id", "step", "k", "split", *le.FEATURES, *le.CLASSES).write.parquet(f"{path}/features")
-    binned = tree.binned(spark.read.parquet(f"{path}/features"), le.FEATURES)
-    binned.select("track_id", "step", "k", "split", *(f"bin_{f}" for f in le.FEATURES), *le.CLASSES).write.parquet(f"{path}/bins")
-    rows = spark.read.parquet(f"{path}/bins")
-    return tree.fit(rows.where("split = 'train'"), le.FEATURES, le.CLASSES, 8), rows.where("split = 'test'")
+    """The tree of depth 8 over all scalar features of the training tracks, made smooth, and the test tracks' rows with their bins. The table is written
+    once: each level reads it again."""
+    features = [le.column(n) for n in ft.SCALARS]
+    table = saved(le.training_table(smoothed(_turned(spark, d)), list(ft.SCALARS)).select("track_id", "step", "k", "split", *features, *le.CLASSES))
+    rows = saved(tree.sketched(table, features))
+    return tree.fit(rows.where("split = 'train'"), features, le.CLASSES, 8), rows.where("split = 'test'"), features
 
 
 def tree_depth_scores(spark, d):
     """Mean error on test tracks of the tree cut at each depth; depth 0 is the best choice of each row."""
-    grown, rows = _grown(spark, d)
-    return tree.depth_scores(rows, grown, le.FEATURES, le.CLASSES)
+    grown, rows, features = _grown(spark, d)
+    return tree.depth_scores(rows, grown, features, le.CLASSES)
 
 
 def feature_importance(spark, d):
     """The ten features of each step whose dealing out anew raises the tree's error most."""
-    grown, rows = _grown(spark, d)
-    return tree.importance(rows, grown, le.FEATURES, le.CLASSES).where("place < 10")
+    grown, rows, features = _grown(spark, d)
+    return tree.importance(rows, grown, features, le.CLASSES).where("place < 10")
 
 
 SPLINE, SINC, SINC_SPLINE = (2, 4, 6), (5.5, 8.0), (2.2, 5, 6, 4.7, 8.0)
