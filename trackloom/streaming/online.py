@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Weights of the last poses, the newest first, each with what stands in for it while the history is shorter.
@@ -29,7 +30,10 @@ def _errors(history: np.ndarray, new: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(key, batches, state: GroupState):
+def _score(key, batches, state: GroupState, idle: int | None = None):
+    if state.hasTimedOut:
+        state.remove()
+        return
     frame, seen, winner, late = state.get if state.exists else (-1, [], -1, 0)
     rows = pd.concat(list(batches)).sort_values("frame", kind="stable")  # one track in one trigger
     frames = rows["frame"].to_numpy()
@@ -51,18 +55,43 @@ def _score(key, batches, state: GroupState):
     missed["late"] = counted[~fresh]
     kept = np.concatenate([history, new])[-HISTORY:]
     state.update((int(max(frame, frames.max())), kept.reshape(-1).tolist(), int(best[-1]) if len(best) else winner, int(late + (~fresh).sum())))
+    if idle is not None:
+        until = int(rows["ts"].max().timestamp() * 1000) + 1000 * idle
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
     both = pd.concat([out, missed], ignore_index=True)
     both.insert(0, "track_id", key[0])
     yield both[["track_id", "frame", *MODELS, "winner", "switched", "late"]].astype({"winner": object}).where(lambda d: d.notna(), None)
 
 
-def online_errors(poses: DataFrame) -> DataFrame:
+def online_errors(poses: DataFrame, idle: int | None = None) -> DataFrame:
     """A stream of poses (track_id, frame, x, y, z) to the errors of what was predicted for each from those before it.
 
     winner is the model with the least error, ties to the first; switched is the error of the row before's winner. A track's first pose has no row. A
     pose at or before the track's last frame comes late: its row has the frame and null errors, and late counts the late ones so far; it
     changes nothing else. A track's state is its last four poses, its last frame and winner, and that count.
-    Rows of a trigger are taken by frame. The trigger's size bounds what a task holds: limit it by the source's maxFilesPerTrigger or
-    maxOffsetsPerTrigger.
+    With ``idle``, a number of seconds, poses have a time ts too, with a watermark: once that is so far beyond a track's last pose, its state goes, and
+    a pose that comes after all begins the track anew. Without it, states stay. Rows of a trigger are taken by frame. The trigger's size bounds
+    what a task holds: limit it by the source's maxFilesPerTrigger or maxOffsetsPerTrigger.
     """
-    return poses.groupBy("track_id").applyInPandasWithState(_score, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    if idle is None:
+        return poses.groupBy("track_id").applyInPandasWithState(_score, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def scored(key, batches, state):
+        yield from _score(key, batches, state, idle)
+
+    return poses.groupBy("track_id").applyInPandasWithState(scored, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def replayed(poses: DataFrame, path: str, slices: int = 4, idle: int | None = None, delay: str = "0 seconds") -> DataFrame:
+    """``online_errors`` of poses that arrive in so many parts, by their frames, as files below ``path``; what the stream has written."""
+    spark, kept = poses.sparkSession, ["track_id", "frame", "x", "y", "z", *(["ts"] if idle is not None else [])]
+    last = poses.agg(F.max("frame")).first()[0] or 0
+    schema = poses.select(*kept).schema
+    for i in range(slices):
+        part = poses.where(F.expr(f"frame * {slices} div {last + 1} = {i}")).select(*kept)
+        part.write.mode("append").parquet(f"{path}/poses")
+        stream = spark.readStream.schema(schema).parquet(f"{path}/poses")
+        stream = stream.withWatermark("ts", delay) if idle is not None else stream
+        out = online_errors(stream, idle).writeStream.format("parquet").option("path", f"{path}/errors").option("checkpointLocation", f"{path}/state")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{path}/errors")
