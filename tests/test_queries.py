@@ -5,9 +5,9 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from trackloom.plans import curves, features, learning, long_tracks, motion, queries, reports, sql, streams, sweeps, views
+from trackloom.plans import best_class, curves, features, learning, long_tracks, motion, queries, reports, sql, streams, sweeps, views
 
-QUERIES, SQL = queries.QUERIES | motion.QUERIES | features.QUERIES | reports.QUERIES | learning.QUERIES | curves.QUERIES | sweeps.QUERIES | views.QUERIES | long_tracks.QUERIES | streams.QUERIES, sql.SQL | motion.SQL | features.SQL | reports.SQL | learning.SQL | curves.SQL | sweeps.SQL | views.SQL | long_tracks.SQL | streams.SQL
+QUERIES, SQL = queries.QUERIES | motion.QUERIES | features.QUERIES | reports.QUERIES | learning.QUERIES | curves.QUERIES | sweeps.QUERIES | views.QUERIES | long_tracks.QUERIES | streams.QUERIES | best_class.QUERIES, sql.SQL | motion.SQL | features.SQL | reports.SQL | learning.SQL | curves.SQL | sweeps.SQL | views.SQL | long_tracks.SQL | streams.SQL | best_class.SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layers import ORDER, Layer, apply
-from . import evaluate, segments
+from ..functions.layers import ORDER, Layer, apply, dot, each
+from . import evaluate, localized, segments
 from .features import SCALARS, base, error_layers, layers
 from .predict import KEYS
 
@@ -48,6 +48,24 @@ def label() -> list[Layer]:
     return [{"min_err": least}, {"label": first}, {"last_label": f"lag(label) OVER {ORDER}"}]
 
 
+def best_vectors(poses: DataFrame) -> DataFrame:
+    """(track_id, step, k, label, model, frame_kind, ex, ey, ez): the error of each frame's best class as a vector in the frames of ``localized``; k from 4.
+
+    The frames' axes, all classes' predictions and the choice come from one pass over a track's window. Null where a row has no such frame.
+    """
+    kept = ["track_id", "step", "k", "x", "y", "z", "qw", "qx", "qy", "qz", *(f"{n}_{c}" for n in CURVES.values() for c in "xyz")]
+    frames = {f: a for f, a in localized.FRAMES.items() if a}
+    axes = [f"{a}{c} AS {f}{i}_{c}" for f, of in frames.items() for i, a in enumerate(of) for c in "xyz"]
+    rows = apply(curved(base(poses)), localized.layers()).selectExpr(*kept, *axes)
+    rows = apply(rows, [*layers(), *error_layers(), class_errors(), *label()[:2]]).where("k >= 4")
+    missed = {m: f"(@ - {p})" for m, p in HELD.items()} | {m: f"{n}_@" for m, n in CIRCLES.items()}
+    missed |= {m: f"(@ - coalesce({n}_@, {HELD['ACC_DEG2']}))" for m, n in CURVES.items()}
+    rows = apply(rows, [each("best_@", "CASE label " + " ".join(f"WHEN {i} THEN {missed[m]}" for i, m in enumerate(CLASSES)) + " END")])
+    structs = ["named_struct('frame_kind', 'world', 'ex', best_x, 'ey', best_y, 'ez', best_z)"]
+    structs += [f"named_struct('frame_kind', '{f}', " + ", ".join(f"'e{c}', {dot('best_@', f'{f}{i}_@')}" for i, c in enumerate("xyz")) + ")" for f in frames]
+    return rows.selectExpr(*KEYS, "k", "label", "'best' AS model", f"inline(array({', '.join(structs)}))")
+
+
 def training_table(poses: DataFrame, features: list[str] | None = None) -> DataFrame:
     """(track_id, step, k, split, features, errors of ``CLASSES``, label, min_err, last_label); k from 4, all steps together.
 

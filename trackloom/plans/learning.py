@@ -213,11 +213,12 @@ QUERIES = {
     )
 }
 
-_table = f"""{turned_sql()},
+LABELLED = f"""{turned_sql()},
 {CURVED},
 {ctes([*ft.layers(), *ft.error_layers()], 'qf', 'f')},
 e2 AS (SELECT {KEYS}, {', '.join(f'{ft.SCALARS[n]} AS {n}' for n in le.FEATURES)}, {', '.join(f'{e} AS {m}' for m, e in le.class_errors().items())} FROM f WHERE k >= 4),
-{ctes(le.label(), 'e2', 'l2')},
+{ctes(le.label(), 'e2', 'l2')}"""
+_table = f"""{LABELLED},
 sp AS ({SPLIT}),
 tt AS (SELECT * FROM l2 JOIN sp USING (track_id))"""
 _features = f"""{turned_sql()},
