@@ -200,22 +200,43 @@ def filter_means(poses: DataFrame, bank: list[dict[int, list[float]]]) -> DataFr
     return track_means(filters.with_past(poses, most), errors, len(bank))
 
 
-def filter_summary(poses: DataFrame, bank: list[dict[int, list[float]]]) -> DataFrame:
-    """(step, configuration, n, mean_err, most) of a bank of filters on positions, over all rows."""
-    errors, most = filter_errors(bank)
+def row_means(rows: DataFrame, errors: Errors, n: int) -> DataFrame:
+    """(step, configuration, n, mean_err, most) of ``n`` configurations over all rows that have numbers."""
 
     def run(batches):
-        for b in batches:
-            if len(b):
-                found, step = errors(b), b["step"].to_numpy()
+        for batch in batches:
+            for at in range(0, len(batch), max(1, MATRIX // n)):
+                b = batch.iloc[at : at + max(1, MATRIX // n)]
+                found = errors(b)
+                there = ~np.isnan(found).any(axis=1)
+                found, step = found[there], b["step"].to_numpy()[there]
                 for s in np.unique(step):
                     of = found[step == s]
-                    yield pd.DataFrame({"step": s, "configuration": np.arange(len(bank), dtype=np.int32), "n": len(of), "s": of.sum(axis=0), "most": of.max(axis=0)})
+                    yield pd.DataFrame({"step": s, "configuration": np.arange(n, dtype=np.int32), "n": len(of), "s": of.sum(axis=0), "most": of.max(axis=0)})
 
-    rows = filters.with_past(poses, most).mapInPandas(run, "step long, configuration int, n long, s double, most double")
+    rows = rows.mapInPandas(run, "step long, configuration int, n long, s double, most double")
     return rows.groupBy("step", "configuration").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean_err"), F.max("most").alias("most"))
 
 
+def filter_summary(poses: DataFrame, bank: list[dict[int, list[float]]]) -> DataFrame:
+    """``row_means`` of a bank of filters on positions."""
+    errors, most = filter_errors(bank)
+    return row_means(filters.with_past(poses, most), errors, len(bank))
+
+
+def multiplied(v: np.ndarray, a: np.ndarray, j: np.ndarray) -> Errors:
+    """Distances of the next displacement from multiples of velocity, acceleration and jerk, for rows of ``shape.local_motion``."""
+
+    def errors(b: pd.DataFrame) -> np.ndarray:
+        of = {c: b[c].to_numpy()[:, None] for c in b.columns if c != "step"}
+        x = v * of["speed"] + a * of["acc_along"] + j * of["jerk0"] - of["next0"]
+        y = a * of["acc_across"] + j * of["jerk1"] - of["next1"]
+        z = j * of["jerk2"] - of["next2"]
+        return np.sqrt(x * x + y * y + z * z)
+
+    return errors
+
+
 #: What a sweep measures of a track: shares of distances under 20 and 50, the mean distance, shares of angles under two and five degrees, the mean angle.
 METRICS = ("under_20", "under_50", "mean_err", "under_2", "under_5", "mean_angle")
 

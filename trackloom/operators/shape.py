@@ -88,21 +88,36 @@ def even_lengths(poses: DataFrame, parts: int = 10) -> DataFrame:
     return rows.select("track_id", "i", *((F.col(c) + share * F.col(f"s{c}")).alias(c) for c in "xyz"))
 
 
-def local_motion(poses: DataFrame) -> DataFrame:
-    """Motion in the frame of the last velocity and the acceleration across it; k from 4; null where either is zero.
+#: Velocity, acceleration and jerk as weights of the last points, the newest first.
+MOTION = {"velocity": (1, -1), "acceleration": (1, -2, 1), "jerk": (1, -3, 3, -1)}
+
+
+def ordered_motion(poses: DataFrame, order: tuple[str, str, str] = tuple(MOTION)) -> DataFrame:
+    """(track_id, step, k, size, along, across, third0 .. third2, next0 .. next2, frame); k from 4; null where the first two vectors make no frame.
 
-    speed, acc_along, acc_across, jerk in the three axes, and the next displacement in them.
+    The frame's first axis is along the first vector of ``order``, its second along the part of the second across that, its third across both. size is the
+    first vector's, along and across are the second's parts, third is the last vector in the three axes and next the next displacement in them. frame has the
+    axes as rows of a matrix, nine numbers, which takes vectors of the world into the frame.
     """
+    if sorted(order) != sorted(MOTION):
+        raise ValueError("the order has to name velocity, acceleration and jerk")
     rows = with_history(down_sampled(poses), 4).where("k >= 4")
     p = [vec(suffix=s) for s in "1234"]
-    v, a, j = combine([1, -1], p[:2]), combine([1, -2, 1], p[:3]), combine([1, -3, 3, -1], p)
-    rows = rows.select("*", *(divide(c, norm(v)).alias(f"u{n}") for c, n in zip(v, "xyz")))
-    across = minus(a, scale(vec("u"), dot(a, vec("u"))))
+    first, second, third = (combine(MOTION[n], p[: len(MOTION[n])]) for n in order)
+    rows = rows.select("*", *(divide(c, norm(first)).alias(f"u{n}") for c, n in zip(first, "xyz")))
+    across = minus(second, scale(vec("u"), dot(second, vec("u"))))
     rows = rows.select("*", *(c.alias(f"c{n}") for c, n in zip(across, "xyz")))
     rows = rows.select("*", *(divide(c, norm(vec("c"))).alias(f"w{n}") for c, n in zip(vec("c"), "xyz")))
     axes = [vec("u"), vec("w"), cross(vec("u"), vec("w"))]
     moved = minus(vec(), p[0])
+    frame = F.when(F.col("wx").isNotNull(), F.array(*(c for e in axes for c in e)))
     return rows.select(
-        *KEYS, "k", norm(v).alias("speed"), dot(a, axes[0]).alias("acc_along"), dot(a, axes[1]).alias("acc_across"),
-        *(dot(j, e).alias(f"jerk{i}") for i, e in enumerate(axes)), *(dot(moved, e).alias(f"next{i}") for i, e in enumerate(axes)),
+        *KEYS, "k", norm(first).alias("size"), dot(second, axes[0]).alias("along"), dot(second, axes[1]).alias("across"),
+        *(dot(third, e).alias(f"third{i}") for i, e in enumerate(axes)), *(dot(moved, e).alias(f"next{i}") for i, e in enumerate(axes)), frame.alias("frame"),
     )
+
+
+def local_motion(poses: DataFrame) -> DataFrame:
+    """``ordered_motion`` in the frame of the last velocity and the acceleration across it, as speed, acc_along, acc_across and the jerk in the three axes."""
+    names = {"size": "speed", "along": "acc_along", "across": "acc_across"} | {f"third{i}": f"jerk{i}" for i in range(3)}
+    return ordered_motion(poses).withColumnsRenamed(names).drop("frame")

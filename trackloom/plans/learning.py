@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layers import matrix
@@ -58,9 +59,11 @@ def feature_completeness(spark, d):
 
 def multiplier_errors(spark, d):
     """Mean error of displacements made of multiples of velocity, acceleration and jerk, in the frame of the motion."""
-    table = spark.createDataFrame(MULTIPLIERS, "v double, a double, j double")  # a few rows
-    rows = shape.local_motion(src.event_poses(spark, d)).where("jerk2 IS NOT NULL").crossJoin(F.broadcast(table))
-    return rows.groupBy("step", "v", "a", "j").agg(F.expr(f"round(avg({MULTIPLIED}), 4) AS mean_err"))
+    rows = shape.local_motion(src.event_poses(spark, d)).drop("track_id", "k")  # rows without a frame are left out where they are counted
+    v, a, j = np.array(MULTIPLIERS).T
+    table = spark.createDataFrame([(i, *m) for i, m in enumerate(MULTIPLIERS)], "configuration int, v double, a double, j double")
+    found = banks.row_means(rows, banks.multiplied(v, a, j), len(MULTIPLIERS)).join(F.broadcast(table), "configuration")
+    return found.select("step", "v", "a", "j", F.round("mean_err", 4).alias("mean_err"))
 
 
 MULTIPLIERS = [(v, a, j) for v in (0.0, 1.0) for a in (0.0, 0.5, 1.0) for j in (0.0, 1.0)]

@@ -65,6 +65,16 @@ def local_motion(spark, d):
     return shape.local_motion(src.event_poses(spark, d)).select(*pr.KEYS, "k", *(r6(c) for c in LOCAL_MOTION))
 
 
+ORDER = ("jerk", "velocity", "acceleration")
+ORDERED = ["size", "along", "across", "third0", "third1", "third2", "next0", "next1", "next2"]
+
+
+def ordered_motion(spark, d):
+    """Motion in the frame of the jerk and the velocity across it, and the frame itself."""
+    rows = shape.ordered_motion(src.event_poses(spark, d), ORDER)
+    return rows.select(*pr.KEYS, "k", *(r6(c) for c in ORDERED), *(r6(F.col("frame")[i], f"m{i}") for i in range(9)))
+
+
 def sweep_metrics(spark, d):
     """Shares of errors under 20 and under 50 and the mean, by track, then over tracks."""
     e = pr.long_errors(pr.errors(src.event_poses(spark, d), MODELS))
@@ -138,7 +148,7 @@ DIVERGENCE = f"(({_trace})/{_det} - 3 + ({_shift})/{_det} + ln({_det}/{_inverse(
 QUERIES = {
     f.__name__: f
     for f in (
-        rotation_errors, rotation_scores, rotation_scale_sweep, circle_errors, circle_shares, tangents, even_lengths, local_motion,
+        rotation_errors, rotation_scores, rotation_scale_sweep, circle_errors, circle_shares, tangents, even_lengths, local_motion, ordered_motion,
         sweep_metrics, chosen_model_errors, unusual_frames, last_direction, tree_root_split, gaussian_divergence,
     )
 }
@@ -258,6 +268,15 @@ r AS (SELECT track_id, step, k, sqrt({_dot('v{}', 'v{}')}) AS speed, {_dot('a{}'
 SELECT {KEYS}, {_rounded(LOCAL_MOTION)} FROM r""",
     "sweep_metrics": f"""{_errors(ALL)}, a AS (SELECT track_id, step, model, avg(CAST(err < 20 AS INT)) AS a, avg(CAST(err < 50 AS INT)) AS b, avg(err) AS m FROM l GROUP BY ALL)
 SELECT step, model, round(avg(a), 6) AS under_20, round(avg(b), 6) AS under_50, round(avg(m), 6) AS mean_err FROM a GROUP BY ALL""",
+    "ordered_motion": f"""WITH {LAGS},
+o1 AS (SELECT track_id, step, k, {', '.join(f'{c}1-3*{c}2+3*{c}3-{c}4 AS f{c}, {c}1-{c}2 AS s{c}, {c}1-2*{c}2+{c}3 AS t{c}, {c}-{c}1 AS n{c}' for c in 'xyz')} FROM h WHERE k >= 4),
+o2 AS (SELECT *, {', '.join(f'f{c}/nullif(sqrt(fx*fx+fy*fy+fz*fz),0) AS a{c}' for c in 'xyz')} FROM o1),
+o3 AS (SELECT *, {', '.join(f's{c}-a{c}*(sx*ax+sy*ay+sz*az) AS c{c}' for c in 'xyz')} FROM o2),
+o4 AS (SELECT *, {', '.join(f'c{c}/nullif(sqrt(cx*cx+cy*cy+cz*cz),0) AS w{c}' for c in 'xyz')} FROM o3),
+o5 AS (SELECT *, ay*wz-az*wy AS ex, az*wx-ax*wz AS ey, ax*wy-ay*wx AS ez FROM o4)
+SELECT track_id, step, k, round(sqrt(fx*fx+fy*fy+fz*fz), 6) AS size, round(sx*ax+sy*ay+sz*az, 6)+0.0 AS along, round(sx*wx+sy*wy+sz*wz, 6)+0.0 AS across,
+{', '.join(f'round({v}x*{a}x+{v}y*{a}y+{v}z*{a}z, 6)+0.0 AS {n}{i}' for v, n in (('t', 'third'), ('n', 'next')) for i, a in enumerate('awe'))},
+{', '.join(f'CASE WHEN wx IS NOT NULL THEN round({a}{c}, 6)+0.0 END AS m{3 * i + j}' for i, a in enumerate('awe') for j, c in enumerate('xyz'))} FROM o5""",
     "chosen_model_errors": f"""{_errors(FIVE)},
 b AS (SELECT track_id, step, k, arg_min(ordinal, (err, ordinal)) AS best FROM l GROUP BY ALL),
 c AS (SELECT *, coalesce(lag(best) OVER w, 0) AS last FROM b {W}),
