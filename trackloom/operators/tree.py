@@ -116,8 +116,8 @@ def best_splits(rows: DataFrame, features: list[str], models: list[str]) -> Data
     return found.groupBy("node").agg(F.min("s").alias("s")).select("node", "s.feature", "s.bin", "s.cost", "s.whole", "s.left_model", "s.right_model")
 
 
-def node_of(tree: dict[int, dict], features: list[str], replaced: dict[str, Column] | None = None) -> Column:
-    """A row's leaf: the root is 1, a node's children are 2 n and 2 n + 1. ``replaced`` has columns for the bins of some features.
+def node_of(tree: dict[int, dict], features: list[str]) -> Column:
+    """A row's leaf: the root is 1, a node's children are 2 n and 2 n + 1.
 
     One fold down the levels over the tree as arrays, so the expression doesn't grow with the nodes.
     """
@@ -126,7 +126,7 @@ def node_of(tree: dict[int, dict], features: list[str], replaced: dict[str, Colu
     size = max(tree) + 1
     feature = F.lit([features.index(tree[n]["feature"]) + 1 if n in tree else 0 for n in range(1, size)])
     cut = F.lit([tree[n]["bin"] if n in tree else 0 for n in range(1, size)])
-    bins = F.array(*((replaced or {}).get(f, F.col(f"bin_{f}")) for f in features))
+    bins = F.array(*(F.col(f"bin_{f}") for f in features))
 
     def down(n: Column, _: Column) -> Column:
         right = F.when(F.element_at(bins, F.element_at(feature, n)) <= F.element_at(cut, n), 0).otherwise(1)
@@ -196,14 +196,49 @@ def permuted(rows: DataFrame, columns: list[str], seed: int = 0) -> DataFrame:
     return here.join(there, "number__").drop("number__")
 
 
+RISES = pa.schema([("step", pa.int64()), ("feature", pa.string()), ("s", pa.float64()), ("n", pa.int64())])
+
+
+def _arrays(tree: dict[int, dict], features: list[str], models: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By node: the number of its feature, -1 for a leaf, its cut, and the number of the model that a row there takes."""
+    size = 2 * max(tree, default=0) + 2
+    feature, cut, model = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for n, t in tree.items():
+        feature[n], cut[n] = features.index(t["feature"]), t["bin"]
+        model[2 * n], model[2 * n + 1] = models.index(t["left_model"]), models.index(t["right_model"])
+    return feature, cut, model
+
+
 def importance(rows: DataFrame, tree: dict[int, dict], features: list[str], models: list[str], seed: int = 0) -> DataFrame:
     """(step, feature, rise, place): how much the mean error rises when a feature's values are dealt out anew among the rows; 0 is the largest rise.
 
     All features are dealt by one permutation. Ties go by name. Rows need a (track_id, step, k) of their own.
     """
-    rows = permuted(rows, [f"bin_{f}" for f in features], seed)
-    leaf = rows.select("step", *models, node_of(tree, features).alias("node"), *(node_of(tree, features, {f: F.col(f"dealt_bin_{f}")}).alias(f"node_{f}") for f in features))
-    cost = leaf.select("step", costs(F.col("node"), tree, models).alias("err"), *(costs(F.col(f"node_{f}"), tree, models).alias(f) for f in features))
-    means = cost.groupBy("step").agg(*(F.avg(F.col(f) - F.col("err")).alias(f) for f in features))
-    long = means.select("step", F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("rise")) for f in features))))
+    names = [f"bin_{f}" for f in features]
+    rows = permuted(rows, names, seed)
+    feature, cut, model = _arrays(tree, features, models)
+
+    def cost(bins: np.ndarray, errors: np.ndarray) -> np.ndarray:
+        node, at = np.ones(bins.shape[1], np.int64), np.arange(bins.shape[1])
+        for _ in range(max(tree, default=0).bit_length()):
+            right = bins[np.maximum(feature[node], 0), at] > cut[node]
+            node = np.where(feature[node] < 0, node, 2 * node + right)
+        return errors[model[node], at]
+
+    def run(batches):
+        for b in batches:
+            step = b["step"].to_numpy()
+            bins, dealt, errors = (np.stack([b[c].to_numpy() for c in columns]) for columns in (names, [f"dealt_{n}" for n in names], models))
+            base, rises = cost(bins, errors), []
+            for i in range(len(features)):
+                kept = bins[i].copy()
+                bins[i] = dealt[i]
+                rises.append(cost(bins, errors) - base)
+                bins[i] = kept
+            for s in np.unique(step):
+                of = [r[step == s].sum() for r in rises]
+                yield pa.RecordBatch.from_pydict({"step": [int(s)] * len(of), "feature": features, "s": of, "n": [int((step == s).sum())] * len(of)}, RISES)
+
+    sums = rows.select("step", *names, *(f"dealt_{n}" for n in names), *models).mapInArrow(run, "step long, feature string, s double, n long")
+    long = sums.groupBy("step", "feature").agg((F.sum("s") / F.sum("n")).alias("rise"))
     return long.withColumn("place", F.row_number().over(Window.partitionBy("step").orderBy(F.desc("rise"), "feature")) - 1)
