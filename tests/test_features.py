@@ -276,3 +276,18 @@ def test_statistics_equal_plain_ones(spark):
         assert (r["mean_distance"], r["mean_square_distance"], r["mean_size"]) == pytest.approx((off.mean(), (off**2).mean(), np.linalg.norm(e, axis=1).mean()))
         half = (r["high_ex"] - r["low_ex"]) / 2 / (e[:, 0].std(ddof=1) / math.sqrt(len(e)))
         assert 1.96 < half < 2.1 and (r["high_ex"] + r["low_ex"]) / 2 == pytest.approx(mean[0])
+
+
+def test_principal_axes_equal_numpy(spark):
+    rnd = np.random.default_rng(6)
+    mats = [np.cov(rnd.normal(size=(12, 3)).T * rnd.random((3, 1)) * 50) for _ in range(30)] + [np.diag([3.0, 1.0, 2.0]), np.zeros((3, 3))]
+    names = "step int, model string, kind string, frame_kind string, var_ex double, var_ey double, var_ez double, cov_ex_ey double, cov_ex_ez double, cov_ey_ez double"
+    rows = [(i, "m", "k", "f", *map(float, (c[0, 0], c[1, 1], c[2, 2], c[0, 1], c[0, 2], c[1, 2]))) for i, c in enumerate(mats)] + [(99, "m", "k", "f", *[None] * 6)]
+    got = {(r["step"], r["i"]): r for r in localized.principal_axes(spark.createDataFrame(rows, names)).collect()}
+    assert len(got) == 3 * 31
+    for i, c in enumerate(mats[:-1]):
+        values, vectors = np.linalg.eigh(c)
+        for j, at in enumerate(np.argsort(-values)):
+            u = vectors[:, at] * np.sign(vectors[np.abs(vectors[:, at]).argmax(), at])
+            assert got[i, j]["eigenvalue"] == pytest.approx(values[at], rel=1e-6, abs=1e-9)
+            assert [got[i, j][f"u{x}"] for x in "xyz"] == pytest.approx(u, abs=1e-6)

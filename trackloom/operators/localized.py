@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layers import Layer, apply, conjugate, cross, dot, each, lags, matrix, norm, unit
 from ..sources.poses import described
+from ..sources.store import saved
 from .features import base
 from .predict import KEYS
 
@@ -60,7 +59,7 @@ def statistics(errors: DataFrame) -> DataFrame:
     """By step, model, motion kind or all (null) and frame kind: n, means, deviations, covariances, their determinant, distances from
     the mean, the mean size and the 95 % interval of each mean. Null rows don't count; groups of one row have null deviations.
 
-    The mean distance from the mean needs a second pass with the groups' means, a few hundred rows that are broadcast; the mean square is the
+    The mean distance from the mean needs a second pass with the groups' means, a few hundred rows that are written, then broadcast; the mean square is the
     sum of the variances.
     """
     kept = errors.where("ex IS NOT NULL AND ey IS NOT NULL AND ez IS NOT NULL")
@@ -69,7 +68,7 @@ def statistics(errors: DataFrame) -> DataFrame:
     aggs += [F.var_samp(c).alias(f"var_{c}") for c in MOMENTS] + [F.covar_samp(a, b).alias(f"cov_{a}_{b}") for a, b in PAIRS]
     aggs += [F.avg(F.sqrt(F.col("ex") ** 2 + F.col("ey") ** 2 + F.col("ez") ** 2)).alias("mean_size")]
     cells = kept.withColumn("kind", F.explode(F.array("motion_kind", F.lit("all"))))
-    stats = cells.groupBy("step", "model", "kind", "frame_kind").agg(*aggs)
+    stats = saved(cells.groupBy("step", "model", "kind", "frame_kind").agg(*aggs))
     means = F.broadcast(stats.select("step", "model", "kind", "frame_kind", *(f"mean_{c}" for c in MOMENTS)))  # 12 groups for each motion kind and frame
     square = sum(((F.col(c) - F.col(f"mean_{c}")) ** 2 for c in MOMENTS[1:]), (F.col("ex") - F.col("mean_ex")) ** 2)
     apart = cells.join(means, ["step", "model", "kind", "frame_kind"]).groupBy("step", "model", "kind", "frame_kind")
@@ -90,24 +89,46 @@ QUANTILE = f"({_z} + " + " + ".join(f"{t!r} / nullif(pow(n - 1, {i}), 0)" for i,
 INTERVALS = {f"{side}_{c}": f"mean_{c} {sign} {QUANTILE} * std_{c} / sqrt(n)" for c in MOMENTS for side, sign in (("low", "-"), ("high", "+"))}
 
 
+#: Eigenvalues and unit eigenvectors of a symmetric matrix (xx, xy, xz, yy, yz, zz) of a column each. The values are the roots of its characteristic cubic by
+#: the cosine of a third of an angle; a vector is across the two rows of the matrix less the value that are furthest from parallel.
+_rows = {"x": ("xx", "xy", "xz"), "y": ("xy", "yy", "yz"), "z": ("xz", "yz", "zz")}
+_crosses = [("x", "y"), ("y", "z"), ("z", "x")]
+
+
+def _of_value(i: int) -> list[Layer]:
+    less = {f"l{i}{r}{c}": f"{m} - value{i}" if r == c else m for r, row in _rows.items() for c, m in zip("xyz", row)}
+    pairs: Layer = {}
+    for p, q in _crosses:
+        pairs |= cross(f"v{i}{p}@", f"l{i}{p}@", f"l{i}{q}@")
+    size = {f"s{i}{p}": dot(f"v{i}{p}@", f"v{i}{p}@") for p, _ in _crosses}
+    pick = lambda c: f"CASE WHEN s{i}x >= s{i}y AND s{i}x >= s{i}z THEN v{i}x{c} / nullif(sqrt(s{i}x), 0) WHEN s{i}y >= s{i}z THEN v{i}y{c} / nullif(sqrt(s{i}y), 0) ELSE v{i}z{c} / nullif(sqrt(s{i}z), 0) END"
+    chosen = {f"w{i}{c}": pick(c) for c in "xyz"}
+    largest = f"CASE WHEN abs(w{i}x) >= abs(w{i}y) AND abs(w{i}x) >= abs(w{i}z) THEN w{i}x WHEN abs(w{i}y) >= abs(w{i}z) THEN w{i}y ELSE w{i}z END"
+    return [less, pairs, size, chosen, {f"sign{i}": f"CASE WHEN {largest} < 0 THEN -1 ELSE 1 END"}, each(f"axis{i}@", f"sign{i} * w{i}@")]
+
+
+EIGEN: list[Layer] = [
+    {"mid": "(xx + yy + zz) / 3"},
+    {"dx": "xx - mid", "dy": "yy - mid", "dz": "zz - mid"},
+    {"spread": "sqrt((dx * dx + dy * dy + dz * dz + 2 * (xy * xy + xz * xz + yz * yz)) / 6)"},
+    {"cosine": "(dx * (dy * dz - yz * yz) - xy * (xy * dz - yz * xz) + xz * (xy * yz - dy * xz)) / nullif(2 * spread * spread * spread, 0)"},
+    {"third": "acos(greatest(-1e0, least(1e0, cosine))) / 3"},
+    {"value0": "mid + 2 * spread * cos(third)", "value2": "mid + 2 * spread * cos(third + 2 * pi() / 3)"},
+    {"value1": "3 * mid - value0 - value2"},
+    *({k: v for layer in step for k, v in layer.items()} for step in zip(*(_of_value(i) for i in range(3)))),
+]
+
+
 def principal_axes(stats: DataFrame) -> DataFrame:
-    """(step, model, kind, frame_kind, i, eigenvalue, ux, uy, uz): the covariances' eigenvalues, largest first, and unit eigenvectors
-    whose largest entry is positive. For the few rows of ``statistics``; groups without covariances have none."""
-    keys = ["step", "model", "kind", "frame_kind"]
+    """(step, model, kind, frame_kind, i, eigenvalue, ux, uy, uz): the covariances' eigenvalues, largest first, and unit eigenvectors whose largest entry is positive.
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for r in b.dropna().itertuples(index=False):
-                c = np.array([[r.var_ex, r.cov_ex_ey, r.cov_ex_ez], [r.cov_ex_ey, r.var_ey, r.cov_ey_ez], [r.cov_ex_ez, r.cov_ey_ez, r.var_ez]])
-                values, vectors = np.linalg.eigh(c)
-                for i, k in enumerate(np.argsort(-values)):
-                    u = vectors[:, k] * np.sign(vectors[np.abs(vectors[:, k]).argmax(), k])
-                    out.append((*(getattr(r, n) for n in keys), i, float(values[k]), *u))
-            yield pd.DataFrame(out, columns=[*keys, "i", "eigenvalue", "ux", "uy", "uz"])
-
-    columns = [*keys, *(f"var_{c}" for c in MOMENTS), *(f"cov_{a}_{b}" for a, b in PAIRS)]
-    return stats.select(*columns).mapInPandas(run, "step long, model string, kind string, frame_kind string, i int, eigenvalue double, ux double, uy double, uz double")
+    Groups without covariances have none; neither have those of a matrix that is the same in all directions. Of two equal eigenvalues the vectors are null.
+    """
+    keys = ["step", "model", "kind", "frame_kind"]
+    names = {"xx": "var_ex", "yy": "var_ey", "zz": "var_ez", "xy": "cov_ex_ey", "xz": "cov_ex_ez", "yz": "cov_ey_ez"}
+    rows = apply(stats.selectExpr(*keys, *(f"{v} AS {k}" for k, v in names.items())), EIGEN).where("cosine IS NOT NULL")
+    each_ = ", ".join(f"named_struct('i', {i}, 'eigenvalue', value{i}, 'ux', axis{i}x, 'uy', axis{i}y, 'uz', axis{i}z)" for i in range(3))
+    return rows.selectExpr(*keys, f"inline(array({each_}))")
 
 
 #: Kullback-Leibler divergence of one Gaussian (a_) from another (b_), both of three dimensions.

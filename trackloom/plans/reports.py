@@ -50,7 +50,7 @@ def local_error_divergence(spark, d):
 
 def local_error_axes(spark, d):
     """Eigenvalues and eigenvectors of the covariances."""
-    return lo.principal_axes(_statistics(spark, d))
+    return lo.principal_axes(_statistics(spark, d)).selectExpr(*GROUP, "i", significant("eigenvalue"), *(f"round({c}, 4) + 0e0 AS {c}" for c in ("ux", "uy", "uz")))
 
 
 def object_sequence_scores(spark, d):
@@ -159,6 +159,18 @@ SELECT step, frame_kind, still, {', '.join(significant(f'{n}_{c}') for c in lo.M
 ga AS (SELECT {_by}, {', '.join(f'{c} AS a_{c}' for c in _gauss)} FROM s2 WHERE frame_kind <> 'world'),
 gb AS (SELECT step, model, kind, {', '.join(f'{c} AS b_{c}' for c in _gauss)} FROM s2 WHERE frame_kind = 'world')
 SELECT {_by}, round({lo.divergence('a_', 'b_')}, 4) AS divergence FROM ga JOIN gb USING (step, model, kind)""",
+    "local_error_axes": f"""{STATISTICS},
+q1 AS (SELECT {_by}, var_ex AS a, var_ey AS b, var_ez AS c, cov_ex_ey AS d, cov_ex_ez AS e, cov_ey_ez AS f, (var_ex + var_ey + var_ez) / 3 AS q FROM s2),
+q2 AS (SELECT *, sqrt((pow(a - q, 2) + pow(b - q, 2) + pow(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q1),
+q3 AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / nullif(2 * p * p * p, 0)))) / 3 AS t FROM q2),
+q4 AS (SELECT *, unnest([0, 1, 2]) AS i FROM q3),
+q5 AS (SELECT *, q + 2 * p * cos(t + CASE i WHEN 0 THEN 0 WHEN 1 THEN 4 * pi() / 3 ELSE 2 * pi() / 3 END) AS v FROM q4),
+-- The adjugate of the matrix less the value is the eigenvector times itself: the column of its largest diagonal entry is along it.
+q6 AS (SELECT *, (b - v) * (c - v) - f * f AS xx, (a - v) * (c - v) - e * e AS yy, (a - v) * (b - v) - d * d AS zz, e * f - d * (c - v) AS xy, d * f - e * (b - v) AS xz, d * e - f * (a - v) AS yz FROM q5),
+q7 AS (SELECT *, CASE WHEN abs(xx) >= abs(yy) AND abs(xx) >= abs(zz) THEN [xx, xy, xz] WHEN abs(yy) >= abs(zz) THEN [xy, yy, yz] ELSE [xz, yz, zz] END AS u FROM q6),
+q8 AS (SELECT *, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) AS n FROM q7),
+q9 AS (SELECT *, CASE WHEN list_max(n) >= -list_min(n) THEN 1 ELSE -1 END AS s FROM q8)
+SELECT {_by}, i, {significant('eigenvalue', 'v')}, round(s * n[1], 4) + 0e0 AS ux, round(s * n[2], 4) + 0e0 AS uy, round(s * n[3], 4) + 0e0 AS uz FROM q9 WHERE p > 0""",
     "object_sequence_scores": f"""{_errors(_eight)}{SCORES}, {TRACKS},
 j AS (SELECT s.*, body_name, seq_name FROM s JOIN tr USING (track_id) WHERE NOT is_cam2),
 g AS (SELECT step, model, 'object' AS grouping, body_name AS name, avg(score) AS score, count(*) AS tracks FROM j GROUP BY ALL UNION ALL

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import banks
 from ..operators import filters as fl
 from ..sources import poses as src
+from ..sources.store import saved
 from .features import turned_sql
 from .motion import _turned
 from .sql import STEPS
@@ -20,7 +21,7 @@ SINCS = [(r, k) for r in np.linspace(2.0001, 3.5, 10).tolist() for k in np.linsp
 def _named(spark, found, cells, names, value, digits):
     """With the cells' parameters, and best, which marks the first cell of the least value."""
     table = spark.createDataFrame([(i, *(c if isinstance(c, tuple) else (c,))) for i, c in enumerate(cells)], "configuration int, " + ", ".join(f"{n} double" for n in names))
-    rows = found.join(F.broadcast(table), "configuration").withColumn(value, F.round(value, digits))
+    rows = saved(found.join(F.broadcast(table), "configuration").withColumn(value, F.round(value, digits)))  # a row a step and cell
     first = rows.groupBy("step").agg(F.min(F.struct(value, "configuration")).alias("b")).select("step", F.col("b.configuration").alias("first"))
     rows = rows.join(F.broadcast(first), "step").withColumn("best", F.col("configuration") == F.col("first"))
     return rows.select("step", *(F.round(n, 6).alias(n) for n in names), value, "best")
