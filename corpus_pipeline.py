@@ -1,7 +1,7 @@
 """A training corpus in five stages, each written and read again as the next one's documents.
 
-Toxic documents go; of each group of near-duplicates the document with the smallest doc_id stays;
-documents that hold a passage of the benchmark go; secrets are replaced by a mark; what is left
+Toxic documents go; of each group of near-duplicates, which SimHash fingerprints or the shingle sets link, the document with
+the smallest doc_id stays; documents that hold a passage of the benchmark go; secrets are replaced by a mark; what is left
 is encoded in pieces with merge-dropout.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, pieces, secrets, similar_texts, toxicity
+from trackloom.llm import decontaminate, pieces, secrets, simhash, similar_texts, toxicity
 from trackloom.llm.common import Workspace, table
 
 
@@ -19,7 +19,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar_texts.one_of_each(docs)
+    return similar_texts.one_of_each(docs, radius=simhash.RADIUS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

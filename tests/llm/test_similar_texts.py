@@ -5,6 +5,8 @@ import pytest
 
 from trackloom.llm.similar_texts import one_of_each
 
+from trackloom.llm.simhash import fingerprint
+
 from .conftest import documents
 from .test_simhash import roots
 
@@ -74,3 +76,15 @@ def test_every_similar_pair_is_linked(spark):
     assert 60 < len(set(root.values())) < 100
     got = one_of_each(documents(spark, rows)).collect()
     assert sorted(r.doc_id for r in got) == sorted(rows[k][0] for k in set(root.values()))
+
+
+def test_fingerprints_link_what_shingle_sets_do_not(spark):
+    rnd = random.Random(13)
+    repeated = " ".join(f"r{i}" for i in range(21)) + " "
+    texts = [repeated * 40 + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(4)] + [" ".join(f"v{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(6)]
+    sets = [grams(t) for t in texts]
+    assert not [(a, b) for a, b in combinations(range(10), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    fps = [fingerprint(t, 3) for t in texts]
+    root = roots(range(10), [(a, b) for a, b in combinations(range(10), 2) if (fps[a] ^ fps[b]).bit_count() <= 2])
+    assert len(set(root.values())) == 7
+    assert sorted(r.doc_id for r in one_of_each(documents(spark, list(enumerate(texts)))).collect()) == sorted(set(root.values()))

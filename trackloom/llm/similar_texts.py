@@ -1,6 +1,7 @@
-"""One text of each group of similar ones, by an exact join of shingle sets.
+"""One text of each group of similar ones, by SimHash fingerprints and an exact join of shingle sets.
 
-Texts are linked if their sets of word shingles have a Jaccard similarity of ``SIMILARITY`` or more. Such sets share a
+Texts are linked if their fingerprints are within a radius, which ``simhash`` finds by covering masks. What fingerprints don't link, as they lose many
+similar pairs, is joined exactly: texts are linked, too, if their sets of word shingles have a Jaccard similarity of ``SIMILARITY`` or more. Such sets share a
 shingle of their prefixes: the fifth of each set, and one more, that comes first in an order that all have in common. Sizes,
 bitmaps and the number of shingles that two prefixes share rule out most of the texts that meet by chance; what is left is compared, set with set.
 
@@ -18,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from . import simhash
 from .common import Workspace, bounded, record_batch, slices
 from .components import components
 
 SEED = 42
+#: Words of a fingerprint's shingles.
+SIMHASH = 3
 SIMILARITY = 0.8
 #: Words of a set's bitmap.
 MAPS = 8
@@ -92,24 +96,38 @@ def prefix(found: np.ndarray, keys: np.ndarray, ranks: np.ndarray, least: float)
 
 
 def distinct_texts(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(node, rank, size, map0 .., prefix): each distinct text of (rank, text) with its least rank."""
+    """(node, rank, fp, size, map0 .., prefix): each distinct text of (rank, text) with its least rank; fp is its ``simhash.fingerprint``."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(frequent(texts, shingle))  # at most FREQUENT numbers
-    schema = "node long, rank long, size long, " + ", ".join(f"{m} long" for m in MAP)
+    schema = "node long, rank long, fp long, size long, " + ", ".join(f"{m} long" for m in MAP)
 
     def run(batches):
         keys, ranks = shared.value
         for b in slices(batches, ROWS):
             found = [words(t) for t in b["text"].to_pylist()]
+            fps = [simhash.fingerprint(t, SIMHASH) for t in b["text"].to_pylist()]
             sets = [shingle_set(w, shingle) for w in found]
             maps = np.array([bitmap(x) for x in sets], "<i8").reshape(-1, MAPS)
-            columns = {"node": [node(w) for w in found], "rank": b["rank"], "size": list(map(len, sets))}
+            columns = {"node": [node(w) for w in found], "rank": b["rank"], "fp": fps, "size": list(map(len, sets))}
             out = record_batch(columns | {m: maps[:, k] for k, m in enumerate(MAP)}, schema)
             firsts = [prefix(x, keys, ranks, least).view("<i8") for x in sets]
             yield out.append_column("prefix", pa.array(firsts, pa.list_(pa.int64())))
 
     rows = texts.mapInArrow(run, schema + ", prefix array<long>")
-    return rows.groupBy("node").agg(F.min("rank").alias("rank"), *(F.first(c).alias(c) for c in ("size", *MAP, "prefix")))
+    return rows.groupBy("node").agg(F.min("rank").alias("rank"), *(F.first(c).alias(c) for c in ("fp", "size", *MAP, "prefix")))
+
+
+def fingerprint_links(found: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between the nodes of ``distinct_texts`` that connect all whose fingerprints are within ``radius`` bits.
+
+    Nodes of one fingerprint are linked to the least of them, and the least ones of fingerprints as ``simhash.links`` links these.
+    """
+    first = found.groupBy("fp").agg(F.min("node").alias("least"))
+    copies = found.select("node", "fp").join(first, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    near = simhash.links(first.select("fp"), radius)
+    ends = [first.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node")) for c in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return copies.unionByName(near)
 
 
 def postings(found: DataFrame) -> DataFrame:
@@ -214,11 +232,11 @@ def similar(pairs: DataFrame, found: DataFrame, texts: DataFrame, shingle: int,
     return links
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, radius: int = simhash.RADIUS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that come first by doc_id in their group.
 
-    Texts are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``least`` or more; groups
-    are the components of the links, so a text that goes still links others. No link is left out. No
+    Texts are linked if their SimHash fingerprints differ in ``radius`` or fewer bits, or if their sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``least`` or more; groups are the components of all links, so a text that goes still links others. No link is left out. No
     two rows that stay are linked, and each row that goes is joined by links to one that stays.
 
     Texts of the same words, A-Z in either case, are one node, by a 64-bit hash. Of repeated rows, or rows of one
@@ -228,8 +246,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) ->
     space = Workspace(docs.sparkSession, "similar_texts")
     texts = docs.select(rank(), "text")
     found = space.save(distinct_texts(texts, shingle, least), "texts")
+    near = space.save(fingerprint_links(found, radius), "near")
     rows = space.save(postings(found), "postings")
-    led = similar(leading(rows, least), found, texts, shingle, least, space, "led")
+    led = near.unionByName(similar(leading(rows, least), found, texts, shingle, least, space, "led"))
     roots = space.save(components(led, Workspace(docs.sparkSession, "led")), "led_roots")
     rest = similar(apart(rows, roots, least), found, texts, shingle, least, space, "apart")
     space.drop("postings")
