@@ -101,3 +101,32 @@ def test_correlations(spark):
                 assert pairs[a, b]["r"] == pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-7)
     kept = {r["feature"]: r["dropped"] for r in gram.collinear(gram.correlations(spark.createDataFrame(values, ", ".join(f"{n} double" for n in names)), names)).collect()}
     assert kept == {"b": True, "c": False, "d": False, "e": False}
+
+
+def test_medians_of_many_configurations(spark, monkeypatch):
+    """A task counts in one table: what it hands on doesn't grow with its rows. Evenly spaced scales take the cosines of sums of angles; ties, and a gap in the middle."""
+    monkeypatch.setattr(m, "MATRIX", 64)
+    monkeypatch.setattr(m, "FEW", 4)
+    scales = np.linspace(0, 1, 23)
+    rows = m.turns(table(spark, random_tracks(4, 20, seed=5))).where("k >= 2").localCheckpoint()
+    errors = m.linear(scales)
+    at = rows.toPandas()
+    got = m.medians(rows, m.linear_cosines(scales), 23, cells=6, read=m.of_cosines).toPandas().set_index(["step", "configuration"])["median"]
+    for step, of in at.groupby("step"):
+        assert [got[step, i] for i in range(23)] == pytest.approx(np.median(errors(of), axis=0), abs=1e-7)
+    seen = spark.createDataFrame([(1, float(v)) for v in [0] * 40 + [1] * 40 + [7]] + [(2, float(v)) for v in [0] * 30 + [1e9] * 30], "step long, v double").repartition(3)
+    found = {(r["step"], r["configuration"]): r["median"] for r in m.medians(seen, lambda b: b["v"].to_numpy()[:, None] * np.array([1.0, 2.0]), 2, cells=8).collect()}
+    assert found == {(1, 0): 1.0, (1, 1): 2.0, (2, 0): 5e8, (2, 1): 1e9}
+    # A row a configuration and task, and of equal values one.
+    monkeypatch.setattr(m, "FEW", 1000)
+    handed = []
+    kept = type(rows).mapInPandas
+
+    def counted(self, f, schema, **more):
+        out = kept(self, f, schema, **more).localCheckpoint()
+        handed.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(rows), "mapInPandas", counted)
+    m.medians(seen.coalesce(1), lambda b: b["v"].to_numpy()[:, None] * np.array([1.0, 2.0]), 2)
+    assert handed[0] == 4 and max(handed) <= 20

@@ -1,8 +1,8 @@
 """Banks of configurations: errors of all of them for each row, as a matrix, without a row for each.
 
 ``track_means`` sums a track's errors where its rows pass, and then means over tracks: a task gives a row for each configuration, however many rows
-and tracks it has. ``medians`` finds the exact median of all rows' errors for each configuration by narrowing down (see ``selection``): the errors
-are computed anew for each pass and only counted, so rows times configurations are never written.
+and tracks it has. ``medians`` finds the exact median of all rows' errors for each configuration by narrowing down: the errors are computed anew for each
+pass and only counted, by a task in one table for all its rows, so rows times configurations are never written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layers import Layer, apply, conjugate, dot, lags, norm, quat, times
@@ -20,10 +20,9 @@ from . import filters
 from .features import base
 from .orientation import unwrap_layers
 from .predict import KEYS, order
-from .selection import cells_of, narrowed
 
-#: Errors that a task looks at together, and cells of a pass of ``medians``.
-MATRIX, CELLS = 1 << 20, 64
+#: Errors that a task looks at together, cells of a pass of ``medians``, and values of a configuration that it gathers in the end.
+MATRIX, CELLS, FEW = 1 << 20, 256, 2048
 Errors = Callable[[pd.DataFrame], np.ndarray]
 SUMS = "step long, configuration int, tracks long, s double"
 
@@ -64,67 +63,130 @@ def track_means(rows: DataFrame, errors: Errors, n: int) -> DataFrame:
     return total.select("step", "configuration", "tracks", (F.col("s") / F.col("tracks")).alias("mean_err"))
 
 
-def medians(rows: DataFrame, errors: Errors, n: int, cells: int = CELLS) -> DataFrame:
-    """(step, configuration, n, median): exact medians of all rows' errors, for ``n`` configurations. Errors must be numbers."""
+def medians(rows: DataFrame, errors: Errors, n: int, cells: int = CELLS, read: Callable[[np.ndarray], np.ndarray] = lambda v: v) -> DataFrame:
+    """(step, configuration, n, median): exact medians of all rows' errors, for ``n`` configurations. Errors must be numbers.
+
+    ``errors`` may give anything that grows with the error, which ``read`` makes of it. Each pass counts the values below a configuration's range, and those within by
+    even cells; the range becomes the cell of the middle, with half a cell to both sides, until it holds few values. Then these are gathered. A task gives its
+    counts once, when its rows are through.
+    """
     spark, kept = rows.sparkSession, saved(rows)
 
-    def passed(look, schema: str) -> DataFrame:
+    together = max(1, MATRIX // 4 // n)
+
+    def passed(look, ended, schema: str) -> DataFrame:
         def run(batches):
+            sums: dict[int, object] = {}
             for batch in batches:
-                for at in range(0, len(batch), max(1, MATRIX // n)):
-                    b = batch.iloc[at : at + max(1, MATRIX // n)]
-                    found, step = errors(b), b["step"].to_numpy()
-                    for s in np.unique(step):
-                        yield from look(int(s), found[step == s])
+                for s, b in batch.groupby("step"):
+                    for at in range(0, len(b), together):
+                        sums[s] = look(s, errors(b.iloc[at : at + together]), sums.get(s))
+            for s, of in sums.items():
+                if of is not None:
+                    yield ended(s, of).assign(step=s)
 
         return kept.mapInPandas(run, schema)
 
-    def extremes(step, found):
-        yield pd.DataFrame({"step": step, "configuration": np.arange(n, dtype=np.int32), "low": found.min(axis=0), "high": found.max(axis=0), "n": len(found)})
-
-    whole = passed(extremes, "step long, configuration int, low double, high double, n long")
-    whole = saved(whole.groupBy("step", "configuration").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")))
-    whole = whole.withColumn("rank", F.expr("(n - 1) div 2"))
-    state = whole.select("step", "configuration", "low", "high", "rank").toPandas()  # a row a step and configuration
-    exact = [state[state.low == state.high]]
-    while len(state := state[state.low < state.high]):
-        held = {s: g for s, g in state.groupby("step")}
-
-        def count(step, found, held=held):
+    def extremes(step, found, of):
+        of = of or (0, np.inf, -np.inf)
+        return of[0] + len(found), np.minimum(of[1], found.min(axis=0)), np.maximum(of[2], found.max(axis=0))
+
+    def of_extremes(step, of):
+        return pd.DataFrame({"configuration": np.arange(n, dtype=np.int32), "n": of[0], "low": of[1], "high": of[2]})
+
+    whole = passed(extremes, of_extremes, "configuration int, n long, low double, high double, step long")
+    state = whole.groupBy("step", "configuration").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toPandas()  # a row a step and configuration
+    state["rank"], state["inside"] = (state["n"] - 1) // 2, state["n"]
+    ready, configurations = [], len(state)
+    while True:
+        few = (state.inside <= FEW) | (state.high - state.low <= 4096 * np.spacing(np.maximum(state.low.abs(), state.high.abs())))
+        if state.inside.sum() <= 4 * FEW * configurations:  # equal values, which are gathered as one
+            few |= True
+        ready.append(state[few])
+        state = state[~few]
+        if not len(state):
+            break
+        held = _held(state, cells)
+
+        def count(step, found, of, held=held):
             if step not in held:
-                return
-            g = held[step]
-            which, low, high = g.configuration.to_numpy(), g.low.to_numpy(), g.high.to_numpy()
-            values = found[:, which]
-            row, column = np.nonzero((values >= low) & (values <= high))
-            values = values[row, column]
-            at = column * cells + cells_of(values, low[column], high[column], cells)
-            times_, least, most = np.bincount(at, minlength=len(which) * cells), np.full(len(which) * cells, np.inf), np.full(len(which) * cells, -np.inf)
-            np.minimum.at(least, at, values)
-            np.maximum.at(most, at, values)
-            some = np.flatnonzero(times_)
-            yield pd.DataFrame(
-                {"step": step, "configuration": which[some // cells], "rank": g["rank"].to_numpy()[some // cells], "cell": (some % cells).astype(np.int32), "n": times_[some], "low": least[some], "high": most[some]}
-            )
-
-        counts = passed(count, "step long, configuration int, rank long, cell int, n long, low double, high double")
-        counts = counts.groupBy("step", "configuration", "rank", "cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-        state = narrowed(counts, ["step", "configuration"]).toPandas()
-        exact.append(state[state.low == state.high])
-    first = pd.concat(exact)
-    held = {s: g.sort_values("configuration") for s, g in first.groupby("step")}
-
-    def after(step, found):
-        v = held[step].low.to_numpy()
-        above = np.where(found > v, found, np.inf)
-        yield pd.DataFrame({"step": step, "configuration": np.arange(n, dtype=np.int32), "upto": (found <= v).sum(axis=0), "next": above.min(axis=0)})
-
-    following = passed(after, "step long, configuration int, upto long, next double").groupBy("step", "configuration").agg(F.sum("upto").alias("upto"), F.min("next").alias("next"))
-    values = spark.createDataFrame(first[["step", "configuration", "low"]], "step long, configuration int, v double") if len(first) else spark.createDataFrame([], "step long, configuration int, v double")
-    out = whole.select("step", "configuration", "n", "rank").join(F.broadcast(values), ["step", "configuration"]).join(following, ["step", "configuration"])
+                return None
+            which, low, unit, _ = held[step]
+            at = (found if len(which) == n else found[:, which]) - low
+            at *= unit
+            at += 1
+            np.clip(at, 0, cells + 1, out=at)
+            at += np.arange(len(which)) * (cells + 2)  # the first cell is for all below, the last one for all above
+            return (0 if of is None else of) + np.bincount(at.astype(np.int64).ravel(), minlength=len(which) * (cells + 2))
+
+        def of_count(step, of, held=held):
+            return pd.DataFrame({"configuration": held[step][0], "counts": list(of.reshape(-1, cells + 2))})
+
+        ranks = {(s, c): r for s, c, r in zip(state["step"].tolist(), state["configuration"].tolist(), state["rank"].tolist(), strict=True)}
+        counts = passed(count, of_count, "configuration int, counts array<long>, step long")
+        found = counts.groupBy("step", "configuration").applyInPandas(_middle(ranks), "step long, configuration int, cell int, inside long").toPandas()
+        state = state.drop(columns="inside").merge(found, on=["step", "configuration"])
+        if not state.cell.between(1, cells).all():
+            raise ValueError("errors that are not numbers, or not the same in each pass")
+        width, low = (state.high - state.low) / cells, state.low.to_numpy(copy=True)
+        state["low"] = np.maximum(low, low + (state.cell - 1.5) * width)
+        state["high"] = np.minimum(state.high, low + (state.cell + 0.5) * width)
+        state = state.drop(columns="cell")
+    state = pd.concat(ready)
+    held = _held(state, cells)
+
+    def counted(values):
+        return pd.concat(values).groupby(["configuration", "v"], as_index=False).sum()
+
+    def gather(step, found, of):
+        _, low, _, high = held[step]
+        below, values, above = of or (0, [], np.inf)
+        within = (found >= low) & (found <= high)
+        row, column = np.nonzero(within)
+        values = [*values, pd.DataFrame({"configuration": column.astype(np.int32), "v": found[row, column], "n": 1})]
+        if len(values) > 64:
+            values = [counted(values)]
+        return below + (found < low).sum(axis=0), values, np.minimum(above, np.where(found > high, found, np.inf).min(axis=0))
+
+    def of_gather(step, of):
+        below, values, above = of
+        every = np.arange(n, dtype=np.int32)
+        parts = [counted(values), pd.DataFrame({"configuration": every, "v": -np.inf, "n": below}), pd.DataFrame({"configuration": every, "v": above, "n": 1})]
+        return pd.concat([parts[0], *(p[p.n > 0] for p in parts[1:])])
+
+    # All below count as one value, and of all above only the least is wanted.
+    values = passed(gather, of_gather, "configuration int, v double, n long, step long").groupBy("step", "configuration", "v").agg(F.sum("n").alias("m"))
+    values = values.withColumn("upto", F.sum("m").over(Window.partitionBy("step", "configuration").orderBy("v")))  # few values
+    sizes = spark.createDataFrame(state[["step", "configuration", "n"]], "step long, configuration int, n long")
+    values = values.join(F.broadcast(sizes), ["step", "configuration"])
+    at = lambda rank: F.max(F.expr(f"CASE WHEN {rank} < upto AND {rank} >= upto - m THEN v END"))
+    two = values.groupBy("step", "configuration", "n").agg(at("(n - 1) div 2").alias("first"), at("n div 2").alias("second")).toPandas()
+    if np.isinf(two[["first", "second"]].to_numpy(float)).any() or two[["first", "second"]].isna().any(axis=None):
+        raise ValueError("errors that are not numbers, or not the same in each pass")
     # Of an even number of rows, the mean of the two in the middle.
-    second = F.when((F.col("n") % 2 == 1) | (F.col("upto") > F.col("rank") + 1), F.col("v")).otherwise(F.col("next"))
-    return out.select("step", "configuration", "n", ((F.col("v") + second) / 2).alias("median"))
+    two["median"] = (read(two["first"].to_numpy(float)) + read(two["second"].to_numpy(float))) / 2
+    return spark.createDataFrame(two[["step", "configuration", "n", "median"]], "step long, configuration int, n long, median double")
+
+
+def _middle(ranks: dict[tuple[int, int], int]):
+    """Of a configuration's counts, an array from each task, the cell that holds the rank, and what it holds with its neighbours."""
+
+    def middle(key, counts):
+        of = np.sum(np.stack(counts["counts"].to_list()), axis=0)
+        cell = int(np.searchsorted(np.cumsum(of), ranks[key], side="right"))
+        return pd.DataFrame({"step": [key[0]], "configuration": [key[1]], "cell": [cell], "inside": [int(of[max(0, cell - 1) : cell + 2].sum())]})
+
+    return middle
+
+
+def _held(state: pd.DataFrame, cells: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By step the configurations, the low ends of their ranges, cells to a unit, and the high ends."""
+    held = {}
+    for step, g in state.groupby("step"):
+        g = g.sort_values("configuration")
+        low, high = g.low.to_numpy(float), g.high.to_numpy(float)
+        held[int(step)] = g.configuration.to_numpy(np.int32), low, cells / np.where(high > low, high - low, 1.0), high
+    return held
 
 
 #: From a track's quaternions: the last turn's angle, and the scalar part of this turn and its vector part along the last one's axis.
@@ -145,12 +207,31 @@ def turns(poses: DataFrame) -> DataFrame:
 def turn_errors(angles: Callable[[np.ndarray], np.ndarray]) -> Errors:
     """Angles between the orientation and the one that the last turn's axis and ``angles`` of its angle give; a track's first turn is all error."""
 
-    def errors(b: pd.DataFrame) -> np.ndarray:
-        half = angles(b["last"].fillna(0).to_numpy()[:, None]) / 2
-        cosine = np.abs(b["noww"].to_numpy()[:, None] * np.cos(half) + b["part"].to_numpy()[:, None] * np.sin(half))
-        return np.where(b["k"].to_numpy()[:, None] == 1, b["turn"].to_numpy()[:, None], 2 * np.arccos(np.minimum(1, cosine)))
+    def cosines(half: np.ndarray, phase: np.ndarray) -> np.ndarray:
+        return np.cos(angles(2 * half) / 2 - phase)
+
+    return lambda b: of_cosines(turn_cosines(cosines)(b))
+
+
+def turn_cosines(cosines: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Errors:
+    """What grows with these errors, see ``of_cosines``. The angles' halves meet a phase; ``cosines`` gives theirs from halves and phases of the rows, a column for each configuration."""
+
+    def falling(b: pd.DataFrame) -> np.ndarray:
+        now, part = b["noww"].to_numpy()[:, None], b["part"].to_numpy()[:, None]
+        found = cosines(b["last"].fillna(0).to_numpy()[:, None] / 2, np.arctan2(part, now))
+        found *= np.hypot(part, now)
+        np.abs(found, out=found)
+        np.minimum(found, 1, out=found)
+        first = b["k"].to_numpy() == 1
+        if first.any():
+            found[first] = np.cos(b["turn"].to_numpy()[first, None] / 2)
+        return np.negative(found, out=found)
+
+    return falling
 
-    return errors
+
+def of_cosines(falling: np.ndarray) -> np.ndarray:
+    return 2 * np.arccos(-falling)
 
 
 def saturated(scale: np.ndarray, power: np.ndarray) -> Errors:
@@ -162,6 +243,22 @@ def linear(scale: np.ndarray) -> Errors:
     return turn_errors(lambda x: scale * x)
 
 
+def linear_cosines(scale: np.ndarray) -> Errors:
+    """What grows with the errors of ``linear``. The cosines of evenly spaced scales come from those of every so manieth one, by the sum of two angles."""
+    n, few = len(scale), max(1, round(len(scale) ** 0.5))
+    if n < 3 or not np.allclose(scale, np.linspace(scale[0], scale[-1], n), rtol=0, atol=1e-14):
+        return turn_cosines(lambda half, phase: np.cos(scale * half - phase))
+    coarse, fine = scale[::few], np.linspace(scale[0], scale[-1], n)[:few] - scale[0]
+
+    def cosines(half: np.ndarray, phase: np.ndarray) -> np.ndarray:
+        at, more = coarse * half - phase, fine * half
+        out = np.cos(at)[:, :, None] * np.cos(more)[:, None, :]
+        out -= np.sin(at)[:, :, None] * np.sin(more)[:, None, :]
+        return np.ascontiguousarray(out.reshape(len(half), -1)[:, :n])
+
+    return turn_cosines(cosines)
+
+
 def arctangent(scale: np.ndarray) -> Errors:
     """scale * atan2(2 sin(x / scale), 2 cos(x / scale) - 1) - x: what the nearest rotation to an extrapolated matrix turns by, where scale is 1."""
     return turn_errors(lambda x: scale * np.arctan2(2 * np.sin(x / scale), 2 * np.cos(x / scale) - 1) - x)

@@ -36,7 +36,7 @@ def rotation_scale_grid(spark, d):
 def rotation_slope_medians(spark, d):
     """Median of the angle off when the last turn is repeated times a factor."""
     rows = banks.turns(_turned(spark, d)).where("k >= 2")
-    return _named(spark, banks.medians(rows, banks.linear(np.array(SLOPES)), len(SLOPES)), SLOPES, ["slope"], "median", 5)
+    return _named(spark, banks.medians(rows, banks.linear_cosines(np.array(SLOPES)), len(SLOPES), read=banks.of_cosines), SLOPES, ["slope"], "median", 5)
 
 
 def rotation_arc_grid(spark, d):
