@@ -130,3 +130,10 @@ def test_medians_of_many_configurations(spark, monkeypatch):
     monkeypatch.setattr(type(rows), "mapInPandas", counted)
     m.medians(seen.coalesce(1), lambda b: b["v"].to_numpy()[:, None] * np.array([1.0, 2.0]), 2)
     assert handed[0] == 4 and max(handed) <= 20
+
+
+def test_saturated_of_large_powers():
+    """Ratios whose powers are beyond all numbers saturate at the scale, and no turn stays none."""
+    b = m.pd.DataFrame({"k": 5, "last": [0.0, 2.0, 1e-3], "noww": [1.0, 0.5, 0.2], "part": [0.0, 0.6, -0.3], "turn": 0.0})
+    want = m.turn_errors(lambda x: np.minimum(x, 0.001))(b)
+    assert m.saturated(np.array([0.001]), np.array([400.0]))(b)[:2] == pytest.approx(want[:2], abs=1e-7)

@@ -235,8 +235,22 @@ def of_cosines(falling: np.ndarray) -> np.ndarray:
 
 
 def saturated(scale: np.ndarray, power: np.ndarray) -> Errors:
-    """x / (1 + |x / scale|^power)^(1 / power) for each pair."""
-    return turn_errors(lambda x: x / (1 + np.abs(x / scale) ** power) ** (1 / power))
+    """x / (1 + |x / scale|^power)^(1 / power) for each pair, by logarithms, as x is not negative."""
+
+    def angles(x: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            out = power * np.log(x) - power * np.log(scale)
+        # Of a large power of x / scale the one added doesn't count.
+        large = out > 600
+        np.exp(np.minimum(out, 600, out=out), out=out) if large.any() else np.exp(out, out=out)
+        out += 1
+        np.log(out, out=out)
+        out /= -power
+        np.exp(out, out=out)
+        out *= x
+        return np.where(large, np.broadcast_to(scale, out.shape), out) if large.any() else out
+
+    return turn_errors(angles)
 
 
 def linear(scale: np.ndarray) -> Errors:
