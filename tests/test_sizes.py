@@ -19,3 +19,27 @@ def test_layers_make_no_methods_that_the_jvm_leaves_uncompiled(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     features.scalar_features(spark, DATA)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_statistics_hand_on_a_row_for_each_group_of_a_task(spark, monkeypatch):
+    """Rows are summed where they pass, from wide rows as from long ones, and are not multiplied by models, frames and motion kinds."""
+    from trackloom.operators import localized
+    from trackloom.plans.motion import _turned
+
+    poses = _turned(spark, DATA)
+    handed, kept = [], type(poses).mapInArrow
+
+    def counted(self, f, schema, **more):
+        out = kept(self.coalesce(1), f, schema, **more).localCheckpoint()
+        handed.append((self.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(type(poses), "mapInArrow", counted)
+    keys = ["step", "model", "kind", "frame_kind"]
+    wide = {tuple(r[k] for k in keys): r for r in localized.statistics(localized.localized(poses, wide=True), localized.WIDE).collect()}
+    assert len(handed) == 2 and all(r < 2000 and g <= 3 * 16 * 5 for r, g in handed)
+    long = {tuple(r[k] for k in keys): r for r in localized.statistics(localized.localized(poses)).collect()}
+    assert wide.keys() == long.keys() and len(wide) > 100
+    for k, r in wide.items():
+        for c in r.asDict():
+            assert r[c] == long[k][c] or r[c] == pytest.approx(long[k][c], rel=1e-9, abs=1e-9)

@@ -24,7 +24,7 @@ GROUP = ["step", "model", "kind", "frame_kind"]
 
 
 def _statistics(spark, d):
-    return lo.statistics(lo.localized(_turned(spark, d)))
+    return lo.statistics(lo.localized(_turned(spark, d), wide=True), lo.WIDE)
 
 
 def local_error_statistics(spark, d):
