@@ -43,3 +43,44 @@ def test_statistics_hand_on_a_row_for_each_group_of_a_task(spark, monkeypatch):
     for k, r in wide.items():
         for c in r.asDict():
             assert r[c] == long[k][c] or r[c] == pytest.approx(long[k][c], rel=1e-9, abs=1e-9)
+
+
+def test_files_hold_many_tracks_whose_sections_are_cut(spark, tmp_path, monkeypatch):
+    from trackloom.sources import poses as src
+
+    monkeypatch.setattr(src, "LINES", 3)
+    rows = [(t, f, float(10 * t + f), 0.5, -1e-7, [float(i) for i in range(9)]) for t in range(40) for f in range(2, 2 + t % 8)]
+    poses = spark.createDataFrame(rows, src.POSES).repartition(5)
+    src.write_pose_text(poses, f"{tmp_path}/text")
+    src.write_scene_json(poses, f"{tmp_path}/scene")
+    for name in ("text", "scene"):
+        assert len(list((tmp_path / name).rglob("*.txt"))) <= 5
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        text = src.read_pose_text(spark, f"{tmp_path}/text", sections=True).collect()
+        scene = src.read_scene_json(spark, f"{tmp_path}/scene", sections=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    of = lambda found, shift: sorted((int(r["track_id"].split("/")[0][6:]), r["frame"] + shift, r["x"], r["y"], r["z"], r["rot"]) for r in found)
+    assert of(text, 2) == of(scene, 0) == sorted(rows)
+
+
+def test_a_task_hands_on_a_cell_once(spark):
+    from trackloom.operators import tree
+
+    rows = spark.createDataFrame([(1 + i % 3, i % 5 - 1, i % 2, 1.0, float(i)) for i in range(30000)], "node int, bin_a int, bin_b int, m0 double, m1 double").coalesce(1)
+    made = tree.sums_by_bin(rows, ["a", "b"], ["m0", "m1"])
+    assert sum(r["m0"] for r in made.collect()) == 60000 and made.count() == 3 * (5 + 2)
+    handed, kept = [], type(rows).mapInArrow
+
+    def counted(self, f, schema, **more):
+        out = kept(self, f, schema, **more)
+        handed.append(out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(rows), "mapInArrow", counted)
+        tree.sums_by_bin(rows, ["a", "b"], ["m0", "m1"])
+    assert handed == [3 * (5 + 2)]

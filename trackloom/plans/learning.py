@@ -141,10 +141,10 @@ def _number(c: str = "track_id"):
 
 
 def pose_text_round_trip(spark, d):
-    """Poses written as text files, a track each, and read again."""
+    """Poses written as text files, of many tracks each, and read again."""
     path = scratch(spark)
     src.write_pose_text(_oriented(spark, d), path)
-    back = src.read_pose_text(spark, f"{path}/*/*/*.txt").select(_number(), "frame", "x", "y", "z", "rot")
+    back = src.read_pose_text(spark, path, sections=True).select(_number(), "frame", "x", "y", "z", "rot")
     trace = F.col("rot")[0] + F.col("rot")[4] + F.col("rot")[8]
     return back.groupBy("track_id").agg(F.count("*").alias("n"), F.max("frame").alias("last"), F.round(F.sum(F.col("x") * F.col("frame")), 3).alias("moment"), F.round(F.sum(trace), 4).alias("trace"))
 
@@ -154,7 +154,7 @@ def vector_text_round_trip(spark, d):
     path = scratch(spark)
     rows = _oriented(spark, d).withColumn("rot", F.array("x", "y", "z")).select("track_id", "frame", F.col("vx").alias("x"), F.col("vy").alias("y"), F.col("vz").alias("z"), "rot")
     src.write_pose_text(rows, path)
-    back = src.read_vector_text(spark, f"{path}/*/*/*.txt").withColumn("track_id", F.regexp_extract("track_id", r"track=(\d+)", 1).cast("long"))
+    back = src.read_vector_text(spark, path, sections=True).withColumn("track_id", F.regexp_extract("track_id", r"track=(\d+)", 1).cast("long"))
     trace = F.col("rot")[0] + F.col("rot")[4] + F.col("rot")[8]
     return back.groupBy("track_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x") * F.col("frame")), 3).alias("moment"), F.round(F.sum(trace), 4).alias("trace"))
 
@@ -164,7 +164,7 @@ def scene_round_trip(spark, d):
     path = scratch(spark)
     rows = _oriented(spark, d).where("frame % 4 <> 3")
     src.write_scene_json(rows, path)
-    back = src.read_scene_json(spark, f"{path}/*/*.txt").select(_number(), "frame", "x")
+    back = src.read_scene_json(spark, path, sections=True).select(_number(), "frame", "x")
     gap = F.col("frame") - F.lag("frame", 1).over(pr.Window.partitionBy("track_id").orderBy("frame"))
     gaps = back.select("track_id", "x", F.coalesce(gap, F.lit(0)).alias("gap"))
     return gaps.groupBy("track_id").agg(F.count("*").alias("n"), F.sum("gap").alias("gaps"), F.max("gap").alias("largest_gap"), F.round(F.sum("x"), 4).alias("sum_x"))
@@ -174,7 +174,7 @@ def tracker_files(spark, d):
     """Tracker files of every second track, off by half a unit, against the true poses."""
     path, p = scratch(spark), _oriented(spark, d)
     src.write_pose_text(p.where("track_id % 2 = 0 AND frame % 3 = 1").selectExpr("track_id", "frame", "x + 0.5 * (frame % 2) AS x", "y", "z", "rot"), path)
-    back = src.read_pose_text(spark, f"{path}/*/*/*.txt").select(_number(), "frame", "x", "y", "z")
+    back = src.read_pose_text(spark, path, sections=True).select(_number(), "frame", "x", "y", "z")
     return src.with_tracker(p, back, 3).groupBy("track_id").agg(F.count("*").alias("n"), F.count("off").alias("n_tracker"), F.round(F.avg("off"), 5).alias("mean_off"))
 
 
