@@ -69,48 +69,68 @@ def sketched(rows: DataFrame, features: list[str], bins: int = BINS, accuracy: i
     return rows.mapInArrow(run, schema)
 
 
-def sums_by_bin(rows: DataFrame, features: list[str], models: list[str]) -> DataFrame:
-    """(node, place, bin, models): summed errors by node, number of the feature, and bin.
+def sums_by_bin(rows: DataFrame, features: list[str], models: list[str], tree: dict[int, dict] | None = None, least: int = 1) -> DataFrame:
+    """(node, place, bin, models): summed errors by node, number of the feature, and bin. With a ``tree`` a row's node is its leaf there, and those below ``least`` don't count.
 
-    A batch is counted with numpy, all features at once, and gives a row for each node, feature and bin in it: rows never meet features one by one.
+    A task counts in one table for all its rows, of a cell for each node, feature and bin, and hands on the cells that have rows: what is exchanged doesn't
+    grow with the rows.
     """
     schema = "node int, place int, bin int, " + ", ".join(f"{m} double" for m in models)
     names = [f"bin_{c}" for c in features]
+    feature, cut, _ = _arrays(tree or {}, features, models)
 
     def run(batches):
+        nodes, width = np.empty(0, np.int64), 1  # nodes by their places in the table
+        sums, counts = np.zeros((0, len(names), width, len(models))), np.zeros((0, len(names), width), np.int64)
         for b in batches:
-            if not b.num_rows:
+            bins = np.stack([b[n].to_numpy() for n in names])
+            errors = np.stack([b[m].to_numpy() for m in models])
+            if tree is None:
+                node = b["node"].to_numpy()
+            else:
+                node = _leaves(bins, feature, cut, max(tree, default=0).bit_length())
+                bins, errors, node = bins[:, node >= least], errors[:, node >= least], node[node >= least]
+            if not len(node):
                 continue
-            nodes, at = np.unique(b["node"].to_numpy(), return_inverse=True)
-            bins = np.stack([b[n].to_numpy() for n in names]) + 1  # -1, missing, comes first
-            width = int(bins.max()) + 1
-            cell = ((at[None, :] * len(names) + np.arange(len(names))[:, None]) * width + bins).reshape(-1)
-            some, which = np.unique(cell, return_inverse=True)
-            out = {"node": nodes[some // (len(names) * width)], "place": some // width % len(names), "bin": some % width - 1}
-            arrays = [pa.array(v.astype(np.int32)) for v in out.values()]
-            arrays += [pa.array(np.bincount(which, np.tile(b[m].to_numpy(), len(names)), len(some))) for m in models]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*out, *models])
-
-    return rows.select("node", *names, *models).mapInArrow(run, schema).groupBy("node", "place", "bin").agg(*(F.sum(m).alias(m) for m in models))
-
-
-def best_splits(rows: DataFrame, features: list[str], models: list[str]) -> DataFrame:
+            bins = bins + 1  # -1, missing, comes first
+            of = np.unique(node)
+            new, wider = np.setdiff1d(of, nodes), max(width, int(bins.max()) + 1)
+            if len(new) or wider > width:
+                room = ((0, len(new)), (0, 0), (0, wider - width))
+                nodes, width = np.append(nodes, new), wider
+                sums, counts = np.pad(sums, (*room, (0, 0))), np.pad(counts, room)
+            places = np.argsort(nodes)
+            at = places[np.searchsorted(nodes, node, sorter=places)]
+            cell = ((at * len(names) + np.arange(len(names))[:, None]) * width + bins).ravel()
+            counts += np.bincount(cell, minlength=counts.size).reshape(counts.shape)
+            for i, e in enumerate(errors):
+                sums[..., i] += np.bincount(cell, np.tile(e, len(names)), counts.size).reshape(counts.shape)
+        at, place, bin_ = np.nonzero(counts)
+        for first in range(0, len(at), 10_000):
+            n, p, c = (v[first : first + 10_000] for v in (at, place, bin_))
+            arrays = [pa.array(v.astype(np.int32)) for v in (nodes[n], p, c - 1)] + [pa.array(v) for v in sums[n, p, c].T]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "place", "bin", *models])
+
+    return rows.select(*(["node"] if tree is None else []), *names, *models).mapInArrow(run, schema).groupBy("node", "place", "bin").agg(*(F.sum(m).alias(m) for m in models))
+
+
+def best_splits(rows: DataFrame, features: list[str], models: list[str], tree: dict[int, dict] | None = None, least: int = 1) -> DataFrame:
     """(node, feature, bin, cost, whole, left_model, right_model): the cut of each node with the least cost.
 
-    Rows (node, bin_..., errors) with bins up to ``bin`` go left. Costs are summed errors; whole is the node's without a cut.
+    Rows (node, bin_..., errors) with bins up to ``bin`` go left; nodes are given, or leaves of ``tree``, see ``sums_by_bin``. Costs are summed errors; whole is the node's without a cut.
     Ties go to the first feature given, then to the lowest bin. A node all of whose bins are alike has no row.
     """
     name = F.element_at(F.lit(features), F.col("place") + 1).alias("feature")
-    sums = sums_by_bin(rows, features, models).select("node", "place", name, "bin", *models)
+    sums = sums_by_bin(rows, features, models, tree, least).select("node", "place", name, "bin", *models)
     w = Window.partitionBy("node", "place")
     upto = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     cut = sums.select("node", "place", "feature", "bin", F.max("bin").over(w).alias("last"), *(F.sum(m).over(upto).alias(f"l_{m}") for m in models), *(F.sum(m).over(w).alias(f"t_{m}") for m in models))
 
-    def least(of: list[Column]) -> Column:
+    def lowest(of: list[Column]) -> Column:
         return F.array_min(F.array(*(F.struct(c.alias("cost"), F.lit(i).alias("i"), F.lit(m).alias("model")) for i, (c, m) in enumerate(zip(of, models)))))
 
     left, right = [F.col(f"l_{m}") for m in models], [F.col(f"t_{m}") - F.col(f"l_{m}") for m in models]
-    cut = cut.where("bin < last").select("node", "place", "feature", "bin", least(left).alias("l"), least(right).alias("r"), least([F.col(f"t_{m}") for m in models]).alias("t"))
+    cut = cut.where("bin < last").select("node", "place", "feature", "bin", lowest(left).alias("l"), lowest(right).alias("r"), lowest([F.col(f"t_{m}") for m in models]).alias("t"))
     cost = F.round(F.col("l.cost") + F.col("r.cost"), 6)
     found = cut.select("node", F.struct(cost.alias("cost"), "place", "bin", "feature", F.col("t.cost").alias("whole"), F.col("l.model").alias("left_model"), F.col("r.model").alias("right_model")).alias("s"))
     return found.groupBy("node").agg(F.min("s").alias("s")).select("node", "s.feature", "s.bin", "s.cost", "s.whole", "s.left_model", "s.right_model")
@@ -139,8 +159,7 @@ def fit(rows: DataFrame, features: list[str], models: list[str], depth: int = 8)
     """Cuts by node of rows that ``binned`` made. A node that no cut makes cheaper is a leaf; no rows give no cuts."""
     tree: dict[int, dict] = {}
     for level in range(1, depth + 1):
-        open_ = rows.withColumn("node", node_of(tree, features)).where(F.col("node") >= 1 << level - 1)
-        found = [r.asDict() for r in best_splits(open_, features, models).collect()]  # at most 2 ** (level - 1)
+        found = [r.asDict() for r in best_splits(rows, features, models, dict(tree), 1 << level - 1).collect()]  # at most 2 ** (level - 1)
         better = {r["node"]: r for r in found if r["cost"] < r["whole"] - 1e-6}
         if not better:
             break
@@ -209,6 +228,15 @@ def _arrays(tree: dict[int, dict], features: list[str], models: list[str]) -> tu
     return feature, cut, model
 
 
+def _leaves(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """The leaves of rows, a column of ``bins`` each."""
+    node, at = np.ones(bins.shape[1], np.int64), np.arange(bins.shape[1])
+    for _ in range(levels):
+        right = bins[np.maximum(feature[node], 0), at] > cut[node]
+        node = np.where(feature[node] < 0, node, 2 * node + right)
+    return node
+
+
 def importance(rows: DataFrame, tree: dict[int, dict], features: list[str], models: list[str], seed: int = 0) -> DataFrame:
     """(step, feature, rise, place): how much the mean error rises when a feature's values are dealt out anew among the rows; 0 is the largest rise.
 
@@ -219,11 +247,7 @@ def importance(rows: DataFrame, tree: dict[int, dict], features: list[str], mode
     feature, cut, model = _arrays(tree, features, models)
 
     def cost(bins: np.ndarray, errors: np.ndarray) -> np.ndarray:
-        node, at = np.ones(bins.shape[1], np.int64), np.arange(bins.shape[1])
-        for _ in range(max(tree, default=0).bit_length()):
-            right = bins[np.maximum(feature[node], 0), at] > cut[node]
-            node = np.where(feature[node] < 0, node, 2 * node + right)
-        return errors[model[node], at]
+        return errors[model[_leaves(bins, feature, cut, max(tree, default=0).bit_length())], np.arange(bins.shape[1])]
 
     def run(batches):
         for b in batches:
