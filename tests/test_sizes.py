@@ -84,3 +84,26 @@ def test_a_task_hands_on_a_cell_once(spark):
         patch.setattr(type(rows), "mapInArrow", counted)
         tree.sums_by_bin(rows, ["a", "b"], ["m0", "m1"])
     assert handed == [3 * (5 + 2)]
+
+
+def test_rows_before_are_slid_over_and_not_gathered_for_each_row(spark):
+    """A task of the filters holds a batch of plain numbers and the few rows before it, whatever its rows; tracks that batches cut are whole."""
+    from pyspark.sql import functions as F
+
+    from trackloom.operators import banks, filters
+    from trackloom.plans import learning
+    from trackloom.sources import poses as src
+
+    for query in (learning.spline_errors, learning.spline_metrics):
+        assert "collect_list" not in query(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    poses, of = src.event_poses(spark, DATA), filters.spline_filters(2, 4, 6)
+    want = filters.filtered_errors(poses, of, "err").groupBy("step").agg(F.count("*").alias("n"), F.avg("err").alias("mean"), F.max("err").alias("most")).collect()
+    tracks = filters.filtered_errors(poses, of, "err").groupBy("step", "track_id").agg(F.avg("err").alias("e")).groupBy("step").agg(F.count("*").alias("n"), F.avg("e").alias("mean")).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        found = banks.filter_summary(poses, [filters.spline_filters(1, 2, 3), of]).where("configuration = 1").collect()
+        means = banks.filter_means(poses, [filters.spline_filters(1, 2, 3), of]).where("configuration = 1").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["step"]: (r["n"], pytest.approx(r["mean"]), pytest.approx(r["most"])) for r in want} == {r["step"]: (r["n"], r["mean_err"], r["most"]) for r in found}
+    assert {r["step"]: (r["n"], pytest.approx(r["mean"])) for r in tracks} == {r["step"]: (r["tracks"], r["mean_err"]) for r in means}

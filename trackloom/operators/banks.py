@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +20,13 @@ from ..sources.store import saved
 from . import filters
 from .features import base
 from .orientation import unwrap_layers
-from .predict import KEYS, order
+from .predict import KEYS, down_sampled, order
 
 #: Errors that a task looks at together, cells of a pass of ``medians``, and values of a configuration that it gathers in the end.
 MATRIX, CELLS, FEW = 1 << 20, 256, 2048
 Errors = Callable[[pd.DataFrame], np.ndarray]
+#: Errors of a block of rows by filters, which stay in a core's cache.
+BLOCK = 1 << 14
 SUMS = "step long, configuration int, tracks long, s double"
 
 
@@ -278,37 +281,112 @@ def arctangent(scale: np.ndarray) -> Errors:
     return turn_errors(lambda x: scale * np.arctan2(2 * np.sin(x / scale), 2 * np.cos(x / scale) - 1) - x)
 
 
-def _weights(bank: list[dict[int, list[float]]], most: int) -> np.ndarray:
-    """By poses at hand, from the newest back, a column for each filter."""
-    weights = np.zeros((most + 1, most, len(bank)))
-    for j, filters_ in enumerate(bank):
-        for at in range(1, most + 1):
-            w = filters_[min(at, max(filters_))]
-            weights[at, : len(w), j] = w[::-1]
-    return weights
+def _weights(bank: list[dict[int, list[float]]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By poses at hand, the oldest first, a column for each filter; equal columns are one, and the second array has each filter's."""
+    most, out = max(max(f) for f in bank), {}
+    for size in range(most + 1):
+        weights = np.zeros((size, len(bank)))
+        for j, of in enumerate(bank):
+            w = of[min(size, max(of))] if size else []
+            weights[size - len(w) :, j] = w
+        columns, which = np.unique(weights, axis=1, return_inverse=True) if size else (weights[:, :1], np.zeros(len(bank), int))
+        out[size] = columns, which.reshape(-1)
+    return out
 
 
-def filter_errors(bank: list[dict[int, list[float]]]) -> tuple[Errors, int]:
-    """Distances of a pose from what each filter makes of those before it, for rows of ``filters.with_past``; and the most poses a filter takes."""
-    most = max(max(f) for f in bank)
-    weights = _weights(bank, most)
+def _slid(batches, axes: tuple[str, ...], most: int):
+    """Of Arrow batches of rows (track_id, step, k, rows, ``axes``, ..), the rows with k from 1: (step, size, columns of these rows by name, past), where past (axes,
+    rows, size) has what the axes were before each row, the oldest first, at most ``most`` rows back.
 
-    def errors(b: pd.DataFrame) -> np.ndarray:
-        square, sizes = np.zeros((len(b), len(bank))), b["past_x"].str.len().to_numpy()
-        for size in np.unique(sizes):
-            which = np.flatnonzero(sizes == size)
-            for c in "xyz":
-                past = np.array(b[f"past_{c}"].iloc[which].tolist())[:, ::-1]
-                square[which] += (b[c].to_numpy()[which, None] - past @ weights[size, :size]) ** 2
-        return np.sqrt(square)
+    A track's rows must follow each other within one partition. What is kept of a batch for the next one are its last ``most`` rows.
+    """
+    kept = None
+    for batch in batches:
+        new = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        if not len(new["k"]):
+            continue
+        old = len(kept["k"]) if kept else 0
+        rows = {n: np.concatenate([kept[n], v]) for n, v in new.items()} if kept else new
+        begins = np.append(True, (np.diff(rows["track_id"]) != 0) | (np.diff(rows["step"]) != 0))
+        at = np.arange(len(begins))
+        sizes = np.minimum(at - np.maximum.accumulate(np.where(begins, at, 0)), most)
+        values = np.stack([rows[c].astype(float) for c in axes])
+        wanted = (at >= old) & (rows["k"] > 0)
+        # Rows of one step and size together, in their order.
+        group = rows["step"] * (most + 1) + sizes
+        for of in np.unique(group[wanted]):
+            which = np.flatnonzero(wanted & (group == of))
+            size = int(sizes[which[0]])
+            past = values[:, which[:, None] + np.arange(-size, 0)]
+            yield int(rows["step"][which[0]]), size, {n: v[which] for n, v in rows.items()}, past
+        kept = {n: v[-most:] for n, v in rows.items()}
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of a track's rows that count, those with k from 1; the rows of a track one after another."""
+    whole = order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.withColumn("rows", F.count(F.when(F.col("k") > 0, 1)).over(whole))
+
+
+def _filtered(rows: DataFrame, axes: tuple[str, ...], bank: list[dict[int, list[float]]], measured: Callable, start: list[float], ended: Callable, schema: str) -> DataFrame:
+    """``rows`` measured against what each filter makes of the rows before: a task hands on a row for each step and filter, however many rows it has.
+
+    ``measured(columns, past, weights, of)`` changes of (``start``, filters) for a block of rows; filters that are the same for the poses at hand are measured once. ``ended``
+    puts two such arrays of all filters together.
+    """
+    weights = _weights(bank)
+    most = max(weights)
+
+    def run(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for step, size, columns, past in _slid(batches, axes, most):
+            n = weights[size][0].shape[1]
+            of = sums.setdefault((step, size), np.repeat(np.array(start, float)[:, None], n, axis=1))
+            block = max(1, BLOCK // n)
+            for at in range(0, past.shape[1], block):
+                measured({c: v[at : at + block] for c, v in columns.items()}, past[:, at : at + block], weights[size][0], of)
+        whole: dict[int, np.ndarray] = {}
+        for (step, size), of in sums.items():
+            every = of[:, weights[size][1]]
+            whole[step] = ended(whole[step], every) if step in whole else every
+        for step, of in whole.items():
+            n = len(bank)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, step)), pa.array(np.arange(n, dtype=np.int32)), *(pa.array(v) for v in of)], names=["step", "configuration", *names])
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.mapInArrow(run, f"step long, configuration int, {schema}").groupBy("step", "configuration")
+
+
+def _made(past: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(axes, rows, filters): what each filter makes of the axes before each row."""
+    axes, rows, size = past.shape
+    return (past.reshape(axes * rows, size) @ weights).reshape(axes, rows, -1)
+
+
+def _squares(columns: dict[str, np.ndarray], made: np.ndarray) -> np.ndarray:
+    """Squared distances (rows, filters) of the positions from those that filters made; ``made`` is used up."""
+    for of, c in zip(made, "xyz", strict=False):
+        of -= columns[c][:, None]
+        of *= of
+    made[0] += made[1]
+    made[0] += made[2]
+    return made[0]
 
-    return errors, most
+
+def _positions(poses: DataFrame) -> DataFrame:
+    return _counted(down_sampled(poses).select(*KEYS, "k", "x", "y", "z"))
 
 
 def filter_means(poses: DataFrame, bank: list[dict[int, list[float]]]) -> DataFrame:
-    """``track_means`` of a bank of filters on positions."""
-    errors, most = filter_errors(bank)
-    return track_means(filters.with_past(poses, most), errors, len(bank))
+    """As ``track_means``, of the distances of positions from what a bank of filters makes of those before them."""
+
+    def measured(columns, past, weights, of):
+        share = 1 / columns["rows"]
+        of[0] += share.sum()
+        of[1] += share @ np.sqrt(_squares(columns, _made(past, weights)))
+
+    sums = _filtered(_positions(poses), ("x", "y", "z"), bank, measured, [0, 0], np.add, "tracks double, s double")
+    return sums.agg(F.round(F.sum("tracks")).cast("long").alias("tracks"), F.sum("s").alias("s")).select("step", "configuration", "tracks", (F.col("s") / F.col("tracks")).alias("mean_err"))
 
 
 def row_means(rows: DataFrame, errors: Errors, n: int) -> DataFrame:
@@ -330,9 +408,23 @@ def row_means(rows: DataFrame, errors: Errors, n: int) -> DataFrame:
 
 
 def filter_summary(poses: DataFrame, bank: list[dict[int, list[float]]]) -> DataFrame:
-    """``row_means`` of a bank of filters on positions."""
-    errors, most = filter_errors(bank)
-    return row_means(filters.with_past(poses, most), errors, len(bank))
+    """As ``row_means``, of the distances of positions from what a bank of filters makes of those before them."""
+
+    def measured(columns, past, weights, of):
+        off = np.sqrt(_squares(columns, _made(past, weights)))
+        off = off[~np.isnan(off).any(axis=1)]
+        if len(off):
+            of[0] += len(off)
+            of[1] += off.sum(axis=0)
+            np.maximum(of[2], off.max(axis=0), out=of[2])
+
+    def ended(a, b):
+        return np.stack([a[0] + b[0], a[1] + b[1], np.maximum(a[2], b[2])])
+
+    sums = _filtered(_positions(poses), ("x", "y", "z"), bank, measured, [0, 0, -np.inf], ended, "n double, s double, most double").agg(
+        F.sum("n").cast("long").alias("n"), F.sum("s").alias("s"), F.max("most").alias("most")
+    )
+    return sums.where("n > 0").select("step", "configuration", "n", (F.col("s") / F.col("n")).alias("mean_err"), "most")
 
 
 def multiplied(v: np.ndarray, a: np.ndarray, j: np.ndarray) -> Errors:
@@ -352,46 +444,46 @@ def multiplied(v: np.ndarray, a: np.ndarray, j: np.ndarray) -> Errors:
 METRICS = ("under_20", "under_50", "mean_err", "under_2", "under_5", "mean_angle")
 
 
-def with_past_turns(poses: DataFrame, n: int) -> DataFrame:
-    """``filters.with_past`` of positions and of continuous rotation vectors rx, ry, rz, with the orientation qw .. qz; k from 1."""
-    rows = base(poses)
-    turned = apply(rows, unwrap_layers("q@")).select(*KEYS, "k", "x", "y", "z", "qw", "qx", "qy", "qz", "rx", "ry", "rz")
-    w = order().rowsBetween(-n, -1)
-    axes = ("x", "y", "z", "rx", "ry", "rz")
-    return turned.select("*", *(F.collect_list(c).over(w).alias(f"past_{c}") for c in axes)).where("k > 0")
+def _turned_positions(poses: DataFrame) -> DataFrame:
+    """Positions and continuous rotation vectors rx, ry, rz, with the orientation qw .. qz, see ``_counted``."""
+    return _counted(apply(base(poses), unwrap_layers("q@")).select(*KEYS, "k", "x", "y", "z", "qw", "qx", "qy", "qz", "rx", "ry", "rz"))
 
 
-def metric_errors(bank: list[dict[int, list[float]]]) -> tuple[Errors, int]:
-    """A column for each of ``METRICS`` of each filter, the filters of one metric together: positions and rotation vectors are both filtered."""
-    distances, most = filter_errors(bank)
-    weights = _weights(bank, most)
+def _cosines(columns: dict[str, np.ndarray], made: np.ndarray) -> np.ndarray:
+    """Cosines (rows, filters) of half the angles between the orientations and the turns of rotation vectors (axes, rows, filters)."""
+    length = np.sqrt((made * made).sum(axis=0))
+    part = 0.5 * np.sinc(length / (2 * np.pi))
+    along = sum(columns[f"q{c}"][:, None] * of for c, of in zip("xyz", made, strict=True))
+    return np.abs(columns["qw"][:, None] * np.cos(length / 2) + part * along)
+
+
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return 2 * np.arccos(np.minimum(1, cosines))
 
-    def errors(b: pd.DataFrame) -> np.ndarray:
-        off, angle, sizes = distances(b), np.zeros((len(b), len(bank))), b["past_rx"].str.len().to_numpy()
-        for size in np.unique(sizes):
-            which = np.flatnonzero(sizes == size)
-            past = [np.array(b[f"past_r{c}"].iloc[which].tolist())[:, ::-1] @ weights[size, :size] for c in "xyz"]
-            length = np.sqrt(sum(p * p for p in past))
-            part = 0.5 * np.sinc(length / (2 * np.pi))
-            true = [b[f"q{c}"].to_numpy()[which, None] for c in "wxyz"]
-            cosine = true[0] * np.cos(length / 2) + part * sum(t * p for t, p in zip(true[1:], past, strict=True))
-            angle[which] = 2 * np.arccos(np.minimum(1, np.abs(cosine)))
-        near = [a < np.radians(t) for a, t in ((angle, 2), (angle, 5))]
-        return np.concatenate([off < 20, off < 50, off, *near, angle], axis=1, dtype=float)
 
-    return errors, most
+def _metrics(columns: dict[str, np.ndarray], past: np.ndarray, weights: np.ndarray, of: np.ndarray) -> None:
+    """Adds the sums of a block of rows, each by its share of its track: of one, and of each of ``METRICS``."""
+    share = 1 / columns["rows"]
+    made = _made(past, weights)
+    square, cosines = _squares(columns, made[:3]), _cosines(columns, made[3:])
+    of[0] += share.sum()
+    of[1] += share @ (square < 400)
+    of[2] += share @ (square < 2500)
+    of[3] += share @ np.sqrt(square)
+    of[4] += share @ (cosines > np.cos(np.radians(1)))
+    of[5] += share @ (cosines > np.cos(np.radians(2.5)))
+    of[6] += share @ _angles(cosines)
 
 
 def spline_sweep(poses: DataFrame, configurations: list[tuple[int, int, int]] | None = None, modes: tuple[str, ...] = filters.MODES) -> DataFrame:
     """(step, mode, degree, controls, inputs, tracks, ``METRICS``): every configuration's metrics by track, then their means over tracks.
 
-    Poses are (track_id, frame, x, y, z, vx, vy, vz). Rows never meet configurations one by one: a batch is multiplied with all weights.
+    Poses are (track_id, frame, x, y, z, vx, vy, vz). Rows never meet configurations one by one: a block is multiplied with all weights.
     """
     columns = [(m, *c) for m in modes for c in configurations or filters.grid()]
-    errors, most = metric_errors([filters.spline_filters(*c, m) for m, *c in columns])
-    found = track_means(with_past_turns(poses, most), errors, len(METRICS) * len(columns))
-    at = F.col("configuration") % len(columns)
-    named = F.element_at(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("mode", "degree", "controls", "inputs"), c, strict=True))) for c in columns)), at + 1)
-    rows = found.groupBy("step", at.alias("at"), named.alias("c"), "tracks")
-    of = [F.max(F.when(F.floor(F.col("configuration") / len(columns)) == i, F.col("mean_err"))).alias(m) for i, m in enumerate(METRICS)]
-    return rows.agg(*of).select("step", "c.*", "tracks", *METRICS)
+    bank = [filters.spline_filters(*c, m) for m, *c in columns]
+    sums = _filtered(_turned_positions(poses), ("x", "y", "z", "rx", "ry", "rz"), bank, _metrics, [0] * (1 + len(METRICS)), np.add, ", ".join(f"{m} double" for m in ("tracks", *METRICS)))
+    found = sums.agg(F.sum("tracks").alias("tracks"), *(F.sum(m).alias(m) for m in METRICS)).withColumn("tracks", F.round("tracks").cast("long"))
+    named = poses.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(columns)], "configuration int, mode string, degree int, controls int, inputs int")
+    found = found.join(F.broadcast(named), "configuration")
+    return found.select("step", "mode", "degree", "controls", "inputs", "tracks", *((F.col(m) / F.col("tracks")).alias(m) for m in METRICS))
