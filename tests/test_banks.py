@@ -137,3 +137,29 @@ def test_saturated_of_large_powers():
     b = m.pd.DataFrame({"k": 5, "last": [0.0, 2.0, 1e-3], "noww": [1.0, 0.5, 0.2], "part": [0.0, 0.6, -0.3], "turn": 0.0})
     want = m.turn_errors(lambda x: np.minimum(x, 0.001))(b)
     assert m.saturated(np.array([0.001]), np.array([400.0]))(b)[:2] == pytest.approx(want[:2], abs=1e-7)
+
+
+def test_filters_that_are_one_for_the_poses_at_hand_are_measured_once():
+    """While a track is short, fits of more poses are those of the poses that there are."""
+    bank = [filters.spline_filters(*c, mode) for mode in filters.MODES for c in filters.grid(range(1, 4), 5, 8)]
+    weights = m._weights(bank)
+    assert [weights[n][0].shape[1] for n in (1, 2)] == [1, 3] and weights[5][0].shape[1] < len(bank) / 2
+    for n, (columns, which) in weights.items():
+        for of, w in zip(bank, columns[:, which].T, strict=True):
+            plain = of[min(n, max(of))] if n else []
+            assert w.tolist() == [0.0] * (n - len(plain)) + plain
+
+
+def test_angles_by_polynomials():
+    """Angles between orientations and rotation vectors of any length are those by NumPy's own functions; none is one too, and so are whole turns."""
+    rnd = np.random.default_rng(6)
+    q = rnd.normal(size=(4, 200))
+    q /= np.linalg.norm(q, axis=0)
+    made = rnd.normal(size=(3, 200, 30)) * np.array([0, 1e-200, 1e-9, 0.1, 1, 50])[rnd.integers(0, 6, (200, 1))]
+    made[:, 0, :3] = np.array([[0, 2 * np.pi, 4 * np.pi], [0, 0, 0], [0, 0, 0]])
+    length = np.sqrt((made * made).sum(axis=0))
+    want = np.abs(q[0][:, None] * np.cos(length / 2) + 0.5 * np.sinc(length / (2 * np.pi)) * np.einsum("ir,irf->rf", q[1:], made))
+    cosines = m._cosines(dict(zip(["qw", "qx", "qy", "qz"], q, strict=True)), made.copy())
+    assert np.abs(cosines - want).max() < 1e-12
+    assert np.abs(m._angles(want.copy()) - 2 * np.arccos(np.minimum(1, want))).max() < 1e-12
+    assert m._angles(np.array([1.0, 0.0, 1 + 1e-15])) == pytest.approx([0, np.pi, 0], abs=1e-12)

@@ -6,6 +6,7 @@ The weights depend on a few parameters only and are computed on the driver; a tr
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 from math import ceil
 
 import numpy as np
@@ -55,6 +56,7 @@ def fit_weights(basis_at: Callable, slopes_at: Callable, degree: float, controls
     return (start + (first * du + second * du * du / 2) @ fit).tolist()
 
 
+@cache
 def spline_weights(degree: int, controls: int, inputs: int, mode: str = "extrapolate") -> list[float]:
     """``fit_weights`` of a uniform B-spline."""
 
